@@ -1,4 +1,4 @@
-"""Column expressions over text: counts, keys, truncation, versions, references."""
+"""Column expressions over text: counts, keys, hashes, versions, truncation, references, names and paths. All run inside codegen."""
 
 from __future__ import annotations
 
@@ -23,3 +23,139 @@ def term_count(text: Column, terms: list[str]) -> Column:
     for t in terms:
         out = out + occurrences(text, t)
     return out
+
+
+def normalized(text: Column) -> Column:
+    """Lower case, every run of white space one space, none at the ends."""
+    return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+
+
+def content_id(prefix: str, *parts: Column) -> Column:
+    """`prefix` and the SHA-256 of the normalized parts, joined by a NUL so that no two lists of parts collide."""
+    return F.concat(F.lit(prefix), F.sha2(F.concat_ws("\0", *(normalized(p) for p in parts)), 256))
+
+
+def short_hash(text: Column) -> Column:
+    return F.substring(F.sha2(text, 256), 1, 12)
+
+
+def version_parts(version: Column) -> Column:
+    """The runs of digits in a version as integers; runs beyond 32 bits are left out."""
+    parts = F.transform(F.regexp_extract_all(version, F.lit("([0-9]+)"), F.lit(1)), lambda x: F.when(F.length(F.ltrim(x, F.lit("0"))) <= 10, x.cast("decimal(30,0)").cast("long")))
+    return F.filter(parts, lambda x: x.isNotNull() & (x < 2**32))
+
+
+def version_below(version: Column, minimum: Column) -> Column:
+    """Whether a version comes before another, part by part; one without any digits is below."""
+    have = version_parts(version)
+    return (F.size(have) == 0) | (have < version_parts(minimum))
+
+
+def java_major(version: Column) -> Column:
+    """1.8 and 8.0.2 are 8, 17 is 17; no digits: null."""
+    first = F.regexp_extract(version, r"([0-9]+)", 1)
+    second = F.regexp_extract(version, r"[0-9]+\.([0-9]+)", 1)
+    return F.when(first == "", None).when((first == "1") & (second != ""), second.cast("long")).otherwise(first.cast("long"))
+
+
+def truncated(text: Column, limit: int, marker: str) -> Column:
+    return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(marker))).otherwise(text)
+
+
+def excerpt(text: Column, limit: int, marker: str) -> Column:
+    """Beginning and end of a long text, with a marker for what lies between."""
+    half = limit // 2
+    return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(half)), F.lit(marker), F.right(text, F.lit(limit - half)))).otherwise(text)
+
+
+def first_line(text: Column, limit: int = 240) -> Column:
+    return F.left(F.split_part(text, F.lit("\n"), F.lit(1)), F.lit(limit))
+
+
+def annotation_name(annotation: Column) -> Column:
+    """@org.x.Name(args) is Name."""
+    return F.regexp_extract(F.split_part(F.ltrim(annotation, F.lit("@ ")), F.lit("("), F.lit(1)), r"([^.\s]+)\s*$", 1)
+
+
+def first_quoted(text: Column) -> Column:
+    """What stands between the first two double quotes; null without both."""
+    return F.when(F.regexp_like(text, F.lit('"[^"]*"')), F.regexp_extract(text, '"([^"]*)"', 1))
+
+
+def named_value(annotation: Column, name: str) -> Column:
+    """The quoted value given to `name` in an annotation, else null."""
+    pattern = rf'\b{name}\s*=\s*"([^"]*)"'
+    return F.when(F.regexp_like(annotation, F.lit(pattern)), F.regexp_extract(annotation, pattern, 1))
+
+
+def generic_argument(kind: Column) -> Column:
+    """The first argument of a generic type, else null."""
+    found = F.trim(F.regexp_extract(kind, r"<([^>,]*)", 1))
+    return F.when(found != "", found)
+
+
+def json_field(text: Column, name: str) -> Column:
+    return F.get_json_object(text, f"$.{name}")
+
+
+def reference_name(value: Column) -> Column:
+    """The name inside the first ${name} or ${name:default}; else null."""
+    pattern = r"\$\{([^}:]+)(?::[^}]*)?\}"
+    return F.when(F.regexp_like(value, F.lit(pattern)), F.regexp_extract(value, pattern, 1))
+
+
+def value_kind(value: Column) -> Column:
+    """What a configured value is: a reference to the environment, to a property or to a name service, a URL, a path, or a literal."""
+    value = F.trim(value)
+    name = reference_name(value)
+    environment = name.contains("_") | F.regexp_like(name, F.lit("^[A-Z0-9]*$"))
+    starts = lambda *p: F.regexp_like(value, F.lit(f"^({'|'.join(p)})"))
+    return (
+        F.when(name.isNotNull() & environment, "ENVIRONMENT_REFERENCE")
+        .when(name.isNotNull(), "PROPERTY_REFERENCE")
+        .when(starts("java:", "jdbc/", "jms/"), "JNDI_REFERENCE")
+        .when(starts("http://", "https://", "jdbc:", "r2dbc:"), "URL")
+        .when(value.contains("/") | value.contains("\\"), "FILE_PATH")
+        .otherwise("LITERAL")
+    )
+
+
+def sensitivity(key: Column, patterns: list[str]) -> Column:
+    low = ascii_lower(key)
+    hit = F.lit(False)
+    for p in patterns:
+        hit = hit | low.contains(p.lower())
+    return F.when(hit, "secret").otherwise("normal")
+
+
+def clipped_lines(lines: Column, start: Column, end: Column) -> Column:
+    """Line numbers inside a range, sorted, each once."""
+    return F.array_sort(F.array_distinct(F.filter(lines, lambda x: (x >= start) & (x <= end))))
+
+
+def substituted(text: Column, properties: Column) -> Column:
+    """One pass over ${name} references: known names are replaced, unknown ones left as they are."""
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\$\{([^}]+)\}"), F.lit(1)))
+    return F.aggregate(names, text, lambda out, n: F.replace(out, F.concat(F.lit("${"), n, F.lit("}")), F.coalesce(F.element_at(properties, n), F.concat(F.lit("${"), n, F.lit("}")))))
+
+
+def path_segment(text: Column) -> Column:
+    """Safe as a name in a path: everything but letters, digits, dot, dash and underscore is a dash."""
+    return F.regexp_replace(text, "[^A-Za-z0-9._-]", "-")
+
+
+def string_literal(text: Column) -> Column:
+    """Escaped for a double-quoted literal."""
+    for old, new in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
+def comment_text(text: Column) -> Column:
+    return F.replace(text, F.lit("*/"), F.lit("* /"))
+
+
+def module_path(file: Column, names: list[str]) -> Column:
+    """The folder of a build file, "." at the root."""
+    folder = F.regexp_replace(file, r"/?[^/]+$", "")
+    return F.when(folder == "", ".").otherwise(folder)
