@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,9 +10,13 @@ from tessera.llm import packing, token_counts
 from tessera.llm.packing import binary_lengths
 
 
+@functools.cache
+def tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def ids_of(text):
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    return t.encode(text or "", add_special_tokens=False).ids
+    return tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def test_binary_lengths():
