@@ -22,7 +22,8 @@ def vocabulary_path(name: str) -> str:
 class ChunkEncoder:
     """Encodes texts by a tokenizer that drops white space and never joins what white space parts.
 
-    Each distinct run of other characters is encoded once and its ids are kept, up to `keep` runs; then the store starts afresh.
+    Each distinct run of other characters is encoded once and its ids are kept, up to `keep` runs; then the store starts afresh. The
+    tokenizer must also lower-case and part letters from punctuation, so that runs lower-cased and cut there beforehand give the same ids.
     """
 
     def __init__(self, vocabulary: str, keep: int = 400_000) -> None:
@@ -56,7 +57,12 @@ class ChunkEncoder:
 
     def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """A store row for each run of the texts, in order, and the first run of each text (one more entry than texts)."""
-        runs = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-zß-öø-ÿ])([.,;:!?])", r"\1 \2")
+        special = pc.match_substring(texts, "<|")  # may be a special token, which is told by its case
+        if pc.any(special).as_py():
+            plain = pc.if_else(special, texts, plain)
+        runs = pc.ascii_split_whitespace(plain)
         flat = runs.flatten()
         coded = flat.dictionary_encode()
         names = coded.dictionary.to_pylist()
