@@ -73,11 +73,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """`df` written once to the shared folder and read back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     folder = shared_folder(spark)
-    df.write.option("compression", "zstd").parquet(folder)
+    df.write.option("compression", codec).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -25,7 +25,7 @@ LEAST = 5
 #: counts of tokens, by the low bits of their hashes
 LOG2_COUNTS = 22
 #: rows of one group that propose all pairs at once, and rows of one tile
-SMALL, TILE = 64, 20_000
+SMALL, TILE = 256, 20_000
 LOWER_VALUES = common.BYTE_VALUES[common.LOWER]
 _COUNT_MASK = np.uint64((1 << LOG2_COUNTS) - 1)
 
@@ -110,22 +110,24 @@ def token_counts(spark: SparkSession, docs: DataFrame) -> np.ndarray:
 
 
 def proposals(batches: Iterator[pa.RecordBatch], open_lines: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from prefix rows sorted by (token, tile_a, tile_b, size): earlier line, later line, and the token of a large group.
+    """Candidate pairs from prefix rows sorted by (token, tile): earlier line, later line, and the token of a large group.
 
     `open_lines` given: all candidates whose later line it may hold; else all of small groups and the earliest one of each line in a large one.
     """
-    for table in common.whole_groups(batches, ["token", "tile_a", "tile_b"]):
-        token, size, pos, key, doc, number, sketch = (table[c].to_numpy() for c in ("token", "size", "pos", "key", "k_id", "number", "sketch"))
-        sketch = sketch.view(np.uint64)
+    for table in common.whole_groups(batches, ["token", "tile"]):
+        token, tile, shape, key, doc, number, sketch = (table[c].to_numpy() for c in ("token", "tile", "shape", "key", "k_id", "number", "sketch"))
         group = np.zeros(len(token), np.int64)
-        for c in ("token", "tile_a", "tile_b"):
-            x = table[c].to_numpy()
-            group[1:] |= x[1:] != x[:-1]
-        group = np.cumsum(group)
+        group[1:] = np.cumsum((token[1:] != token[:-1]) | (tile[1:] != tile[:-1]))
+        many = np.bincount(group)
+        use = np.flatnonzero(many[group] > 1)
+        use = use[np.lexsort((shape[use] >> 32, group[use]))]
+        if not len(use):
+            continue
+        token, key, doc, number, sketch, group = token[use], key[use], doc[use], number[use], sketch[use].view(np.uint64), group[use]
+        size, pos = shape[use] >> 32, shape[use] & 0xFFFFFFFF
+        large = many[group] > SMALL
         rank = np.empty(len(key), np.int64)
         rank[np.lexsort((key, number, doc))] = np.arange(len(key))
-        by_rank = np.argsort(rank)
-        large = np.bincount(group)[group] > SMALL
         best = np.full(len(key), len(key))
         found: list[tuple[np.ndarray, np.ndarray]] = []
         active, step = np.arange(len(key) - 1), 1
@@ -148,22 +150,38 @@ def proposals(batches: Iterator[pa.RecordBatch], open_lines: Callable[[np.ndarra
                 keep = open_lines(key[b].view(np.uint64))
                 a, b = a[keep], b[keep]
             if len(a):
-                found.append((a, b))
+                found.append((key[a], key[b]))
             step += 1
             if sum(len(x) for x, _ in found) > 1 << 18:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield common.batch(a=key[a], b=key[b], token=pa.nulls(len(a), pa.int64()))
+                yield proposed_pairs(found)
                 found = []
         if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield common.batch(a=key[a], b=key[b], token=pa.nulls(len(a), pa.int64()))
+            yield proposed_pairs(found)
         b = np.flatnonzero(best < len(key))
         if len(b):
+            by_rank = np.argsort(rank)
             yield common.batch(a=key[by_rank[best[b]]], b=key[b], token=token[b])
 
 
+def proposed_pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Pairs once each, though lines that are alike meet under most of their prefix tokens."""
+    pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], axis=1), axis=0)
+    return common.batch(a=np.ascontiguousarray(pairs[:, 0]), b=np.ascontiguousarray(pairs[:, 1]), token=pa.nulls(len(pairs), pa.int64()))
+
+
 PAIRS = "a long, b long, token long"
-GROUPS = ["token", "tile_a", "tile_b"]
+GROUPS = ["token", "tile"]
+
+
+def grouped(rows: DataFrame, rows_of_common: DataFrame) -> DataFrame:
+    """Prefix rows dealt out and sorted by their groups; tokens that may be common in tiles, so that no group grows with the corpus.
+
+    `rows_of_common` are the rows of the lines that have such a token; those of their other tokens are left out here.
+    """
+    plain = rows.where("token & 1 = 0").withColumn("tile", F.lit(0).cast("long"))
+    cut = common.tiled(rows_of_common.where("token & 1 = 1"), "token", "key", TILE)
+    tiles = cut.withColumn("tile", F.col("tile_a").cast("long") * F.lit(1 << 31) + F.col("tile_b")).select(*plain.columns)
+    return plain.repartition("token").sortWithinPartitions("token").unionByName(tiles.repartition(*GROUPS).sortWithinPartitions(*GROUPS))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -194,18 +212,34 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ends = np.cumsum(lengths)
             at = order[np.repeat(x.first[:-1] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
             prefix = np.where(n[at] > 1, x.token[at], np.uint64(0))  # a word that occurs once meets no other line
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), common.signed(prefix))
-            yield common.batch(key=common.signed(x.key), k_id=rows.column("k_id").to_numpy()[x.row], k_hash=rows.column("k_hash").to_numpy()[x.row], number=x.number.astype(np.int32), size=x.size.astype(np.int32), sketch=common.signed(x.sketch), prefix=lists)
-
-    lines = docs.mapInArrow(read, "key long, k_id long, k_hash long, number int, size int, sketch long, prefix array<long>")
-    lines = common.stored(lines)
+            prefix = (prefix & ~np.uint64(1)) | (n[at] > TILE)  # the last bit tells tokens that may be in more lines than a tile holds
+            bounds = np.concatenate([[0], 8 * ends]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(prefix))])
+            yield common.batch(key=common.signed(x.key), k_id=rows.column("k_id").to_numpy()[x.row], k_hash=rows.column("k_hash").to_numpy()[x.row], number=x.number.astype(np.int32), size=x.size.astype(np.int32), sketch=common.signed(x.sketch), prefix=packed, common=np.bincount(np.repeat(np.arange(len(lengths)), lengths), n[at] > TILE, len(lengths)) > 0)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            data, offsets = common.byte_buffer(part.column("prefix"))
+            token, n = data.view(np.int64), np.diff(offsets) // 8
+            line = np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+            use = token & ~1 != 0
+            line, pos, token = line[use], pos[use], token[use]
+            own = pa.array(line)
+            shape = part.column("size").to_numpy().astype(np.int64)[line] << 32 | pos
+            yield common.batch(token=token, **{c: part.column(c).take(own) for c in ("key", "k_id", "number")}, shape=shape, sketch=part.column("sketch").take(own))
+
+    lines = docs.mapInArrow(read, "key long, k_id long, k_hash long, number int, size int, sketch long, prefix binary, common boolean")
+    lines = common.stored(lines, "snappy")
     where = F.struct("k_id", "number", "k_hash")
-    first = lines.groupBy("key").agg(F.min(where).alias("at"), F.count(F.lit(1)).alias("n"))
-    distinct = common.stored(lines.join(first.select("key", "at.*"), ["key", "k_id", "number", "k_hash"], "left_semi").dropDuplicates(["key", "k_id", "number", "k_hash"]).select("key", "k_id", "number", "size", "sketch", "prefix"))
-    rows = distinct.select("key", "k_id", "number", "size", "sketch", F.posexplode("prefix").alias("pos", "token")).where("token <> 0")
-    cut = common.tiled(rows, "token", "key", TILE)
-    dealt = cut.repartition(*GROUPS).sortWithinPartitions(*GROUPS, "size")
-    proposed = common.stored(dealt.mapInArrow(proposals, PAIRS))
+    firsts = lines.groupBy("key").agg(F.min(where).alias("at"), F.count(F.lit(1)).alias("n"), F.any_value(F.struct("size", "sketch", "prefix", "common")).alias("line"))
+    distinct = common.stored(firsts.select("key", "at", "n", "line.*"), "snappy")
+    first = distinct.select("key", "at", "n")
+    fields = ["key", "at.k_id", "at.number", "size", "sketch", "prefix"]
+    row = "token long, key long, k_id long, number int, shape long, sketch long"
+    rows = distinct.select(*fields).mapInArrow(explode, row)
+    rows_of_common = distinct.where("common").select(*fields).mapInArrow(explode, row)
+    proposed = common.stored(grouped(rows, rows_of_common).mapInArrow(proposals, PAIRS))
 
     wanted = common.Bloom(spark, proposed.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", 24)
 
@@ -230,8 +264,8 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for part in batches:
                 yield part.filter(pa.array(tokens.has(part.column("token").to_numpy().view(np.uint64))))
 
-        some = common.tiled(common.stored(rows.mapInArrow(again, rows.schema)), "token", "key", TILE)
-        more = some.repartition(*GROUPS).sortWithinPartitions(*GROUPS, "size").mapInArrow(lambda x: proposals(x, lasting.has), PAIRS)
+        some = common.stored(rows.mapInArrow(again, rows.schema), "snappy")
+        more = grouped(some, some).mapInArrow(lambda x: proposals(x, lasting.has), PAIRS)
         fresh = more.select("a", "b").distinct().join(gone.withColumnRenamed("key", "b"), "b", "left_anti")
         fresh = common.stored(fresh)
         rest = common.stored(fresh.select(F.explode(F.array("a", "b")).alias("key")).distinct())
