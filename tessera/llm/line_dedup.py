@@ -184,6 +184,27 @@ def grouped(rows: DataFrame, rows_of_common: DataFrame) -> DataFrame:
     return plain.repartition("token").sortWithinPartitions("token").unionByName(tiles.repartition(*GROUPS).sortWithinPartitions(*GROUPS))
 
 
+def token_sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """key and tokens of the lines of `pairs`, read anew from the documents that hold their first places (by Bloom filters of fixed size)."""
+    spark = docs.sparkSession
+    keys = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "snappy")
+    wanted = common.Bloom(spark, keys, "key", 24)
+    holders = common.Bloom(spark, distinct.select("key", F.col("at.k_hash").alias("k_hash")).join(keys, "key", "left_semi").select("k_hash").distinct(), "k_hash", 24)
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (part.filter(pa.array(holders.has(part.column("k_hash").to_numpy().view(np.uint64)))) for part in batches)
+        for _, buf, offsets in blocks(held):
+            x = Lines(buf, offsets)
+            _, once = np.unique(x.key, return_index=True)
+            once = once[wanted.has(x.key[once])]
+            lengths = x.size[once]
+            ends = np.cumsum(lengths)
+            at = np.repeat(x.first[once] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+            yield common.batch(key=common.signed(x.key[once]), tokens=pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), common.signed(x.token[at])))
+
+    return common.stored(docs.mapInArrow(fetch, "key long, tokens array<long>").dropDuplicates(["key"]), "snappy")
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose token sets have Jaccard 0.8 or more."""
     of_a, of_b = (sets.select(F.col("key").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
@@ -241,21 +262,13 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows_of_common = distinct.where("common").select(*fields).mapInArrow(explode, row)
     proposed = common.stored(grouped(rows, rows_of_common).mapInArrow(proposals, PAIRS))
 
-    wanted = common.Bloom(spark, proposed.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", 24)
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, buf, offsets in blocks(batches):
-            x = Lines(buf, offsets)
-            _, once = np.unique(x.key, return_index=True)
-            once = once[wanted.has(x.key[once])]
-            lengths = x.size[once]
-            ends = np.cumsum(lengths)
-            at = np.repeat(x.first[once] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
-            yield common.batch(key=common.signed(x.key[once]), tokens=pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), common.signed(x.token[at])))
-
-    sets = common.stored(docs.mapInArrow(fetch, "key long, tokens array<long>").dropDuplicates(["key"]))
-    pairs = proposed.select("a", "b").distinct()
-    gone = common.stored(similar(pairs, sets).select(F.col("b").alias("key")).distinct())
+    counted = common.stored(proposed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "snappy")
+    sets = token_sets(docs, distinct, counted)
+    # the candidate that shares most prefix tokens settles most lines; only the lines still open compare their others
+    best = counted.groupBy("b").agg(F.max_by("a", "n").alias("a"))
+    gone = common.stored(similar(best.select("a", "b"), sets).select(F.col("b").alias("key")))
+    others = counted.join(best, ["a", "b"], "left_anti").join(gone.withColumnRenamed("key", "b"), "b", "left_anti").select("a", "b")
+    gone = common.stored(gone.unionByName(similar(others, sets).select(F.col("b").alias("key")).distinct()))
     left = common.stored(proposed.where("token is not null").select(F.col("b").alias("key"), "token").join(gone, "key", "left_anti"))
     if left.take(1):  # lines of large groups whose earliest candidate is not similar
         tokens, lasting = common.Bloom(spark, left, "token", 22), common.Bloom(spark, left, "key", 24)
@@ -266,11 +279,8 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         some = common.stored(rows.mapInArrow(again, rows.schema), "snappy")
         more = grouped(some, some).mapInArrow(lambda x: proposals(x, lasting.has), PAIRS)
-        fresh = more.select("a", "b").distinct().join(gone.withColumnRenamed("key", "b"), "b", "left_anti")
-        fresh = common.stored(fresh)
-        rest = common.stored(fresh.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-        wanted = common.Bloom(spark, rest, "key", 24)
-        sets = common.stored(docs.mapInArrow(fetch, "key long, tokens array<long>").dropDuplicates(["key"]))
+        fresh = common.stored(more.select("a", "b").distinct().join(gone.withColumnRenamed("key", "b"), "b", "left_anti"), "snappy")
+        sets = token_sets(docs, distinct, fresh)
         gone = gone.unionByName(similar(fresh, sets).select(F.col("b").alias("key")).distinct())
     near = gone.distinct().withColumn("near", F.lit(True))
     marked = first.where("n > 1").join(near, "key", "full").select("key", "at", F.coalesce("near", F.lit(False)).alias("near"))
