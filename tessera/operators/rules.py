@@ -6,6 +6,7 @@ expression of the row, so rows neither shuffle nor multiply, however many there
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -104,19 +105,31 @@ class ApiRule:
     applies_from: int | None = None
 
 
+def any_prefix(symbol: Column, prefixes: list[str]) -> Column:
+    hit = F.lit(False)
+    for p in prefixes:
+        hit = hit | symbol.startswith(p)
+    return hit
+
+
+def whole_or_below(term: str, symbol: Column) -> Column:
+    return (symbol == term) | symbol.startswith(term + ".")
+
+
 def matched_terms(symbols: Column, rule: ApiRule) -> Column:
     """The terms of a rule that a row's symbols match, sorted, each once; a symbol under an excluded prefix matches nothing.
 
     symbols match whole or up to a dot, prefixes as prefixes, patterns as substrings with stars as gaps.
     """
-    allowed = symbols
-    for p in rule.excluded_prefixes:
-        allowed = F.filter(allowed, lambda s, p=p: ~s.startswith(p))
-    hits = [F.when(F.exists(allowed, lambda s, t=t: (s == t) | s.startswith(t + ".")), t) for t in rule.symbols]
-    hits += [F.when(F.exists(allowed, lambda s, t=t: s.startswith(t)), t) for t in rule.prefixes]
-    for t in rule.patterns:
-        like = ".*".join(quoted(x) for x in t.split("*"))
-        hits.append(F.when(F.exists(allowed, lambda s, like=like: F.regexp_like(s, F.lit(like))), t))
+    excluded = list(rule.excluded_prefixes)
+    allowed = F.filter(symbols, lambda s: ~any_prefix(s, excluded)) if excluded else symbols
+
+    def hit(term: str, test: Callable[[Column], Column]) -> Column:
+        return F.when(F.exists(allowed, lambda s: test(s)), term)
+
+    hits = [hit(t, functools.partial(whole_or_below, t)) for t in rule.symbols]
+    hits += [hit(t, functools.partial(any_prefix, prefixes=[t])) for t in rule.prefixes]
+    hits += [hit(t, functools.partial(F.regexp_like, regexp=F.lit(".*".join(quoted(x) for x in t.split("*"))))) for t in rule.patterns]
     return F.array_sort(F.array_distinct(F.filter(F.array(*hits).cast("array<string>"), lambda x: x.isNotNull())))
 
 
@@ -163,6 +176,10 @@ def key_under(key: Column, prefix: str) -> Column:
     return key.startswith(prefix) if prefix.endswith(".") else (key == prefix) | key.startswith(prefix + ".")
 
 
+def _any_key_under(prefix: str) -> Column:
+    return F.exists("keys", lambda k: key_under(k, prefix))
+
+
 def config_match(rule: ConfigRule) -> Column:
     """Whether a configuration file (file_name, path, contents, xml_root, keys) is of a rule's kind: any one sign is enough."""
     hit = F.col("file_name").isin(list(rule.names)) if rule.names else F.lit(False)
@@ -173,7 +190,7 @@ def config_match(rule: ConfigRule) -> Column:
     for n in rule.namespaces:
         hit = hit | F.col("contents").contains(n)
     for p in rule.prefixes:
-        hit = hit | F.exists("keys", lambda k, p=p: key_under(k, p))
+        hit = hit | _any_key_under(p)
     return F.coalesce(hit, F.lit(False))
 
 
@@ -194,7 +211,12 @@ def config_files(files: DataFrame, rules: list[ConfigRule]) -> DataFrame:
 
 def hint_links(rows: DataFrame, hints: dict[str, str], columns: list[str]) -> DataFrame:
     """A row for each hint (a regular expression) that any of the columns matches: columns and `hint`."""
-    tests = F.array(*(F.when(F.coalesce(F.exists(F.array(*columns), lambda v, p=p: F.regexp_like(v, F.lit(p))), F.lit(False)), name) for name, p in hints.items())).cast("array<string>")
+    texts = F.array_compact(F.array(*columns))
+
+    def found(pattern: str) -> Column:
+        return F.exists(texts, lambda v: F.regexp_like(v, F.lit(pattern)))
+
+    tests = F.array(*(F.when(found(p), name) for name, p in hints.items())).cast("array<string>")
     return rows.withColumn("hint", F.explode(F.filter(tests, lambda x: x.isNotNull())))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import scoring
+from tessera.plans import joins, scoring, state, texts
 
-QUERIES = {**scoring.QUERIES}
-ORACLE_SQL = {**scoring.ORACLE_SQL}
+QUERIES = {**scoring.QUERIES, **texts.query.queries, **joins.query.queries, **state.query.queries}
+ORACLE_SQL = {**scoring.ORACLE_SQL, **texts.query.sql, **joins.query.sql, **state.query.sql}
