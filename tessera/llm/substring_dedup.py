@@ -23,8 +23,8 @@ from tessera.llm import common
 
 WORDS = 50
 PREFIX = 16
-#: suffix groups above this many document passages take the long prefix
-GROUP = 2000
+#: suffix groups above this many document passages (some 6 MB of labels) take the long prefix
+GROUP = 32_768
 _OTHER = 0xD6E8FEB86659FD93
 
 
