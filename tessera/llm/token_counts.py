@@ -42,6 +42,7 @@ def histogram(counted: DataFrame) -> DataFrame:
     between two rows keeps what `answer` works out from the next one. No documents give no rows.
     """
     hist = counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("span", F.floor(F.col("n_tokens") / SPAN).cast("long"))
+    hist = common.stored(hist)  # read twice below, so that texts are encoded once
     spans = hist.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     later = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
