@@ -44,7 +44,7 @@ def pack(
         for rows in batches:
             texts = rows.column("text")
             _, offsets = common.byte_buffer(texts)
-            for lo, hi in common.row_blocks(offsets, 8 * common.BLOCK):
+            for lo, hi in common.row_blocks(offsets, 2 * common.BLOCK):
                 ids, first = code.encode(texts.slice(lo, hi - lo))
                 names = rows.column("doc_id").slice(lo, hi - lo).to_pylist()
                 out: list[tuple] = []

@@ -28,7 +28,7 @@ def lengths(df: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str =
         for rows in batches:
             texts = rows.column("text")
             _, offsets = common.byte_buffer(texts)
-            n = [code.lengths(texts.slice(lo, hi - lo)) for lo, hi in common.row_blocks(offsets, 8 * common.BLOCK)]
+            n = [code.lengths(texts.slice(lo, hi - lo)) for lo, hi in common.row_blocks(offsets, 2 * common.BLOCK)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.concatenate(n) if n else [], pa.int64())], ["doc_id", "n_tokens"])
 
     return common.pick(df, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(run, "doc_id long, n_tokens long")

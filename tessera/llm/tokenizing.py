@@ -9,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: runs encoded at once
+SLICE = 4096
+
 
 def vocabulary_path(name: str) -> str:
     """Where the file of a public tokenizer lies; a path is taken as it is."""
@@ -43,7 +46,9 @@ class ChunkEncoder:
         new = [x for x in runs if x not in self.row]
         if not new:
             return
-        coded = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+        coded = []
+        for k in range(0, len(new), SLICE):  # an encoding takes far more memory than its ids
+            coded += [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(new[k : k + SLICE], add_special_tokens=False)]
         n, used = len(self.row), self.offsets[len(self.row)]
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
         stop = used + lengths.sum()
@@ -51,7 +56,7 @@ class ChunkEncoder:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.offsets) < n + len(new) + 1:
             self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-        self.ids[used:stop] = np.fromiter((i for x in coded for i in x), np.uint32, stop - used)
+        self.ids[used:stop] = np.concatenate(coded)
         self.offsets[n + 1 : n + len(new) + 1] = used + np.cumsum(lengths)
         self.row.update(zip(new, range(n, n + len(new)), strict=True))
 
