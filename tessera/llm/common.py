@@ -147,7 +147,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: n
     j = 0
     with np.errstate(over="ignore"):
         while j < len(starts):
-            k = max(j + 1, int(np.searchsorted(ends, starts[j] + BLOCK, "right")))
+            k = max(j + 1, int(np.searchsorted(ends, starts[j] + BLOCK // 2, "right")))
             base, stop = starts[j], ends[k - 1]
             up, down = powers(int(stop - base))
             total = np.zeros(stop - base + 1, U64)
@@ -163,7 +163,7 @@ def window_hashes(words: np.ndarray, width: int, multiplier: int = _MULTIPLIER)
     if n <= 0:
         return np.zeros(0, U64)
     out = np.empty(n, U64)
-    step = BLOCK
+    step = BLOCK // 4
     with np.errstate(over="ignore"):
         for lo in range(0, n, step):
             hi = min(n, lo + step)
