@@ -81,15 +81,19 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield rows.slice(lo, hi - lo), buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
-def token_counts(spark: SparkSession, docs: DataFrame) -> np.ndarray:
-    """How often each slot of the fixed-size count table is hit by the words of all documents; slots come to the driver, words do not."""
+def word_tokens(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    starts, ends, _ = common.word_spans(buf, offsets)
+    return common.span_hashes(buf, starts, ends, LOWER_VALUES)
+
+
+def token_counts(spark: SparkSession, docs: DataFrame, tokens: Callable[[np.ndarray, np.ndarray], np.ndarray] = word_tokens) -> np.ndarray:
+    """How often each slot of the fixed-size count table is hit by the tokens of all documents; slots come to the driver, tokens do not."""
     part = 1 << 12
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << LOG2_COUNTS, np.int64)
         for _, buf, offsets in blocks(batches):
-            starts, ends, _ = common.word_spans(buf, offsets)
-            total += np.bincount((common.span_hashes(buf, starts, ends, LOWER_VALUES) & _COUNT_MASK).astype(np.int64), minlength=len(total))
+            total += np.bincount((tokens(buf, offsets) & _COUNT_MASK).astype(np.int64), minlength=len(total))
         for k in np.flatnonzero(total.reshape(-1, part).any(axis=1)):
             yield common.batch(part=np.array([k], np.int32), n=pa.array([np.minimum(total[k * part : (k + 1) * part], 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary()))
 
@@ -184,8 +188,8 @@ def grouped(rows: DataFrame, rows_of_common: DataFrame) -> DataFrame:
     return plain.repartition("token").sortWithinPartitions("token").unionByName(tiles.repartition(*GROUPS).sortWithinPartitions(*GROUPS))
 
 
-def token_sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key and tokens of the lines of `pairs`, read anew from the documents that hold their first places (by Bloom filters of fixed size)."""
+def token_sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, parse: type = Lines) -> DataFrame:
+    """key and tokens of the sets (lines, or what else `parse` reads) of `pairs`, read anew from the documents that hold their first places (by Bloom filters of fixed size)."""
     spark = docs.sparkSession
     keys = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "snappy")
     wanted = common.Bloom(spark, keys, "key", 24)
@@ -194,7 +198,7 @@ def token_sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFr
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (part.filter(pa.array(holders.has(part.column("k_hash").to_numpy().view(np.uint64)))) for part in batches)
         for _, buf, offsets in blocks(held):
-            x = Lines(buf, offsets)
+            x = parse(buf, offsets)
             _, once = np.unique(x.key, return_index=True)
             once = once[wanted.has(x.key[once])]
             lengths = x.size[once]
