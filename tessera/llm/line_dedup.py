@@ -1,6 +1,7 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its lower-cased words; lines of at least 5 distinct words take part. Tokens are ordered by rarity, by counts in a
+A line is the set of its lower-cased words; lines of at least `least` distinct words take part (1 in the query and the pipeline: all but
+blank ones). Lines of 1 to 3 words resemble only their equals, so they need no prefix. Tokens are ordered by rarity, by counts in a
 table of fixed size (any one order is exact; rarer first is fast). Two lines of Jaccard 0.8 share a token within both prefixes, so lines
 meet under their prefix tokens only, and pairs pass a length, a positional and a bitmap filter before their whole sets are compared.
 Equal sets count as one line, its first occurrence. A line goes if an earlier line, in the order of (doc_id, line number), is similar.
@@ -11,6 +12,7 @@ thousand variants of one line do not make a million pairs. The lines still open
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +23,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
+#: distinct words a line needs to take part, unless the caller says otherwise
 LEAST = 5
+#: a line of fewer words has Jaccard 0.8 with its equals only
+MIXED = 4
 #: counts of tokens, by the low bits of their hashes
 LOG2_COUNTS = 22
 #: rows of one group that propose all pairs at once, and rows of one tile
@@ -36,13 +41,13 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """Distinct tokens of each line of at least LEAST of them, by row and line number."""
+    """Distinct tokens of each line of at least `least` of them, by row and line number."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> None:
         starts, ends, _ = common.word_spans(buf, offsets)
         breaks = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(buf == 0x0A) + 1]))
         line = np.searchsorted(breaks, starts, "right") - 1
-        many = np.bincount(line, minlength=len(breaks)) >= LEAST
+        many = np.bincount(line, minlength=len(breaks)) >= least
         use = many[line]
         name = np.cumsum(many) - 1
         token, line = common.span_hashes(buf, starts[use], ends[use], LOWER_VALUES), name[line[use]]
@@ -53,7 +58,7 @@ class Lines:
         keep[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
         token, line = token[keep], line[keep]
         size = np.bincount(line, minlength=int(many.sum()))
-        enough = size >= LEAST
+        enough = size >= least
         use = enough[line]
         self.token, self.line = token[use], (np.cumsum(enough) - 1)[line[use]]
         self.size = size[enough]
@@ -188,7 +193,7 @@ def grouped(rows: DataFrame, rows_of_common: DataFrame) -> DataFrame:
     return plain.repartition("token").sortWithinPartitions("token").unionByName(tiles.repartition(*GROUPS).sortWithinPartitions(*GROUPS))
 
 
-def token_sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, parse: type = Lines) -> DataFrame:
+def token_sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, parse: Callable = Lines) -> DataFrame:
     """key and tokens of the sets (lines, or what else `parse` reads) of `pairs`, read anew from the documents that hold their first places (by Bloom filters of fixed size)."""
     spark = docs.sparkSession
     keys = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "snappy")
@@ -216,19 +221,20 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("a_tokens", "b_tokens")) >= 4 * (F.size("a_tokens") + F.size("b_tokens"))).select("a", "b")
 
 
-def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """k_id, k_hash, number of each line (from 0, lines parted by line feeds) to which an earlier line is similar.
 
     Null ids order last. Rows that repeat both id and text count as one document, which its own lines repeat in all of them alike. Lines
-    under 5 distinct words, null and empty texts give nothing.
+    under `least` distinct words, null and empty texts give nothing.
     """
     spark = df.sparkSession
     docs = inputs(df, id_col, text_col)
+    parse = functools.partial(Lines, least=least)
     counts = spark.sparkContext.broadcast(token_counts(spark, docs))  # 16 MB whatever the corpus
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets in blocks(batches):
-            x = Lines(buf, offsets)
+            x = Lines(buf, offsets, least)
             n = counts.value[(x.token & _COUNT_MASK).astype(np.int64)]
             bits = max(1, len(x.size).bit_length())
             rarity = np.minimum(np.log2(np.maximum(n, 1)) * 4, 127).astype(np.uint64)
@@ -236,7 +242,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lengths = prefix_length(x.size)
             ends = np.cumsum(lengths)
             at = order[np.repeat(x.first[:-1] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-            prefix = np.where(n[at] > 1, x.token[at], np.uint64(0))  # a word that occurs once meets no other line
+            prefix = np.where((n[at] > 1) & (x.size[x.line[at]] >= MIXED), x.token[at], np.uint64(0))  # a word that occurs once meets no other line
             prefix = (prefix & ~np.uint64(1)) | (n[at] > TILE)  # the last bit tells tokens that may be in more lines than a tile holds
             bounds = np.concatenate([[0], 8 * ends]).astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(prefix))])
@@ -267,7 +273,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     proposed = common.stored(grouped(rows, rows_of_common).mapInArrow(proposals, PAIRS))
 
     counted = common.stored(proposed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "snappy")
-    sets = token_sets(docs, distinct, counted)
+    sets = token_sets(docs, distinct, counted, parse)
     # the candidate that shares most prefix tokens settles most lines; only the lines still open compare their others
     best = counted.groupBy("b").agg(F.max_by("a", "n").alias("a"))
     gone = common.stored(similar(best.select("a", "b"), sets).select(F.col("b").alias("key")))
@@ -284,7 +290,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         some = common.stored(rows.mapInArrow(again, rows.schema), "snappy")
         more = grouped(some, some).mapInArrow(lambda x: proposals(x, lasting.has), PAIRS)
         fresh = common.stored(more.select("a", "b").distinct().join(gone.withColumnRenamed("key", "b"), "b", "left_anti"), "snappy")
-        sets = token_sets(docs, distinct, fresh)
+        sets = token_sets(docs, distinct, fresh, parse)
         gone = gone.unionByName(similar(fresh, sets).select(F.col("b").alias("key")).distinct())
     near = gone.distinct().withColumn("near", F.lit(True))
     marked = first.where("n > 1").join(near, "key", "full").select("key", "at", F.coalesce("near", F.lit(False)).alias("near"))
@@ -296,13 +302,13 @@ def remove_lines(text: str, numbers: set[int]) -> str:
     return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in numbers)
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """doc_id, row_hash, n_lines, removed (sorted numbers of the lines that go) and text (what is left) of each row; null stays null.
 
     Documents without a repeated line never move. The others meet their line numbers in a join, their text compressed on the way.
     """
     docs = common.documents(df, id_col, text_col).withColumn("k_id", F.coalesce("doc_id", F.lit(common.NULL_ID))).withColumn("pair", F.xxhash64("k_id", "row_hash"))
-    gone = repeated_lines(df, id_col, text_col).groupBy("k_id", F.col("k_hash").alias("row_hash")).agg(F.array_sort(F.collect_set("number")).alias("removed"))
+    gone = repeated_lines(df, id_col, text_col, least).groupBy("k_id", F.col("k_hash").alias("row_hash")).agg(F.array_sort(F.collect_set("number")).alias("removed"))
     gone = common.stored(gone)  # at most a document's own lines in a row
     touched = common.Bloom(df.sparkSession, gone.select(F.xxhash64("k_id", "row_hash").alias("pair")), "pair", 24)
     out = "doc_id long, row_hash long, n_lines long, removed array<int>, text string"
@@ -341,7 +347,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.mapInArrow(whole, out).unionByName(moved.select("doc_id", "row_hash", "packed", "removed").mapInArrow(cut, out))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", least: int = LEAST) -> DataFrame:
     """`df` with each text rid of its repeated lines, in the same columns; `chars_col`, where there is one, is counted anew.
 
     No row goes: a document that loses every line keeps an empty text.
@@ -349,7 +355,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     names = df.columns
     plain, named = common.keyed(df, id_col, text_col)
     t = common.position(df, text_col)
-    gone = repeated_lines(df, id_col, text_col).groupBy("k_id", "k_hash").agg(F.collect_set("number").alias("gone"))
+    gone = repeated_lines(df, id_col, text_col, least).groupBy("k_id", "k_hash").agg(F.collect_set("number").alias("gone"))
     lines = F.split(f"c{t}", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     out = plain.join(common.stored(gone), ["k_id", "k_hash"], "left")

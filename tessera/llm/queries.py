@@ -69,7 +69,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    kept = line_dedup.without_repeats(table(spark, sf_dir, "documents"), least=1)
     return kept.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
