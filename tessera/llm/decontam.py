@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -31,6 +31,8 @@ JOINT = np.isin(_BYTES, [0x2C, 0x2E])
 STOP = np.isin(_BYTES, list(b".!?:;\n"))
 LOWER_VALUES = common.BYTE_VALUES[common.LOWER]
 _NUMBER, _UNIT, _NAME = np.uint64(0x1111), np.uint64(0x2222), np.uint64(0x3333)
+#: keep the hashes of widened windows and of plain words from those of templates
+_WIDE, _PLAIN = np.uint64(0x4444_0000_0000), np.uint64(0x5555_0000_0000)
 
 
 def unit_hashes() -> np.ndarray:
@@ -80,19 +82,69 @@ def template(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def windows(words: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hash and slots (width columns) of each window of `template`'s words with enough literals."""
+    """Row, hash and first word of each window of `template`'s words with enough literals."""
     token, slot, first = words
     hashes = common.window_hashes(token, width) ^ np.uint64(width)
     if not len(hashes):
-        return np.zeros(0, np.int64), hashes, np.zeros((0, width), np.uint64)
+        return np.zeros(0, np.int64), hashes, np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     fixed = np.concatenate([[0], np.cumsum(slot == 0)])
     at = np.flatnonzero((row[: len(hashes)] == row[width - 1 :]) & (fixed[width:] - fixed[:-width] >= literals))
-    return row[at], hashes[at], np.lib.stride_tricks.sliding_window_view(slot, width)[at]
+    return row[at], hashes[at], at
 
 
-def slot_lists(slots: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, slots.size + 1, slots.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(slots).ravel().view(np.int64)))
+def ragged(starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> pa.Array:
+    """The slots of each span of words as a list."""
+    n = ends - starts
+    stops = np.cumsum(n)
+    at = np.repeat(starts - stops + n, n) + np.arange(stops[-1] if len(stops) else 0)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]), pa.int32()), pa.array(slot[at].view(np.int64)))
+
+
+def stretched(words: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash, start and end of the windows with too few literals, widened to the right, and to the left, until they have enough.
+
+    A window is widened by its own words only, so equal words are widened alike in an item and in a document.
+    """
+    token, slot, first = words
+    n = len(token) - width + 1
+    if n <= 0:
+        empty = np.zeros(0, np.int64)
+        return empty, np.zeros(0, np.uint64), empty, empty
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    fixed = np.concatenate([[0], np.cumsum(slot == 0)])
+    literal = np.concatenate([np.full(literals, -1), np.flatnonzero(slot == 0), np.full(literals, -1)])
+    low = np.flatnonzero((row[:n] == row[width - 1 :]) & (fixed[width:] - fixed[:-width] < literals))
+    right = literal[fixed[low] + 2 * literals - 1]
+    left = literal[fixed[low + width]]
+    to_right, to_left = (right >= 0) & (row[right] == row[low]), (left >= 0) & (row[left] == row[low])
+    starts, ends = np.concatenate([low[to_right], left[to_left]]), np.concatenate([right[to_right] + 1, low[to_left] + width])
+    out = np.empty(len(starts), np.uint64)
+    step = common.BLOCK // 4
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(starts), step):
+            i, e = starts[lo : lo + step], ends[lo : lo + step]
+            base, stop = i.min(), e.max()
+            up, down = common.powers(int(stop - base))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(token[base:stop] * up)])
+            out[lo : lo + step] = (total[e - base] - total[i - base]) * down[i - base]
+    return row[starts], common.mixed(out) ^ (ends - starts).astype(np.uint64) ^ _WIDE, starts, ends
+
+
+def plain_words(words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with their own values in place of placeholders, names and words of one spelling alike, and no slots."""
+    token, slot, first = words
+    return np.where(slot != 0, common.mixed(slot), token) ^ _PLAIN, np.zeros_like(slot), first
+
+
+def template_windows(words: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash, start and end of the windows of one width with enough literals, or of the widened ones."""
+    if wide:
+        own, key, starts, ends = stretched(words, width, LITERALS)
+    else:
+        own, key, starts = windows(words, width, LITERALS)
+        ends = starts + width
+    return own, key, starts, ends
 
 
 def contamination(
@@ -100,8 +152,13 @@ def contamination(
 ) -> DataFrame:
     """doc_id, row_hash, item_id, n_windows, containment, consistency for each document and item that share a template window.
 
-    containment: share of the item's distinct windows that the document holds. consistency: share of the item's slot values that stand
-    for themselves or for one document value only (1 without slots). Items of 3 or 4 words are one window of that width; shorter ones, null and empty
+    containment: share of the item's distinct windows that the document holds, or of those that were not widened if that is more. consistency: share of the item's slot values that stand
+    for themselves or for one document value only (1 without slots). Both are taken of each placement of the item: the hits of one offset
+    (word of the document less word of the item), those of neighbouring offsets, as in a copy with words put in or left out, and those of
+    the whole document; the placement whose lesser value is largest is told.
+
+    Windows with too few literal words are widened until they have them. Items of 3 or 4 words are one window of that width, and an item
+    of 3 words or more without a window, having under 3 literals, is one window of its plain words. Items under 3 words, null and empty
     texts match nothing. A Bloom filter of fixed size over the benchmark's windows spares the other windows of the documents the way to
     the join; the join decides. Repeated items and rows count each by their ids. Empty tables give no rows.
     """
@@ -113,15 +170,28 @@ def contamination(
             buf, offsets = common.byte_buffer(rows.column("text"))
             words = template(buf, offsets)
             lengths = np.diff(words[2])
-            ids = rows.column("item_id")
+            have = np.zeros(len(lengths), bool)
+
+            def listed_rows(own: np.ndarray, key: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int, slot: np.ndarray) -> pa.RecordBatch:
+                have[own] = True
+                full = np.full(len(own), kind, np.int32)
+                return common.batch(item_id=rows.column("item_id").take(pa.array(own)), kind=full, key=common.signed(key), item_pos=starts - words[2][own], item_words=lengths[own], item_slots=ragged(starts, ends, slot))
+
             for w in range(LITERALS, width + 1):
-                own, key, slots = windows(words, w, LITERALS)
+                own, key, starts, ends = template_windows(words, w, False)
                 fits = (lengths[own] == w) if w < width else np.ones(len(own), bool)
-                yield common.batch(item_id=ids.take(pa.array(own[fits])), width=np.full(fits.sum(), w, np.int32), key=common.signed(key[fits]), item_slots=slot_lists(slots[fits]))
-
-    listed = common.stored(items.mapInArrow(item_windows, "item_id long, width int, key long, item_slots array<long>").dropDuplicates(["item_id", "key"]))
+                yield listed_rows(own[fits], key[fits], starts[fits], ends[fits], w, words[1])
+            yield listed_rows(*template_windows(words, width, True), 0, words[1])
+            plain = plain_words(words)
+            for w in np.unique(lengths[~have & (lengths >= LITERALS)]).tolist():
+                own, key, starts = windows(plain, w, 0)
+                fits = ~have[own] & (lengths[own] == w)
+                yield listed_rows(own[fits], key[fits], starts[fits], starts[fits] + w, -w, plain[1])
+
+    fields = "item_id long, kind int, key long, item_pos long, item_words long, item_slots array<long>"
+    listed = common.stored(items.mapInArrow(item_windows, fields).dropDuplicates(["item_id", "key", "item_pos", "item_slots"]))
     bloom = common.Bloom(spark, listed, "key", 24)
-    widths = [r["width"] for r in listed.select("width").distinct().collect()]  # 3 to `width`
+    kinds = [r["kind"] for r in listed.select("kind").distinct().collect()]  # 3 to `width`, 0 for widened ones, less for plain words
 
     def document_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -129,23 +199,42 @@ def contamination(
             for lo, hi in common.row_blocks(offsets):
                 part = rows.slice(lo, hi - lo)
                 words = template(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                for w in widths:
-                    own, key, slots = windows(words, w, LITERALS)
+                plain = plain_words(words)
+                for kind in kinds:
+                    if kind < 0:
+                        own, key, starts = windows(plain, -kind, 0)
+                        ends = starts - kind
+                    else:
+                        own, key, starts, ends = template_windows(words, kind or width, not kind)
                     hit = bloom.has(key)
-                    yield common.batch(doc_id=part.column("doc_id").take(pa.array(own[hit])), row_hash=part.column("row_hash").take(pa.array(own[hit])), key=common.signed(key[hit]), slots=slot_lists(slots[hit]))
+                    own, key, starts, ends = own[hit], key[hit], starts[hit], ends[hit]
+                    slot = plain[1] if kind < 0 else words[1]
+                    yield common.batch(doc_id=part.column("doc_id").take(pa.array(own)), row_hash=part.column("row_hash").take(pa.array(own)), key=common.signed(key), pos=starts - words[2][own], slots=ragged(starts, ends, slot))
 
-    hits = common.documents(df, id_col, text_col).mapInArrow(document_windows, "doc_id long, row_hash long, key long, slots array<long>")
+    hits = common.documents(df, id_col, text_col).mapInArrow(document_windows, "doc_id long, row_hash long, key long, pos long, slots array<long>")
     pair = ["doc_id", "row_hash", "item_id"]
-    joined = common.stored(hits.join(listed.drop("width"), "key").select(*pair, "key", "slots", "item_slots"))
-    total = listed.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
-    shared = joined.groupBy(*pair).agg(F.count_distinct("key").alias("n_windows"))
-    values = joined.select(*pair, F.explode(F.arrays_zip("item_slots", "slots")).alias("slot")).select(*pair, "slot.*").where("item_slots <> 0 or slots <> 0")
-    meanings = values.groupBy(*pair, "item_slots").agg(((F.count_distinct("slots") == 1) | F.bool_or(F.col("slots") == F.col("item_slots"))).cast("double").alias("one"))
-    consistent = meanings.groupBy(*pair).agg(F.avg("one").alias("consistency"))
+    joined = hits.join(listed.withColumn("narrow", F.when(F.col("kind") > 0, F.col("key"))).drop("kind"), "key").withColumn("offset", F.col("pos") - F.col("item_pos"))
+    by_offset = Window.partitionBy(*pair).orderBy("offset")
+    apart = F.coalesce(F.col("offset") - F.lag("offset").over(by_offset) > F.col("item_words") / 4, F.lit(False))
+    joined = joined.withColumn("apart", apart.cast("long")).withColumn("run", F.sum("apart").over(by_offset))
+    joined = common.stored(joined.select(*pair, "key", "narrow", "slots", "item_slots", "offset", "run"))
+    # a placement is told by its kind and number: one offset, a run of neighbouring offsets, the whole document
+    placed = F.array(*(F.struct(F.lit(k).alias("kind"), n.alias("number")) for k, n in enumerate((F.col("offset"), F.col("run"), F.lit(0).cast("long")))))
+    placement = [*pair, "kind", "number"]
+    joined = joined.withColumn("placed", F.explode(placed)).select("*", "placed.*")
+    total = listed.groupBy("item_id").agg(F.count_distinct("key").alias("item_windows"), F.count_distinct(F.when(F.col("kind") > 0, F.col("key"))).alias("item_narrow"))
+    shared = joined.groupBy(*placement).agg(F.count_distinct("key").alias("n_windows"), F.count_distinct("narrow").alias("n_narrow"))
+    values = joined.select(*placement, F.explode(F.arrays_zip("item_slots", "slots")).alias("slot")).select(*placement, "slot.*").where("item_slots <> 0 or slots <> 0")
+    meanings = values.groupBy(*placement, "item_slots").agg(((F.count_distinct("slots") == 1) | F.bool_or(F.col("slots") == F.col("item_slots"))).cast("double").alias("one"))
+    consistent = meanings.groupBy(*placement).agg(F.avg("one").alias("consistency"))
     out = shared.join(total, shared["item_id"].eqNullSafe(total["item_id"])).drop(total["item_id"])
-    c = consistent.select(*(F.col(x).alias(f"c_{x}") for x in pair), "consistency")
-    out = out.join(c, F.col("doc_id").eqNullSafe(F.col("c_doc_id")) & F.col("row_hash").eqNullSafe(F.col("c_row_hash")) & F.col("item_id").eqNullSafe(F.col("c_item_id")), "left")
-    return out.select(*pair, "n_windows", (F.col("n_windows") / F.col("item_windows")).alias("containment"), F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
+    c = consistent.select(*(F.col(x).alias(f"c_{x}") for x in placement), "consistency")
+    same = F.lit(True)
+    for x in placement:
+        same = same & F.col(x).eqNullSafe(F.col(f"c_{x}"))
+    out = out.join(c, same, "left").withColumn("containment", F.greatest(F.col("n_windows") / F.col("item_windows"), F.when(F.col("item_narrow") > 0, F.col("n_narrow") / F.col("item_narrow")))).withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
+    best = F.max(F.struct(F.least("containment", "consistency").alias("least"), "containment", "consistency", "n_windows"))
+    return out.groupBy(*pair).agg(best.alias("best")).select(*pair, "best.n_windows", "best.containment", "best.consistency")
 
 
 def contaminated(found: DataFrame, containment: float = CONTAINMENT, consistency: float = CONSISTENCY) -> DataFrame:
