@@ -1,15 +1,16 @@
 """License scans: an Aho-Corasick automaton over words for notice phrases and identifier tags, a shunting-yard parser for expressions.
 
 A text is lower-cased (A-Z) and read as words of digits, letters and non-ASCII bytes. Phrases are found where their words stand
-consecutively. A tag ("spdx license identifier", "license") is followed in the raw text by an expression of identifiers with AND, OR,
-WITH and brackets; its identifiers become labels and its value tells whether a permissive choice satisfies it.
+consecutively. The tag "SPDX-License-Identifier:" is found by its words and followed in the raw text by an expression, of any length up
+to the line's end, of identifiers with AND, OR, WITH and brackets; its identifiers become labels and its value tells whether a permissive choice satisfies it.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,14 +36,25 @@ NOTICES = {
 }
 #: first words of an identifier, its label, and whether it is permissive
 FAMILIES = {"mit": True, "apache": True, "bsd": True, "isc": True, "cc0": True, "unlicense": True, "cc-by": True, "zlib": True, "mpl": False, "lgpl": False, "gpl": False, "agpl": False, "epl": False}
-TAG = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]{1,400})", re.IGNORECASE)
+TAG = b"spdx-license-identifier:"
+TAG_WORDS = "spdx license identifier"
+WORD = re.compile(rb"[^ ]+")
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+TOKEN_OR_END = re.compile(TOKEN.pattern.encode() + rb"|[\r\n]")
 BINDING = {"OR": 1, "AND": 2, "WITH": 3}
 #: lower-cases A-Z, keeps digits, a-z and bytes over 0x7F, and turns the rest into spaces
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b > 0x7F or 0x61 <= b <= 0x7A or 0x30 <= b <= 0x39 else 32 for b in range(256))
 
 
-def postfix(expression: str) -> list[str] | None:
+def line_tokens(text: bytes, at: int) -> Iterator[str]:
+    """The tokens from byte `at` to the end of its line, one by one."""
+    for m in TOKEN_OR_END.finditer(text, at):
+        if m[0] in b"\r\n":
+            return
+        yield m[0].decode()
+
+
+def postfix(expression: str | Iterable[str]) -> list[str] | None:
     """Identifiers and operators in postfix order by a shunting yard; null if the leading part of the text is no expression.
 
     Reading stops before the first token that cannot follow, so words after an expression do no harm; an open bracket does.
@@ -50,7 +62,7 @@ def postfix(expression: str) -> list[str] | None:
     out: list[str] = []
     stack: list[str] = []
     operand = True  # whether an identifier must come next
-    for t in TOKEN.findall(expression):
+    for t in TOKEN.findall(expression) if isinstance(expression, str) else expression:
         op = t.upper() if t.upper() in BINDING else None
         if operand:
             if t == "(":
@@ -82,7 +94,7 @@ def family(identifier: str) -> str:
     return max((f for f in FAMILIES if low == f or low.startswith(f + "-")), key=len, default=low)
 
 
-def evaluate(expression: str) -> tuple[set[str], bool] | None:
+def evaluate(expression: str | Iterable[str]) -> tuple[set[str], bool] | None:
     """Labels of an expression, and whether a choice among its OR branches leaves permissive licences only; WITH keeps its licence's value."""
     order = postfix(expression)
     if order is None:
@@ -106,6 +118,7 @@ def automaton():  # noqa: ANN201  the type belongs to a compiled module
     out = ahocorasick.Automaton()
     for phrase, label in {**NOTICES, **BASE}.items():
         out.add_word(f" {phrase} ", (phrase, label, phrase in BASE))
+    out.add_word(f" {TAG_WORDS} ", (TAG_WORDS, None, False))
     out.make_automaton()
     return out
 
@@ -115,14 +128,22 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
 
     score is 1 - 0.5 ** evidence: a notice or a base place counts 1, a tag whose expression parses 3. permissive is null without a tag.
     """
-    words = text.translate(WORD_BYTES).split()
+    plain = text.translate(WORD_BYTES)
+    words = plain.split()
     joined = (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
     base: set[str] = set()
     labels: set[str] = set()
     starts: list[int] = []
     evidence = 0
     counted, at = 0, 0
+    tags: deque[int] = deque()
+    before, until = 0, 0
     for end, (phrase, label, is_base) in automaton().iter(joined):
+        if label is None:
+            begin = end - len(phrase) - 1
+            before, until = before + joined.count(" ", until, begin), begin
+            tags.append(before)
+            continue
         labels.add(label)
         evidence += 1
         if is_base:
@@ -134,8 +155,12 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
                 starts.append(joined.count(" ", 0, begin))
             base.add(label)
     permissive = None
-    for tag in TAG.finditer(text):
-        if found := evaluate(tag[1].decode("utf-8", "replace")):
+    for n, word in enumerate(WORD.finditer(plain)) if tags else ():
+        if not tags or n != tags[0]:
+            continue
+        tags.popleft()
+        start, stop = word.start(), word.start() + len(TAG)
+        if text[start:stop].lower() == TAG and (found := evaluate(line_tokens(text, stop))):
             labels |= found[0]
             permissive = found[1] if permissive is None else permissive and found[1]
             evidence += 3
