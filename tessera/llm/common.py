@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -25,6 +27,8 @@ NULL_ID = (1 << 63) - 1
 BLOCK = 1 << 20
 #: rows of two numbers that may be broadcast; a longer table is joined by a shuffle
 BROADCAST_ROWS = 100_000
+#: rows that are packed for one bucket, about
+BUCKET_ROWS = 100_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 5
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -199,6 +203,10 @@ class Bloom:
         bits[got["word"].to_numpy()] = got["bits"].to_numpy().view(U64)
         self.mask, self.shift, self.bits = U64(mask), U64(shift), spark.sparkContext.broadcast(bits)
 
+    def drop(self) -> None:
+        """Free the filter where it was sent, once the tables that needed it are stored."""
+        self.bits.destroy()
+
     def has(self, h: np.ndarray) -> np.ndarray:
         bits = self.bits.value
         low, high = h & self.mask, h >> self.shift
@@ -241,6 +249,48 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield kept.combine_chunks()
 
 
+def tidy(run: Callable) -> Callable:
+    """`run` for mapInArrow, after which a worker gives its free memory back, as it outlives the task."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return tidied
+
+
+def packed_rows(bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Rows of a record type as bucket and data, one binary for each bucket, so that a shuffle moves few long rows in place of many short ones."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(bucket)), bool), bucket[1:] != bucket[:-1]]))
+    ends = (np.append(at, len(bucket)) * rows.dtype.itemsize).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(rows[order].view(np.uint8))])
+    return batch(bucket=bucket[at], data=data)
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """From packed rows sorted by bucket: the buckets and rows of whole buckets, about BUCKET_ROWS or one bucket at a time."""
+    for table in whole_groups(batches, ["bucket"]):
+        data, offsets = byte_buffer(table["data"].chunk(0))
+        bucket, before = table["bucket"].to_numpy(), offsets // kind.itemsize
+        ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+        lo = 0
+        while lo < len(bucket):
+            k = max(int(np.searchsorted(before[ends], before[lo] + BUCKET_ROWS, "right")) - 1, int(np.searchsorted(ends, lo, "right")))
+            hi = int(ends[k])
+            yield np.repeat(bucket[lo:hi], np.diff(before[lo : hi + 1])), data[offsets[lo] : offsets[hi]].view(kind)
+            lo = hi
+
+
+def by_bucket(packed: DataFrame) -> DataFrame:
+    return packed.repartition("bucket").sortWithinPartitions("bucket")
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As many links as connect what the links (a, b) connect: each node with the smallest of its part, itself left out."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)

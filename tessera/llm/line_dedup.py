@@ -1,7 +1,6 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its lower-cased words; lines of at least `least` distinct words take part (1 in the query and the pipeline: all but
-blank ones). Lines of 1 to 3 words resemble only their equals, so they need no prefix. Tokens are ordered by rarity, by counts in a
+A line is the set of its lower-cased words; lines of at least `least` distinct words take part (1: all but blank ones). Lines of 1 to 3 words resemble only their equals, so they need no prefix. Tokens are ordered by rarity, by counts in a
 table of fixed size (any one order is exact; rarer first is fast). Two lines of Jaccard 0.8 share a token within both prefixes, so lines
 meet under their prefix tokens only, and pairs pass a length, a positional and a bitmap filter before their whole sets are compared.
 Equal sets count as one line, its first occurrence. A line goes if an earlier line, in the order of (doc_id, line number), is similar.
@@ -23,14 +22,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: distinct words a line needs to take part, unless the caller says otherwise
-LEAST = 5
+#: distinct words a line needs to take part, unless the caller says otherwise: all lines but blank ones
+LEAST = 1
 #: a line of fewer words has Jaccard 0.8 with its equals only
 MIXED = 4
 #: counts of tokens, by the low bits of their hashes
 LOG2_COUNTS = 22
 #: rows of one group that propose all pairs at once, and rows of one tile
-SMALL, TILE = 256, 20_000
+SMALL, TILE = 64, 20_000
+#: rank of tokens that may be in more lines than a tile holds
+COMMON = 57
 LOWER_VALUES = common.BYTE_VALUES[common.LOWER]
 _COUNT_MASK = np.uint64((1 << LOG2_COUNTS) - 1)
 
@@ -91,17 +92,25 @@ def word_tokens(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return common.span_hashes(buf, starts, ends, LOWER_VALUES)
 
 
-def token_counts(spark: SparkSession, docs: DataFrame, tokens: Callable[[np.ndarray, np.ndarray], np.ndarray] = word_tokens) -> np.ndarray:
-    """How often each slot of the fixed-size count table is hit by the tokens of all documents; slots come to the driver, tokens do not."""
+def rarity(n: np.ndarray) -> np.ndarray:
+    """A byte that orders counts: 0 up to 1, else four times the binary logarithm, 127 at most."""
+    return np.minimum(np.log2(np.maximum(n, 1)) * 4, 127).astype(np.uint8)
+
+
+def token_ranks(spark: SparkSession, docs: DataFrame, tokens: Callable[[np.ndarray, np.ndarray], np.ndarray] = word_tokens) -> np.ndarray:
+    """The rarity of each slot of a table of fixed size, hit by the tokens of all documents; slots come to the driver, tokens do not."""
     part = 1 << 12
 
+    @common.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << LOG2_COUNTS, np.int64)
+        total = np.zeros(1 << LOG2_COUNTS, np.uint32)
         for _, buf, offsets in blocks(batches):
-            total += np.bincount((tokens(buf, offsets) & _COUNT_MASK).astype(np.int64), minlength=len(total))
+            slot, n = np.unique((tokens(buf, offsets) & _COUNT_MASK).astype(np.uint32), return_counts=True)
+            total[slot] = np.minimum(total[slot] + n, 0xFFFFFFFF)
         for k in np.flatnonzero(total.reshape(-1, part).any(axis=1)):
-            yield common.batch(part=np.array([k], np.int32), n=pa.array([np.minimum(total[k * part : (k + 1) * part], 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary()))
+            yield common.batch(part=np.array([k], np.int32), n=pa.array([total[k * part : (k + 1) * part].astype("<u4").tobytes()], pa.binary()))
 
+    @common.tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for rows in batches:
@@ -109,67 +118,170 @@ def token_counts(spark: SparkSession, docs: DataFrame, tokens: Callable[[np.ndar
                 own = np.frombuffer(n.as_buffer(), "<u4").astype(np.int64)
                 total[k] = total[k] + own if k in total else own
         for k, n in total.items():
-            yield common.batch(part=np.array([k], np.int32), n=pa.array([np.minimum(n, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary()))
+            yield common.batch(part=np.array([k], np.int32), n=pa.array([rarity(n).tobytes()], pa.binary()))
 
     rows = docs.mapInArrow(count, "part int, n binary").repartition("part").mapInArrow(add, "part int, n binary").toArrow()
-    out = np.zeros(1 << LOG2_COUNTS, np.uint32)
+    out = np.zeros(1 << LOG2_COUNTS, np.uint8)
     for k, n in zip(rows["part"].to_pylist(), rows["n"].to_pylist(), strict=True):
-        out[k * part : (k + 1) * part] = np.frombuffer(n, "<u4")
+        out[k * part : (k + 1) * part] = np.frombuffer(n, np.uint8)
     return out
 
 
-def proposals(batches: Iterator[pa.RecordBatch], open_lines: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from prefix rows sorted by (token, tile): earlier line, later line, and the token of a large group.
+def packed_prefixes(lengths: np.ndarray, token: np.ndarray, shared: np.ndarray, often: np.ndarray) -> dict[str, object]:
+    """Columns of each set's prefix: its tokens as one binary (0 for one that meets no other set, the last bit set for common ones), how
+    many plain and whether common ones are among them.
+
+    The sets' prefixes stand behind each other in `token`, `lengths` of each; `shared` tells the tokens by which sets meet, `often` common ones.
+    """
+    own = np.repeat(np.arange(len(lengths)), lengths)
+    prefix = np.where(shared, token, np.uint64(0))
+    prefix = np.where(prefix > 0, (prefix & ~np.uint64(1)) | often, np.uint64(0))
+    bounds = np.concatenate([[0], 8 * np.cumsum(lengths)]).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(prefix))])
+    plain = np.bincount(own, (prefix > 1) & (prefix & np.uint64(1) == 0), len(lengths)).astype(np.int32)
+    return {"prefix": data, "plain": plain, "common": np.bincount(own, often & (prefix > 0), len(lengths)) > 0}
+
+
+PREFIX = "prefix binary, plain int, common boolean"
+
+
+def prefix_rows(part: pa.RecordBatch, kind: np.dtype, fields: dict[str, str], wanted: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix tokens for which `wanted` holds, and their rows: token, size, pos and the columns of `fields` (row's name = column's)."""
+    data, offsets = common.byte_buffer(part.column("prefix"))
+    token, n = data.view(np.uint64), np.diff(offsets) // 8
+    use = np.flatnonzero(wanted(token))
+    line = np.repeat(np.arange(len(n)), n)[use]
+    rows = np.empty(len(use), kind)
+    rows["token"], rows["pos"], rows["size"] = token[use] & np.uint64(0xFFFFFFFF), use - offsets[line] // 8, part.column("size").to_numpy()[line]
+    for name, column in fields.items():
+        rows[name] = part.column(column).to_numpy()[line]
+    return token[use], rows
+
+
+def buckets_of(token: np.ndarray, n: int) -> np.ndarray:
+    return ((token >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+
+
+def labels_of(bucket: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Names of the groups of plain tokens: bucket and lower half of the token. Tokens that share both only make more candidates."""
+    return common.mixed(bucket.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64)).view(np.int64)
+
+
+class Prefixes:
+    """The prefix rows of the sets in `distinct`, dealt out by token: packed for plain tokens, in tiles for common ones."""
+
+    def __init__(self, distinct: DataFrame, kind: np.dtype, fields: dict[str, str]) -> None:
+        self.rows, self.kind, self.fields = distinct.select(*dict.fromkeys(fields.values()), "size", "prefix"), kind, fields
+        self.often = distinct.where("common").select(*self.rows.columns)
+        self.buckets = max(1, (distinct.agg(F.sum("plain")).first()[0] or 0) // common.BUCKET_ROWS)
+
+    def candidates(self, propose: Callable, schema: str, only: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+        """What `propose` (label, rows) gives of the groups, those alone whose label `only` may hold."""
+        kind, fields, n = self.kind, self.fields, self.buckets
+
+        @common.tidy
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                def wanted(token: np.ndarray) -> np.ndarray:
+                    use = (token != 0) & (token & np.uint64(1) == 0)
+                    if only is not None:
+                        use[use] = only(labels_of(buckets_of(token[use], n), token[use] & np.uint64(0xFFFFFFFF)).view(np.uint64))
+                    return use
+
+                token, rows = prefix_rows(part, kind, fields, wanted)
+                yield common.packed_rows(buckets_of(token, n), rows)
+
+        @common.tidy
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for bucket, rows in common.whole_buckets(batches, kind):
+                yield from propose(labels_of(bucket, rows["token"]), labels_of(bucket, rows["token"]), rows)
+
+        plain = common.by_bucket(self.rows.mapInArrow(spread, "bucket int, data binary")).mapInArrow(meet, schema)
+
+        def spread_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                token, rows = prefix_rows(part, kind, fields, lambda x: (x & np.uint64(1) == 1) & (only(x) if only is not None else True))
+                data = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * kind.itemsize), pa.py_buffer(rows.view(np.uint8))])
+                yield common.batch(token=common.signed(token), key=rows["key"].copy(), data=data)
+
+        @common.tidy
+        def meet_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in common.whole_groups(batches, ["token", "tile_a", "tile_b"]):
+                token, a, b = (table[c].to_numpy() for c in ("token", "tile_a", "tile_b"))
+                group = np.zeros(len(token), np.int64)
+                group[1:] = np.cumsum((token[1:] != token[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+                yield from propose(group, token, common.byte_buffer(table["data"].chunk(0))[0].view(kind))
+
+        if not self.often.take(1):
+            return plain
+        often = common.stored(self.often.mapInArrow(spread_common, "token long, key long, data binary"), "snappy")
+        tiles = common.tiled(often, "token", "key", TILE)
+        names = ["token", "tile_a", "tile_b"]
+        return plain.unionByName(tiles.repartition(*names).sortWithinPartitions(*names).mapInArrow(meet_common, schema))
+
+
+def meeting(group: np.ndarray, rows: np.ndarray, apart: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in `rows` (sorted by group and size) that pass the length, positional and bitmap filters and differ in field `apart`."""
+    size, pos, sketch, name = rows["size"].astype(np.int64), rows["pos"].astype(np.int64), rows["sketch"].copy(), rows[apart].copy()
+    active, step = np.arange(max(0, len(size) - 1)), 1
+    while len(active):
+        active = active[active + step < len(size)]
+        other = active + step
+        near = (group[active] == group[other]) & (5 * size[active] >= 4 * size[other])
+        active, other = active[near], other[near]
+        overlap = -(-4 * (size[active] + size[other]) // 9)
+        fits = np.minimum(size[active] - pos[active], size[other] - pos[other]) >= overlap
+        fits &= size[active] + size[other] - np.bitwise_count(sketch[active] ^ sketch[other]) >= 2 * overlap
+        fits &= name[active] != name[other]
+        yield active[fits], other[fits]
+        step += 1
+
+
+def in_groups(group: np.ndarray, label: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number, label, row and size of group of each row that is not alone in its group, by group and set size."""
+    order = np.lexsort((rows["size"], group))
+    group = group[order]
+    number = np.cumsum(np.concatenate([np.zeros(min(1, len(group)), np.int64), group[1:] != group[:-1]]))
+    many = np.bincount(number)[number]
+    use = many > 1
+    order = order[use]
+    return number[use], label[order], rows[order], many[use]
+
+
+ROW = np.dtype([("token", "<u4"), ("size", "<u4"), ("pos", "<u4"), ("number", "<u4"), ("key", "<i8"), ("doc", "<i8"), ("sketch", "<u8")])
+FIELDS = {"key": "key", "doc": "k_id", "number": "number", "sketch": "sketch"}
+
+
+def proposals(group: np.ndarray, label: np.ndarray, rows: np.ndarray, small: int, open_lines: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs among prefix rows: earlier line, later line, and the label of a large group, one of over `small` rows.
 
     `open_lines` given: all candidates whose later line it may hold; else all of small groups and the earliest one of each line in a large one.
     """
-    for table in common.whole_groups(batches, ["token", "tile"]):
-        token, tile, shape, key, doc, number, sketch = (table[c].to_numpy() for c in ("token", "tile", "shape", "key", "k_id", "number", "sketch"))
-        group = np.zeros(len(token), np.int64)
-        group[1:] = np.cumsum((token[1:] != token[:-1]) | (tile[1:] != tile[:-1]))
-        many = np.bincount(group)
-        use = np.flatnonzero(many[group] > 1)
-        use = use[np.lexsort((shape[use] >> 32, group[use]))]
-        if not len(use):
-            continue
-        token, key, doc, number, sketch, group = token[use], key[use], doc[use], number[use], sketch[use].view(np.uint64), group[use]
-        size, pos = shape[use] >> 32, shape[use] & 0xFFFFFFFF
-        large = many[group] > SMALL
-        rank = np.empty(len(key), np.int64)
-        rank[np.lexsort((key, number, doc))] = np.arange(len(key))
-        best = np.full(len(key), len(key))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        active, step = np.arange(len(key) - 1), 1
-        while len(active):
-            active = active[active + step < len(key)]
-            other = active + step
-            near = (group[active] == group[other]) & (5 * size[active] >= 4 * size[other])
-            active, other = active[near], other[near]
-            overlap = -(-4 * (size[active] + size[other]) // 9)
-            fits = np.minimum(size[active] - pos[active], size[other] - pos[other]) >= overlap
-            fits &= size[active] + size[other] - np.bitwise_count(sketch[active] ^ sketch[other]) >= 2 * overlap
-            fits &= key[active] != key[other]
-            a, b = active[fits], other[fits]
-            swap = rank[a] > rank[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            if open_lines is None:
-                np.minimum.at(best, b[large[b]], rank[a[large[b]]])
-                a, b = a[~large[b]], b[~large[b]]
-            elif len(b):
-                keep = open_lines(key[b].view(np.uint64))
-                a, b = a[keep], b[keep]
-            if len(a):
-                found.append((key[a], key[b]))
-            step += 1
-            if sum(len(x) for x, _ in found) > 1 << 18:
-                yield proposed_pairs(found)
-                found = []
-        if found:
+    group, label, rows, many = in_groups(group, label, rows)
+    key, large = rows["key"].copy(), many > small
+    rank = np.empty(len(key), np.int64)
+    rank[np.lexsort((key, rows["number"], rows["doc"]))] = np.arange(len(key))
+    best = np.full(len(key), len(key))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for a, b in meeting(group, rows, "key"):
+        swap = rank[a] > rank[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        if open_lines is None:
+            np.minimum.at(best, b[large[b]], rank[a[large[b]]])
+            a, b = a[~large[b]], b[~large[b]]
+        elif len(b):
+            keep = open_lines(key[b].view(np.uint64))
+            a, b = a[keep], b[keep]
+        if len(a):
+            found.append((key[a], key[b]))
+        if sum(len(x) for x, _ in found) > 1 << 18:
             yield proposed_pairs(found)
-        b = np.flatnonzero(best < len(key))
-        if len(b):
-            by_rank = np.argsort(rank)
-            yield common.batch(a=key[by_rank[best[b]]], b=key[b], token=token[b])
+            found = []
+    if found:
+        yield proposed_pairs(found)
+    b = np.flatnonzero(best < len(key))
+    if len(b):
+        yield common.batch(a=key[np.argsort(rank)[best[b]]], b=key[b], token=label[b])
 
 
 def proposed_pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -179,29 +291,22 @@ def proposed_pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch
 
 
 PAIRS = "a long, b long, token long"
-GROUPS = ["token", "tile"]
 
 
-def grouped(rows: DataFrame, rows_of_common: DataFrame) -> DataFrame:
-    """Prefix rows dealt out and sorted by their groups; tokens that may be common in tiles, so that no group grows with the corpus.
+def similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, parse: Callable = Lines) -> DataFrame:
+    """The pairs (a, b), stored, whose token sets have Jaccard 0.8 or more.
 
-    `rows_of_common` are the rows of the lines that have such a token; those of their other tokens are left out here.
+    The sets (lines, or what else `parse` reads) are read anew from the documents that hold their first places, which Bloom filters of
+    fixed size tell; both joins share one exchange of the sets, and one set of each pair moves to the other's.
     """
-    plain = rows.where("token & 1 = 0").withColumn("tile", F.lit(0).cast("long"))
-    cut = common.tiled(rows_of_common.where("token & 1 = 1"), "token", "key", TILE)
-    tiles = cut.withColumn("tile", F.col("tile_a").cast("long") * F.lit(1 << 31) + F.col("tile_b")).select(*plain.columns)
-    return plain.repartition("token").sortWithinPartitions("token").unionByName(tiles.repartition(*GROUPS).sortWithinPartitions(*GROUPS))
-
-
-def token_sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, parse: Callable = Lines) -> DataFrame:
-    """key and tokens of the sets (lines, or what else `parse` reads) of `pairs`, read anew from the documents that hold their first places (by Bloom filters of fixed size)."""
     spark = docs.sparkSession
     keys = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "snappy")
     wanted = common.Bloom(spark, keys, "key", 24)
-    holders = common.Bloom(spark, distinct.select("key", F.col("at.k_hash").alias("k_hash")).join(keys, "key", "left_semi").select("k_hash").distinct(), "k_hash", 24)
+    holders = common.Bloom(spark, distinct.select("key", F.xxhash64("at.k_id", "at.k_hash").alias("holder")).join(keys, "key", "left_semi").select("holder").distinct(), "holder", 24)
 
+    @common.tidy
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (part.filter(pa.array(holders.has(part.column("k_hash").to_numpy().view(np.uint64)))) for part in batches)
+        held = (part.filter(pa.array(holders.has(part.column("holder").to_numpy().view(np.uint64)))) for part in batches)
         for _, buf, offsets in blocks(held):
             x = parse(buf, offsets)
             _, once = np.unique(x.key, return_index=True)
@@ -211,91 +316,68 @@ def token_sets(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, parse: Ca
             at = np.repeat(x.first[once] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
             yield common.batch(key=common.signed(x.key[once]), tokens=pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), common.signed(x.token[at])))
 
-    return common.stored(docs.mapInArrow(fetch, "key long, tokens array<long>").dropDuplicates(["key"]), "snappy")
-
-
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose token sets have Jaccard 0.8 or more."""
+    sets = docs.select(F.xxhash64("k_id", "k_hash").alias("holder"), "text").mapInArrow(fetch, "key long, tokens array<long>").dropDuplicates(["key"])
     of_a, of_b = (sets.select(F.col("key").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
-    both = pairs.join(of_a, "a").join(of_b, "b")
-    return both.where(9 * F.size(F.array_intersect("a_tokens", "b_tokens")) >= 4 * (F.size("a_tokens") + F.size("b_tokens"))).select("a", "b")
+    both = pairs.join(of_b, "b").join(of_a, "a")
+    alike = both.where(9 * F.size(F.array_intersect("a_tokens", "b_tokens")) >= 4 * (F.size("a_tokens") + F.size("b_tokens"))).select("a", "b")
+    out = common.stored(alike)
+    wanted.drop()
+    holders.drop()
+    return out
 
 
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """k_id, k_hash, number of each line (from 0, lines parted by line feeds) to which an earlier line is similar.
 
     Null ids order last. Rows that repeat both id and text count as one document, which its own lines repeat in all of them alike. Lines
-    under `least` distinct words, null and empty texts give nothing.
+    under `least` distinct words, blank lines, null and empty texts give nothing.
     """
     spark = df.sparkSession
     docs = inputs(df, id_col, text_col)
     parse = functools.partial(Lines, least=least)
-    counts = spark.sparkContext.broadcast(token_counts(spark, docs))  # 16 MB whatever the corpus
+    ranks = spark.sparkContext.broadcast(token_ranks(spark, docs))  # 4 MB whatever the corpus
 
+    @common.tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets in blocks(batches):
             x = Lines(buf, offsets, least)
-            n = counts.value[(x.token & _COUNT_MASK).astype(np.int64)]
+            rank = ranks.value[(x.token & _COUNT_MASK).astype(np.int64)]
             bits = max(1, len(x.size).bit_length())
-            rarity = np.minimum(np.log2(np.maximum(n, 1)) * 4, 127).astype(np.uint64)
-            order = np.argsort((x.line.astype(np.uint64) << np.uint64(64 - bits)) | (rarity << np.uint64(57 - bits)) | (x.token >> np.uint64(7 + bits)), kind="stable")
+            order = np.argsort((x.line.astype(np.uint64) << np.uint64(64 - bits)) | (rank.astype(np.uint64) << np.uint64(57 - bits)) | (x.token >> np.uint64(7 + bits)), kind="stable")
             lengths = prefix_length(x.size)
             ends = np.cumsum(lengths)
             at = order[np.repeat(x.first[:-1] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-            prefix = np.where((n[at] > 1) & (x.size[x.line[at]] >= MIXED), x.token[at], np.uint64(0))  # a word that occurs once meets no other line
-            prefix = (prefix & ~np.uint64(1)) | (n[at] > TILE)  # the last bit tells tokens that may be in more lines than a tile holds
-            bounds = np.concatenate([[0], 8 * ends]).astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(prefix))])
-            yield common.batch(key=common.signed(x.key), k_id=rows.column("k_id").to_numpy()[x.row], k_hash=rows.column("k_hash").to_numpy()[x.row], number=x.number.astype(np.int32), size=x.size.astype(np.int32), sketch=common.signed(x.sketch), prefix=packed, common=np.bincount(np.repeat(np.arange(len(lengths)), lengths), n[at] > TILE, len(lengths)) > 0)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            data, offsets = common.byte_buffer(part.column("prefix"))
-            token, n = data.view(np.int64), np.diff(offsets) // 8
-            line = np.repeat(np.arange(len(n)), n)
-            pos = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-            use = token & ~1 != 0
-            line, pos, token = line[use], pos[use], token[use]
-            own = pa.array(line)
-            shape = part.column("size").to_numpy().astype(np.int64)[line] << 32 | pos
-            yield common.batch(token=token, **{c: part.column(c).take(own) for c in ("key", "k_id", "number")}, shape=shape, sketch=part.column("sketch").take(own))
-
-    lines = docs.mapInArrow(read, "key long, k_id long, k_hash long, number int, size int, sketch long, prefix binary, common boolean")
-    lines = common.stored(lines, "snappy")
+            yield common.batch(
+                key=common.signed(x.key), k_id=rows.column("k_id").to_numpy()[x.row], k_hash=rows.column("k_hash").to_numpy()[x.row], number=x.number.astype(np.int32), size=x.size.astype(np.int32), sketch=common.signed(x.sketch),
+                **packed_prefixes(lengths, x.token[at], (rank[at] > 0) & (x.size[x.line[at]] >= MIXED), rank[at] > COMMON),
+            )
+
+    lines = common.stored(docs.mapInArrow(read, f"key long, k_id long, k_hash long, number int, size int, sketch long, {PREFIX}"), "snappy")
+    ranks.destroy()
     where = F.struct("k_id", "number", "k_hash")
-    firsts = lines.groupBy("key").agg(F.min(where).alias("at"), F.count(F.lit(1)).alias("n"), F.any_value(F.struct("size", "sketch", "prefix", "common")).alias("line"))
-    distinct = common.stored(firsts.select("key", "at", "n", "line.*"), "snappy")
-    first = distinct.select("key", "at", "n")
-    fields = ["key", "at.k_id", "at.number", "size", "sketch", "prefix"]
-    row = "token long, key long, k_id long, number int, shape long, sketch long"
-    rows = distinct.select(*fields).mapInArrow(explode, row)
-    rows_of_common = distinct.where("common").select(*fields).mapInArrow(explode, row)
-    proposed = common.stored(grouped(rows, rows_of_common).mapInArrow(proposals, PAIRS))
-
-    counted = common.stored(proposed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "snappy")
-    sets = token_sets(docs, distinct, counted, parse)
-    # the candidate that shares most prefix tokens settles most lines; only the lines still open compare their others
-    best = counted.groupBy("b").agg(F.max_by("a", "n").alias("a"))
-    gone = common.stored(similar(best.select("a", "b"), sets).select(F.col("b").alias("key")))
-    others = counted.join(best, ["a", "b"], "left_anti").join(gone.withColumnRenamed("key", "b"), "b", "left_anti").select("a", "b")
-    gone = common.stored(gone.unionByName(similar(others, sets).select(F.col("b").alias("key")).distinct()))
+    firsts = lines.groupBy("key").agg(F.min(where).alias("at"), F.count(F.lit(1)).alias("n"), F.any_value(F.struct("size", "sketch", "prefix", "plain", "common")).alias("line"))
+    distinct = common.stored(firsts.select("key", "at", "at.k_id", "at.number", "n", "line.*"), "snappy")
+    prefixes = Prefixes(distinct, ROW, FIELDS)
+    proposed = common.stored(prefixes.candidates(functools.partial(proposals, small=SMALL), PAIRS))
+    gone = similar(docs, distinct, proposed.select("a", "b").distinct(), parse).select(F.col("b").alias("key")).distinct()
     left = common.stored(proposed.where("token is not null").select(F.col("b").alias("key"), "token").join(gone, "key", "left_anti"))
     if left.take(1):  # lines of large groups whose earliest candidate is not similar
-        tokens, lasting = common.Bloom(spark, left, "token", 22), common.Bloom(spark, left, "key", 24)
-
-        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in batches:
-                yield part.filter(pa.array(tokens.has(part.column("token").to_numpy().view(np.uint64))))
-
-        some = common.stored(rows.mapInArrow(again, rows.schema), "snappy")
-        more = grouped(some, some).mapInArrow(lambda x: proposals(x, lasting.has), PAIRS)
+        groups, lasting = common.Bloom(spark, left, "token", 24), common.Bloom(spark, left, "key", 24)
+        more = common.stored(prefixes.candidates(functools.partial(proposals, small=SMALL, open_lines=lasting.has), PAIRS, groups.has), "snappy")
+        groups.drop()
+        lasting.drop()
         fresh = common.stored(more.select("a", "b").distinct().join(gone.withColumnRenamed("key", "b"), "b", "left_anti"), "snappy")
-        sets = token_sets(docs, distinct, fresh, parse)
-        gone = gone.unionByName(similar(fresh, sets).select(F.col("b").alias("key")).distinct())
+        gone = gone.unionByName(similar(docs, distinct, fresh, parse).select(F.col("b").alias("key")))
     near = gone.distinct().withColumn("near", F.lit(True))
-    marked = first.where("n > 1").join(near, "key", "full").select("key", "at", F.coalesce("near", F.lit(False)).alias("near"))
-    where = F.struct("k_id", "number", "k_hash")
-    return lines.select("key", "k_id", "k_hash", "number").join(marked, "key").where(F.col("near") | (where != F.col("at"))).select("k_id", "k_hash", "number")
+    marked = common.stored(distinct.where("n > 1").select("key", "at", "n").join(near, "key", "full").select("key", "at", "n", F.coalesce("near", F.lit(False)).alias("near")), "snappy")
+    places = lines.select("key", "k_id", "k_hash", "number")
+    hot = marked.where(F.col("n") > TILE)
+    if 0 < hot.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:  # the copies of a very common line stay where they are
+        rest = places.join(F.broadcast(hot), "key", "left_anti").join(marked, "key")
+        found = rest.unionByName(places.join(F.broadcast(hot), "key"))
+    else:
+        found = places.join(marked, "key")
+    return found.where(F.col("near") | (where != F.col("at"))).select("k_id", "k_hash", "number")
 
 
 def remove_lines(text: str, numbers: set[int]) -> str:

@@ -24,6 +24,7 @@ def kept(rows):
 @pytest.mark.parametrize("tile", [20_000, 20])
 def test_word_edits_against_all_pairs(spark, tile, monkeypatch):
     monkeypatch.setattr(line_dedup, "TILE", tile)  # 20: shingles of the group are cut into tiles
+    monkeypatch.setattr(line_dedup, "COMMON", 57 if tile > 20 else 17)
     rng = random.Random(7)
     rows = []
     for g in range(12):
