@@ -161,6 +161,18 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: n
     return mixed(out)
 
 
+def order_in_groups(group: np.ndarray, groups: int, value: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
+    """The order by group (under `groups`), then rank (under 128), if given, then value."""
+    bits = max(1, int(groups).bit_length())
+    key = group.astype(U64) << U64(64 - bits)
+    key |= value >> U64(bits) if rank is None else (rank.astype(U64) << U64(57 - bits)) | (value >> U64(7 + bits))
+    order = np.argsort(key)
+    key, own = key[order], value[order]
+    if ((key[1:] == key[:-1]) & (own[1:] != own[:-1])).any():  # values that differ in their lowest bits alone
+        return np.lexsort((value, group) if rank is None else (value, rank, group))
+    return order
+
+
 def window_hashes(words: np.ndarray, width: int, multiplier: int = _MULTIPLIER) -> np.ndarray:
     """A 64-bit hash of each run of `width` words, by word hashes; entry i begins at word i."""
     n = len(words) - width + 1

@@ -52,8 +52,7 @@ class Lines:
         use = many[line]
         name = np.cumsum(many) - 1
         token, line = common.span_hashes(buf, starts[use], ends[use], LOWER_VALUES), name[line[use]]
-        bits = max(1, int(many.sum()).bit_length())
-        order = np.argsort((line.astype(np.uint64) << np.uint64(64 - bits)) | (token >> np.uint64(bits)), kind="stable")
+        order = common.order_in_groups(line, int(many.sum()), token)
         token, line = token[order], line[order]
         keep = np.ones(len(token), bool)
         keep[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
@@ -70,9 +69,11 @@ class Lines:
         if len(self.size):
             with np.errstate(over="ignore"):
                 self.key = common.mixed(np.add.reduceat(common.mixed(self.token ^ np.uint64(0x5555)), self.first[:-1]) + self.size.astype(np.uint64))
-            self.sketch = np.bitwise_xor.reduceat(np.uint64(1) << (self.token >> np.uint64(58)), self.first[:-1])
+            bit, half = np.uint64(1) << (self.token >> np.uint64(58)), (self.token >> np.uint64(57)) & np.uint64(1)
+            self.sketches = [np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), self.first[:-1]) for k in (0, 1)]
         else:
-            self.key = self.sketch = np.zeros(0, np.uint64)
+            self.key = np.zeros(0, np.uint64)
+            self.sketches = [self.key, self.key]
 
 
 def inputs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -152,7 +153,8 @@ def prefix_rows(part: pa.RecordBatch, kind: np.dtype, fields: dict[str, str], wa
     use = np.flatnonzero(wanted(token))
     line = np.repeat(np.arange(len(n)), n)[use]
     rows = np.empty(len(use), kind)
-    rows["token"], rows["pos"], rows["size"] = token[use] & np.uint64(0xFFFFFFFF), use - offsets[line] // 8, part.column("size").to_numpy()[line]
+    # a place beyond 65,535 only filters less
+    rows["token"], rows["pos"], rows["size"] = token[use] & np.uint64(0xFFFFFFFF), np.minimum(use - offsets[line] // 8, 0xFFFF), part.column("size").to_numpy()[line]
     for name, column in fields.items():
         rows[name] = part.column(column).to_numpy()[line]
     return token[use], rows
@@ -222,7 +224,8 @@ class Prefixes:
 
 def meeting(group: np.ndarray, rows: np.ndarray, apart: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places in `rows` (sorted by group and size) that pass the length, positional and bitmap filters and differ in field `apart`."""
-    size, pos, sketch, name = rows["size"].astype(np.int64), rows["pos"].astype(np.int64), rows["sketch"].copy(), rows[apart].copy()
+    size, pos, name = rows["size"].astype(np.int64), rows["pos"].astype(np.int64), rows[apart].copy()
+    sketches = [rows[x].copy() for x in rows.dtype.names if x.startswith("sketch")]
     active, step = np.arange(max(0, len(size) - 1)), 1
     while len(active):
         active = active[active + step < len(size)]
@@ -231,9 +234,11 @@ def meeting(group: np.ndarray, rows: np.ndarray, apart: str) -> Iterator[tuple[n
         active, other = active[near], other[near]
         overlap = -(-4 * (size[active] + size[other]) // 9)
         fits = np.minimum(size[active] - pos[active], size[other] - pos[other]) >= overlap
-        fits &= size[active] + size[other] - np.bitwise_count(sketch[active] ^ sketch[other]) >= 2 * overlap
         fits &= name[active] != name[other]
-        yield active[fits], other[fits]
+        a, b = active[fits], other[fits]
+        apart_bits = sum((np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in sketches), np.zeros(len(a), np.int64))
+        near = size[a] + size[b] - apart_bits >= 2 * overlap[fits]
+        yield a[near], b[near]
         step += 1
 
 
@@ -248,8 +253,8 @@ def in_groups(group: np.ndarray, label: np.ndarray, rows: np.ndarray) -> tuple[n
     return number[use], label[order], rows[order], many[use]
 
 
-ROW = np.dtype([("token", "<u4"), ("size", "<u4"), ("pos", "<u4"), ("number", "<u4"), ("key", "<i8"), ("doc", "<i8"), ("sketch", "<u8")])
-FIELDS = {"key": "key", "doc": "k_id", "number": "number", "sketch": "sketch"}
+ROW = np.dtype([("token", "<u4"), ("size", "<u4"), ("pos", "<u2"), ("number", "<u4"), ("key", "<i8"), ("doc", "<i8"), ("sketch", "<u8"), ("sketch2", "<u8")])
+FIELDS = {"key": "key", "doc": "k_id", "number": "number", "sketch": "sketch", "sketch2": "sketch2"}
 
 
 def proposals(group: np.ndarray, label: np.ndarray, rows: np.ndarray, small: int, open_lines: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
@@ -342,20 +347,19 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for rows, buf, offsets in blocks(batches):
             x = Lines(buf, offsets, least)
             rank = ranks.value[(x.token & _COUNT_MASK).astype(np.int64)]
-            bits = max(1, len(x.size).bit_length())
-            order = np.argsort((x.line.astype(np.uint64) << np.uint64(64 - bits)) | (rank.astype(np.uint64) << np.uint64(57 - bits)) | (x.token >> np.uint64(7 + bits)), kind="stable")
+            order = common.order_in_groups(x.line, len(x.size), x.token, rank)
             lengths = prefix_length(x.size)
             ends = np.cumsum(lengths)
             at = order[np.repeat(x.first[:-1] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
             yield common.batch(
-                key=common.signed(x.key), k_id=rows.column("k_id").to_numpy()[x.row], k_hash=rows.column("k_hash").to_numpy()[x.row], number=x.number.astype(np.int32), size=x.size.astype(np.int32), sketch=common.signed(x.sketch),
+                key=common.signed(x.key), k_id=rows.column("k_id").to_numpy()[x.row], k_hash=rows.column("k_hash").to_numpy()[x.row], number=x.number.astype(np.int32), size=x.size.astype(np.int32), sketch=common.signed(x.sketches[0]), sketch2=common.signed(x.sketches[1]),
                 **packed_prefixes(lengths, x.token[at], (rank[at] > 0) & (x.size[x.line[at]] >= MIXED), rank[at] > COMMON),
             )
 
-    lines = common.stored(docs.mapInArrow(read, f"key long, k_id long, k_hash long, number int, size int, sketch long, {PREFIX}"), "snappy")
+    lines = common.stored(docs.mapInArrow(read, f"key long, k_id long, k_hash long, number int, size int, sketch long, sketch2 long, {PREFIX}"), "snappy")
     ranks.destroy()
     where = F.struct("k_id", "number", "k_hash")
-    firsts = lines.groupBy("key").agg(F.min(where).alias("at"), F.count(F.lit(1)).alias("n"), F.any_value(F.struct("size", "sketch", "prefix", "plain", "common")).alias("line"))
+    firsts = lines.groupBy("key").agg(F.min(where).alias("at"), F.count(F.lit(1)).alias("n"), F.any_value(F.struct("size", "sketch", "sketch2", "prefix", "plain", "common")).alias("line"))
     distinct = common.stored(firsts.select("key", "at", "at.k_id", "at.number", "n", "line.*"), "snappy")
     prefixes = Prefixes(distinct, ROW, FIELDS)
     proposed = common.stored(prefixes.candidates(functools.partial(proposals, small=SMALL), PAIRS))
