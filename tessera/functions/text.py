@@ -88,12 +88,27 @@ def named_value(annotation: Column, name: str) -> Column:
     return F.when(F.regexp_like(annotation, F.lit(pattern)), F.regexp_extract(annotation, pattern, 1))
 
 
+def captured(text: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the pattern's first match; null where it does not match."""
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
+
+
+def annotation_value(annotation: Column) -> Column:
+    """The quoted name = value of an annotation, else the quoted value that stands alone in it, else null."""
+    return F.coalesce(captured(annotation, r'name\s*=\s*"([^"]+)"'), captured(annotation, r'\(\s*"([^"]+)"'))
+
+
 def generic_argument(kind: Column) -> Column:
     """The first argument of a generic type, else null."""
     found = F.trim(F.regexp_extract(kind, r"<([^>,]*)", 1))
     return F.when(found != "", found)
 
 
+def unwrapped(kind: Column) -> Column:
+    """The first argument of a generic type, else the type itself."""
+    return F.coalesce(generic_argument(kind), kind)
+
+
 def json_field(text: Column, name: str) -> Column:
     return F.get_json_object(text, f"$.{name}")
 
@@ -159,3 +174,98 @@ def module_path(file: Column, names: list[str]) -> Column:
     """The folder of a build file, "." at the root."""
     folder = F.regexp_replace(file, r"/?[^/]+$", "")
     return F.when(folder == "", ".").otherwise(folder)
+
+
+def compacted(text: Column) -> Column:
+    """Without any white space."""
+    return F.regexp_replace(text, r"\s+", "")
+
+
+def expression_values(raw: Column) -> Column:
+    """The texts by which an expression may be known, sorted, each once: itself trimmed, without white space, the called method with its
+    arguments, and the class that Class.forName names. A blank expression has none."""
+    text = F.trim(F.regexp_replace(raw, r"^\s+|\s+$", ""))
+    tight = compacted(text)
+    before, inside = F.substring_index(text, "(", 1), captured(text, r"(?s)^[^(]*\((.*)\)")
+    called = F.trim(F.substring_index(F.trim(before), ".", -1))
+    call = F.when(text.contains("(") & (called != "") & inside.isNotNull(), F.concat(called, F.lit("("), compacted(inside), F.lit(")")))
+    name = captured(tight, r'^Class\.forName\("([^"]*)"')
+    values = F.array_compact(F.array(text, tight, call, name, F.concat(F.lit('Class.forName("'), name)))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(values)))
+
+
+def file_profile(file_name: Column) -> Column:
+    """The profile in the name of an application or bootstrap file, else null."""
+    return captured(file_name, r"^(?:application|bootstrap)-([A-Za-z0-9_.-]+)\.(?:properties|ya?ml)$")
+
+
+def text_profile(contents: Column) -> Column:
+    """The first profile that a configuration's own lines name, else null."""
+    return captured(contents, r"(?m)^\s*(?:spring\.profiles\.active|spring\.profiles\.default|spring\.config\.activate\.on-profile)\s*[:=]\s*([A-Za-z0-9_.-]+)")
+
+
+def profile(file_name: Column, contents: Column) -> Column:
+    return F.coalesce(file_profile(file_name), text_profile(contents))
+
+
+def source_scope(path: Column) -> Column:
+    return F.when(path.contains("/src/test/") | path.startswith("src/test/"), "test").otherwise("main")
+
+
+def invocation_kind(kind: Column) -> Column:
+    """The kind of a method's entry point, else that of a direct call."""
+    return F.coalesce(kind, F.lit("direct_method_scaffold"))
+
+
+def generated_package(package: Column, below: str) -> Column:
+    """The package of generated tests: `below` under the source's own, or alone."""
+    return F.when(F.coalesce(package, F.lit("")) != "", F.concat(package, F.lit(f".{below}"))).otherwise(F.lit(below))
+
+
+def generated_class(name: Column, node_id: Column, prefix: str = "", suffix: str = "CharacterizationTest") -> Column:
+    """A class name from any text: words of letters and digits joined with capitals, "Behavior" without any, and a short hash of the id."""
+    words = F.filter(F.split(name, "[^A-Za-z0-9]+"), lambda w: w != "")
+    joined = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
+    return F.concat(F.lit(prefix), F.when(joined == "", "Behavior").otherwise(joined), short_hash(node_id), F.lit(suffix))
+
+
+def generated_path(file: Column, package: Column, class_name: Column) -> Column:
+    """Where a generated test lies: the source's folder above src/main/java, src/test/java, the package's folders, the class's file."""
+    above = F.regexp_replace(F.coalesce(F.when(file.contains("src/main/java"), F.substring_index(file, "src/main/java", 1)), F.lit("")), "/+$", "")
+    return F.concat_ws("/", F.when(above != "", above), F.lit("src/test/java"), F.replace(package, F.lit("."), F.lit("/")), F.concat(class_name, F.lit(".java")))
+
+
+def test_method_names(source: Column) -> Column:
+    """Sorted distinct names of the void methods that @Test marks, whatever annotations stand between."""
+    pattern = r"@Test(?:\s*\([^)]*\))?(?:\s*@\w+(?:\([^)]*\))?)*\s*(?:public\s+)?void\s+([A-Za-z_]\w*)\s*\("
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(source, F.lit(pattern), F.lit(1))))
+
+
+def epoch_text(at: Column | None = None) -> Column:
+    """Seconds since 1970 as text, of now unless told."""
+    return F.unix_timestamp(F.current_timestamp() if at is None else at).cast("string")
+
+
+#: fields of an answer
+ANSWER_FIELDS = ["blockers", "changed_files", "status", "verification"]
+
+
+def answer_error(text: Column) -> Column:
+    """Why a text is no answer of the agreed form, null where it is one: one JSON object, of these fields alone, of these types and values."""
+    text = F.trim(text)
+    keys = F.array_sort(F.json_object_keys(text))
+    item = lambda name: F.get_json_object(text, f"$.{name}")
+    kind = lambda name: F.coalesce(F.schema_of_variant(F.try_parse_json(item(name))), F.lit(""))
+    empty = lambda name: F.coalesce(compacted(item(name)) == "[]", F.lit(False))
+    listed = lambda name: (kind(name) == "ARRAY<STRING>") | empty(name)
+    return (
+        F.when(text.startswith("```") | text.endswith("```"), "agent response must be JSON only")
+        .when(F.try_parse_json(text).isNull(), "agent response must be valid JSON")
+        .when(~text.startswith("{"), "agent response must be a JSON object")
+        .when(keys != F.array(*(F.lit(k) for k in ANSWER_FIELDS)), "agent response fields do not match schema")
+        .when(~F.coalesce(item("status").isin("completed", "blocked"), F.lit(False)), "agent response status must be completed or blocked")
+        .when(~listed("changed_files"), "agent response changed_files must be string array")
+        .when(~listed("blockers"), "agent response blockers must be string array")
+        .when(~((kind("verification") == "ARRAY<OBJECT<command: STRING, status: STRING>>") | empty("verification")), "agent response verification item must match schema")
+        .when((item("status") == "blocked") & empty("blockers"), "blocked agent response must include blocker")
+    )

@@ -39,6 +39,12 @@ def observed_methods(inputs: DataFrame, observations: DataFrame) -> DataFrame:
     return joined.where("method is not null").groupBy("scenario_id").agg(F.array_sort(F.collect_set("method")).alias("methods"))
 
 
+def observations_of_inputs(inputs: DataFrame, observations: DataFrame) -> DataFrame:
+    """Inputs with their number of observations under both keys, 0 included."""
+    n = observations.groupBy("scenario_id", F.col("input_id").alias("id")).agg(F.count(F.lit(1)).alias("n_observations"))
+    return inputs.join(n, ["scenario_id", "id"], "left").withColumn("n_observations", F.coalesce("n_observations", F.lit(0).cast("long")))
+
+
 def coverage_gaps(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """scenario_id and the sorted methods expected of it that no observation covers."""
     out = expected.join(observed.withColumnRenamed("methods", "seen"), "scenario_id", "left")
@@ -53,6 +59,10 @@ def complete(scenarios: DataFrame, gaps: DataFrame) -> DataFrame:
     return joined.withColumn("complete", done)
 
 
+def incomplete_count(marked: DataFrame) -> DataFrame:
+    return marked.agg(F.count_if(~F.col("complete")).alias("n"))
+
+
 def next_pending(scenarios: DataFrame) -> DataFrame:
     """The unfinished scenario of the smallest id."""
     return scenarios.where(~F.col("status").isin(FINISHED)).orderBy("id").limit(1)

@@ -10,13 +10,14 @@ import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import version_below
 
-#: a plan holds the rules as literals
-MAX_RULES = 2_000
+#: up to so many rules are compiled into the row's expression; more are data that it reads
+CODED_RULES = 100
 
 
 def wildcard(value: Column, pattern: str | None) -> Column:
@@ -49,16 +50,38 @@ class Rule:
         return hit
 
 
-def _checked(rules: list[Rule]) -> list[Rule]:
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit a plan")
-    return rules
+def _encoded(rules: list[Rule]) -> tuple[Column, Column]:
+    """The rules as one literal array of (id, tests), and the values of a row that the tests name by number."""
+    names = sorted({n for r in rules for n in r.patterns})
+
+    def test(name: str, pattern: str) -> Column:
+        kind = "any" if pattern == "*" else "suffix" if pattern.startswith("*") else "prefix" if pattern.endswith("*") else "whole"
+        text = {"any": "", "suffix": pattern[1:], "prefix": pattern[:-1], "whole": pattern}[kind]
+        return F.struct(F.lit(names.index(name) + 1).alias("column"), F.lit(kind).alias("kind"), F.lit(text).alias("text"))
+
+    listed = F.array(*(F.struct(F.lit(r.id).alias("id"), F.array(*(test(n, p) for n, p in r.patterns.items())).cast("array<struct<column:int,kind:string,text:string>>").alias("tests")) for r in rules))
+    listed = listed.cast("array<struct<id:string,tests:array<struct<column:int,kind:string,text:string>>>>")
+    return listed, F.array(*(F.col(n).cast("string") for n in names)).cast("array<string>")
+
+
+def matching(rules: list[Rule]) -> Column:
+    """The ids of all rules that match a row, in list order. The rules are data of the plan, not code, so any number of them will do."""
+    listed, values = _encoded(rules)
+
+    def passes(t: Column) -> Column:
+        v = F.element_at(values, t["column"])
+        hit = F.when(t["kind"] == "any", v.isNotNull()).when(t["kind"] == "suffix", v.endswith(t["text"])).when(t["kind"] == "prefix", v.startswith(t["text"])).otherwise(v == t["text"])
+        return F.coalesce(hit, F.lit(False))
+
+    return F.transform(F.filter(listed, lambda r: F.forall(r["tests"], passes)), lambda r: r["id"])
 
 
 def first_match(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """`rows` with rule_id of the first rule in list order that matches, else null. A narrow projection."""
+    """`rows` with rule_id of the first rule in list order that matches, else null. A narrow projection, of any number of rules."""
+    if len(rules) > CODED_RULES:
+        return rows.withColumn("rule_id", F.get(matching(rules), F.lit(0)))
     hit = F.lit(None).cast("string")
-    for rule in reversed(_checked(rules)):
+    for rule in reversed(rules):
         hit = F.when(rule.matches(), rule.id).otherwise(hit)
     return rows.withColumn("rule_id", hit)
 
@@ -70,8 +93,7 @@ def unmatched(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def all_matches(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """A row for each rule that matches."""
-    hits = F.filter(F.array(*(F.when(r.matches(), r.id) for r in _checked(rules))).cast("array<string>"), lambda x: x.isNotNull())
-    return rows.withColumn("rule_id", F.explode(hits))
+    return rows.withColumn("rule_id", F.explode(matching(rules)))
 
 
 def upgrade_due(current: Column, minimum: Column, has_target: Column, manual: Column | None = None) -> Column:
@@ -161,11 +183,12 @@ def replacements(findings: DataFrame, listed: dict[str, list[str]]) -> DataFrame
 @dataclass(frozen=True)
 class ConfigRule:
     id: str
-    type: str = "application"
+    type: str = "UNKNOWN"
     framework: str | None = None
-    category: str = "configuration"
+    categories: tuple[str, ...] = ("configuration",)
     names: tuple[str, ...] = ()
-    patterns: tuple[str, ...] = ()
+    file_patterns: tuple[str, ...] = ()
+    path_patterns: tuple[str, ...] = ()
     xml_roots: tuple[str, ...] = ()
     namespaces: tuple[str, ...] = ()
     prefixes: tuple[str, ...] = ()
@@ -180,35 +203,79 @@ def _any_key_under(prefix: str) -> Column:
     return F.exists("keys", lambda k: key_under(k, prefix))
 
 
-def config_match(rule: ConfigRule) -> Column:
-    """Whether a configuration file (file_name, path, contents, xml_root, keys) is of a rule's kind: any one sign is enough."""
-    hit = F.col("file_name").isin(list(rule.names)) if rule.names else F.lit(False)
-    for p in rule.patterns:
-        hit = hit | F.regexp_like("file_name", F.lit(p)) | F.regexp_like("path", F.lit(p))
-    if rule.xml_roots:
-        hit = hit | F.coalesce(F.col("xml_root").isin(list(rule.xml_roots)), F.lit(False))
+def valid_pattern(pattern: str) -> bool:
+    """Whether Spark can read a regular expression."""
+    session = SparkSession.active()
+    try:
+        session.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
+def any_pattern(value: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether any of the regular expressions is found; one that cannot be read finds nothing."""
+    hit = F.lit(False)
+    for p in filter(valid_pattern, patterns):
+        hit = hit | F.regexp_like(value, F.lit(p))
+    return F.coalesce(hit, F.lit(False))
+
+
+def config_signs(rule: ConfigRule) -> dict[str, Column]:
+    """Each sign by which a configuration file (file_name, path, contents, xml_root, keys) may be of a rule's kind."""
+    spaces, keys = F.lit(False), F.lit(False)
     for n in rule.namespaces:
-        hit = hit | F.col("contents").contains(n)
+        spaces = spaces | F.col("contents").contains(n)
     for p in rule.prefixes:
-        hit = hit | _any_key_under(p)
+        keys = keys | _any_key_under(p)
+    return {
+        "filename": F.col("file_name").isin(list(rule.names)),
+        "filename_pattern": any_pattern(F.col("file_name"), rule.file_patterns),
+        "path_pattern": any_pattern(F.col("path"), rule.path_patterns),
+        "xml_root": F.coalesce(F.col("xml_root").isin(list(rule.xml_roots)), F.lit(False)),
+        "xml_namespace": F.coalesce(spaces, F.lit(False)),
+        "property_prefix": F.coalesce(keys, F.lit(False)),
+    }
+
+
+def config_match(rule: ConfigRule) -> Column:
+    """Whether a configuration file is of a rule's kind: any one sign is enough."""
+    hit = F.lit(False)
+    for sign in config_signs(rule).values():
+        hit = hit | sign
     return F.coalesce(hit, F.lit(False))
 
 
+def config_evidence(rule: ConfigRule) -> Column:
+    """The names of the signs by which a file is of a rule's kind, and the rule's id."""
+    return F.array_compact(F.array(F.lit(rule.id), *(F.when(sign, name) for name, sign in config_signs(rule).items())))
+
+
 def config_files(files: DataFrame, rules: list[ConfigRule]) -> DataFrame:
-    """Files of any rule's kind: type of the first rule, its or the next known framework, all categories and rule ids."""
-    rows = F.array(*(F.when(config_match(r), F.struct(F.lit(r.id).alias("id"), F.lit(r.type).alias("type"), F.lit(r.framework).cast("string").alias("framework"), F.lit(r.category).alias("category"))) for r in rules))
+    """Files of any rule's kind: type of the first rule, its or the next known framework, all categories, rule ids and evidence."""
+    fields = lambda r: F.struct(F.lit(r.id).alias("id"), F.lit(r.type).alias("type"), F.lit(r.framework).cast("string").alias("framework"), F.array(*(F.lit(c) for c in r.categories)).cast("array<string>").alias("categories"), config_evidence(r).alias("evidence"))
+    rows = F.array(*(F.when(config_match(r), fields(r)) for r in rules))
     hit = files.withColumn("hits", F.filter(rows, lambda x: x.isNotNull())).where(F.size("hits") > 0)
     frameworks = F.filter(F.transform("hits", lambda h: h["framework"]), lambda x: x.isNotNull())
     return hit.withColumns(
         {
             "type": F.element_at("hits", 1)["type"],
             "framework": F.get(frameworks, F.lit(0)),
-            "categories": F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["category"]))),
+            "categories": F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["categories"])))),
             "rule_ids": F.transform("hits", lambda h: h["id"]),
+            "evidence": F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["evidence"])))),
         }
     ).drop("hits")
 
 
+def config_summary(modules: DataFrame, files: DataFrame, properties: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """One row: modules, configuration_files, properties, linked_dependencies (distinct by module and coordinates)."""
+    linked = dependencies.select("module_id", "group_id", "artifact_id").distinct()
+    parts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, t in {"modules": modules, "configuration_files": files, "properties": properties, "linked_dependencies": linked}.items()]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return out.groupBy().pivot("name", ["modules", "configuration_files", "properties", "linked_dependencies"]).agg(F.first("n"))
+
+
 def hint_links(rows: DataFrame, hints: dict[str, str], columns: list[str]) -> DataFrame:
     """A row for each hint (a regular expression) that any of the columns matches: columns and `hint`."""
     texts = F.array_compact(F.array(*columns))

@@ -40,14 +40,22 @@ def method_signals(methods: DataFrame) -> DataFrame:
 
     Terms are counted as substrings. A null body counts nothing. One narrow pass; the wide-to-long step explodes a fixed array.
     """
-    body = F.coalesce("body_text", F.lit(""))
-    low = ascii_lower(body)
     marks, weight = ANNOTATION_TERMS
     marked = F.size(F.filter(F.coalesce("annotations", F.array().cast("array<string>")), lambda a: F.regexp_like(ascii_lower(a), F.lit("|".join(marks))))).cast("long")
-    rows = [F.struct(F.lit(n).alias("name"), term_count(body, t).alias("count"), F.lit(w).cast("long").alias("weight")) for n, (t, w) in BODY_TERMS.items()]
-    rows += [F.struct(F.lit(n).alias("name"), term_count(low, t).alias("count"), F.lit(w).cast("long").alias("weight")) for n, (t, w) in LOWER_TERMS.items()]
-    rows.append(F.struct(F.lit("framework_annotations").alias("name"), marked.alias("count"), F.lit(weight).cast("long").alias("weight")))
-    return methods.select(F.col("id").alias("method_id"), F.explode(F.array(*rows)).alias("s")).select("method_id", "s.*").where(F.col("count") > 0)
+
+    def row(name: str, count: Column, weight: int) -> Column:
+        return F.struct(F.lit(name).alias("name"), count.alias("count"), F.lit(weight).cast("long").alias("weight"))
+
+    def rows(x: Column) -> Column:
+        return F.array(
+            *(row(n, term_count(x["body"], t), w) for n, (t, w) in BODY_TERMS.items()),
+            *(row(n, term_count(x["low"], t), w) for n, (t, w) in LOWER_TERMS.items()),
+            row("framework_annotations", marked, weight),
+        )
+
+    body = F.coalesce("body_text", F.lit(""))
+    both = F.array(F.struct(body.alias("body"), ascii_lower(body).alias("low")))  # bound in the lambda, so that a body is lowered once
+    return methods.select(F.col("id").alias("method_id"), F.explode(F.flatten(F.transform(both, rows))).alias("s")).select("method_id", "s.*").where(F.col("count") > 0)
 
 
 def candidate_scores(methods: DataFrame) -> DataFrame:
@@ -57,6 +65,11 @@ def candidate_scores(methods: DataFrame) -> DataFrame:
     return out.withColumn("priority", tier(F.col("score")))
 
 
+def priority_counts(scores: DataFrame) -> DataFrame:
+    """How many methods each tier has, tiers without any included."""
+    return scores.agg(*(F.count_if(F.col("priority") == t).alias(t) for t in TIERS), F.count(F.lit(1)).alias("total"))
+
+
 def evidence_ranges(methods: DataFrame) -> DataFrame:
     return methods.select(F.col("id").alias("method_id"), "file", "start_line", "end_line", F.lit("scanner").alias("source"))
 

@@ -45,6 +45,19 @@ def updated(rows: DataFrame, id_column: str, id_value: object, changes: dict[str
     return rows.withColumns({c: F.when(hit, F.lit(v).cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c, v in changes.items()})
 
 
+def inserted(rows: DataFrame, values: dict[str, object]) -> DataFrame:
+    """`rows` and one more, its other columns null; unknown columns are refused."""
+    if unknown := [c for c in values if c not in rows.columns]:
+        raise ValueError(f"unknown columns: {unknown}")
+    one = rows.sparkSession.range(1).select(*(F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields))
+    return rows.unionByName(one)
+
+
+def quoted_name(name: str) -> str:
+    """A name as an identifier of Spark SQL."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def run_rows(progress: DataFrame) -> DataFrame:
     """One row a run from its progress events (run_id, seq, status, failed, message, tokens): counters, last status, failures in order."""
     failures = F.array_sort(F.collect_list(F.when(F.col("message").isNotNull(), F.struct("seq", "message"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import joins, scoring, state, texts
+from tessera.plans import extraction, joins, records, state, texts
 
-QUERIES = {**scoring.QUERIES, **texts.query.queries, **joins.query.queries, **state.query.queries}
-ORACLE_SQL = {**scoring.ORACLE_SQL, **texts.query.sql, **joins.query.sql, **state.query.sql}
+QUERIES = {**extraction.query.queries, **texts.query.queries, **joins.query.queries, **state.query.queries, **records.query.queries}
+ORACLE_SQL = {**extraction.query.sql, **texts.query.sql, **joins.query.sql, **state.query.sql, **records.query.sql}

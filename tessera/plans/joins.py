@@ -157,10 +157,10 @@ def owner_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT o_orderkey, l_linenumber, s_name FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = l_linenumber WHERE o_orderstatus = 'F'"
+    "SELECT o_orderkey, l_linenumber, s_name FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = l_linenumber"
 )
 def composite_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("l_linenumber"), "s_name")
     return o.join(lines, "l_orderkey", "left").join(s, ["l_suppkey", "l_linenumber"], "left").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "s_name")

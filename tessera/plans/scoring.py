@@ -1,4 +1,4 @@
-"""Signals of a text, its weighted score, its tier, and the ranked candidates."""
+"""Signals of a text, its weighted score and its tier."""
 
 from __future__ import annotations
 
@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ascii_lower, term_count
+from tessera.operators.score import tier
+from tessera.plans.registry import read
 
 #: signal, terms, weight; stand-ins on prose for the signals of code
 SIGNALS = [("branching", ["if", "or "], 2), ("repetition", ["re", "ing"], 1), ("statements", [". "], 1), ("emphasis", ["th"], 1)]
 HIGH, MEDIUM = 400, 100
-TIERS = ["low", "medium", "high"]
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def signals(docs: DataFrame) -> DataFrame:
@@ -26,23 +23,8 @@ def score() -> Column:
     return sum((F.col(name) * weight for name, _, weight in SIGNALS), F.lit(0)).cast("long")
 
 
-def tier(value: Column) -> Column:
-    return F.when(value >= HIGH, "high").when(value >= MEDIUM, "medium").otherwise("low")
-
-
-def at_least(threshold: str) -> list[str]:
-    """The tiers that a threshold selects: itself and all above."""
-    return TIERS[TIERS.index(threshold) :]
-
-
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals(read(spark, sf_dir, "documents")).withColumn("score", score()).withColumn("priority", tier(F.col("score")))
-
-
-def select_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 best labelled documents of the medium tier and above."""
-    ranked = scored(spark, sf_dir).where(F.col("priority").isin(at_least("medium"))).join(read(spark, sf_dir, "labels"), "doc_id")
-    return ranked.select("doc_id", "score", "priority", "quality").orderBy(F.desc("score"), "doc_id").limit(20)
+    return signals(read(spark, sf_dir, "documents")).withColumn("score", score()).withColumn("priority", tier(F.col("score"), HIGH, MEDIUM))
 
 
 def _count_sql(terms: list[str]) -> str:
@@ -52,8 +34,3 @@ def _count_sql(terms: list[str]) -> str:
 SIGNALS_SQL = "SELECT doc_id, " + ", ".join(f"{_count_sql(terms)} AS {name}" for name, terms, _ in SIGNALS) + " FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)"
 SCORE_SQL = "CAST(" + " + ".join(f"{name} * {weight}" for name, _, weight in SIGNALS) + " AS bigint)"
 SCORED_SQL = f"SELECT *, CASE WHEN score >= {HIGH} THEN 'high' WHEN score >= {MEDIUM} THEN 'medium' ELSE 'low' END AS priority FROM (SELECT *, {SCORE_SQL} AS score FROM ({SIGNALS_SQL}))"
-
-QUERIES = {"select_candidates": select_candidates}
-ORACLE_SQL = {
-    "select_candidates": f"SELECT doc_id, score, priority, quality FROM ({SCORED_SQL}) JOIN labels USING (doc_id) WHERE priority IN ('medium', 'high') ORDER BY score DESC, doc_id LIMIT 20",
-}

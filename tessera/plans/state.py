@@ -9,6 +9,8 @@ from tessera.operators import coverage, graph, lookups, rules, upsert
 from tessera.plans.registry import Registry, read
 
 query = Registry()
+#: kinds of events there may be, which the plan holds as a literal
+KINDS = 1000
 
 
 @query("SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY o_custkey")
@@ -57,8 +59,11 @@ def two_sided_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coverage_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types expected of each user that no event of a value over 150 covers."""
     events = read(spark, sf_dir, "events")
-    types = events.select("event_type").distinct().groupBy().agg(F.array_sort(F.collect_set("event_type")).alias("methods"))  # a few kinds, one row
-    expected = events.select(F.col("user_id").alias("scenario_id")).distinct().join(F.broadcast(types))
+    # users and types meet through one row's list of types, whose length the kinds of events bound; the pairs then meet by equality
+    listed = sorted(r["event_type"] for r in events.select("event_type").distinct().limit(KINDS + 1).collect() if r["event_type"] is not None)
+    if len(listed) > KINDS:
+        raise ValueError(f"over {KINDS} kinds of events")
+    expected = events.select(F.col("user_id").alias("scenario_id")).distinct().withColumn("methods", F.array(*(F.lit(t) for t in listed)))
     observed = events.where("value > 150").groupBy(F.col("user_id").alias("scenario_id")).agg(F.collect_set("event_type").alias("methods"))
     gaps = coverage.coverage_gaps(expected, observed).where(F.size("missing") > 0)
     return gaps.select(F.col("scenario_id").alias("user_id"), F.array_join("missing", ",").alias("missing"))
@@ -124,24 +129,33 @@ def paged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.page(read(spark, sf_dir, "nation"), ["n_nationkey"], 5, 10).select("n_nationkey", "n_name")
 
 
-@query()
+@query(
+    "SELECT column_name AS name, CASE WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type = 'INTEGER' THEN 'int' WHEN data_type LIKE 'TIMESTAMP WITH%' THEN 'timestamp' WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' ELSE lower(data_type) END AS type, "
+    "true AS nullable, CAST(column_index - 1 AS int) AS position FROM duckdb_columns() WHERE table_name = 'lineitem'"
+)
 def table_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.table_schema(read(spark, sf_dir, "lineitem"))
 
 
-@query()
+@query(
+    "SELECT r_regionkey, r_name, CAST(to_json(nations) AS varchar) AS nations FROM region LEFT JOIN (SELECT n_regionkey, list({'n_nationkey': n_nationkey, 'n_name': n_name} ORDER BY n_nationkey) AS nations FROM nation GROUP BY n_regionkey) ON n_regionkey = r_regionkey"
+)
 def nested_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each region with its nations as one nested list."""
+    """Each region with its nations as one nested list, written as JSON."""
     nations = read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))
-    return read(spark, sf_dir, "region").join(nations, "r_regionkey", "left")
+    return read(spark, sf_dir, "region").join(nations, "r_regionkey", "left").withColumn("nations", F.to_json("nations"))
 
 
-@query("SELECT user_id AS run_id, arg_max(event_type, event_id) AS status, CAST(count(*) AS bigint) AS processed, CAST(count_if(value < 10) AS bigint) AS failures, CAST(sum(event_id % 7) AS bigint) AS tokens FROM events GROUP BY user_id")
+@query(
+    "SELECT user_id AS run_id, arg_max(event_type, event_id) AS status, CAST(count(*) AS bigint) AS processed, CAST(count_if(value < 10) AS bigint) AS failures, CAST(sum(event_id % 7) AS bigint) AS tokens, "
+    "coalesce(string_agg(CASE WHEN value < 10 THEN 'failed ' || event_id END, chr(10) ORDER BY event_id), '') AS error FROM events GROUP BY user_id"
+)
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a run from its progress events."""
+    """One row a run from its progress events, with the failures' messages in order."""
     events = read(spark, sf_dir, "events")
-    progress = events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.expr("value < 10").alias("failed"), F.lit(None).cast("string").alias("message"), (F.col("event_id") % 7).alias("tokens"))
-    return upsert.run_rows(progress).drop("error")
+    message = F.when(F.col("value") < 10, F.concat(F.lit("failed "), F.col("event_id").cast("string")))
+    progress = events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.expr("value < 10").alias("failed"), message.alias("message"), (F.col("event_id") % 7).alias("tokens"))
+    return upsert.run_rows(progress)
 
 
 @query("SELECT l_orderkey AS source_id, l_partkey AS target_id, l_returnflag AS kind, l_linestatus AS source, max(l_discount) AS confidence FROM lineitem GROUP BY ALL")

@@ -116,16 +116,16 @@ def version_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DOLLAR = "chr(36) || '{"
-VALUE_SQL = f"""CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN {_DOLLAR}DB_HOST:local}}' WHEN 2 THEN {_DOLLAR}app.name}}' WHEN 3 THEN 'java:comp/env' ELSE CASE WHEN page_id % 2 = 0 THEN 'plain' ELSE 'a/b' END END"""
+VALUE_SQL = f"""CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN {_DOLLAR}DB_HOST:local}}' WHEN 2 THEN {_DOLLAR}app.name}}' WHEN 3 THEN 'java:comp/env' WHEN 4 THEN 'jdbc/main' WHEN 5 THEN 'jms/q' WHEN 6 THEN 'r2dbc:h2:mem' WHEN 7 THEN {_DOLLAR}HOST}}' ELSE CASE WHEN page_id % 2 = 0 THEN 'plain' ELSE 'a/b' END END"""
 
 
 @query(
-    f"""SELECT page_id, value, CASE WHEN starts_with(value, {_DOLLAR}') AND contains(value, '_') THEN 'ENVIRONMENT_REFERENCE' WHEN starts_with(value, {_DOLLAR}') THEN 'PROPERTY_REFERENCE'
-WHEN starts_with(value, 'java:') THEN 'JNDI_REFERENCE' WHEN starts_with(value, 'http://') OR starts_with(value, 'https://') THEN 'URL' WHEN contains(value, '/') OR contains(value, '\\') THEN 'FILE_PATH' ELSE 'LITERAL' END AS kind
-FROM (SELECT page_id, {VALUE_SQL} AS value FROM pages WHERE url LIKE 'http%')"""
+    f"""SELECT page_id, value, CASE WHEN starts_with(value, {_DOLLAR}') AND (contains(value, '_') OR contains(value, 'HOST')) THEN 'ENVIRONMENT_REFERENCE' WHEN starts_with(value, {_DOLLAR}') THEN 'PROPERTY_REFERENCE'
+WHEN starts_with(value, 'java:') OR starts_with(value, 'jdbc/') OR starts_with(value, 'jms/') THEN 'JNDI_REFERENCE' WHEN starts_with(value, 'http://') OR starts_with(value, 'https://') OR starts_with(value, 'r2dbc:') THEN 'URL' WHEN contains(value, '/') OR contains(value, '\\') THEN 'FILE_PATH' ELSE 'LITERAL' END AS kind
+FROM (SELECT page_id, {VALUE_SQL} AS value FROM pages)"""
 )
 def value_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").where("url LIKE 'http%'").select("page_id", F.expr(VALUE_SQL).alias("value")).withColumn("kind", X.value_kind(F.col("value")))
+    return read(spark, sf_dir, "pages").select("page_id", F.expr(VALUE_SQL).alias("value")).withColumn("kind", X.value_kind(F.col("value")))
 
 
 SECRETS = ["password", "secret", "token", "key"]
@@ -151,8 +151,9 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list_filter(list(CAST(l_quantity AS bigint)), lambda x: x BETWEEN 10 AND 40))), ',') AS lines FROM lineitem GROUP BY l_orderkey"
 )
 def evidence_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line lists cut to a range, sorted, each number once."""
-    lists = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity").cast("long")).alias("q"))
+    """Line lists cut to a range, sorted, each number once; each number meets its order once, so a list is at most the range."""
+    q = F.col("l_quantity").cast("long")
+    lists = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(q.between(10, 40), q)).alias("q"))
     return lists.select("l_orderkey", F.array_join(X.clipped_lines(F.col("q"), F.lit(10), F.lit(40)).cast("array<string>"), ",").alias("lines"))
 
 

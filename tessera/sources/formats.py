@@ -13,8 +13,11 @@ from tessera.functions.text import substituted
 from tessera.operators.graph import first_per_key
 
 # Configurations of a Gradle build that declare dependencies, and the endings of further ones.
-CONFIGURATIONS = "api annotationProcessor classpath compile compileOnly implementation runtime runtimeOnly testAnnotationProcessor testCompile testCompileOnly testImplementation testRuntime testRuntimeOnly".split()
-CONFIGURATION_ENDINGS = "Compile CompileOnly Implementation Runtime RuntimeOnly".split()
+CONFIGURATIONS = [
+    "api", "annotationProcessor", "classpath", "compile", "compileOnly", "implementation", "runtime", "runtimeOnly",
+    "testAnnotationProcessor", "testCompile", "testCompileOnly", "testImplementation", "testRuntime", "testRuntimeOnly",
+]
+CONFIGURATION_ENDINGS = ["Compile", "CompileOnly", "Implementation", "Runtime", "RuntimeOnly"]
 
 
 def key_values(files: DataFrame) -> DataFrame:
@@ -182,9 +185,31 @@ def removal_uses(text_rows: DataFrame) -> DataFrame:
     return text_rows.where(F.contains("line", F.lit("forRemoval=true")) & F.contains("line", F.lit("/"))).select("line", F.replace(name, F.lit("/"), F.lit(".")).alias("class_name"))
 
 
+def resolved_maven(files: DataFrame) -> DataFrame:
+    """group_id, artifact_id, version, scope from effective POMs, each once."""
+    return pom_rows(files, "dependency").where("version is not null").select("group_id", "artifact_id", "version", "scope").distinct()
+
+
+def closed_json(text: Column) -> Column:
+    """A JSON object that was cut off, from its first brace on, with what is open closed: a string, then brackets and braces from the
+    innermost; null where brackets do not match."""
+    start = F.instr(text, "{")
+    body = F.trim(F.substr(text, start, F.length(text)))
+    outline = F.regexp_replace(body, r'"(?:[^"\\]|\\[\s\S])*+"', "")
+    inside = outline.contains('"')
+    signs = F.regexp_extract_all(F.regexp_replace(outline, r'"[\s\S]*$', ""), F.lit(r"[{}\[\]]"), F.lit(0))
+
+    def step(stack: Column, sign: Column) -> Column:
+        closer = F.when(sign == "{", "}").when(sign == "[", "]")
+        return F.when(closer.isNotNull(), F.concat(closer, stack)).when(F.left(stack, F.lit(1)) == sign, F.substring(stack, 2, 1 << 30))  # null once they do not match
+
+    open_ = F.aggregate(signs, F.lit("").cast("string"), step)
+    return F.when(start > 0, F.concat(body, F.when(inside, '"').otherwise(""), open_))
+
+
 def recovered_json(text: Column) -> Column:
-    """The JSON object in an answer: what a fence holds, the text itself, or its outermost braces; null where none can be read."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    """The JSON object in an answer: what a fence holds, the text itself, its outermost braces, or the text with what is open closed; null where none can be read."""
+    fenced = F.regexp_extract(text, r"(?s)\n\s*(.*?)\s*```[^`]*$", 1)
     outer = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     valid = lambda c: F.when(F.json_object_keys(c).isNotNull(), c)
-    return F.coalesce(valid(fenced), valid(F.trim(text)), valid(outer))
+    return F.coalesce(valid(fenced), valid(F.trim(text)), valid(outer), valid(closed_json(text)))

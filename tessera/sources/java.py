@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import resolve
+from tessera.sources import files as source_files
 
 NAME = r"[\p{L}\p{N}_$]+"
 TOKEN = "|".join(
@@ -27,6 +28,7 @@ TOKEN = "|".join(
         r"@[\p{L}\p{N}_$.]+",
         NAME,
         r"\n",
+        r"[^\S\n]+",
         r"->|::|\.\.\.",
         r"[^\s]",
     ]
@@ -48,7 +50,8 @@ ENTRY_POINTS = [
     ("KafkaListener", "Message", "Kafka", None),
     ("JmsListener", "Message", "JMS", None),
 ]
-TESTS = ["Test", "ParameterizedTest", "RepeatedTest"]
+TESTS = ["Test", "ParameterizedTest", "RepeatedTest", "TestFactory", "TestTemplate"]
+TEST_NAMES = ["test", "should"]
 FIXTURES = {
     "setup": ["BeforeEach", "BeforeAll", "Before", "BeforeClass"],
     "teardown": ["AfterEach", "AfterAll", "After", "AfterClass"],
@@ -66,6 +69,10 @@ ASSERTIONS = {
     "status_or_response": ["andExpect", "expectStatus", "status"],
     "verification": ["verify", "thenVerify"],
 }
+CALL_FIXTURES = {"mock": ["mock", "spy", "when", "given"], "container": ["withInitScript", "withExposedPorts", "start"], "database": ["execute", "executeSql", "runScript"]}
+HTTP_CALLS = {"GET": ["get", "getForEntity", "getForObject"], "POST": ["post", "postForEntity", "postForObject"], "PUT": ["put"], "PATCH": ["patch", "patchForObject"], "DELETE": ["delete"]}
+MESSAGE_CALLS = ["send", "sendMessage", "receive", "receiveAndConvert"]
+INTEGRATION_MARKS = ["SpringBootTest", "Testcontainers"]
 #: words before a parenthesis that call nothing
 NO_CALLS = ["if", "for", "while", "switch", "catch", "synchronized", "try", "return", "throw", "super", "this", "new", "assert", "case", "yield"]
 
@@ -78,7 +85,7 @@ def looked_up(name: Column, kinds: dict[str, list[str]]) -> Column:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """path, pos, token, line, parens and braces open before it, statement, level of each token but comments."""
+    """path, pos, token, at (its first character, from 0), line, column, parens and braces open before it, statement, level of each token but comments."""
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))
     rows = files.select("path", F.posexplode(found).alias("pos", "token"))
     before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,14 +96,18 @@ def tokens(files: DataFrame) -> DataFrame:
     def nesting(opening: str, closing: str) -> Column:
         return F.when(F.col("token") == opening, 1).when(F.col("token") == closing, -1).otherwise(0)
 
+    broken = F.col("token").contains("\n")
+    line_start = F.max(F.when(broken, F.col("at") + F.length("token") - F.length(F.substring_index("token", "\n", -1)))).over(before)
+    rows = rows.withColumn("at", so_far(F.length("token")))
     lined = rows.withColumns(
         {
+            "column": F.col("at") - F.coalesce(line_start, F.lit(0)),
             "line": 1 + so_far(F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))),
             "parens": so_far(nesting("(", ")")),
             "braces": so_far(nesting("{", "}")),
         }
     )
-    code = lined.where("token <> '\n' and not startswith(token, '//') and not startswith(token, '/*')")
+    code = lined.where("not regexp_like(token, '^\\\\s+$') and not startswith(token, '//') and not startswith(token, '/*')")
     stops = F.col("token").isin("{", "}", ";") & (F.col("parens") == 0)
     return code.withColumns({"statement": so_far(stops.cast("int")), "level": so_far(F.when(stops, nesting("{", "}")).otherwise(0))})
 
@@ -115,15 +126,15 @@ def diagnostics(files: DataFrame) -> DataFrame:
 def statements(files: DataFrame) -> DataFrame:
     """path, statement, level, line, end_line, head (its tokens parted by blanks), ending and, for one that opens a block, where that closes."""
     sound = files.join(diagnostics(files), "path", "left_anti")
-    parts = tokens(sound).groupBy("path", "statement").agg(F.min("level").alias("level"), F.array_sort(F.collect_list(F.struct("pos", "token", "line"))).alias("tokens"))
+    parts = tokens(sound).groupBy("path", "statement").agg(F.min("level").alias("level"), F.array_sort(F.collect_list(F.struct("pos", "token", "line", "at", "column"))).alias("tokens"))
     last = F.element_at("tokens", -1)
     # brackets in literals are masked, as heads are read by their brackets
     masked = F.transform("tokens.token", lambda x: F.when(x.rlike("^[\"']"), F.translate(x, '(){}<>,;="', '\x01\x02\x03\x04\x05\x06\x07\x08\x0e"')).otherwise(x))
-    out = parts.select("path", "statement", "level", F.col("tokens")[0]["line"].alias("line"), last["line"].alias("end_line"), F.array_join(masked, " ").alias("head"), last["token"].alias("ending"))
+    out = parts.select("path", "statement", "level", F.col("tokens")[0]["line"].alias("line"), last["line"].alias("end_line"), F.array_join(masked, " ").alias("head"), last["token"].alias("ending"), last["at"].alias("end_at"), "tokens")
     block = F.when(F.col("ending") == "{", F.col("level")).when(F.col("ending") == "}", F.col("level") - 1)
     same = Window.partitionBy("path", "block").orderBy("statement")
     out = out.withColumn("block", block)
-    return out.withColumns({"close_statement": F.when(F.col("ending") == "{", F.lead("statement").over(same)), "close_line": F.when(F.col("ending") == "{", F.lead("end_line").over(same))}).drop("block")
+    return out.withColumns({"close_statement": F.when(F.col("ending") == "{", F.lead("statement").over(same)), "close_line": F.when(F.col("ending") == "{", F.lead("end_line").over(same)), "close_at": F.when(F.col("ending") == "{", F.lead("end_at").over(same))}).drop("block")
 
 
 def unmasked(x: Column) -> Column:
@@ -207,9 +218,12 @@ METHOD = rf"^(?:{MODIFIER} )*+(?:([\p{{L}}_$][\p{{L}}\p{{N}}_$ .\[\]]*?) )?({NAM
 
 
 def methods(files: DataFrame) -> DataFrame:
-    """id, class_id, path, name, signature, return_type (null: constructor), parameters (type, name), annotations and lines of each method."""
+    """Each method: id, class_id, path and file, name, signature, return_type (null: constructor), parameters (type, name), annotations,
+    lines, the name's line (from 1) and column (from 0), and body_text with its braces (null without a body)."""
     parts = statements(files)
-    return _methods(parts, _classes(parts))
+    found = _methods(parts, _classes(parts)).join(files.select("path", "text"), "path")
+    body = F.when(F.col("close_at").isNotNull(), F.substr("text", (F.col("open_at") + 1).cast("int"), (F.col("close_at") - F.col("open_at") + 1).cast("int")))
+    return found.withColumns({"file": F.col("path"), "body_text": body}).drop("text", "open_at", "close_at")
 
 
 def _methods(parts: DataFrame, of: DataFrame) -> DataFrame:
@@ -222,6 +236,7 @@ def _methods(parts: DataFrame, of: DataFrame) -> DataFrame:
     given = F.filter(F.split(F.regexp_replace(F.regexp_extract("plain", METHOD, 3), r"\bfinal ", ""), ","), lambda x: F.trim(x) != "")
     parameters = F.transform(given, lambda x: F.struct(F.replace(F.regexp_extract(F.trim(x), r"^(.*) \S+$", 1), F.lit(" "), F.lit("")).alias("type"), F.regexp_extract(F.trim(x), r"(\S+)$", 1).alias("name")))
     found = found.withColumn("parameters", parameters)
+    named = F.get(F.filter("tokens", lambda x, i: (x["token"] == F.col("name")) & (F.try_element_at("tokens", i + 2)["token"] == "(")), F.lit(0))
     signature = F.concat("name", F.lit("("), F.array_join("parameters.type", ","), F.lit(")"))
     return found.select(
         F.concat(F.lit("method:"), "path", F.lit(":"), "class_name", F.lit("."), signature, F.lit(":"), "line").alias("id"),
@@ -234,24 +249,65 @@ def _methods(parts: DataFrame, of: DataFrame) -> DataFrame:
         leading_annotations(F.col("head")).alias("annotations"),
         F.col("line").alias("start_line"),
         F.coalesce("close_line", "end_line").alias("end_line"),
+        named["line"].cast("long").alias("name_line"),
+        named["column"].cast("long").alias("name_column"),
         "statement",
         F.coalesce("close_statement", "statement").alias("close_statement"),
+        F.when(F.col("ending") == "{", F.col("end_at")).alias("open_at"),
+        "close_at",
     )
 
 
 def calls(files: DataFrame) -> DataFrame:
-    """path, line, receiver (the name before the dot, else null), name and method_id (the innermost method around it) of each call."""
+    """Each call: path, line, column, receiver (the name before the dot, else null), name, method_id (the innermost method around it),
+    expression (from the chain's beginning to the closing parenthesis) and literal (the first string in it, else null)."""
     parts = statements(files)
     found = _methods(parts, _classes(parts))
     near = Window.partitionBy("path").orderBy("pos")
-    rows = tokens(files).withColumns({"next": F.lead("token").over(near), "prior": F.lag("token").over(near), "prior2": F.lag("token", 2).over(near)})
+    rows = tokens(files).withColumns({"next": F.lead("token").over(near), "next_at": F.lead("at").over(near), "prior": F.lag("token").over(near), "prior2": F.lag("token", 2).over(near)})
+    # a chain begins after the last token of its depth that is no part of one: a sign, a word such as return, or the bracket that opened the depth
+    token = F.col("token")
+    opens = token == "("
+    parts_of_chain = F.regexp_like(token, F.lit(rf"^(?:{NAME}|\.|\(|\)|\[|\]|\"[\s\S]*|'.*)$")) & ~token.isin("return", "throw", "new", "assert", "case", "yield", "else", "do")
+    depth = F.col("parens") + F.when(opens, 1).when(token == ")", -1).otherwise(0)
+    rows = rows.withColumns({"depth": depth, "begins": F.when(opens | ~parts_of_chain, F.col("next_at"))})
+    level = Window.partitionBy("path", "depth").orderBy("pos")
+    inner = Window.partitionBy("path", F.col("parens") + F.when(opens, 1).otherwise(0)).orderBy("pos")
+    rows = rows.withColumns({"chain_at": F.last("begins", ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, -1)), "closing": F.lead("at").over(inner)})
+    # within the brackets' own depth the opening one is followed by its tokens; the next closing one of that depth ends the call
+    closes = F.when(token == ")", F.col("at"))
+    rows = rows.withColumn("close_at", F.min(closes).over(inner.rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("call_close", F.lead("close_at").over(near))
     name = F.col("token")
     rows = rows.where((F.col("next") == "(") & F.regexp_like(name, F.lit(rf"^{NAME}$")) & ~name.isin(NO_CALLS) & (F.coalesce("prior", F.lit("")) != "new"))
     rows = rows.join(found.select("path", "statement"), ["path", "statement"], "left_anti")
     receiver = F.when((F.col("prior") == ".") & F.regexp_like("prior2", F.lit(rf"^{NAME}$")), F.col("prior2"))
-    points = rows.select("path", "pos", "line", receiver.alias("receiver"), name.alias("name"), "statement")
+    points = rows.select("path", "pos", "line", "column", receiver.alias("receiver"), name.alias("name"), "statement", F.coalesce("chain_at", "at").alias("chain_at"), "call_close")
     spans = found.select("path", F.col("statement").alias("outer"), "close_statement", F.col("id").alias("method_id"))
-    return resolve.covering(points, spans, "path", "statement", "outer", "close_statement").groupBy("path", "pos", "line", "receiver", "name").agg(F.max_by("method_id", "outer").alias("method_id"))
+    inside = resolve.covering(points, spans, "path", "statement", "outer", "close_statement")
+    each = inside.groupBy("path", "pos", "line", "column", "receiver", "name", "chain_at", "call_close").agg(F.max_by("method_id", "outer").alias("method_id"))
+    text = F.substr("text", (F.col("chain_at") + 1).cast("int"), (F.col("call_close") - F.col("chain_at") + 1).cast("int"))
+    return each.join(files.select("path", "text"), "path").withColumn("expression", F.trim(text)).withColumn("literal", T.first_quoted(F.col("expression"))).drop("text", "chain_at", "call_close", "pos")
+
+
+def call_edges(found: DataFrame) -> DataFrame:
+    """Edges from methods to the names they call, not yet resolved: source_id, target_id, kind, source, confidence."""
+    rows = found.where("method_id is not null").select(F.col("method_id").alias("source_id"), F.concat(F.lit("unresolved:"), F.concat_ws(".", "receiver", "name")).alias("target_id"))
+    return rows.select("source_id", "target_id", F.lit("CALLS").alias("kind"), F.lit("tree_sitter").alias("source"), F.lit(0.5).alias("confidence")).distinct()
+
+
+def production_model(files: DataFrame, modules: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of the production sources of a tree: classes, methods, calls, entry_points, relationships, diagnostics, counters.
+
+    With `modules` (id, path) classes and methods take the module of the longest path that holds their file.
+    """
+    sources = source_files.production_sources(files)
+    out = {"classes": classes(sources).withColumn("file", F.col("path")), "methods": methods(sources), "calls": calls(sources), "diagnostics": diagnostics(sources), "counters": source_files.scan_counters(files)}
+    if modules is not None:
+        owners = modules.select(F.col("path").alias("prefix"), F.col("id").alias("module_id"))
+        for name in ("classes", "methods"):
+            out[name] = resolve.longest_prefix_owner(out[name], owners, "path", "prefix", "module_id")
+    return {**out, "entry_points": entry_points(out["methods"]), "relationships": call_edges(out["calls"])}
 
 
 def entry_points(found: DataFrame) -> DataFrame:
@@ -270,9 +326,46 @@ def has_annotation(annotations: str, names: list[str]) -> Column:
     return F.exists(annotations, lambda x: T.annotation_name(x).isin(names))
 
 
+def test_kind(file: Column, annotations: Column, default: str = "unknown_test") -> Column:
+    """What kind of test a suite is, by its path, its file's name or its annotations; else `default`."""
+    low = T.ascii_lower(file)
+    marked = F.exists(annotations, lambda x: T.annotation_name(x).isin(INTEGRATION_MARKS))
+    return (
+        F.when(low.contains("e2e"), "e2e")
+        .when(low.contains("acceptance"), "acceptance")
+        .when(low.contains("integration") | source_files.ends_with_any(file, source_files.INTEGRATION_NAMES) | marked, "integration")
+        .otherwise(default)
+    )
+
+
+def test_suites(declared: DataFrame) -> DataFrame:
+    """A suite for each class: id, class_name, package_name, qualified_name, test_kind, file, lines, annotations."""
+    short = F.element_at(F.split("name", r"\."), -1)
+    qualified = F.concat_ws(".", "package_name", short)
+    kind = test_kind(F.col("path"), F.col("annotations"), "unknown_test")
+    of_file = test_kind(F.col("path"), F.array().cast("array<string>"), "unknown_test")
+    return declared.select(
+        F.concat(F.lit("test-suite:"), qualified, F.lit("@"), "path", F.lit(":"), "start_line").alias("id"), F.col("id").alias("class_id"), short.alias("class_name"), "package_name", qualified.alias("qualified_name"),
+        F.when(kind == "unknown_test", of_file).otherwise(kind).alias("test_kind"), F.col("path").alias("file"), "start_line", "end_line", "annotations",
+    )
+
+
+def is_test_case(annotations: str = "annotations", name: str = "name") -> Column:
+    return has_annotation(annotations, TESTS) | F.regexp_like(name, F.lit(f"^(?:{'|'.join(TEST_NAMES)})"))
+
+
+def is_fixture(annotations: str = "annotations") -> Column:
+    return has_annotation(annotations, [n for names in FIXTURES.values() for n in names])
+
+
+def display_name(annotations: Column) -> Column:
+    """The text of the first @DisplayName, else null."""
+    return T.first_quoted(F.get(F.filter(annotations, lambda x: T.annotation_name(x) == "DisplayName"), F.lit(0)))
+
+
 def test_cases(found: DataFrame) -> DataFrame:
-    """The methods that a test annotation marks."""
-    return found.where(has_annotation("annotations", TESTS))
+    """The methods that a test annotation marks or that are named as tests."""
+    return found.where(is_test_case())
 
 
 def fixtures(declared: DataFrame) -> DataFrame:
@@ -281,9 +374,68 @@ def fixtures(declared: DataFrame) -> DataFrame:
     return each.select("id", looked_up(T.annotation_name(F.col("annotation")), FIXTURES).alias("fixture_kind"), "annotation").where("fixture_kind is not null")
 
 
+def assertion_kind(name: Column) -> Column:
+    """The kind of a call that asserts: by its name, any other that begins with "assert" being an assertion; else null."""
+    return F.coalesce(looked_up(name, ASSERTIONS), F.when(name.startswith("assert"), "assertion"))
+
+
 def assertions(found: DataFrame) -> DataFrame:
     """The calls that assert something, with assertion_kind."""
-    return found.withColumn("assertion_kind", looked_up(F.col("name"), ASSERTIONS)).where("assertion_kind is not null")
+    return found.withColumn("assertion_kind", assertion_kind(F.col("name"))).where("assertion_kind is not null")
+
+
+def call_entry_point(name: Column, expression: Column, literal: Column) -> Column:
+    """What a test's call enters the system by (kind, framework, route, http_method, topic), null for a call that does not."""
+    low = T.ascii_lower(expression)
+    performed = F.lit(None).cast("string")
+    for method in reversed(list(HTTP_CALLS)):
+        performed = F.when(low.contains(method.lower() + "("), method).otherwise(performed)
+    method = F.when(name == "perform", performed).otherwise(looked_up(name, HTTP_CALLS))
+    none = F.lit(None).cast("string")
+    http = F.struct(F.lit("Http").alias("kind"), F.when(name == "perform", "MockMvc").otherwise("HTTP client").alias("framework"), literal.alias("route"), method.alias("http_method"), none.alias("topic"))
+    message = F.struct(F.lit("Message").alias("kind"), none.alias("framework"), none.alias("route"), none.alias("http_method"), literal.alias("topic"))
+    return F.when(method.isNotNull(), http).when(name.isin(MESSAGE_CALLS), message)
+
+
+def test_model(files: DataFrame) -> dict[str, DataFrame]:
+    """All tables of test sources: suites, cases, fixtures, invocations, assertions, entry_points, diagnostics."""
+    declared, found, called = classes(files), methods(files), calls(files)
+    suites = test_suites(declared)
+    own = suites.select(F.col("id").alias("suite_id"), "class_id", F.col("qualified_name").alias("suite_name"), "test_kind")
+    inside = found.join(own, "class_id")
+    cases = inside.where(is_test_case()).select(
+        F.concat(F.lit("test-case:"), "suite_name", F.lit("#"), "name", F.lit("@"), "file", F.lit(":"), "start_line").alias("id"), "suite_id", F.col("id").alias("method_id"), "name",
+        display_name(F.col("annotations")).alias("display_name"), "test_kind", "file", "start_line", "end_line", "annotations", F.coalesce("body_text", F.lit("")).alias("body_text"),
+    )
+    of_case = called.join(cases.select("method_id", F.col("id").alias("test_case_id"), "file"), "method_id")
+    none = F.lit(None).cast("string")
+    marks = suites.select(F.col("id").alias("suite_id"), "file", F.col("start_line").alias("line"), F.explode("annotations").alias("annotation"))
+    kind = looked_up(T.annotation_name(F.col("annotation")), FIXTURES)
+    of_suites = marks.select("suite_id", none.alias("test_case_id"), kind.alias("fixture_kind"), T.annotation_name(F.col("annotation")).alias("name"), F.to_json(F.array("annotation")).alias("details_json"), "file", "line").where("fixture_kind is not null")
+    kinds = F.array_compact(F.transform("annotations", lambda x: looked_up(T.annotation_name(x), FIXTURES)))
+    of_methods = inside.where(~is_test_case() & is_fixture()).select(
+        "suite_id", none.alias("test_case_id"), F.coalesce(F.get(kinds, F.lit(0)), F.lit("lifecycle")).alias("fixture_kind"), "name", F.to_json("annotations").alias("details_json"), "file", F.col("start_line").alias("line")
+    )
+    of_calls = of_case.withColumn("fixture_kind", looked_up(F.col("name"), CALL_FIXTURES)).where("fixture_kind is not null").select(none.alias("suite_id"), "test_case_id", "fixture_kind", "name", F.to_json(F.array("expression")).alias("details_json"), "file", "line")
+    entries = of_case.withColumn("e", call_entry_point(F.col("name"), F.col("expression"), F.col("literal"))).where("e is not null").select("test_case_id", "e.*", none.alias("command"), F.lit("tree_sitter").alias("source"))
+    return {
+        "suites": suites,
+        "cases": cases,
+        "fixtures": of_suites.unionByName(of_methods).unionByName(of_calls),
+        "invocations": of_case.select("test_case_id", "file", "name", "line", "column"),
+        "assertions": assertions(of_case).select("test_case_id", "assertion_kind", "expression", F.col("literal").alias("expected_value"), "file", "line"),
+        "entry_points": entries,
+        "diagnostics": diagnostics(files),
+    }
+
+
+def syntax_candidates(files: DataFrame) -> DataFrame:
+    """Texts that may name something of another library: path, line, kind, name and values of each import, call and annotation."""
+    found = imports(files).select("path", "line", F.lit("import").alias("kind"), F.col("symbol").alias("raw"))
+    called = calls(files).select("path", "line", F.lit("call").alias("kind"), F.col("expression").alias("raw"))
+    marks = statements(files).select("path", "line", F.lit("annotation").alias("kind"), F.explode(F.regexp_extract_all("head", F.lit(ANNOTATION), F.lit(0))).alias("raw")).withColumn("raw", F.regexp_replace(unmasked(F.col("raw")), r" ?([().]) ?", "$1"))
+    rows = found.unionByName(called).unionByName(marks).withColumn("values", T.expression_values(F.col("raw"))).where(F.size("values") > 0)
+    return rows.select("path", "line", "kind", F.col("values")[0].alias("name"), "values").distinct()
 
 
 def imports(files: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ import pytest
 from tessera.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ROWS_ONLY = {"table_schema": 11, "nested_scopes": 5}
 
 
 @pytest.fixture(scope="module")
@@ -33,10 +32,5 @@ def test_same_rows(name, spark, sf_dir, duck):
     assert got
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_rows_only(name, spark, sf_dir):
-    assert catalogue.QUERIES[name](spark, sf_dir).count() == ROWS_ONLY[name]
-
-
 def test_every_query_has_sql():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == set(ROWS_ONLY)
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == set()
