@@ -199,6 +199,16 @@ def batch(**columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs once each, but for a few that stay twice where their hashes collide."""
+    key = mixed(a.view(U64) ^ mixed(b.view(U64) ^ U64(0x9E37)))
+    order = np.argsort(key)
+    a, b, key = a[order], b[order], key[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[once], b[once]
+
+
 class Bloom:
     """A Bloom filter of a fixed number of bits over 64-bit hashes; it only spares rows the way to an exact join that follows.
 

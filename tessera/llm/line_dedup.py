@@ -291,8 +291,8 @@ def proposals(group: np.ndarray, label: np.ndarray, rows: np.ndarray, small: int
 
 def proposed_pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """Pairs once each, though lines that are alike meet under most of their prefix tokens."""
-    pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], axis=1), axis=0)
-    return common.batch(a=np.ascontiguousarray(pairs[:, 0]), b=np.ascontiguousarray(pairs[:, 1]), token=pa.nulls(len(pairs), pa.int64()))
+    a, b = common.distinct_pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    return common.batch(a=a, b=b, token=pa.nulls(len(a), pa.int64()))
 
 
 PAIRS = "a long, b long, token long"
