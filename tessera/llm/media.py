@@ -106,24 +106,31 @@ def unfilter(raw: np.ndarray, kinds: np.ndarray, step: int) -> np.ndarray:
 
 
 def decode_png(png: bytes) -> np.ndarray:
-    """Samples as rows x (width x channels) of an 8-bit image that is not interlaced; ValueError for any other or damaged value."""
+    """Samples as rows x (width x channels) of an 8-bit image that is not interlaced; ValueError for any other or damaged value.
+
+    The header tells how many bytes the data must hold; no more than these are ever unpacked.
+    """
     head, data = None, []
     for kind, part in chunks(png):
         if kind == b"IHDR":
+            if len(part) != 13:
+                raise ValueError("header of another size")
             head = struct.unpack(">IIBBBBB", part)
         elif kind == b"IDAT":
             data.append(part)
-    if head is None or head[2] != 8 or head[3] not in CHANNELS or head[6]:
+    if head is None or head[2] != 8 or head[3] not in CHANNELS or head[4] or head[5] or head[6] or not head[0] or not head[1]:
         raise ValueError("not an 8-bit image without interlace")
     step = CHANNELS[head[3]]
+    size = head[1] * (head[0] * step + 1)
+    unpacker = zlib.decompressobj()
     try:
-        raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
-    except zlib.error as e:
+        raw = unpacker.decompress(b"".join(data), size + 1)
+    except (zlib.error, OverflowError, MemoryError) as e:
         raise ValueError(str(e)) from None
-    if len(raw) != head[1] * (head[0] * step + 1):
+    if len(raw) != size or not unpacker.eof:
         raise ValueError("image data of another size")
-    raw = raw.reshape(head[1], -1)
-    return unfilter(raw[:, 1:], raw[:, 0], step)
+    rows = np.frombuffer(raw, np.uint8).reshape(head[1], -1)
+    return unfilter(rows[:, 1:], rows[:, 0], step)
 
 
 def cosine_basis(size: int, kept: int) -> np.ndarray:

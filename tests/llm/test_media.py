@@ -29,6 +29,22 @@ def test_damage_is_found(spark):
     assert got[0]["error"] is None and all(got[i]["error"] and got[i]["feature"] is None for i in range(1, len(bad) + 1))
 
 
+def image(head, data):
+    return media.SIGNATURE + media.chunk(b"IHDR", head) + media.chunk(b"IDAT", zlib.compress(data)) + media.chunk(b"IEND", b"")
+
+
+def test_wrong_headers_and_bombs(spark):
+    full = struct.pack(">IIBBBBB", 192, 1, 8, 0, 0, 0, 0)
+    row = b"\0" + b"x" * 192
+    bad = [
+        image(full[:12], row), image(full + b"\0", row), image(struct.pack(">IIBBBBB", 0, 1, 8, 0, 0, 0, 0), b"\0"), image(struct.pack(">IIBBBBB", 192, 0, 8, 0, 0, 0, 0), b""), image(full, row + b"y"), image(full, bytes(50_000_000)),
+        image(struct.pack(">IIBBBBB", 4_000_000_000, 4_000_000_000, 8, 6, 0, 0, 0), row), image(full, b"\7" + row[1:]), image(struct.pack(">IIBBBBB", 192, 1, 8, 0, 1, 0, 0), row), media.SIGNATURE + media.chunk(b"IHDR", full) + media.chunk(b"IDAT", zlib.compress(row)[:-3]) + media.chunk(b"IEND", b""),
+    ]
+    df = spark.createDataFrame([(i, 192, b) for i, b in enumerate([image(full, row), *bad])], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r["error"] for r in media.features(df).collect()}
+    assert got[0] is None and all(got[i] for i in range(1, len(bad) + 1))
+
+
 def filtered(rows, kinds, step):
     """Rows with PNG filters applied, by the format's definition, sample by sample."""
     out = bytearray()
