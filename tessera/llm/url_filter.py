@@ -10,17 +10,18 @@ listed among u keys the first level takes a false positive rate of about r / u,
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: rules are passed in by the driver and their filters travel inside the plan
-MAX_RULES = 10_000
+#: up to so many rules are held by filters inside the plan (some 20 bits a rule); more are met by a join
+FILTER_RULES = 100_000
 
 
 @dataclass(frozen=True)
@@ -94,7 +95,7 @@ def cascade(listed: DataFrame, universe: DataFrame, n_listed: int, n_universe: i
     if not n_listed:
         return []
     levels: list[Level] = []
-    inside, outside = listed, universe.join(F.broadcast(listed), "key", "left_anti")  # listed: at most MAX_RULES keys
+    inside, outside = listed, universe.join(F.broadcast(listed), "key", "left_anti")  # listed: at most FILTER_RULES keys
     rate = min(0.5, n_listed / max(1, n_universe))
     n = n_listed
     while n:
@@ -115,15 +116,30 @@ def listed_in(levels: list[Level], key: Column) -> Column:
     return out
 
 
+def key_rows(spark: SparkSession, keys: list[str]) -> DataFrame:
+    """The keys as rows of one column, from one literal."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<string>")).alias("key"))
+
+
+def judged_by_join(pages: DataFrame, blocked: list[str], allowed: list[str], default: str) -> DataFrame:
+    """The same rows for any number of rules: each distinct host and path meets the rules by its keys, and the pages meet the outcome."""
+    spark = pages.sparkSession
+    listed = key_rows(spark, blocked).withColumn("verdict", F.lit("block")).unionByName(key_rows(spark, allowed).withColumn("verdict", F.lit("allow")))
+    each = pages.select("host", "path", F.posexplode("keys").alias("pos", "key")).distinct().join(listed, "key")
+    best = each.groupBy("host", "path").agg(F.min_by(F.struct(F.col("key").alias("rule"), "verdict"), "pos").alias("best"))
+    return pages.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
 def judge(df: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule (host and path of the longest rule that fits, else null), verdict (its own, else `default`).
 
     A rule's path must end in "/". Of rules equal in length the one with the longer host wins; a rule that is listed as both blocks.
-    A null url, or one without "://", has an empty host and path, fits no rule and takes the default. Repeated rows stay; an empty table
-    gives no rows; other columns are left out, whatever their names.
+    Over FILTER_RULES rules, whose filters a plan should not carry, are met by an equi-join, with the same outcome. A null url, or one
+    without "://", has an empty host and path, fits no rule and takes the default. Repeated rows stay; an empty table gives no rows;
+    other columns are left out, whatever their names.
     """
-    if len(rules) > MAX_RULES or any(not r.path.startswith("/") or not r.path.endswith("/") or r.verdict not in ("allow", "block") for r in rules):
-        raise ValueError(f"at most {MAX_RULES} rules, each allow or block, with a path from / to /")
+    if any(not r.path.startswith("/") or not r.path.endswith("/") or r.verdict not in ("allow", "block") for r in rules):
+        raise ValueError("a rule allows or blocks and has a path from / to /")
     spark = df.sparkSession
     labels, depth = max([1, *(r.host.count(".") + 1 for r in rules)]), max([1, *(r.path.count("/") for r in rules)])
     pages = common.pick(df, page_id=(id_col, "long"), url=(url_col, "string"))
@@ -131,9 +147,11 @@ def judge(df: DataFrame, rules: list[Rule], default: str = "allow", id_col: str
     pages = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("keys", candidate_keys(F.col("host"), F.col("path"), labels, depth))
     blocked = sorted({r.key for r in rules if r.verdict == "block"})
     allowed = sorted({r.key for r in rules if r.verdict == "allow"} - set(blocked))
+    if len(blocked) + len(allowed) > FILTER_RULES:
+        return judged_by_join(pages, blocked, allowed, default)
     universe = common.stored(pages.select(F.explode("keys").alias("key")).distinct())
     size = universe.count()
-    block, allow = (cascade(spark.range(1).select(F.explode(F.array(*(F.lit(k) for k in x)).cast("array<string>")).alias("key")), universe, len(x), size) for x in (blocked, allowed))
+    block, allow = (cascade(key_rows(spark, x), universe, len(x), size) for x in (blocked, allowed))
     marked = F.transform("keys", lambda k: F.struct(k.alias("key"), listed_in(block, k).alias("block"), listed_in(allow, k).alias("allow")))
     first = F.element_at(F.filter(marked, lambda x: x["block"] | x["allow"]), 1)
     found = F.when(F.exists(marked, lambda x: x["block"] | x["allow"]), first)

@@ -36,6 +36,12 @@ def test_against_brute_force(spark):
     check(spark, ["x://" + ".".join(part() for _ in range(rng.randrange(1, 5))) + "/" + "/".join(part() for _ in range(rng.randrange(4))) for _ in range(400)], rules)
 
 
+def test_more_rules_than_filters_hold(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "FILTER_RULES", 3)
+    check(spark, URLS + URLS, RULES)
+    check(spark, URLS, [url_filter.Rule("block", f"h{i}.com") for i in range(5000)] + RULES)
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, RULES).collect()}
