@@ -1,8 +1,11 @@
 """Language identification: hashed subword embeddings, averaged, under a linear softmax, trained by stochastic gradient descent in numpy.
 
 Subwords are the 1- to 4-character pieces inside lower-cased words, with a mark at each word's edges. A prediction averages their
-embeddings over the whole text. Confidence is calibrated by a temperature on labelled rows kept from training, and a text is rejected
-where it has no letter or where its confidence lies below nearly all of those rows.
+embeddings over the whole text. Confidence is calibrated by a temperature on labelled rows kept from training.
+
+Confidence alone cannot tell a text of no learned language, as the languages share one unit of it. So rejection goes by familiarity: the
+mean log probability of a text's subwords under their frequency in the predicted language. Labelled rows kept from training, cut to
+several lengths, tell how low it gets for true text of that length, and a text below nearly all of them is rejected.
 """
 
 from __future__ import annotations
@@ -20,10 +23,17 @@ from tessera.llm import common
 
 LOG2_BUCKETS = 15
 LONGEST = 4
-#: labelled documents that training reads, of each language, at most
-SAMPLE_PER_LANGUAGE = 500
-#: languages learned, at most: those with most labelled documents, the alphabet deciding ties
-MAX_LANGUAGES = 200
+#: labelled documents that training reads: of each language at most, of all languages about (never under LEAST_PER_LANGUAGE of one)
+SAMPLE_PER_LANGUAGE, SAMPLE, LEAST_PER_LANGUAGE = 500, 8000, 10
+#: subwords that training keeps of a document, the most frequent ones; predictions read all
+KEPT_SUBWORDS = 2048
+#: lengths in subwords at which familiarity is calibrated, and the share of true texts that may fall below
+LENGTHS = (8, 32, 128, 512, 2048)
+REJECTED_SHARE = 0.0005
+#: how far below that the floor lies, as a part of the way to the familiarity of subwords drawn at random
+MARGIN = 0.3
+#: languages with a familiarity of their own; beyond, all share one, so that what is broadcast stays below 32 MB
+FAMILIAR = 500
 UNDETERMINED = "und"
 
 
@@ -83,11 +93,23 @@ def text_pieces(text: str, size: int = 1 << 18) -> Iterator[str]:
         at = stop
 
 
+def counted(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets and their counts."""
+    if len(buckets) < 2000:
+        return np.unique(buckets, return_counts=True)
+    total = np.bincount(buckets, minlength=1 << LOG2_BUCKETS)
+    at = np.flatnonzero(total)
+    return at, total[at]
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a whole text and their counts."""
+    parts = [counted(subwords(letters(part))) for part in text_pieces(text or "")]
+    if len(parts) == 1:
+        return parts[0]
     total = np.zeros(1 << LOG2_BUCKETS, np.int64)
-    for part in text_pieces(text or ""):
-        total += np.bincount(subwords(letters(part)), minlength=len(total))
+    for at, n in parts:
+        total[at] += n
     at = np.flatnonzero(total)
     return at, total[at]
 
@@ -95,11 +117,14 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    #: logits that one piece of each bucket adds: embedding times output layer
+    #: what one piece of each bucket adds, to be multiplied by `output`: its embedding, or its logits where there are fewer languages
     table: np.ndarray
+    output: np.ndarray
     bias: np.ndarray
     temperature: float
-    floor: float
+    #: by language (one row for all where there are over FAMILIAR languages): log probability of each bucket, least familiarity at each of LENGTHS
+    familiar: np.ndarray
+    floors: np.ndarray
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         x = logits / self.temperature
@@ -108,16 +133,15 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated confidence, whether it is rejected."""
-        total, n = np.zeros(len(self.languages)), 0
-        for part in text_pieces(text or ""):
-            at = subwords(letters(part))
-            n += len(at)
-            total += self.table[at].sum(axis=0, dtype=np.float64)
+        at, times = features(text)
+        n = int(times.sum())
         if not n or not self.languages:
             return UNDETERMINED, 0.0, True
-        p = self.probabilities(total / n + self.bias)
+        p = self.probabilities(times @ self.table[at] / n @ self.output + self.bias)
         best = int(p.argmax())
-        return self.languages[best], float(p[best]), bool(p[best] < self.floor)
+        row = best if len(self.familiar) == len(self.languages) else 0
+        seen = times @ self.familiar[row, at].astype(np.float64) / n
+        return self.languages[best], float(p[best]), bool(seen < np.interp(np.log(n), np.log(LENGTHS), self.floors[row]))
 
 
 def train_held_out(doc_id: Column) -> Column:
@@ -126,36 +150,67 @@ def train_held_out(doc_id: Column) -> Column:
 
 
 def sample(df: DataFrame, text_col: str, label_col: str, per_language: int) -> DataFrame:
-    """At most `per_language` rows of each label, by smallest hash of the text; rows are ranked within 64 salts first, so no label is gathered."""
+    """At most `per_language` rows of each label, fewer where SAMPLE is shared by many, by smallest hash of the text.
+
+    All labels are learned. Rows are ranked within 64 salts first, so no label is gathered.
+    """
     from pyspark.sql import Window
 
-    rows = common.pick(df, text=(text_col, "string"), lang=(label_col, "string")).where("text is not null and lang is not null")
-    few = [r["lang"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    rows = rows.where(F.col("lang").isin(few)).select("lang", F.xxhash64("text").alias("h"), "text")
+    rows = common.pick(df, text=(text_col, "string"), lang=(label_col, "string")).where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), "text")
+    languages = rows.agg(F.count_distinct("lang")).first()[0]
+    most = min(per_language, max(LEAST_PER_LANGUAGE, SAMPLE // max(1, languages)))
     keys = rows.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(64)))
-    short = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h"))).where(F.col("r") <= per_language)
-    best = short.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
-    return rows.join(F.broadcast(best.select("lang", "h")), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])  # at most MAX_LANGUAGES x per_language keys
+    short = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h"))).where(F.col("r") <= most)
+    best = short.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= most).select("lang", "h")
+    few = languages * most <= common.BROADCAST_ROWS
+    return rows.join(F.broadcast(best) if few else best, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+
+
+def familiarity(rows: list[tuple[str, int, np.ndarray, np.ndarray]], target: np.ndarray, languages: int, calibration: np.ndarray, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each bucket by language, from the rows not kept for calibration, and by language the floor at each of LENGTHS.
+
+    A text of n subwords is drawn from a kept row's own subwords; the floor is the REJECTED_SHARE quantile of many such texts' means,
+    as a normal law of their mean and spread gives it, for few rows cannot show so rare an event.
+    """
+    if languages > FAMILIAR:
+        target, languages = np.zeros_like(target), 1
+    counts = np.full((languages, 1 << LOG2_BUCKETS), 0.05)
+    learned = ~calibration if calibration.any() else np.ones(len(rows), bool)
+    for k in np.flatnonzero(learned):
+        counts[target[k], rows[k][2]] += rows[k][3] / rows[k][3].sum() * 1000
+    logs = np.log(counts / counts.sum(axis=1, keepdims=True))
+    floors = np.full((languages, len(LENGTHS)), -np.inf)
+    for language in range(languages):
+        kept = np.flatnonzero((calibration if calibration.any() else learned) & (target == language))
+        for j, n in enumerate(LENGTHS):
+            means = [float((random.multinomial(n, rows[k][3] / rows[k][3].sum()) @ logs[language, rows[k][2]]) / n) for k in kept for _ in range(max(1, 200 // len(kept)))]
+            if means:
+                true = min(min(means), np.mean(means) - 3.3 * np.std(means))  # 3.3: the normal law's 0.0005 quantile
+                floors[language, j] = true - MARGIN * (true - logs[language].mean())  # the mean: subwords drawn evenly, which no language does
+    return logs.astype(np.float16), floors
 
 
 def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, width: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 11) -> Model:
     """A model of the labels in `df`, from a bounded sample; executors count subwords and the driver gets the sparse counts alone.
 
-    One fifth of the sample calibrates the temperature and the rejection floor. Without labelled rows the model knows no language and
-    rejects everything.
+    A document's counts are at most KEPT_SUBWORDS of 6 bytes, so the driver gets 12 KB a sampled document at most. One fifth of the
+    sample calibrates the temperature and the floors of familiarity. Without labelled rows the model knows no language and rejects everything.
     """
 
+    @common.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for lang, h, text in zip(*(rows.column(c).to_pylist() for c in ("lang", "h", "text")), strict=True):
                 at, n = features(text)
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([h], pa.int64()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([n.astype("<i8").tobytes()], pa.binary())], ["lang", "h", "at", "n"])
+                most = np.sort(np.argsort(-n, kind="stable")[:KEPT_SUBWORDS])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([h], pa.int64()), pa.array([at[most].astype("<u2").tobytes()], pa.binary()), pa.array([n[most].astype("<f4").tobytes()], pa.binary())], ["lang", "h", "at", "n"])
 
-    got = sample(df, text_col, label_col, per_language).select("lang", "h", "text").mapInArrow(count, "lang string, h long, at binary, n binary").collect()
-    rows = sorted(((r["lang"], r["h"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i8")) for r in got if len(r["at"])), key=lambda r: (r[1], r[0]))
+    got = sample(df, text_col, label_col, per_language).select("lang", "h", "text").mapInArrow(count, "lang string, h long, at binary, n binary").toArrow().to_pylist()
+    rows = sorted(((r["lang"], r["h"], np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<f4").astype(np.float64)) for r in got if len(r["at"])), key=lambda r: (r[1], r[0]))
     languages = sorted({r[0] for r in rows})
     if not languages:
-        return Model([], np.zeros((1 << LOG2_BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
+        none = np.zeros((1 << LOG2_BUCKETS, 0), np.float32)
+        return Model([], none, np.zeros((0, 0)), np.zeros(0), 1.0, none.T, np.zeros((0, len(LENGTHS))))
     target = np.array([languages.index(r[0]) for r in rows])
     calibration = np.arange(len(rows)) % 5 == 4 if len(rows) >= 10 * len(languages) else np.zeros(len(rows), bool)
     random = np.random.default_rng(seed)
@@ -178,13 +233,17 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", per_la
             output -= lr * np.outer(mean, p)
             bias -= lr * 0.1 * p
             embedding[at] -= lr * np.outer(w, back) * 20
-    table = embedding @ output
-    logits = np.array([n / n.sum() @ table[at] + bias for *_, at, n in rows])
     kept = calibration if calibration.any() else np.ones(len(rows), bool)
-    best = min(np.geomspace(0.05, 20, 60), key=lambda t: float(-np.log(np.maximum(1e-12, Model(languages, table, bias, t, 0).probabilities(logits[kept])[np.arange(kept.sum()), target[kept]])).mean()))
-    model = Model(languages, table.astype(np.float32), bias, float(best), 0.0)
-    confidence = model.probabilities(logits[kept]).max(axis=1)
-    model.floor = float(min(0.5, np.quantile(confidence, 0.001) * 0.8))
+    logits = np.array([weights[k] @ embedding[rows[k][2]] @ output + bias for k in np.flatnonzero(kept)])
+    table, last = (embedding @ output, np.eye(len(languages))) if len(languages) <= width else (embedding, output)
+    familiar, floors = familiarity(rows, target, len(languages), calibration, random)
+    model = Model(languages, table, last, bias, 1.0, familiar, floors)
+
+    def loss(temperature: float) -> float:
+        model.temperature = temperature
+        return float(-np.log(np.maximum(1e-12, model.probabilities(logits)[np.arange(kept.sum()), target[kept]])).mean())
+
+    model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
     return model
 
 
@@ -193,8 +252,9 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     A null text, an empty one and one without letters give `und`, score 0, rejected. Repeated rows and null ids keep their rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most 2 ** 15 buckets x MAX_LANGUAGES floats
+    shared = df.sparkSession.sparkContext.broadcast(model)  # 2 ** 15 buckets of 128 bytes at most, and of 2 bytes a language up to FAMILIAR
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             found = [shared.value.predict(x.as_py()) for x in rows.column("text")]
@@ -213,6 +273,7 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> Data
     at = common.position(df, text_col)
     plain = df.toDF(*(f"c{k}" for k in range(len(names))))
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             yield rows.filter(pa.array([not shared.value.predict(None if (t := x.as_py()) is None else str(t))[2] for x in rows.column(at)], pa.bool_()))

@@ -28,8 +28,10 @@ def test_odd_rows(docs, odd, odd_rows, none):
     assert {2, 3, 4} <= blank and 8 not in blank
     assert langid.predict(none, model).count() == 0
     assert langid.keep_identified(odd, model).columns == odd.columns
-    kept = langid.keep_identified(odd, model)
-    assert not {2, 3, 4} & {r["doc_id"] for r in kept.collect()} and kept.where("doc_id = 7").count() == 2
+    rejected = {r["doc_id"] for r in got if r["rejected"]} | {None}
+    assert {2, 3, 4} <= rejected and {r["doc_id"] for r in langid.keep_identified(odd, model).collect()} | {None} == {d for d, _ in odd_rows} - rejected | {None}
+    twice = docs.where("doc_id = 1").union(docs.where("doc_id = 1"))
+    assert langid.keep_identified(twice, model).count() == 2
 
 
 def test_no_labels(docs, spark):
@@ -50,3 +52,36 @@ def test_long_texts_are_read_whole(docs):
     assert model.predict("the of and " * 100_000)[0] == model.predict("the of and " * 10)[0]
     at, n = langid.features("ab " * 200_000)
     assert n.sum() >= 200_000 * 8
+
+
+FOREIGN = [
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van, az emberek ésszel és lelkiismerettel bírván egymással szemben testvéri szellemben kell hogy viseltessenek",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa",
+    "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства",
+    "すべての人間は生まれながらにして自由でありかつ尊厳と権利とについて平等である",
+]
+
+
+def test_rejection(spark):
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs.where(~langid.train_held_out(F.col("doc_id"))))
+    rng = random.Random(3)
+    noise = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxzyaeiou") for _ in range(rng.randrange(2, 12))) for _ in range(n)) for n in (20, 60, 300)]
+    for text in FOREIGN + noise:
+        assert model.predict(text)[2], text[:30]
+    one = langid.train(docs.where("lang = 'en'"))
+    assert all(one.predict(t)[2] for t in FOREIGN + noise)
+    n, kept = docs.count(), langid.keep_identified(docs, model).count()
+    assert kept >= 0.995 * n
+
+
+def test_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FAMILIAR", 20)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(f"l{a}{b}", " ".join(f"{x}{a}{y}{b}" for x in letters[k::5] for y in letters[k::7])) for a in letters[:15] for b in letters[:15] for k in range(4)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    model = langid.train(df, epochs=12)
+    assert len(model.languages) == 225 and len(model.familiar) == 1 and model.table.shape[1] == 16
+    assert sum(model.predict(t)[0] == lang for lang, t in rows) > 0.8 * len(rows)
