@@ -1,12 +1,13 @@
 """Repeated passages by prefix-partitioned suffix trees, and their removal.
 
-A passage counts as repeated from `words` words (50). Only suffixes that can lie on a repeat are kept: every window of 50 words has an
-anchor, the 16-word run in it with the smallest hash, so equal windows have equal anchors, and a suffix's prefix is the anchor of its
-first window. Prefixes that only one document holds are dropped; the rest split the suffixes into groups of memory size, one subtree
-each. Where a prefix has too many suffixes it is lengthened to all 50 words, which leaves nothing of the subtree but its nodes'
-smallest documents, an aggregation with map-side combine. In a subtree, suffixes sorted by their first 50 words stand side by side
-below one internal node of at least that depth: a node over two documents is a repeat, and adjacent repeats make a maximal one.
-Words are compared by two 64-bit hashes, of the prefix and of the window.
+A passage counts as repeated from `words` words (50). Every run of 50 words has an anchor, the 16 words in it with the smallest hash, so
+equal passages have equal anchors; anchors that only one document holds are dropped. The suffixes that begin a run with a shared anchor
+are dealt out by that prefix, one subtree each, together with their words. A subtree is built as a suffix array by prefix doubling over
+the words themselves: suffixes that agree in 1, 2, 4 ... 32 and at last 50 words take one rank, and the ranks at 50 words are the tree's
+internal nodes cut at that depth. A node over two documents is a repeat, and adjacent repeated suffixes make a maximal one.
+
+Where a prefix has too many suffixes for one task's memory it is lengthened to all 50 words. That leaves one node to a prefix, whose
+smallest document an aggregation with map-side combine finds; these words are compared by two independent 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ from tessera.llm import common
 
 WORDS = 50
 PREFIX = 16
-#: suffix groups above this many document passages (some 6 MB of labels) take the long prefix
-GROUP = 32_768
-_OTHER = 0xD6E8FEB86659FD93
+#: prefixes with more runs of suffixes than this (some 5 MB of words) are lengthened
+GROUP = 8192
+_OTHER, _CHECK = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
-def anchored(buf: np.ndarray, offsets: np.ndarray, words: int, prefix: int) -> tuple[np.ndarray, ...]:
+def anchored(buf: np.ndarray, offsets: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray], words: int, prefix: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: row, first window (word within the row), windows, anchor hash; and word hashes, run starts."""
-    starts, ends, first = common.word_spans(buf, offsets)
+    starts, ends, first = spans
     hashes = common.span_hashes(buf, starts, ends)
     n = len(hashes) - words + 1
     none = np.zeros(0, np.int64)
@@ -68,20 +69,44 @@ def inputs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("k_id"), F.col("row_hash").alias("k_hash"), "text")
 
 
+def run_texts(buf: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The words of runs (first word, number of words), parted by one space each."""
+    starts, ends, _ = spans
+    inside = ~common.SPACE[buf]
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    place = np.cumsum(keep) - 1
+    plain = memoryview(np.where(inside, buf, np.uint8(0x20))[keep])
+    lo, hi = place[starts[at]], place[ends[at + n - 1] - 1] + 1
+    return pa.array([bytes(plain[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+
+
+def nodes(ids: np.ndarray, depth: int) -> np.ndarray:
+    """For each suffix of the words `ids` with at least `depth` words its node at that depth: equal for suffixes that agree so far, in their order."""
+    rank, d = np.unique(ids, return_inverse=True)[1].astype(np.int64), 1
+    while d < depth:
+        step = min(d, depth - d)
+        key = rank[: len(rank) - step] * (int(rank.max(initial=0)) + 1) + rank[step:]
+        rank, d = np.unique(key, return_inverse=True)[1].astype(np.int64), d + step
+    return rank
+
+
 def subtrees(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Covered word ranges from suffix groups sorted by prefix: k_id, k_hash, start, stop."""
+    """Covered word ranges from runs of suffixes sorted by prefix: k_id, k_hash, start, stop."""
     for table in common.whole_groups(batches, ["prefix"]):
-        prefix, doc, count, first = (table[c].to_numpy() for c in ("prefix", "k_id", "windows", "first"))
-        labels, _ = common.byte_buffer(table["labels"].chunk(0))
-        label = labels.view(np.uint64)
+        doc, count, first = (table[c].to_numpy() for c in ("k_id", "windows", "first"))
+        buf, offsets = common.byte_buffer(table["words"].chunk(0))
+        starts, ends, word = common.word_spans(buf, offsets)
+        texts = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(texts), pa.py_buffer(np.ascontiguousarray(buf[buf != 0x20]))]).dictionary_encode()
+        node_at = nodes(coded.indices.to_numpy(), words)
         run = np.repeat(np.arange(len(count)), count)
-        group = np.cumsum(np.concatenate([[0], prefix[1:] != prefix[:-1]]))[run]
-        order = np.lexsort((doc[run], label, group))
-        node = np.ones(len(order), bool)
-        node[1:] = (label[order][1:] != label[order][:-1]) | (group[order][1:] != group[order][:-1])
-        least = doc[run][order][np.flatnonzero(node)][np.cumsum(node) - 1]
-        later = np.zeros(len(order), bool)
-        later[order] = doc[run][order] > least
+        before = np.concatenate([[0], np.cumsum(count)])
+        node = node_at[word[run] + np.arange(before[-1]) - before[run]]
+        owner = doc[run]
+        least = np.full(int(node.max(initial=-1)) + 1, common.NULL_ID)
+        np.minimum.at(least, node, owner)
+        later = owner > least[node]
         edge = later.copy()
         edge[1:] &= ~(later[:-1] & (run[1:] == run[:-1]))
         at = np.flatnonzero(edge)
@@ -90,7 +115,7 @@ def subtrees(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
         total = np.concatenate([[0], np.cumsum(later)])
         n = total[np.append(at[1:], len(later))] - total[at]
         own = run[at]
-        start = first[own] + at - np.concatenate([[0], np.cumsum(count)])[own]
+        start = first[own] + at - before[own]
         yield common.batch(k_id=doc[own], k_hash=table["k_hash"].to_numpy()[own], start=start, stop=start + n - 1 + words)
 
 
@@ -105,9 +130,10 @@ def repeated_spans(df: DataFrame, words: int = WORDS, group: int = GROUP, id_col
     docs = inputs(df, id_col, text_col)
     spark = df.sparkSession
 
+    @common.tidy
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets in blocks(batches):
-            row, _, _, key, _, _ = anchored(buf, offsets, words, PREFIX)
+            row, _, _, key, _, _ = anchored(buf, offsets, common.word_spans(buf, offsets), words, PREFIX)
             yield common.batch(prefix=common.signed(key), k_id=rows.column("k_id").to_numpy()[row])
 
     held = docs.mapInArrow(anchors, "prefix long, k_id long").groupBy("prefix").agg(F.min("k_id").alias("low"), F.max("k_id").alias("high"), F.count(F.lit(1)).alias("n"))
@@ -115,39 +141,38 @@ def repeated_spans(df: DataFrame, words: int = WORDS, group: int = GROUP, id_col
     shared = common.Bloom(spark, repeated, "prefix", 26)
     large = common.Bloom(spark, repeated.where(F.col("n") > group), "prefix", 22)
 
+    @common.tidy
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets in blocks(batches):
-            row, first, count, key, hashes, at = anchored(buf, offsets, words, PREFIX)
+            spans = common.word_spans(buf, offsets)
+            row, first, count, key, hashes, at = anchored(buf, offsets, spans, words, PREFIX)
             kept = np.flatnonzero(shared.has(key)) if len(key) else np.zeros(0, np.int64)
             if not len(kept):
                 continue
-            label = common.window_hashes(hashes, words, _OTHER)
+            owner = {c: rows.column(c).to_numpy() for c in ("k_id", "k_hash")}
             long_prefix = large.has(key[kept])
-            for flag, some in ((False, kept[~long_prefix]), (True, kept[long_prefix])):
-                if not len(some):
-                    continue
+            some = kept[~long_prefix]
+            if len(some):
+                texts = run_texts(buf, spans, at[some], count[some] + words - 1)
+                yield common.batch(prefix=common.signed(key[some]), check=pa.nulls(len(some), pa.int64()), **{c: x[row[some]] for c, x in owner.items()}, first=first[some], windows=count[some], words=texts)
+            some = kept[long_prefix]
+            if len(some):
                 n = count[some]
                 ends = np.cumsum(n)
                 inner = np.arange(ends[-1]) - np.repeat(ends - n, n)
-                own = label[np.repeat(at[some], n) + inner]
-                if flag:
-                    some, begin, prefix, n = np.repeat(some, n), np.repeat(first[some], n) + inner, own, np.ones(len(own), np.int64)
-                    labels = pa.nulls(len(own), pa.binary())
-                else:
-                    begin, prefix = first[some], key[some]
-                    bounds = np.concatenate([[0], ends * 8]).astype(np.int32)
-                    labels = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(own))])
-                doc = row[some]
-                yield common.batch(
-                    long_prefix=np.full(len(some), flag), prefix=common.signed(prefix), k_id=rows.column("k_id").to_numpy()[doc], k_hash=rows.column("k_hash").to_numpy()[doc], first=begin, windows=n, labels=labels
-                )
-
-    found = common.stored(docs.mapInArrow(suffixes, "long_prefix boolean, prefix long, k_id long, k_hash long, first long, windows long, labels binary"))
-    grouped = found.where("not long_prefix").drop("long_prefix").repartition("prefix").sortWithinPartitions("prefix")
-    small = grouped.mapInArrow(lambda x: subtrees(x, words), "k_id long, k_hash long, start long, stop long")
-    hot = found.where("long_prefix").select("prefix", "k_id", "k_hash", "first")
-    nodes = hot.groupBy("prefix").agg(F.min("k_id").alias("least"))
-    later = hot.join(nodes, "prefix").where("k_id > least").select("k_id", "k_hash", F.col("first").alias("start"), (F.col("first") + words).alias("stop"))
+                place = np.repeat(at[some], n) + inner
+                prefix, check = (common.window_hashes(hashes, words, m)[place] for m in (_OTHER, _CHECK))
+                yield common.batch(prefix=common.signed(prefix), check=common.signed(check), **{c: np.repeat(x[row[some]], n) for c, x in owner.items()}, first=np.repeat(first[some], n) + inner, windows=np.ones(len(place), np.int64), words=pa.nulls(len(place), pa.binary()))
+
+    found = common.stored(docs.mapInArrow(suffixes, "prefix long, check long, k_id long, k_hash long, first long, windows long, words binary"))
+    shared.drop()
+    large.drop()
+    grouped = found.where("check is null").drop("check").repartition("prefix").sortWithinPartitions("prefix")
+    small = grouped.mapInArrow(common.tidy(lambda x: subtrees(x, words)), "k_id long, k_hash long, start long, stop long")
+    hot = found.where("check is not null").select("prefix", "check", "k_id", "k_hash", "first")
+    firsts = common.stored(hot.groupBy("prefix", "check").agg(F.min("k_id").alias("least"), F.max("k_id").alias("most")).where("least < most").drop("most"))
+    few = firsts.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS  # then the copies of a hot passage stay where they are
+    later = hot.join(F.broadcast(firsts) if few else firsts, ["prefix", "check"]).where("k_id > least").select("k_id", "k_hash", F.col("first").alias("start"), (F.col("first") + words).alias("stop"))
     return small.unionByName(later)
 
 
