@@ -171,9 +171,33 @@ def repeated_spans(df: DataFrame, words: int = WORDS, group: int = GROUP, id_col
     small = grouped.mapInArrow(common.tidy(lambda x: subtrees(x, words)), "k_id long, k_hash long, start long, stop long")
     hot = found.where("check is not null").select("prefix", "check", "k_id", "k_hash", "first")
     firsts = common.stored(hot.groupBy("prefix", "check").agg(F.min("k_id").alias("least"), F.max("k_id").alias("most")).where("least < most").drop("most"))
-    few = firsts.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS  # then the copies of a hot passage stay where they are
-    later = hot.join(F.broadcast(firsts) if few else firsts, ["prefix", "check"]).where("k_id > least").select("k_id", "k_hash", F.col("first").alias("start"), (F.col("first") + words).alias("stop"))
-    return small.unionByName(later)
+    if firsts.limit(common.BROADCAST_ROWS + 1).count() > common.BROADCAST_ROWS:
+        later = hot.join(firsts, ["prefix", "check"]).where("k_id > least").select("k_id", "k_hash", F.col("first").alias("start"), (F.col("first") + words).alias("stop"))
+        return small.unionByName(later)
+    # the copies of a hot passage stay where they are and look their node up
+    table = firsts.toArrow()
+    order = np.argsort(table["prefix"].to_numpy())
+    listed = spark.sparkContext.broadcast(tuple(table[c].to_numpy()[order] for c in ("prefix", "check", "least")))  # BROADCAST_ROWS at most
+
+    @common.tidy
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefix, check, least = listed.value
+        for rows in batches:
+            own, mark, doc, text, first = (rows.column(c).to_numpy() for c in ("prefix", "check", "k_id", "k_hash", "first"))
+            gone = np.zeros(len(own), bool)
+            at, end = np.searchsorted(prefix, own, "left"), np.searchsorted(prefix, own, "right")
+            for step in range(int((end - at).max(initial=0))):  # one, unless prefixes collide
+                k = np.minimum(at + step, len(prefix) - 1)
+                gone |= (at + step < end) & (check[k] == mark) & (doc > least[k])
+            use = np.flatnonzero(gone)
+            doc, text, first = doc[use], text[use], first[use]
+            begin = np.ones(len(use), bool)
+            begin[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (first[1:] != first[:-1] + 1)
+            start = np.flatnonzero(begin)
+            if len(start):
+                yield common.batch(k_id=doc[start], k_hash=text[start], start=first[start], stop=first[np.append(start[1:], len(use)) - 1] + words)
+
+    return small.unionByName(hot.mapInArrow(looked_up, "k_id long, k_hash long, start long, stop long"))
 
 
 TEXTS = "doc_id long, k_hash long, n_words long, n_removed long, text string"
