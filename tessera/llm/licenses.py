@@ -1,8 +1,10 @@
 """License scans: an Aho-Corasick automaton over words for notice phrases and identifier tags, a shunting-yard parser for expressions.
 
 A text is lower-cased (A-Z) and read as words of digits, letters and non-ASCII bytes. Phrases are found where their words stand
-consecutively. The tag "SPDX-License-Identifier:" is found by its words and followed in the raw text by an expression, of any length up
-to the line's end, of identifiers with AND, OR, WITH and brackets; its identifiers become labels and its value tells whether a permissive choice satisfies it.
+consecutively. Tags are found by their words too and followed in the raw text by an expression, of any length, of identifiers with AND,
+OR, WITH and brackets; its identifiers become labels and its value tells whether a permissive choice satisfies it. The tags are
+"SPDX-License-Identifier:" and "license:" (or "licence", with quotes or "=" as in manifests), which counts only where all its identifiers
+are known. An expression ends with its line, unless an operator or an open bracket there asks for more.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from tessera.llm import common
 
 #: phrases whose places are counted, and their labels
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: further notices that give a label only
+# Further notices that give a label only.
 NOTICES = {
     "licensed under the apache": "apache",
     "permission is hereby granted free of charge": "mit",
@@ -27,44 +29,76 @@ NOTICES = {
     "bsd license": "bsd",
     "mozilla public license": "mpl",
     "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
     "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "cc by sa": "cc-by-sa",
+    "cc by nc": "cc-by-nc",
     "creative commons zero": "cc0",
+    "cc0 1 0 universal": "cc0",
     "eclipse public license": "epl",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "common public license": "cpl",
+    "open software license": "osl",
+    "academic free license": "afl",
+    "artistic license": "artistic",
+    "boost software license": "bsl",
+    "sil open font license": "ofl",
+    "microsoft public license": "ms-pl",
+    "microsoft reciprocal license": "ms-rl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "open database license": "odbl",
+    "python software foundation license": "psf",
+    "postgresql license": "postgresql",
+    "zlib license": "zlib",
     "isc license": "isc",
+    "x11 license": "x11",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "do what the fuck you want to public license": "wtfpl",
     "all rights reserved": "proprietary",
 }
-#: first words of an identifier, its label, and whether it is permissive
-FAMILIES = {"mit": True, "apache": True, "bsd": True, "isc": True, "cc0": True, "unlicense": True, "cc-by": True, "zlib": True, "mpl": False, "lgpl": False, "gpl": False, "agpl": False, "epl": False}
-TAG = b"spdx-license-identifier:"
-TAG_WORDS = "spdx license identifier"
+# First parts of identifiers, which are their labels, and whether they are permissive.
+PERMISSIVE = ["mit", "apache", "bsd", "0bsd", "isc", "cc0", "unlicense", "cc-by", "zlib", "bsl", "psf", "python", "postgresql", "x11", "ncsa", "afl", "ecl", "wtfpl", "ofl", "artistic", "ms-pl", "curl", "openssl", "php", "vim"]
+OTHERS = ["mpl", "lgpl", "gpl", "agpl", "gfdl", "epl", "cddl", "eupl", "cpl", "ipl", "osl", "ms-rl", "sspl", "busl", "odbl", "cc-by-sa", "cc-by-nc", "cc-by-nd"]
+FAMILIES = {**dict.fromkeys(PERMISSIVE, True), **dict.fromkeys(OTHERS, False)}
+#: words of the tags, and what must stand in the raw text for each
+TAGS = {"spdx license identifier": re.compile(rb"spdx-license-identifier:", re.I), "license": re.compile(rb"licen[cs]e[\"']?[ \t]*[:=][ \t]*[\"']?", re.I), "licence": re.compile(rb"licen[cs]e[\"']?[ \t]*[:=][ \t]*[\"']?", re.I)}
+SURE = "spdx license identifier"
 WORD = re.compile(rb"[^ ]+")
-TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
-TOKEN_OR_END = re.compile(TOKEN.pattern.encode() + rb"|[\r\n]")
+TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+TOKEN_OR_END = re.compile(TOKEN.pattern.encode() + rb"|[\r\n]+")
+END = "\n"
 BINDING = {"OR": 1, "AND": 2, "WITH": 3}
 #: lower-cases A-Z, keeps digits, a-z and bytes over 0x7F, and turns the rest into spaces
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b > 0x7F or 0x61 <= b <= 0x7A or 0x30 <= b <= 0x39 else 32 for b in range(256))
 
 
-def line_tokens(text: bytes, at: int) -> Iterator[str]:
-    """The tokens from byte `at` to the end of its line, one by one."""
+def tokens_from(text: bytes, at: int) -> Iterator[str]:
+    """The tokens from byte `at` on, one by one, and END for the end of each line."""
     for m in TOKEN_OR_END.finditer(text, at):
-        if m[0] in b"\r\n":
-            return
-        yield m[0].decode()
+        yield END if m[0][0] in b"\r\n" else m[0].decode()
 
 
 def postfix(expression: str | Iterable[str]) -> list[str] | None:
     """Identifiers and operators in postfix order by a shunting yard; null if the leading part of the text is no expression.
 
-    Reading stops before the first token that cannot follow, so words after an expression do no harm; an open bracket does.
+    Reading stops before the first token that cannot follow, so words after an expression do no harm; an open bracket does. A line's end
+    stops it too, unless an operator or an open bracket stands before it.
     """
     out: list[str] = []
     stack: list[str] = []
     operand = True  # whether an identifier must come next
     for t in TOKEN.findall(expression) if isinstance(expression, str) else expression:
         op = t.upper() if t.upper() in BINDING else None
-        if operand:
+        if t == END:
+            if not stack or (not operand and "(" not in stack):
+                break
+        elif operand:
             if t == "(":
                 stack.append(t)
             elif op or t == ")":
@@ -118,7 +152,8 @@ def automaton():  # noqa: ANN201  the type belongs to a compiled module
     out = ahocorasick.Automaton()
     for phrase, label in {**NOTICES, **BASE}.items():
         out.add_word(f" {phrase} ", (phrase, label, phrase in BASE))
-    out.add_word(f" {TAG_WORDS} ", (TAG_WORDS, None, False))
+    for words in TAGS:
+        out.add_word(f" {words} ", (words, None, False))
     out.make_automaton()
     return out
 
@@ -136,13 +171,10 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
     starts: list[int] = []
     evidence = 0
     counted, at = 0, 0
-    tags: deque[int] = deque()
-    before, until = 0, 0
+    places: list[tuple[int, str]] = []
     for end, (phrase, label, is_base) in automaton().iter(joined):
         if label is None:
-            begin = end - len(phrase) - 1
-            before, until = before + joined.count(" ", until, begin), begin
-            tags.append(before)
+            places.append((end - len(phrase) - 1, phrase))
             continue
         labels.add(label)
         evidence += 1
@@ -155,15 +187,25 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
                 starts.append(joined.count(" ", 0, begin))
             base.add(label)
     permissive = None
+    tags: deque[tuple[int, str]] = deque()  # the first word of each
+    before = until = 0
+    for begin, phrase in sorted(places):
+        before, until = before + joined.count(" ", until, begin), begin
+        tags.append((before, phrase))
+    done = 0  # a tag inside another's words is no tag of its own
     for n, word in enumerate(WORD.finditer(plain)) if tags else ():
-        if not tags or n != tags[0]:
-            continue
-        tags.popleft()
-        start, stop = word.start(), word.start() + len(TAG)
-        if text[start:stop].lower() == TAG and (found := evaluate(line_tokens(text, stop))):
-            labels |= found[0]
-            permissive = found[1] if permissive is None else permissive and found[1]
-            evidence += 3
+        while tags and n == tags[0][0]:
+            _, words_of = tags.popleft()
+            tag = TAGS[words_of].match(text, word.start()) if word.start() >= done else None
+            found = evaluate(tokens_from(text, tag.end())) if tag else None
+            if tag and words_of == SURE:
+                done = tag.end()
+            if found and (words_of == SURE or found[0] <= FAMILIES.keys()):
+                labels |= found[0]
+                permissive = found[1] if permissive is None else permissive and found[1]
+                evidence += 3
+        if not tags:
+            break
     score = 1 - 0.5 ** min(evidence, 60)
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, permissive
 
