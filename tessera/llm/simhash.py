@@ -1,7 +1,8 @@
 """Near-duplicates by SimHash: fingerprints of word shingles, pigeonhole blocks, Hamming distance, components.
 
 Fingerprints that differ in at most 4 of 64 bits agree in at least two of six blocks, so each distinct fingerprint goes to the 15 pairs
-of blocks and only fingerprints under the same pair are compared.
+of blocks and only fingerprints under the same pair are compared. A pair has 21 or 22 bits, too few to part very many fingerprints; then
+seven or eight blocks, of which three or four agree, make keys of 27 or 32 bits.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: widths of the six blocks, low bits first
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: blocks for so many distinct fingerprints
+BLOCKS = ((6, 1 << 24), (7, 1 << 30), (8, 1 << 62))
 DISTANCE = 4
 TILE = 4096
 
@@ -81,14 +82,27 @@ def close_pairs(batches: Iterator[pa.RecordBatch], distance: int = DISTANCE) ->
             yield common.batch(a=x, b=y)
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def block_keys(blocks: int, distance: int) -> list[Column]:
+    """A key for each set of blocks that may be equal in fingerprints (column fp) within `distance` bits: its number above its bits."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    block = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in itertools.pairwise(edges)]
+    keys = []
+    for n, chosen in enumerate(itertools.combinations(range(blocks), blocks - distance)):
+        key = F.lit(n).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(block[i])
+        keys.append(key)
+    return keys
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all those within `distance` bits, at most 4."""
-    if distance > len(BLOCKS) - 2:
-        raise ValueError(f"six blocks find at most {len(BLOCKS) - 2} differing bits")
-    shifts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    block = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(shifts, BLOCKS, strict=True)]
-    keys = [F.lit(n << 22) + block[i] * F.lit(1 << 11) + block[j] for n, (i, j) in enumerate(itertools.combinations(range(len(BLOCKS)), 2))]
-    spread = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    if blocks is None:
+        n = distinct.count()
+        blocks = next(b for b, most in BLOCKS if n < most)
+    if distance > min(DISTANCE, blocks - 2):
+        raise ValueError(f"{blocks} blocks find at most {min(DISTANCE, blocks - 2)} differing bits")
+    spread = distinct.select(F.explode(F.array(*block_keys(blocks, distance))).alias("key"), "fp")
     cut = common.tiled(spread, "key", "fp", TILE)
     group = ["key", "tile_a", "tile_b"]
     near = cut.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda x: close_pairs(x, distance), "a long, b long")
@@ -102,13 +116,18 @@ def near_duplicates(df: DataFrame, width: int = 4, distance: int = DISTANCE, id_
     minimum; a component without an id has component_id null. Repeated rows each keep their row. An empty table gives no rows.
     """
     docs = common.stored(fingerprints(df, width, id_col, text_col))
-    distinct = common.stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = common.stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = common.components(links(distinct, distance)).select(F.col("node").alias("fp"), "root")
     named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # only fingerprints with a link share a root: the aggregation is of roots, the join of at most as many rows as fingerprints
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(ids, "root").select("fp", "root", "component_id")
-    return docs.join(labels, "fp")
+    labels = common.stored(named.join(ids, "root").select("fp", "root", "component_id", "n"))
+    hot = labels.where(F.col("n") > TILE).drop("n")
+    if not 0 < hot.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
+        return docs.join(labels.drop("n"), "fp")
+    # the copies of a very common text stay where they are
+    rest = docs.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(labels.drop("n"), "fp")
+    return rest.unionByName(docs.join(F.broadcast(hot), "fp"))
 
 
 def drop_near_duplicates(df: DataFrame, width: int = 4, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

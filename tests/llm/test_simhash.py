@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -108,3 +109,22 @@ def test_tiles_meet(spark):
     assert all((x, y) in meet for x in range(300) for y in range(300) if x % 3 // 2 == y % 3 // 2)
     assert max(map(len, groups.values())) <= 120
     assert cut and F
+
+
+@pytest.mark.parametrize("blocks", [6, 7, 8])
+def test_blocks_lose_no_link(spark, blocks):
+    rng = random.Random(blocks)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    near = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(1, 7))) for b in base for _ in range(6)]
+    every = sorted({*base, *near})
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in every], "fp long")
+    got = {frozenset((r["a"] % 2**64, r["b"] % 2**64)) for r in simhash.links(df, blocks=blocks).collect()}
+    want = {(a, b) for i, a in enumerate(every) for b in every[:i] if (a ^ b).bit_count() <= 4}
+    assert plain_components(every, [tuple(x) for x in got]) == plain_components(every, want)
+
+
+def test_hot_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 3)
+    rows = [(i, "the very same words here") for i in range(20)] + [(i + 20, f"other words {i}") for i in range(5)] + [(None, None)] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(df).collect()) == expected(rows)
