@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 #: runs encoded at once
 SLICE = 4096
+#: words by which an encoder tells what its tokenizer does
+PROBES = ("a", "Word", "MIXEDcase", "naïve", "x1", "the", "Überraschung", "ÉTÉ", "internationalisation", "ﬁ", "Ñandú", "don't")
 
 
 def vocabulary_path(name: str) -> str:
@@ -25,8 +27,9 @@ def vocabulary_path(name: str) -> str:
 class ChunkEncoder:
     """Encodes texts by a tokenizer that drops white space and never joins what white space parts.
 
-    Each distinct run of other characters is encoded once and its ids are kept, up to `keep` runs; then the store starts afresh. The
-    tokenizer must also lower-case and part letters from punctuation, so that runs lower-cased and cut there beforehand give the same ids.
+    Each distinct run of other characters is encoded once and its ids are kept, up to `keep` runs; then the store starts afresh. Where
+    the tokenizer lower-cases, and where it parts letters from punctuation, runs are lower-cased and cut there beforehand, so that fewer
+    are distinct. PROBES tell what it does when the encoder is made; one that joins what white space parts encodes whole texts.
     """
 
     def __init__(self, vocabulary: str, keep: int = 400_000) -> None:
@@ -34,8 +37,14 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.keep = keep
+        self.lowers = all(self.ids_of(x) == self.ids_of(x.lower()) for x in PROBES)
+        self.cuts = all(self.ids_of(x + sign) == self.ids_of(x) + self.ids_of(sign) for x in PROBES for sign in ".,;:!?")
+        self.parts = all(self.ids_of(f"{x} {y}\n\t{x} ") == self.ids_of(x) + self.ids_of(y) + self.ids_of(x) for x in PROBES for y in PROBES)
         self.clear()
 
+    def ids_of(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def clear(self) -> None:
         self.row: dict[str, int] = {}
         self.ids, self.offsets = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
@@ -63,11 +72,16 @@ class ChunkEncoder:
     def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """A store row for each run of the texts, in order, and the first run of each text (one more entry than texts)."""
         texts = pc.fill_null(texts, "")
-        plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-zß-öø-ÿ])([.,;:!?])", r"\1 \2")
+        plain = pc.ascii_lower(texts) if self.lowers else texts
+        if self.cuts:
+            plain = pc.replace_substring_regex(plain, r"([a-zß-öø-ÿ])([.,;:!?])", r"\1 \2")
         special = pc.match_substring(texts, "<|")  # may be a special token, which is told by its case
         if pc.any(special).as_py():
             plain = pc.if_else(special, texts, plain)
-        runs = pc.ascii_split_whitespace(plain)
+        if self.parts:
+            runs = pc.ascii_split_whitespace(plain)
+        else:
+            runs = pa.ListArray.from_arrays(pa.array(range(len(texts) + 1), pa.int32()), texts)
         flat = runs.flatten()
         coded = flat.dictionary_encode()
         names = coded.dictionary.to_pylist()

@@ -86,3 +86,24 @@ def test_answers(docs, doc_rows):
     assert got == {x: (sum(k > x for k in n), sum(min(k, x) for k in n)) for x in (0, 100, 777, 10**6)}
     got = {r["share"]: r["n_tokens"] for r in token_counts.quantiles(hist, [0.5, 1.0]).collect()}
     assert got == {q: min(x for x in n if sum(k <= x for k in n) >= q * len(n)) for q in (0.5, 1.0)}
+
+
+def test_tokenizers_of_other_kinds(tmp_path):
+    import pyarrow as pa
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    from tessera.llm.tokenizing import ChunkEncoder
+
+    texts = ["Hello WORLD. a.b  c\n\td!", "", None, "hello world", "x" * 50 + " Y,z"]
+    vocabulary = {c: i for i, c in enumerate(sorted(set("".join(t or "" for t in texts)) | set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789.,;:!?'éïüÜñÑúÉTﬁ\n\tĠ")))}
+    for k, (normal, pre) in enumerate([(None, pre_tokenizers.WhitespaceSplit()), (normalizers.Lowercase(), pre_tokenizers.Whitespace()), (None, pre_tokenizers.ByteLevel(add_prefix_space=False)), (None, None)]):
+        own = Tokenizer(models.BPE(vocab={**vocabulary, "he": len(vocabulary), "HE": len(vocabulary) + 1}, merges=[("h", "e")]))
+        if normal:
+            own.normalizer = normal
+        if pre:
+            own.pre_tokenizer = pre
+        own.save(f"{tmp_path}/{k}.json")
+        code = ChunkEncoder(f"{tmp_path}/{k}.json")
+        ids, first = code.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [own.encode(t or "", add_special_tokens=False).ids for t in texts], k
+        assert code.lengths(pa.array(texts)).tolist() == np.diff(first).tolist()
