@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,9 +70,11 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Callabl
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset, as in tests."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset and Spark runs in one process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.environ.setdefault("TESSERA_TEST_SHARED", tempfile.mkdtemp(prefix="tessera-"))
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"

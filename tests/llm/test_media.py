@@ -80,3 +80,25 @@ def test_cosine_hash():
     basis = media.cosine_basis(32, 32)
     assert np.allclose(basis @ basis.T, np.eye(32))
     assert len(media.cosine_hash(np.zeros((1, 192), np.uint8))) == 16
+
+
+def plain_hash(payload):
+    """The cosine hash by its definition, cell by cell and coefficient by coefficient."""
+    image = np.frombuffer(payload, np.uint8).reshape(-1, 192).astype(float)
+
+    def cells(n):
+        edges = np.linspace(0, n, 33)
+        return [(min(int(np.floor(a)), n - 1), max(int(np.ceil(b)), min(int(np.floor(a)), n - 1) + 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    small = np.array([[image[a:b, c:d].mean() for c, d in cells(192)] for a, b in cells(len(image))])
+    wave = lambda k: np.cos(np.pi * k * (2 * np.arange(32) + 1) / 64) * np.sqrt((1 if k == 0 else 2) / 32)
+    low = np.array([(np.outer(wave(k), wave(m)) * small).sum() for k in range(8) for m in range(8)]).round(6)
+    return sum(1 << (63 - i) for i, c in enumerate(low) if c > np.median(low[1:]))
+
+
+def test_features_against_the_definition(spark, docs, doc_rows, odd, odd_rows):
+    for df, rows in ((docs, doc_rows), (odd, odd_rows)):
+        got = {(str(r["doc_id"]), r["payload_sha256"]): int(r["feature"], 16) for r in media.features(media.store(df)).collect()}
+        for d, t in rows:
+            p = media.payload_of((t or "").encode())
+            assert got[str(d), hashlib.sha256(p).hexdigest()] == plain_hash(p)
