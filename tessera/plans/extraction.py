@@ -32,7 +32,7 @@ STAND_INS = {
         "orders",
         {"id": "o_orderkey", "source_id": "concat('m', o_custkey % 50)", "target_id": "concat('m', o_orderkey * 7 % 70)", "kind": "o_orderstatus", "source": "o_orderpriority", "confidence": "o_totalprice"},
     ),
-    "candidate_scores": ("labels", {"method_id": "concat('m', doc_id)", "score": "doc_id % 30", "priority": "CASE WHEN doc_id % 30 >= 18 THEN 'high' WHEN doc_id % 30 >= 8 THEN 'medium' ELSE 'low' END"}),
+    "candidate_scores": ("documents", {"method_id": "concat('m', doc_id)", "score": "doc_id % 30", "priority": "CASE WHEN doc_id % 30 >= 18 THEN 'high' WHEN doc_id % 30 >= 8 THEN 'medium' ELSE 'low' END"}),
     "candidate_signals": ("conversations", {"method_id": "concat('m', conv_id % 40)", "name": "concat(role, conv_id, '-', turn)", "count": "length(text)", "weight": "turn % 3 + 1"}),
     "business_nodes": ("part", {"id": "concat('business-node:', p_partkey)", "kind": "split_part(p_type, ' ', 1)", "name": "p_name", "statement": "p_type", "created_at": "concat('2024-01-', p_size)", "confidence": "p_retailprice / 10000"}),
     "business_edges": ("orders", {"id": "o_orderkey", "source_id": "concat('business-node:', o_custkey % 150)", "target_id": "concat('business-node:', o_orderkey % 120)", "kind": "o_orderstatus"}),

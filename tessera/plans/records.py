@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import classify, rules
+from tessera.operators import builds, classify, rules
 from tessera.plans.registry import Registry, read
 from tessera.sources import catalogues, files, formats
 
@@ -445,3 +445,82 @@ def module_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = read(spark, sf_dir, "pages").where("url is not null").select(path.alias("path"))
     every = paths.unionByName(paths.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("path"))).unionByName(spark.range(1).select(F.lit(".").alias("path"))).where("path <> ''").distinct()
     return classify.module_tree(every.select(F.concat(F.lit("module:"), "path").alias("id"), "path")).select("id", "parent_id", "depth")
+
+
+# --- builds ---
+
+CONFIGURATIONS = picked("p_partkey", ["api", "testRuntime", "custom{k}", "classpath", None, "runtimeOnly", "testCompile"])
+_SCOPE = "CASE p_partkey % 6 WHEN 1 THEN 'svc' WHEN 3 THEN 'a/b' WHEN 4 THEN 'x' ELSE '.' END"
+
+
+@query(f"SELECT DISTINCT {_SCOPE} AS module_path FROM part WHERE p_partkey % 6 <> 5")
+def build_scope_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return builds.scopes(read(spark, sf_dir, "part").select(F.expr(BUILDS).alias("file")))
+
+
+@query("SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN '.' ELSE 'a/b' END AS module_path FROM part WHERE p_partkey % 6 IN (0, 3)")
+def maven_scope_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return builds.scopes(read(spark, sf_dir, "part").select(F.expr(BUILDS).alias("file")), "pom.xml")
+
+
+@query(
+    f"WITH d AS (SELECT p_partkey, {_SCOPE} AS module_path, p_partkey % 7 AS k FROM part), e AS (SELECT module_path, p_partkey, pos, class_path FROM d JOIN (VALUES (0, 0, 'compileClasspath'), (0, 1, 'runtimeClasspath'), (1, 0, 'testRuntimeClasspath'), (5, 0, 'runtimeClasspath'), (6, 0, 'testCompileClasspath'), (6, 1, 'testRuntimeClasspath')) v(n, pos, class_path) ON n = k "
+    "UNION ALL SELECT module_path, p_partkey, 0, 'custom' || p_partkey FROM d WHERE k = 2), f AS (SELECT module_path, class_path, min(row(p_partkey, pos)) AS place FROM e GROUP BY ALL) SELECT module_path, class_path, CAST(row_number() OVER (PARTITION BY module_path ORDER BY place) - 1 AS int) AS ordinal, CASE WHEN module_path = '.' THEN 'dependencies' ELSE ':' || replace(module_path, '/', ':') || ':dependencies' END AS task FROM f"
+)
+def scope_class_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.expr(BUILDS).alias("file"), F.expr(CONFIGURATIONS).alias("configuration"))
+    return builds.scope_class_paths(rows).withColumn("task", builds.scoped_task(F.col("module_path"), "dependencies"))
+
+
+@query(
+    f"WITH d AS (SELECT p_partkey, {_SCOPE} AS module_path, CASE WHEN p_partkey % 4 > 0 THEN 'g' || p_partkey % 4 END AS group_id, 'a' || p_size AS artifact_id, p_brand AS version FROM part), "
+    "r AS (SELECT CASE l_orderkey % 3 WHEN 0 THEN '.' WHEN 1 THEN 'svc' ELSE 'x' END AS module_path, CASE WHEN l_partkey % 4 > 0 THEN 'g' || l_partkey % 4 END AS group_id, 'a' || l_linenumber AS artifact_id, CASE WHEN l_suppkey % 5 > 0 THEN 'v' || l_suppkey END AS version, row(l_orderkey, l_partkey, l_suppkey, l_extendedprice) AS ordinal FROM lineitem), "
+    "f AS (SELECT module_path, group_id, artifact_id, arg_min(row(version), ordinal) AS found FROM r GROUP BY ALL) SELECT p_partkey, coalesce(found[1], version) AS version FROM d LEFT JOIN f ON f.module_path = d.module_path AND f.group_id IS NOT DISTINCT FROM d.group_id AND f.artifact_id = d.artifact_id"
+)
+def effective_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = lambda k: F.expr(f"CASE WHEN {k} % 4 > 0 THEN concat('g', {k} % 4) END").alias("group_id")
+    declared = read(spark, sf_dir, "part").select("p_partkey", F.expr(BUILDS).alias("file"), group("p_partkey"), F.expr("concat('a', p_size)").alias("artifact_id"), F.col("p_brand").alias("version"))
+    resolved = read(spark, sf_dir, "lineitem").select(
+        F.expr("CASE l_orderkey % 3 WHEN 0 THEN '.' WHEN 1 THEN 'svc' ELSE 'x' END").alias("module_path"), group("l_partkey"), F.expr("concat('a', l_linenumber)").alias("artifact_id"),
+        F.expr("CASE WHEN l_suppkey % 5 > 0 THEN concat('v', l_suppkey) END").alias("version"), F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice").alias("ordinal"),
+    )
+    return builds.effective_versions(declared, resolved).select("p_partkey", "version")
+
+
+@query(
+    f"WITH v AS (SELECT {_SCOPE} AS module_path, p_partkey AS ordinal, CASE WHEN p_size % 3 = 0 THEN 'source' ELSE 'toolchain' END AS kind, CAST(p_size AS varchar) AS version FROM part WHERE p_partkey % 6 <> 4) "
+    "SELECT m.module_path, coalesce(arg_min(version, row(kind <> 'source', ordinal)), (SELECT arg_min(version, row(kind <> 'source', ordinal)) FROM v)) AS source_java FROM (VALUES ('.'), ('svc'), ('a/b'), ('x')) m(module_path) LEFT JOIN v ON v.module_path = m.module_path GROUP BY m.module_path"
+)
+def source_java(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = read(spark, sf_dir, "part").where("p_partkey % 6 <> 4").select(F.expr(BUILDS).alias("file"), F.col("p_partkey").alias("ordinal"), F.expr("CASE WHEN p_size % 3 = 0 THEN 'source' ELSE 'toolchain' END").alias("kind"), F.col("p_size").cast("string").alias("version"))
+    modules = spark.createDataFrame([(".",), ("svc",), ("a/b",), ("x",)], "module_path string")
+    return builds.source_java(versions, modules)
+
+
+@query(
+    "WITH u AS (SELECT DISTINCT s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 'g' ELSE '' END || ':a' || s_suppkey % 3 AS key FROM supplier) "
+    "SELECT n_nationkey AS id, n_name AS name, 'p' || n_nationkey AS path, coalesce(string_agg(key, ',' ORDER BY key), '') AS used FROM nation LEFT JOIN u ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name"
+)
+def module_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("module_id"), F.expr("CASE WHEN s_suppkey % 2 = 0 THEN 'g' END").alias("group_id"), F.expr("concat('a', s_suppkey % 3)").alias("artifact_id"))
+    modules = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.expr("concat('p', n_nationkey)").alias("path"))
+    return builds.module_summaries(modules, used).withColumn("used", F.array_join("used_dependencies", ",")).drop("used_dependencies")
+
+
+@query("SELECT o_orderkey AS task_id, 'p' || o_custkey % 30 AS module_path, 'f' || o_orderkey % 40 AS source_file, n_name AS module_name, '/src/f' || o_orderkey % 40 AS source_path, '/new/f' || o_orderkey % 40 AS expected_path FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 30 WHERE o_orderkey % 40 NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 8)")
+def pending_task_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS task_id", "concat('p', o_custkey % 30) AS module_path", "concat('f', o_orderkey % 40) AS source_file")
+    done = read(spark, sf_dir, "supplier").where("s_suppkey < 8").select(F.expr("concat('f', s_suppkey)").alias("path"))
+    summaries = read(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "n_name AS name", "concat('p', n_nationkey) AS path", "array('x') AS used_dependencies")
+    found = builds.task_contexts(builds.pending_tasks(tasks, done), summaries, "/src", "/new/")
+    return found.select("task_id", "module_path", "source_file", F.col("module.name").alias("module_name"), "source_path", "expected_path")
+
+
+DECLARED = picked("s_suppkey", ["List<Order>", "Map<String, List<T>>", "int", "Order{k}", "java.util.Map<A, B>"])
+
+
+@query(
+    "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'List|List<Order>|Order' WHEN 1 THEN 'List|List<T>|Map|Map<String, List<T>>|String|T' WHEN 2 THEN 'int' WHEN 3 THEN 'Order' || s_suppkey ELSE 'A|B|java.util.Map|java.util.Map<A, B>' END AS types FROM supplier"
+)
+def type_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(builds.type_texts(F.expr(DECLARED)), "|").alias("types"))
