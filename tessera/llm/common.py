@@ -26,8 +26,8 @@ LOWER[0x41:0x5B] += 0x20
 #: a document id that is null orders behind every other
 NULL_ID = (1 << 63) - 1
 BLOCK = 1 << 20
-#: rows of two numbers that may be broadcast; a longer table is joined by a shuffle
-BROADCAST_ROWS = 100_000
+#: rows of a few numbers that may be broadcast (some 16 MB); a longer table is joined by a shuffle
+BROADCAST_ROWS = 400_000
 #: rows that are packed for one bucket, about
 BUCKET_ROWS = 100_000
 
@@ -88,6 +88,11 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def few(df: DataFrame) -> bool:
+    """Whether a stored table of a few numbers a row may be broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def byte_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column without copying, and where each row begins (one more offset than rows); null is empty."""
     if column.null_count:

@@ -301,18 +301,24 @@ PAIRS = "a long, b long, token long"
 def similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, parse: Callable = Lines) -> DataFrame:
     """The pairs (a, b), stored, whose token sets have Jaccard 0.8 or more.
 
-    The sets (lines, or what else `parse` reads) are read anew from the documents that hold their first places, which Bloom filters of
-    fixed size tell; both joins share one exchange of the sets, and one set of each pair moves to the other's.
+    The sets (lines, or what else `parse` reads) are read anew from the documents that hold their first places, which a checked broadcast or
+    a Bloom filter of fixed size tells; both joins share one exchange of the sets, and one set of each pair moves to the other's.
     """
     spark = docs.sparkSession
     keys = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "snappy")
     wanted = common.Bloom(spark, keys, "key", 24)
-    holders = common.Bloom(spark, distinct.select("key", F.xxhash64("at.k_id", "at.k_hash").alias("holder")).join(keys, "key", "left_semi").select("holder").distinct(), "holder", 24)
+    holders = common.stored(distinct.select("key", F.xxhash64("at.k_id", "at.k_hash").alias("holder")).join(keys, "key", "left_semi").select("holder").distinct(), "snappy")
+    docs = docs.select(F.xxhash64("k_id", "k_hash").alias("holder"), "text")
+    held = None
+    if common.few(holders):  # other documents do not even reach the workers
+        docs = docs.join(F.broadcast(holders), "holder", "left_semi")
+    else:
+        held = common.Bloom(spark, holders, "holder", 24)
 
     @common.tidy
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (part.filter(pa.array(holders.has(part.column("holder").to_numpy().view(np.uint64)))) for part in batches)
-        for _, buf, offsets in blocks(held):
+        parts = batches if held is None else (part.filter(pa.array(held.has(part.column("holder").to_numpy().view(np.uint64)))) for part in batches)
+        for _, buf, offsets in blocks(parts):
             x = parse(buf, offsets)
             _, once = np.unique(x.key, return_index=True)
             once = once[wanted.has(x.key[once])]
@@ -321,13 +327,14 @@ def similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, parse: Calla
             at = np.repeat(x.first[once] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
             yield common.batch(key=common.signed(x.key[once]), tokens=pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), common.signed(x.token[at])))
 
-    sets = docs.select(F.xxhash64("k_id", "k_hash").alias("holder"), "text").mapInArrow(fetch, "key long, tokens array<long>").dropDuplicates(["key"])
+    sets = docs.mapInArrow(fetch, "key long, tokens array<long>").dropDuplicates(["key"])
     of_a, of_b = (sets.select(F.col("key").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
     both = pairs.join(of_b, "b").join(of_a, "a")
     alike = both.where(9 * F.size(F.array_intersect("a_tokens", "b_tokens")) >= 4 * (F.size("a_tokens") + F.size("b_tokens"))).select("a", "b")
     out = common.stored(alike)
     wanted.drop()
-    holders.drop()
+    if held is not None:
+        held.drop()
     return out
 
 
@@ -376,7 +383,7 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = common.stored(distinct.where("n > 1").select("key", "at", "n").join(near, "key", "full").select("key", "at", "n", F.coalesce("near", F.lit(False)).alias("near")), "snappy")
     places = lines.select("key", "k_id", "k_hash", "number")
     hot = marked.where(F.col("n") > TILE)
-    if 0 < hot.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:  # the copies of a very common line stay where they are
+    if hot.take(1) and common.few(hot):  # the copies of a very common line stay where they are
         rest = places.join(F.broadcast(hot), "key", "left_anti").join(marked, "key")
         found = rest.unionByName(places.join(F.broadcast(hot), "key"))
     else:
@@ -391,20 +398,27 @@ def remove_lines(text: str, numbers: set[int]) -> str:
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """doc_id, row_hash, n_lines, removed (sorted numbers of the lines that go) and text (what is left) of each row; null stays null.
 
-    Documents without a repeated line never move. The others meet their line numbers in a join, their text compressed on the way.
+    Documents without a repeated line never move. The others meet their line numbers in a join, their text compressed on the way. Which
+    are which a broadcast of checked size tells, or a Bloom filter.
     """
     docs = common.documents(df, id_col, text_col).withColumn("k_id", F.coalesce("doc_id", F.lit(common.NULL_ID))).withColumn("pair", F.xxhash64("k_id", "row_hash"))
     gone = repeated_lines(df, id_col, text_col, least).groupBy("k_id", F.col("k_hash").alias("row_hash")).agg(F.array_sort(F.collect_set("number")).alias("removed"))
     gone = common.stored(gone)  # at most a document's own lines in a row
-    touched = common.Bloom(df.sparkSession, gone.select(F.xxhash64("k_id", "row_hash").alias("pair")), "pair", 24)
-    out = "doc_id long, row_hash long, n_lines long, removed array<int>, text string"
+    changed = common.stored(gone.select(F.xxhash64("k_id", "row_hash").alias("pair")).distinct(), "snappy")
+    if common.few(changed):
+        same, moving = (docs.join(F.broadcast(changed), "pair", how) for how in ("left_anti", "left_semi"))
+    else:
+        touched = common.Bloom(df.sparkSession, changed, "pair", 24)
 
-    def split(rows: pa.RecordBatch, wanted: bool) -> pa.RecordBatch:
-        return rows.filter(pa.array(touched.has(rows.column("pair").to_numpy().view(np.uint64)) == wanted))
+        def split(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                yield rows.filter(pa.array(touched.has(rows.column("pair").to_numpy().view(np.uint64)) == wanted))
+
+        same, moving = (docs.mapInArrow(functools.partial(split, wanted=w), docs.schema) for w in (False, True))
+    out = "doc_id long, row_hash long, n_lines long, removed array<int>, text string"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            rows = split(rows, False)
             texts = rows.column("text")
             n = [0 if not x.as_py() else x.as_py().count("\n") + 1 for x in texts]
             none = pa.ListArray.from_arrays(pa.array(np.zeros(len(n) + 1), pa.int32()), pa.array([], pa.int32()))
@@ -413,7 +427,6 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for rows in batches:
-            rows = split(rows, True)
             data = [None if not x.is_valid else press.compress(x.as_buffer()) for x in rows.column("text").cast(pa.binary())]
             yield common.batch(doc_id=rows.column("doc_id"), k_id=rows.column("k_id"), row_hash=rows.column("row_hash"), packed=pa.array(data, pa.binary()))
 
@@ -429,8 +442,8 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 texts.append(remove_lines(text, set(numbers)) if text else text)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row_hash"), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["doc_id", "row_hash", "n_lines", "removed", "text"])
 
-    moved = docs.mapInArrow(packed, "doc_id long, k_id long, row_hash long, packed binary").join(gone, ["k_id", "row_hash"], "left")
-    return docs.mapInArrow(whole, out).unionByName(moved.select("doc_id", "row_hash", "packed", "removed").mapInArrow(cut, out))
+    moved = moving.mapInArrow(packed, "doc_id long, k_id long, row_hash long, packed binary").join(gone, ["k_id", "row_hash"], "left")
+    return same.mapInArrow(whole, out).unionByName(moved.select("doc_id", "row_hash", "packed", "removed").mapInArrow(cut, out))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", least: int = LEAST) -> DataFrame:
@@ -441,13 +454,16 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     names = df.columns
     plain, named = common.keyed(df, id_col, text_col)
     t = common.position(df, text_col)
-    gone = repeated_lines(df, id_col, text_col, least).groupBy("k_id", "k_hash").agg(F.collect_set("number").alias("gone"))
+    gone = common.stored(repeated_lines(df, id_col, text_col, least).groupBy("k_id", "k_hash").agg(F.collect_set("number").alias("gone")))
     lines = F.split(f"c{t}", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = plain.join(common.stored(gone), ["k_id", "k_hash"], "left")
-    out = out.withColumn(f"c{t}", F.when(F.col("gone").isNull(), F.col(f"c{t}")).otherwise(kept))
+    changed = {f"c{t}": kept}
     if chars_col is not None and chars_col in names:
-        c = f"c{names.index(chars_col)}"
-        kind = df.schema[names.index(chars_col)].dataType
-        out = out.withColumn(c, F.when(F.col("gone").isNull(), F.col(c)).otherwise(F.length(f"c{t}").cast(kind)))
-    return named(out)
+        c = names.index(chars_col)
+        changed[f"c{c}"] = F.length(kept).cast(df.schema[c].dataType)
+    keys = ["k_id", "k_hash"]
+    if common.few(gone):  # only documents that change move
+        same, moving = (plain.join(F.broadcast(gone.select(*keys)), keys, how) for how in ("left_anti", "left_semi"))
+        return named(same.select(*plain.columns).unionByName(moving.join(gone, keys).withColumns(changed).select(*plain.columns)))
+    out = plain.join(gone, keys, "left")
+    return named(out.withColumns({c: F.when(F.col("gone").isNull(), F.col(c)).otherwise(x) for c, x in changed.items()}))

@@ -123,7 +123,7 @@ def near_duplicates(df: DataFrame, width: int = 4, distance: int = DISTANCE, id_
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = common.stored(named.join(ids, "root").select("fp", "root", "component_id", "n"))
     hot = labels.where(F.col("n") > TILE).drop("n")
-    if not 0 < hot.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
+    if not (hot.take(1) and common.few(hot)):
         return docs.join(labels.drop("n"), "fp")
     # the copies of a very common text stay where they are
     rest = docs.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(labels.drop("n"), "fp")

@@ -171,7 +171,7 @@ def repeated_spans(df: DataFrame, words: int = WORDS, group: int = GROUP, id_col
     small = grouped.mapInArrow(common.tidy(lambda x: subtrees(x, words)), "k_id long, k_hash long, start long, stop long")
     hot = found.where("check is not null").select("prefix", "check", "k_id", "k_hash", "first")
     firsts = common.stored(hot.groupBy("prefix", "check").agg(F.min("k_id").alias("least"), F.max("k_id").alias("most")).where("least < most").drop("most"))
-    if firsts.limit(common.BROADCAST_ROWS + 1).count() > common.BROADCAST_ROWS:
+    if not common.few(firsts):
         later = hot.join(firsts, ["prefix", "check"]).where("k_id > least").select("k_id", "k_hash", F.col("first").alias("start"), (F.col("first") + words).alias("stop"))
         return small.unionByName(later)
     # the copies of a hot passage stay where they are and look their node up
