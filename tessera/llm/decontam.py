@@ -361,5 +361,6 @@ def contaminated(found: DataFrame, containment: float = CONTAINMENT, consistency
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df` without a benchmark question, in the same columns."""
     plain, named = common.keyed(df, id_col, text_col)
-    bad = contaminated(contamination(df, benchmark, id_col=id_col, text_col=text_col)).select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("k_id"), F.col("row_hash").alias("k_hash")).distinct()
-    return named(plain.join(bad, ["k_id", "k_hash"], "left_anti"))
+    found = contaminated(contamination(df, benchmark, id_col=id_col, text_col=text_col))
+    bad = common.stored(found.select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("k_id"), F.col("row_hash").alias("k_hash")).distinct())
+    return named(plain.join(F.broadcast(bad) if common.few(bad) else bad, ["k_id", "k_hash"], "left_anti"))
