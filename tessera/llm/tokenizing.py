@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 
 import numpy as np
@@ -33,6 +34,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, vocabulary: str, keep: int = 400_000) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
@@ -55,9 +57,9 @@ class ChunkEncoder:
         new = [x for x in runs if x not in self.row]
         if not new:
             return
-        coded = []
+        coded: list[list[int]] = []
         for k in range(0, len(new), SLICE):  # an encoding takes far more memory than its ids
-            coded += [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(new[k : k + SLICE], add_special_tokens=False)]
+            coded += [x.ids for x in self.tokenizer.encode_batch_fast(new[k : k + SLICE], add_special_tokens=False)]
         n, used = len(self.row), self.offsets[len(self.row)]
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
         stop = used + lengths.sum()
@@ -65,7 +67,7 @@ class ChunkEncoder:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.offsets) < n + len(new) + 1:
             self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-        self.ids[used:stop] = np.concatenate(coded)
+        self.ids[used:stop] = np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(stop - used))
         self.offsets[n + 1 : n + len(new) + 1] = used + np.cumsum(lengths)
         self.row.update(zip(new, range(n, n + len(new)), strict=True))
 
