@@ -7,6 +7,7 @@ expression of the row, so rows neither shuffle nor multiply, however many there
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -50,18 +51,19 @@ class Rule:
         return hit
 
 
+RULES = "array<struct<id:string,tests:array<struct<column:int,kind:string,text:string>>>>"
+
+
 def _encoded(rules: list[Rule]) -> tuple[Column, Column]:
     """The rules as one literal array of (id, tests), and the values of a row that the tests name by number."""
     names = sorted({n for r in rules for n in r.patterns})
 
-    def test(name: str, pattern: str) -> Column:
+    def test(name: str, pattern: str) -> dict:
         kind = "any" if pattern == "*" else "suffix" if pattern.startswith("*") else "prefix" if pattern.endswith("*") else "whole"
-        text = {"any": "", "suffix": pattern[1:], "prefix": pattern[:-1], "whole": pattern}[kind]
-        return F.struct(F.lit(names.index(name) + 1).alias("column"), F.lit(kind).alias("kind"), F.lit(text).alias("text"))
+        return {"column": names.index(name) + 1, "kind": kind, "text": {"any": "", "suffix": pattern[1:], "prefix": pattern[:-1], "whole": pattern}[kind]}
 
-    listed = F.array(*(F.struct(F.lit(r.id).alias("id"), F.array(*(test(n, p) for n, p in r.patterns.items())).cast("array<struct<column:int,kind:string,text:string>>").alias("tests")) for r in rules))
-    listed = listed.cast("array<struct<id:string,tests:array<struct<column:int,kind:string,text:string>>>>")
-    return listed, F.array(*(F.col(n).cast("string") for n in names)).cast("array<string>")
+    listed = [{"id": r.id, "tests": [test(n, p) for n, p in r.patterns.items()]} for r in rules]
+    return F.from_json(F.lit(json.dumps(listed)), RULES), F.array(*(F.col(n).cast("string") for n in names)).cast("array<string>")
 
 
 def matching(rules: list[Rule]) -> Column:
