@@ -39,6 +39,7 @@ def pack(
     if limit & (limit - 1):
         raise ValueError("limit must be a power of two")
 
+    @common.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(vocabulary)
         for rows in batches:

@@ -23,6 +23,7 @@ SPAN = 1024
 def lengths(df: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and n_tokens of each whole text; null and empty texts have 0."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(vocabulary)
         for rows in batches:
