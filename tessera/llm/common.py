@@ -93,6 +93,14 @@ def few(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
+def chunks(table: DataFrame, width: int, rows: int, size: int) -> Iterator[list[dict]]:
+    """A stored table in the order of its distinct numbers n, in pieces of at most `rows` rows and, rows being `width` bytes at most, `size` bytes (but one row)."""
+    most, last = max(1, min(rows, size // max(1, width))), -1
+    while part := table.where(F.col("n") > last).orderBy("n").limit(most).toArrow().to_pylist():
+        yield part
+        last = part[-1]["n"]
+
+
 def byte_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column without copying, and where each row begins (one more offset than rows); null is empty."""
     if column.null_count:

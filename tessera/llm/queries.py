@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, langid, licenses, line_dedup, media, packing, simhash, substring_dedup, token_counts, url_filter
+from tessera.llm import decontam, fim, langid, lexical_search, licenses, line_dedup, media, packing, simhash, substring_dedup, token_counts, url_filter, vector_search
 
 VOCABULARY = "word_bpe_49k.json"
 RULES = [
@@ -73,6 +73,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = fim.restored(F.col("output"), F.col("form"))["sha256"]
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", digest.alias("restored_sha256"))
+
+
+def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +94,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_simhash, op3_url_filter, op4_language_id, op5_token_counts, op6_substring_dedup, op7_media, op8_decontamination, op9_licenses, op10_line_dedup, pipeline)
+    f.__name__: f
+    for f in (
+        op1_packing, op2_simhash, op3_url_filter, op4_language_id, op5_token_counts, op6_substring_dedup, op7_media, op8_decontamination, op9_licenses, op10_line_dedup,
+        op11_fill_in_middle, op12_vector_search, op13_lexical_search, pipeline,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -120,5 +138,59 @@ WITH docs AS (
 )
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id)
+""",
+    "op11_fill_in_middle": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(cast(doc_id AS varchar), '')) AS seed,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents
+), drawn AS (
+  SELECT doc_id, text, units, len(units) AS n,
+         cast('0x' || seed[1:8] AS bigint) % (len(units) + 1) AS c1, cast('0x' || seed[9:16] AS bigint) % (len(units) + 1) AS c2,
+         cast('0x' || seed[17:24] AS bigint) AS h3, cast('0x' || seed[25:32] AS bigint) AS h4 FROM docs
+), formed AS (
+  SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                 WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT *, array_to_string(units[1 : least(c1, c2)], '') AS p, array_to_string(units[least(c1, c2) + 1 : greatest(c1, c2)], '') AS m,
+         array_to_string(units[greatest(c1, c2) + 1 : n], '') AS s FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM parts
+""",
+    "op12_vector_search": """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), ranked AS (
+  SELECT q.vec_id AS query_id, v.vec_id, cast(list_inner_product(q.e, v.e) AS bigint) AS score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, v.e) DESC, v.vec_id) AS rank
+  FROM whole q JOIN whole v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id
+)
+SELECT query_id, cast(rank AS integer) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
+    "op13_lexical_search": r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), counts AS (
+  SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term
+), lengths AS (
+  SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id
+), corpus AS (
+  SELECT count(*) AS docs, sum(n)::bigint AS terms FROM lengths
+), frequency AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint AS w FROM counts, corpus GROUP BY term, docs
+), asked AS (
+  SELECT item_id, term, count(*) AS c FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY item_id, term
+), sizes AS (
+  SELECT doc_id, 100 - 75 + ((75 * n * docs) // terms) AS m FROM lengths, corpus
+), scored AS (
+  SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint AS score
+  FROM asked JOIN frequency USING (term) JOIN counts USING (term) JOIN sizes USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS integer) AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
 """,
 }
