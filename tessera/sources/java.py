@@ -1,42 +1,23 @@
 """Java declarations, calls and entry points of source files, as DataFrames.
 
-A file becomes rows of tokens; running sums over the tokens of a file give lines, bracket depths and statements (runs of tokens up to a
-brace or semicolon outside parentheses), and the heads of statements tell classes and methods. Only a file's own rows meet, so the work is
-dealt out by path. What encloses what is an interval join on (path, bin).
-
-Types are given without their arguments. Members of anonymous classes count for the method around them. Files with null or empty text
-give no rows; files whose brackets do not match give a diagnostic and no rows.
+`nodes` reads every file once, within a task (`java_syntax`), and gives a row for each declaration and call; the tables here select from
+it, with types by their bare names and a declaration's own annotations. `java_model` gives the tables with whole types and all
+annotations inside. Members of anonymous classes count for the class around them. Files with null or empty text give no rows; a file
+that is no Java gives a diagnostic and no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import resolve
 from tessera.sources import files as source_files
-
-NAME = r"[\p{L}\p{N}_$]+"
-TOKEN = "|".join(
-    [
-        r"//[^\n]*+",
-        r"/\*[\s\S]*?\*/",
-        r'"""[\s\S]*?"""',
-        r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"',
-        r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'",
-        r"@[\p{L}\p{N}_$.]+",
-        NAME,
-        r"\n",
-        r"[^\S\n]+",
-        r"->|::|\.\.\.",
-        r"[^\s]",
-    ]
-)
-_INNER = r"[^()]*+"
-for _ in range(3):
-    _INNER = rf"[^()]*+(?:\({_INNER}\)[^()]*+)*+"
-ANNOTATION = rf"@(?!interface\b)[\p{{L}}\p{{N}}_$.]+(?: \({_INNER}\))?"
+from tessera.sources import java_syntax
 
 # Annotations that make a method an entry point, with kind, framework and HTTP method; fixtures; assertions.
 ENTRY_POINTS = [
@@ -73,8 +54,16 @@ CALL_FIXTURES = {"mock": ["mock", "spy", "when", "given"], "container": ["withIn
 HTTP_CALLS = {"GET": ["get", "getForEntity", "getForObject"], "POST": ["post", "postForEntity", "postForObject"], "PUT": ["put"], "PATCH": ["patch", "patchForObject"], "DELETE": ["delete"]}
 MESSAGE_CALLS = ["send", "sendMessage", "receive", "receiveAndConvert"]
 INTEGRATION_MARKS = ["SpringBootTest", "Testcontainers"]
-#: words before a parenthesis that call nothing
-NO_CALLS = ["if", "for", "while", "switch", "catch", "synchronized", "try", "return", "throw", "super", "this", "new", "assert", "case", "yield"]
+NODES = (
+    "path string, node int, package string, kind string, parent int, class_line bigint, top int, loose boolean, callers array<int>, owner string, name string, type string, bare string, extends string, "
+    "interfaces array<string>, supers array<string>, annotations array<string>, inside array<string>, "
+    "parameters array<struct<name:string,type:string,bare:string,spread:boolean,line:bigint,annotations:array<string>>>, "
+    "line bigint, column bigint, end_line bigint, name_line bigint, name_column bigint, body string, receiver string, expression string, literal string"
+)
+_PARAMETER = pa.struct([("name", pa.string()), ("type", pa.string()), ("bare", pa.string()), ("spread", pa.bool_()), ("line", pa.int64()), ("annotations", pa.list_(pa.string()))])
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
+CLASS_KINDS = ["class", "interface", "enum", "record"]
+METHOD_KINDS = ["method", "constructor"]
 
 
 def looked_up(name: Column, kinds: dict[str, list[str]]) -> Column:
@@ -84,210 +73,89 @@ def looked_up(name: Column, kinds: dict[str, list[str]]) -> Column:
     return out
 
 
-def tokens(files: DataFrame) -> DataFrame:
-    """path, pos, token, at (its first character, from 0), line, column, parens and braces open before it, statement, level of each token but comments."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))
-    rows = files.select("path", F.posexplode(found).alias("pos", "token"))
-    before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-
-    def so_far(step: Column) -> Column:
-        return F.coalesce(F.sum(step).over(before), F.lit(0))
-
-    def nesting(opening: str, closing: str) -> Column:
-        return F.when(F.col("token") == opening, 1).when(F.col("token") == closing, -1).otherwise(0)
-
-    broken = F.col("token").contains("\n")
-    line_start = F.max(F.when(broken, F.col("at") + F.length("token") - F.length(F.substring_index("token", "\n", -1)))).over(before)
-    rows = rows.withColumn("at", so_far(F.length("token")))
-    lined = rows.withColumns(
-        {
-            "column": F.col("at") - F.coalesce(line_start, F.lit(0)),
-            "line": 1 + so_far(F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))),
-            "parens": so_far(nesting("(", ")")),
-            "braces": so_far(nesting("{", "}")),
-        }
-    )
-    code = lined.where("not regexp_like(token, '^\\\\s+$') and not startswith(token, '//') and not startswith(token, '/*')")
-    stops = F.col("token").isin("{", "}", ";") & (F.col("parens") == 0)
-    return code.withColumns({"statement": so_far(stops.cast("int")), "level": so_far(F.when(stops, nesting("{", "}")).otherwise(0))})
+def nodes(files: DataFrame) -> DataFrame:
+    """A row for each package, import, type, field, method, call and local annotation of the files (path, text), numbered within its file.
 
+    parent and class_line tell the class around it, callers the methods around it from the outermost, top the outermost class; loose is
+    what lies inside a member; inside holds all annotations from there to its end. One row of kind "error" stands for a broken file.
+    """
+    fields = [f.rsplit(" ", 1) for f in NODES.split(", ") if " " in f]
+    schema = pa.schema([(name, _ARROW.get(kind, pa.list_(_PARAMETER))) for name, kind in fields])
 
-def diagnostics(files: DataFrame) -> DataFrame:
-    """path and message of each file whose parentheses or braces do not match."""
-    found = tokens(files)
-    out = {}
-    for name, (a, b) in {"parens": "()", "braces": "{}"}.items():
-        after = F.col(name) + F.when(F.col("token") == a, 1).when(F.col("token") == b, -1).otherwise(0)
-        out[name] = (F.min(after) < 0) | (F.max_by(after, "pos") != 0)
-    bad = found.groupBy("path").agg(*(F.coalesce(v, F.lit(False)).alias(k) for k, v in out.items()))
-    return bad.where("parens or braces").select("path", F.lit("brackets do not match").alias("message"))
-
-
-def statements(files: DataFrame) -> DataFrame:
-    """path, statement, level, line, end_line, head (its tokens parted by blanks), ending and, for one that opens a block, where that closes."""
-    sound = files.join(diagnostics(files), "path", "left_anti")
-    parts = tokens(sound).groupBy("path", "statement").agg(F.min("level").alias("level"), F.array_sort(F.collect_list(F.struct("pos", "token", "line", "at", "column"))).alias("tokens"))
-    last = F.element_at("tokens", -1)
-    # brackets in literals are masked, as heads are read by their brackets
-    masked = F.transform("tokens.token", lambda x: F.when(x.rlike("^[\"']"), F.translate(x, '(){}<>,;="', '\x01\x02\x03\x04\x05\x06\x07\x08\x0e"')).otherwise(x))
-    out = parts.select("path", "statement", "level", F.col("tokens")[0]["line"].alias("line"), last["line"].alias("end_line"), F.array_join(masked, " ").alias("head"), last["token"].alias("ending"), last["at"].alias("end_at"), "tokens")
-    block = F.when(F.col("ending") == "{", F.col("level")).when(F.col("ending") == "}", F.col("level") - 1)
-    same = Window.partitionBy("path", "block").orderBy("statement")
-    out = out.withColumn("block", block)
-    return out.withColumns({"close_statement": F.when(F.col("ending") == "{", F.lead("statement").over(same)), "close_line": F.when(F.col("ending") == "{", F.lead("end_line").over(same)), "close_at": F.when(F.col("ending") == "{", F.lead("end_at").over(same))}).drop("block")
-
-
-def unmasked(x: Column) -> Column:
-    return F.translate(x, "\x01\x02\x03\x04\x05\x06\x07\x08\x0e", "(){}<>,;=")
-
-
-def plain(head: Column) -> Column:
-    """A head without annotations and type arguments (five deep)."""
-    out = F.regexp_replace(head, ANNOTATION + " ?", "")
-    for _ in range(5):
-        out = F.regexp_replace(out, r"< [^<>()]*?> ?", "")
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for path, text in zip(part.column("path").to_pylist(), part.column("text").to_pylist(), strict=True):
+                rows = java_syntax.parse(text) if text else []
+                package = next((r["name"] for r in rows if r["kind"] == "package"), None)
+                for r in rows:
+                    r |= {"path": path, "package": package, "inside": sorted(r["inside"]), "annotations": sorted(set(r.get("annotations", [])))}
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
+    return files.select("path", "text").mapInArrow(run, NODES)
 
-def leading_annotations(head: Column) -> Column:
-    """The sorted distinct annotations before a declaration's own name, its parameters' left out."""
-    words = "public|protected|private|static|final|abstract|synchronized|native|strictfp|default|sealed|non|-"
-    front = F.regexp_extract(head, rf"^(?:(?:(?:{words})|{ANNOTATION}) )*+", 0)
-    found = F.regexp_extract_all(front, F.lit(ANNOTATION), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(unmasked(x), r" ?([().]) ?", "$1"))))
+
+def diagnostics(files: DataFrame) -> DataFrame:
+    """path, line and message of each file that is broken."""
+    return broken(nodes(files))
 
 
-def matched(text: Column, pattern: str, group: int) -> Column:
-    found = F.regexp_extract(text, pattern, group)
-    return F.when(found != "", F.trim(found))
+def broken(found: DataFrame) -> DataFrame:
+    return found.where("kind = 'error'").select("path", "line", F.concat(F.lit("failed to parse Java source "), "path").alias("message"))
 
 
-def type_list(text: Column) -> Column:
-    names = F.filter(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x) != "")
-    return F.transform(names, lambda x: F.replace(F.trim(x), F.lit(" "), F.lit("")))
+def dotted(*parts: str) -> Column:
+    return F.concat_ws(".", *parts)
 
 
-CLASS = rf"(?:^| )(@?(?:class|interface|enum|record)) ({NAME})"
+def class_id(name: Column) -> Column:
+    return F.concat(F.lit("class:"), "path", F.lit(":"), name)
 
 
 def classes(files: DataFrame) -> DataFrame:
     """id, path, package_name, name (parents first, parted by dots), qualified_name, kind, extends, interfaces, annotations and lines of each class."""
-    return _classes(statements(files))
-
-
-def packages(parts: DataFrame) -> DataFrame:
-    pattern = r"^package ([^;]+);$"
-    heads = parts.where("level = 0 and ending = ';'").select("path", plain(F.col("head")).alias("head"))
-    return heads.where(F.regexp_like("head", F.lit(pattern))).groupBy("path").agg(F.first(F.replace(matched(F.col("head"), pattern, 1), F.lit(" "), F.lit(""))).alias("package_name"))
-
-
-def _classes(parts: DataFrame) -> DataFrame:
-    opened = parts.where("ending = '{'").withColumn("plain", plain(F.col("head")))
-    found = opened.withColumn("own", matched(F.col("plain"), CLASS, 2)).where(F.col("own").isNotNull() & ~F.regexp_like(F.regexp_extract("plain", rf"^(.*?){CLASS}", 1), F.lit("[=(.]")))
-    spans = found.select("path", F.col("statement").alias("outer"), "close_statement", F.col("level").alias("outer_level"), F.col("own").alias("outer_name"))
-    chain = resolve.covering(found.select("path", "statement"), spans, "path", "statement", "outer", "close_statement")
-    names = chain.where("outer <= statement").groupBy("path", "statement").agg(F.array_join(F.array_sort(F.collect_list(F.struct("outer_level", "outer_name")))["outer_name"], ".").alias("name"))
-    p = F.col("plain")
-    kind = F.replace(matched(p, CLASS, 1), F.lit("@interface"), F.lit("annotation"))
-    parents = rf"(?: extends (.+?))?(?: implements (.+?))?(?: permits .+?)? \{{$"
-    of_class = F.regexp_extract(p, CLASS + r"(?: \(.*\))?" + parents, 3)
-    out = found.join(names, ["path", "statement"]).join(packages(parts), "path", "left")
-    qualified = F.concat_ws(".", "package_name", "name")
-    interfaces = F.when(kind == "interface", type_list(of_class)).otherwise(type_list(F.regexp_extract(p, CLASS + r"(?: \(.*\))?" + parents, 4)))
-    return out.select(
-        F.concat(F.lit("class:"), "path", F.lit(":"), qualified).alias("id"),
-        "path",
-        "package_name",
-        "name",
-        qualified.alias("qualified_name"),
-        kind.alias("kind"),
-        F.when((kind != "interface") & (of_class != ""), F.replace(of_class, F.lit(" "), F.lit(""))).alias("extends"),
-        interfaces.alias("interfaces"),
-        leading_annotations(F.col("head")).alias("annotations"),
-        F.col("line").alias("start_line"),
-        F.col("close_line").alias("end_line"),
-        "statement",
-        "close_statement",
-        "level",
-        "own",
-    )
+    return classes_of(nodes(files))
 
 
-MODIFIER = r"(?:public|protected|private|static|final|abstract|synchronized|native|strictfp|default)"
-METHOD = rf"^(?:{MODIFIER} )*+(?:([\p{{L}}_$][\p{{L}}\p{{N}}_$ .\[\]]*?) )?({NAME}) \(([^()]*)\)(?: \[ \])*(?: throws [^;{{]+| default .+?)? [;{{]$"
+def classes_of(found: DataFrame) -> DataFrame:
+    rows = found.where(F.col("kind").isin([*CLASS_KINDS, "annotation"]))
+    qualified = dotted("package", "owner", "name")
+    return rows.select(
+        class_id(qualified).alias("id"), "path", F.col("package").alias("package_name"), dotted("owner", "name").alias("name"), qualified.alias("qualified_name"), "kind",
+        F.col("bare").alias("extends"), F.coalesce("supers", F.array().cast("array<string>")).alias("interfaces"), "annotations", F.col("line").alias("start_line"), "end_line",
+    )
 
 
 def methods(files: DataFrame) -> DataFrame:
     """Each method: id, class_id, path and file, name, signature, return_type (null: constructor), parameters (type, name), annotations,
-    lines, the name's line (from 1) and column (from 0), and body_text with its braces (null without a body)."""
-    parts = statements(files)
-    found = _methods(parts, _classes(parts)).join(files.select("path", "text"), "path")
-    body = F.when(F.col("close_at").isNotNull(), F.substr("text", (F.col("open_at") + 1).cast("int"), (F.col("close_at") - F.col("open_at") + 1).cast("int")))
-    return found.withColumns({"file": F.col("path"), "body_text": body}).drop("text", "open_at", "close_at")
-
-
-def _methods(parts: DataFrame, of: DataFrame) -> DataFrame:
-    heads = parts.where("level > 0 and ending in ('{', ';')").withColumn("plain", plain(F.col("head"))).where(F.regexp_like("plain", F.lit(METHOD)))
-    p = F.col("plain")
-    heads = heads.withColumns({"name": matched(p, METHOD, 2), "return_type": F.replace(matched(p, METHOD, 1), F.lit(" "), F.lit(""))})
-    spans = of.select("path", F.col("statement").alias("outer"), F.col("close_statement").alias("outer_close"), F.col("level").alias("outer_level"), F.col("id").alias("class_id"), F.col("name").alias("class_name"), "own")
-    found = resolve.covering(heads, spans, "path", "statement", "outer", "outer_close").where("outer_level = level - 1")
-    found = found.where((F.col("return_type").isNotNull() & ~F.coalesce("return_type", F.lit("")).isin("new", "return", "throw", "else")) | ((F.col("name") == F.col("own")) & (F.col("ending") == "{")))
-    given = F.filter(F.split(F.regexp_replace(F.regexp_extract("plain", METHOD, 3), r"\bfinal ", ""), ","), lambda x: F.trim(x) != "")
-    parameters = F.transform(given, lambda x: F.struct(F.replace(F.regexp_extract(F.trim(x), r"^(.*) \S+$", 1), F.lit(" "), F.lit("")).alias("type"), F.regexp_extract(F.trim(x), r"(\S+)$", 1).alias("name")))
-    found = found.withColumn("parameters", parameters)
-    named = F.get(F.filter("tokens", lambda x, i: (x["token"] == F.col("name")) & (F.try_element_at("tokens", i + 2)["token"] == "(")), F.lit(0))
-    signature = F.concat("name", F.lit("("), F.array_join("parameters.type", ","), F.lit(")"))
-    return found.select(
-        F.concat(F.lit("method:"), "path", F.lit(":"), "class_name", F.lit("."), signature, F.lit(":"), "line").alias("id"),
-        "class_id",
-        "path",
-        "name",
-        signature.alias("signature"),
-        "return_type",
-        "parameters",
-        leading_annotations(F.col("head")).alias("annotations"),
-        F.col("line").alias("start_line"),
-        F.coalesce("close_line", "end_line").alias("end_line"),
-        named["line"].cast("long").alias("name_line"),
-        named["column"].cast("long").alias("name_column"),
-        "statement",
-        F.coalesce("close_statement", "statement").alias("close_statement"),
-        F.when(F.col("ending") == "{", F.col("end_at")).alias("open_at"),
-        "close_at",
-    )
+    lines, the name's line (from 1) and column (from 0, in bytes), and body_text with its braces (null without a body)."""
+    return methods_of(nodes(files))
+
+
+def method_id() -> Column:
+    types = F.array_join(F.transform("parameters", lambda p: F.concat(p["bare"], F.when(p["spread"], "...").otherwise(""))), ",")
+    return F.concat(F.lit("method:"), "path", F.lit(":"), "owner", F.lit("."), "name", F.lit("("), types, F.lit("):"), "line")
+
+
+def methods_of(found: DataFrame) -> DataFrame:
+    parameters = F.transform("parameters", lambda p: F.struct(F.concat(p["bare"], F.when(p["spread"], "...").otherwise("")).alias("type"), p["name"].alias("name")))
+    rows = found.where(F.col("kind").isin(METHOD_KINDS)).withColumns({"given": parameters, "id": method_id()})
+    return rows.select(
+        "id", class_id(dotted("package", "owner")).alias("class_id"), "path", "name", F.concat("name", F.lit("("), F.array_join("given.type", ","), F.lit(")")).alias("signature"), F.col("bare").alias("return_type"),
+        F.col("given").alias("parameters"), "annotations", F.col("line").alias("start_line"), "end_line", "name_line", "name_column", F.col("path").alias("file"), F.when(F.col("body") != "", F.col("body")).alias("body_text"),
+    )
 
 
 def calls(files: DataFrame) -> DataFrame:
-    """Each call: path, line, column, receiver (the name before the dot, else null), name, method_id (the innermost method around it),
-    expression (from the chain's beginning to the closing parenthesis) and literal (the first string in it, else null)."""
-    parts = statements(files)
-    found = _methods(parts, _classes(parts))
-    near = Window.partitionBy("path").orderBy("pos")
-    rows = tokens(files).withColumns({"next": F.lead("token").over(near), "next_at": F.lead("at").over(near), "prior": F.lag("token").over(near), "prior2": F.lag("token", 2).over(near)})
-    # a chain begins after the last token of its depth that is no part of one: a sign, a word such as return, or the bracket that opened the depth
-    token = F.col("token")
-    opens = token == "("
-    parts_of_chain = F.regexp_like(token, F.lit(rf"^(?:{NAME}|\.|\(|\)|\[|\]|\"[\s\S]*|'.*)$")) & ~token.isin("return", "throw", "new", "assert", "case", "yield", "else", "do")
-    depth = F.col("parens") + F.when(opens, 1).when(token == ")", -1).otherwise(0)
-    rows = rows.withColumns({"depth": depth, "begins": F.when(opens | ~parts_of_chain, F.col("next_at"))})
-    level = Window.partitionBy("path", "depth").orderBy("pos")
-    inner = Window.partitionBy("path", F.col("parens") + F.when(opens, 1).otherwise(0)).orderBy("pos")
-    rows = rows.withColumns({"chain_at": F.last("begins", ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, -1)), "closing": F.lead("at").over(inner)})
-    # within the brackets' own depth the opening one is followed by its tokens; the next closing one of that depth ends the call
-    closes = F.when(token == ")", F.col("at"))
-    rows = rows.withColumn("close_at", F.min(closes).over(inner.rowsBetween(1, Window.unboundedFollowing)))
-    rows = rows.withColumn("call_close", F.lead("close_at").over(near))
-    name = F.col("token")
-    rows = rows.where((F.col("next") == "(") & F.regexp_like(name, F.lit(rf"^{NAME}$")) & ~name.isin(NO_CALLS) & (F.coalesce("prior", F.lit("")) != "new"))
-    rows = rows.join(found.select("path", "statement"), ["path", "statement"], "left_anti")
-    receiver = F.when((F.col("prior") == ".") & F.regexp_like("prior2", F.lit(rf"^{NAME}$")), F.col("prior2"))
-    points = rows.select("path", "pos", "line", "column", receiver.alias("receiver"), name.alias("name"), "statement", F.coalesce("chain_at", "at").alias("chain_at"), "call_close")
-    spans = found.select("path", F.col("statement").alias("outer"), "close_statement", F.col("id").alias("method_id"))
-    inside = resolve.covering(points, spans, "path", "statement", "outer", "close_statement")
-    each = inside.groupBy("path", "pos", "line", "column", "receiver", "name", "chain_at", "call_close").agg(F.max_by("method_id", "outer").alias("method_id"))
-    text = F.substr("text", (F.col("chain_at") + 1).cast("int"), (F.col("call_close") - F.col("chain_at") + 1).cast("int"))
-    return each.join(files.select("path", "text"), "path").withColumn("expression", F.trim(text)).withColumn("literal", T.first_quoted(F.col("expression"))).drop("text", "chain_at", "call_close", "pos")
+    """Each call: path, line, column, receiver (the name before the dot, else null), name, method_id (the innermost method around it, null
+    in an initializer), expression (from the chain's beginning to the closing parenthesis) and literal (the first string in it, else null)."""
+    return calls_of(nodes(files))
+
+
+def calls_of(found: DataFrame) -> DataFrame:
+    around = found.where(F.col("kind").isin(METHOD_KINDS)).select("path", F.col("node").alias("caller"), method_id().alias("method_id"))
+    rows = found.where("kind = 'call'").withColumn("caller", F.try_element_at("callers", F.lit(-1)))
+    return rows.join(around, ["path", "caller"], "left").select("path", "line", "column", "receiver", "name", "method_id", "expression", "literal")
 
 
 def call_edges(found: DataFrame) -> DataFrame:
@@ -301,8 +169,8 @@ def production_model(files: DataFrame, modules: DataFrame | None = None) -> dict
 
     With `modules` (id, path) classes and methods take the module of the longest path that holds their file.
     """
-    sources = source_files.production_sources(files)
-    out = {"classes": classes(sources).withColumn("file", F.col("path")), "methods": methods(sources), "calls": calls(sources), "diagnostics": diagnostics(sources), "counters": source_files.scan_counters(files)}
+    found = nodes(source_files.production_sources(files)).persist()
+    out = {"classes": classes_of(found).withColumn("file", F.col("path")), "methods": methods_of(found), "calls": calls_of(found), "diagnostics": broken(found), "counters": source_files.scan_counters(files)}
     if modules is not None:
         owners = modules.select(F.col("path").alias("prefix"), F.col("id").alias("module_id"))
         for name in ("classes", "methods"):
@@ -399,7 +267,8 @@ def call_entry_point(name: Column, expression: Column, literal: Column) -> Colum
 
 def test_model(files: DataFrame) -> dict[str, DataFrame]:
     """All tables of test sources: suites, cases, fixtures, invocations, assertions, entry_points, diagnostics."""
-    declared, found, called = classes(files), methods(files), calls(files)
+    read = nodes(files).persist()
+    declared, found, called = classes_of(read), methods_of(read), calls_of(read)
     suites = test_suites(declared)
     own = suites.select(F.col("id").alias("suite_id"), "class_id", F.col("qualified_name").alias("suite_name"), "test_kind")
     inside = found.join(own, "class_id")
@@ -425,20 +294,28 @@ def test_model(files: DataFrame) -> dict[str, DataFrame]:
         "invocations": of_case.select("test_case_id", "file", "name", "line", "column"),
         "assertions": assertions(of_case).select("test_case_id", "assertion_kind", "expression", F.col("literal").alias("expected_value"), "file", "line"),
         "entry_points": entries,
-        "diagnostics": diagnostics(files),
+        "diagnostics": broken(read),
     }
 
 
 def syntax_candidates(files: DataFrame) -> DataFrame:
     """Texts that may name something of another library: path, line, kind, name and values of each import, call and annotation."""
-    found = imports(files).select("path", "line", F.lit("import").alias("kind"), F.col("symbol").alias("raw"))
-    called = calls(files).select("path", "line", F.lit("call").alias("kind"), F.col("expression").alias("raw"))
-    marks = statements(files).select("path", "line", F.lit("annotation").alias("kind"), F.explode(F.regexp_extract_all("head", F.lit(ANNOTATION), F.lit(0))).alias("raw")).withColumn("raw", F.regexp_replace(unmasked(F.col("raw")), r" ?([().]) ?", "$1"))
+    read = nodes(files).persist()
+    found = imports_of(read).select("path", "line", F.lit("import").alias("kind"), F.col("symbol").alias("raw"))
+    called = calls_of(read).select("path", "line", F.lit("call").alias("kind"), F.col("expression").alias("raw"))
+    none = F.array().cast("array<struct<line:bigint,raw:string>>")
+    given = F.coalesce(F.flatten(F.transform("parameters", lambda p: F.transform(p["annotations"], lambda a: F.struct(p["line"].alias("line"), a.alias("raw"))))), none)
+    own = F.transform("annotations", lambda a: F.struct(F.col("line").alias("line"), a.alias("raw")))
+    local = F.when(F.col("kind") == "mark", F.array(F.struct("line", F.col("name").alias("raw")))).otherwise(none)
+    marks = read.select("path", F.lit("annotation").alias("kind"), F.explode(F.concat(own, given, local)).alias("m")).select("path", "m.line", "kind", "m.raw")
     rows = found.unionByName(called).unionByName(marks).withColumn("values", T.expression_values(F.col("raw"))).where(F.size("values") > 0)
     return rows.select("path", "line", "kind", F.col("values")[0].alias("name"), "values").distinct()
 
 
 def imports(files: DataFrame) -> DataFrame:
     """path, symbol, static and line of each import."""
-    parts = statements(files).where("level = 0 and ending = ';'").withColumn("symbol", matched(F.col("head"), r"^import (?:static )?([^;]+);$", 1)).where("symbol is not null")
-    return parts.select("path", F.replace("symbol", F.lit(" "), F.lit("")).alias("symbol"), F.col("head").startswith("import static ").alias("static"), "line")
+    return imports_of(nodes(files))
+
+
+def imports_of(found: DataFrame) -> DataFrame:
+    return found.where("kind = 'import'").select("path", F.col("name").alias("symbol"), F.col("type").isNotNull().alias("static"), "line")
