@@ -1,7 +1,10 @@
 """Resolution of places to their owners: intervals of lines, and prefixes of paths.
 
-Intervals are met by an equi-join on (key, bin): an interval goes to every bin of `width` that it touches and a point to one, so a file
-with very many rows is dealt over its bins. Prefixes are met by an equi-join on the point's own prefixes, never by a theta join.
+A place meets intervals without a pair of the two ever being made. Every interval is cut into the at most 2 log(width) dyadic segments
+(level, node) of a segment tree that make it up, and each segment keeps the best interval over it, by an aggregation that combines before
+the shuffle. A distinct place then looks up its own segment of each level that its key has, by an equi-join with one row a segment, and
+takes the best of those few. Work grows with places and intervals, not with how many of them overlap, and a key with very many rows is
+dealt over its segments. Prefixes are met by an equi-join on the point's own prefixes, never by a theta join.
 """
 
 from __future__ import annotations
@@ -9,31 +12,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WIDTH = 256
 
+def segments(start: Column, end: Column) -> Column:
+    """The dyadic segments of [start, end], both integers: node n of level j is [n * 2 ** j, (n + 1) * 2 ** j)."""
+    levels = F.sequence(F.lit(0), F.floor(F.log2((end - start + 1).cast("double"))).cast("int"))
 
-def covering(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, width: int = WIDTH) -> DataFrame:
-    """Each pair of a point and an interval of the same key with start <= at <= end; columns of both, `key` once. Nulls match nothing."""
-    bins = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))
-    cut = intervals.where(F.col(start) <= F.col(end)).withColumn("bin__", bins)
-    return points.withColumn("bin__", F.floor(F.col(at) / width)).join(cut, [key, "bin__"]).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end))).drop("bin__")
+    def of_level(j: Column) -> Column:
+        # the part of the interval in whole nodes of this level begins at low and ends before high
+        low, high = -F.call_function("shiftright", -start, j), F.call_function("shiftright", end + 1, j)
+        odd_low, odd_high = low.bitwiseAND(F.lit(1)), high.bitwiseAND(F.lit(1))
+        left = F.when((odd_low == 1) & (low < high), F.struct(j.alias("level"), low.alias("node")))
+        right = F.when((odd_high == 1) & (low + odd_low < high), F.struct(j.alias("level"), (high - 1).alias("node")))
+        return F.array_compact(F.array(left, right))
 
+    return F.flatten(F.transform(levels, of_level))
 
-def _best(points: DataFrame, found: DataFrame, point_id: str, order: list[Column], value: str) -> DataFrame:
-    best = found.groupBy(point_id).agg(F.min_by(value, F.struct(*order)).alias(value))
-    return points.join(best, point_id, "left")
+
+def best_covering(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, order: list[Column], value: str) -> DataFrame:
+    """`points` with the `value` of the first interval in `order` of those of the same key with start <= at <= end; null where none is.
+
+    Places and ends are integers. Null keys, places and ends match nothing; intervals that end before they start cover nothing.
+    """
+    spans = intervals.where(F.col(start) <= F.col(end)).select(F.col(key), F.struct(*order).alias("order__"), F.col(value).alias("value__"), F.explode(segments(F.col(start).cast("long"), F.col(end).cast("long"))).alias("s__"))
+    best = spans.groupBy(key, F.col("s__.level").alias("level__"), F.col("s__.node").alias("node__")).agg(F.min(F.struct("order__", "value__")).alias("best__"))
+    levels = best.groupBy(key).agg(F.collect_set("level__").alias("levels__"))  # at most 64 a key
+    places = points.select(key, at).distinct().join(levels, key).withColumn("level__", F.explode("levels__")).drop("levels__")
+    places = places.withColumn("node__", F.call_function("shiftright", F.col(at).cast("long"), F.col("level__")))
+    found = places.join(best, [key, "level__", "node__"]).groupBy(key, at).agg(F.min("best__").alias("best__")).select(key, at, F.col("best__.value__").alias(value))
+    return points.join(found, [key, at], "left").select(*points.columns, value)
 
 
 def first_interval(points: DataFrame, intervals: DataFrame, key: str, point_id: str, at: str, start: str, end: str, owner: str) -> DataFrame:
-    """`points` with the first covering interval's `owner` in owner order, null where none covers. min_by combines before the shuffle."""
-    found = covering(points.select(point_id, key, at), intervals, key, at, start, end)
-    return _best(points, found, point_id, [F.col(owner)], owner)
+    """`points` with the first covering interval's `owner` in owner order, null where none covers."""
+    return best_covering(points, intervals, key, at, start, end, [F.col(owner)], owner)
 
 
 def innermost_interval(points: DataFrame, intervals: DataFrame, key: str, point_id: str, at: str, start: str, end: str, owner: str) -> DataFrame:
     """`points` with the narrowest covering interval's `owner`, ties in owner order; null where none covers."""
-    found = covering(points.select(point_id, key, at), intervals, key, at, start, end)
-    return _best(points, found, point_id, [F.col(end) - F.col(start), F.col(owner)], owner)
+    return best_covering(points, intervals, key, at, start, end, [F.col(end) - F.col(start), F.col(owner)], owner)
 
 
 def innermost_target(points: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:
