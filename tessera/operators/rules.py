@@ -1,13 +1,13 @@
 """Matching rows against rule catalogues: wildcards, version gates, first rule, all rules, terms, hints, replacements.
 
-Catalogues are hand-written and come to Spark as literals. A rule without a wildcard is met by equality; patterns are tested as one
-expression of the row, so rows neither shuffle nor multiply, however many there are.
+A short catalogue is compiled into one expression of the row, so rows neither shuffle nor multiply. A longer one is an index
+(`rule_index`) that distinct values are looked up in, with the same rows. Configuration rules and hints, whose patterns are regular
+expressions, are always expressions of the row.
 """
 
 from __future__ import annotations
 
 import functools
-import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import version_below
+from tessera.operators import rule_index
 
-#: up to so many rules are compiled into the row's expression; more are data that it reads
+#: up to so many rules (or terms) are compiled into the row's expression; more are an index, with the same rows
 CODED_RULES = 100
 
 
@@ -51,37 +52,10 @@ class Rule:
         return hit
 
 
-RULES = "array<struct<id:string,tests:array<struct<column:int,kind:string,text:string>>>>"
-
-
-def _encoded(rules: list[Rule]) -> tuple[Column, Column]:
-    """The rules as one literal array of (id, tests), and the values of a row that the tests name by number."""
-    names = sorted({n for r in rules for n in r.patterns})
-
-    def test(name: str, pattern: str) -> dict:
-        kind = "any" if pattern == "*" else "suffix" if pattern.startswith("*") else "prefix" if pattern.endswith("*") else "whole"
-        return {"column": names.index(name) + 1, "kind": kind, "text": {"any": "", "suffix": pattern[1:], "prefix": pattern[:-1], "whole": pattern}[kind]}
-
-    listed = [{"id": r.id, "tests": [test(n, p) for n, p in r.patterns.items()]} for r in rules]
-    return F.from_json(F.lit(json.dumps(listed)), RULES), F.array(*(F.col(n).cast("string") for n in names)).cast("array<string>")
-
-
-def matching(rules: list[Rule]) -> Column:
-    """The ids of all rules that match a row, in list order. The rules are data of the plan, not code, so any number of them will do."""
-    listed, values = _encoded(rules)
-
-    def passes(t: Column) -> Column:
-        v = F.element_at(values, t["column"])
-        hit = F.when(t["kind"] == "any", v.isNotNull()).when(t["kind"] == "suffix", v.endswith(t["text"])).when(t["kind"] == "prefix", v.startswith(t["text"])).otherwise(v == t["text"])
-        return F.coalesce(hit, F.lit(False))
-
-    return F.transform(F.filter(listed, lambda r: F.forall(r["tests"], passes)), lambda r: r["id"])
-
-
 def first_match(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """`rows` with rule_id of the first rule in list order that matches, else null. A narrow projection, of any number of rules."""
+    """`rows` with rule_id of the first rule in list order that matches, else null."""
     if len(rules) > CODED_RULES:
-        return rows.withColumn("rule_id", F.get(matching(rules), F.lit(0)))
+        return rule_index.first_match(rows, rules)
     hit = F.lit(None).cast("string")
     for rule in reversed(rules):
         hit = F.when(rule.matches(), rule.id).otherwise(hit)
@@ -95,7 +69,10 @@ def unmatched(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def all_matches(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """A row for each rule that matches."""
-    return rows.withColumn("rule_id", F.explode(matching(rules)))
+    if len(rules) > CODED_RULES:
+        return rule_index.all_matches(rows, rules)
+    hits = F.filter(F.array(*(F.when(r.matches(), r.id) for r in rules)).cast("array<string>"), lambda x: x.isNotNull())
+    return rows.withColumn("rule_id", F.explode(hits))
 
 
 def upgrade_due(current: Column, minimum: Column, has_target: Column, manual: Column | None = None) -> Column:
@@ -106,16 +83,14 @@ def upgrade_due(current: Column, minimum: Column, has_target: Column, manual: Co
 
 def recommendations(dependencies: DataFrame, rules: list[Rule], target: int) -> DataFrame:
     """Dependencies whose first matching rule asks for a newer version under `target`: rule_id, minimum, recommended added."""
-    minimum, recommended = F.lit(None).cast("string"), F.lit(None).cast("string")
-    has = F.lit(False)
-    for r in rules:
-        hit = F.col("rule_id") == r.id
-        minimum = F.when(hit, F.lit(r.values.get(f"minimum_{target}"))).otherwise(minimum)
-        recommended = F.when(hit, F.lit(r.values.get(f"recommended_{target}"))).otherwise(recommended)
-        has = F.when(hit, F.lit(f"recommended_{target}" in r.values or f"minimum_{target}" in r.values)).otherwise(has)
-    known = first_match(dependencies, rules).where("rule_id is not null").withColumns({"minimum": minimum, "recommended": recommended})
+    def of(r: Rule) -> tuple:
+        least, best = f"minimum_{target}", f"recommended_{target}"
+        return r.id, r.values.get(least), r.values.get(best), best in r.values or least in r.values
+
+    values = dependencies.sparkSession.createDataFrame(list({r.id: of(r) for r in rules}.values()), "rule_id string, minimum string, recommended string, has__ boolean")
+    known = first_match(dependencies, rules).where("rule_id is not null").join(values, "rule_id").select(*dependencies.columns, "rule_id", "minimum", "recommended", "has__")
     manual = F.lower(F.coalesce("minimum", F.lit(""))).isin("manual", "review")
-    return known.where(upgrade_due(F.col("version"), F.col("minimum"), has, manual))
+    return known.where(upgrade_due(F.col("version"), F.col("minimum"), F.col("has__"), manual)).drop("has__")
 
 
 @dataclass(frozen=True)
@@ -158,27 +133,32 @@ def matched_terms(symbols: Column, rule: ApiRule) -> Column:
 
 
 def quoted(text: str) -> str:
-    return f"\\Q{text}\\E" if text else ""
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E" if text else ""
 
 
 def api_findings(rows: DataFrame, rules: list[ApiRule], target: int) -> DataFrame:
     """A row for each rule in force at `target` and each row (file, line, symbols) that it matches: rule_id, severity, terms."""
     active = [r for r in rules if (r.applies_from or 0) <= target]
+    if sum(len(r.symbols) + len(r.prefixes) + len(r.patterns) for r in active) > CODED_RULES:
+        return rule_index.api_findings(rows, active)
     found = F.array(*(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), matched_terms(F.col("symbols"), r).alias("terms")) for r in active))
     return rows.withColumn("f", F.explode(F.filter(found, lambda x: F.size(x["terms"]) > 0))).select(*rows.columns, "f.*")
 
 
 def mutual_prefix(rows: DataFrame, column: str, prefixes: list[str]) -> DataFrame:
     """A row for each listed text that is a prefix of the column's value or the other way round: columns and `prefix`."""
+    if len(prefixes) > CODED_RULES:
+        found = rule_index.mutual_prefixes(rows.select(F.col(column).alias("value")), prefixes)
+        return rows.join(found.withColumnRenamed("value", column), column).select(*rows.columns, "prefix")
     value = F.col(column)
-    hits = F.filter(F.array(*(F.when(value.startswith(p) | F.lit(p).startswith(value), p) for p in prefixes)).cast("array<string>"), lambda x: x.isNotNull())
+    hits = F.filter(F.array(*(F.when(value.startswith(p) | F.lit(p).startswith(value), p) for p in dict.fromkeys(prefixes))).cast("array<string>"), lambda x: x.isNotNull())
     return rows.withColumn("prefix", F.explode(hits))
 
 
 def replacements(findings: DataFrame, listed: dict[str, list[str]]) -> DataFrame:
     """replacement_id and the sorted distinct symbols of findings that share a prefix with one of its texts; a replacement without findings gives no row."""
-    ids = F.array(*(F.when(F.coalesce(sum((((F.col("symbol").startswith(p)) | F.lit(p).startswith(F.col("symbol"))).cast("int") for p in texts), F.lit(0)) > 0, F.lit(False)), name) for name, texts in listed.items())).cast("array<string>")
-    hits = findings.withColumn("replacement_id", F.explode(F.filter(ids, lambda x: x.isNotNull())))
+    texts = findings.sparkSession.createDataFrame([(name, p) for name, own in listed.items() for p in own], "replacement_id string, prefix string")
+    hits = mutual_prefix(findings.select("symbol").distinct(), "symbol", sorted({p for own in listed.values() for p in own})).join(texts, "prefix")
     return hits.groupBy("replacement_id").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
 
 

@@ -103,6 +103,32 @@ def all_match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.all_matches(read(spark, sf_dir, "part"), PART_RULES).select("p_partkey", "rule_id")
 
 
+def _codes() -> list[rules.Rule]:
+    """50,000 rules: whole codes, beginnings and ends in turn."""
+    kinds = ("c{}", "c{}*", "*{}")
+    return [rules.Rule(f"r{i}", {"code": kinds[i % 3].format(i)}, {"minimum_21": str(i % 7), "recommended_21": "9"}) for i in range(50_000)]
+
+
+@query("""WITH p AS (SELECT p_partkey, CAST(p_partkey * 17 % 90000 AS varchar) AS digits, p_size % 9 AS v FROM part), hits AS (
+  SELECT p_partkey, v, CAST(digits AS bigint) AS i FROM p WHERE CAST(digits AS bigint) % 3 = 0
+  UNION ALL SELECT p_partkey, v, CAST(substr(digits, 1, n) AS bigint) FROM (SELECT *, unnest(generate_series(1, length(digits))) AS n FROM p) WHERE CAST(substr(digits, 1, n) AS bigint) % 3 = 1
+  UNION ALL SELECT p_partkey, v, CAST(right(digits, n) AS bigint) FROM (SELECT *, unnest(generate_series(1, length(digits))) AS n FROM p) WHERE CAST(right(digits, n) AS bigint) % 3 = 2 AND CAST(CAST(right(digits, n) AS bigint) AS varchar) = right(digits, n)
+), first AS (SELECT p_partkey, v, min(i) AS i FROM hits WHERE i < 50000 GROUP BY p_partkey, v)
+SELECT p_partkey, 'r' || i AS rule_id, CAST(i % 7 AS varchar) AS minimum, '9' AS recommended FROM first WHERE v < i % 7""")
+def recommendations_of_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "part").selectExpr("p_partkey", "concat('c', p_partkey * 17 % 90000) AS code", "cast(p_size % 9 AS string) AS version")
+    return rules.recommendations(parts, _codes(), 21).select("p_partkey", "rule_id", "minimum", "recommended")
+
+
+@query("""SELECT o_orderkey, 'below' || k AS rule_id, 'com.k' || k AS term FROM (SELECT o_orderkey, o_orderkey % 70000 AS k FROM orders) WHERE k < 50000 AND k % 10 <> 0
+UNION ALL SELECT o_orderkey, 'gap' || k, 'Call' || k || '*()' FROM (SELECT o_orderkey, o_orderkey % 900 AS k FROM orders) WHERE k < 600 AND k >= 100""")
+def api_findings_of_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read(spark, sf_dir, "orders").selectExpr("o_orderkey", "array(concat('com.k', o_orderkey % 70000, '.C'), concat('x.Call', o_orderkey % 900, 'z()')) AS symbols")
+    listed = [rules.ApiRule(f"below{i}", symbols=(f"com.k{i}",), excluded_prefixes=() if i % 10 else (f"com.k{i}.C",)) for i in range(50_000)]
+    listed += [rules.ApiRule(f"gap{i}", patterns=(f"Call{i}*()",)) for i in range(100, 600)]
+    return rules.api_findings(found, listed, 21).select("o_orderkey", "rule_id", F.explode("terms").alias("term"))
+
+
 TERMS = ["the", "license", "http", "on"]
 
 
