@@ -149,7 +149,7 @@ def behaviours_in_order(nodes: DataFrame, kinds: list[str] | None = None, limit:
     return ordered if limit is None else ordered.limit(limit)
 
 
-#: what is read of a method to write a test of it: table, key, order and bound
+#: what is read of a method to write a test of it (`contexts`): table, key, order and bound
 CONTEXT = {
     "entry_points": ("method_id", ["kind", "route", "http_method", "id"], 5),
     "signals": ("method_id", ["-weight", "-count", "name"], 8),
@@ -166,33 +166,6 @@ def bounded_context(rows: DataFrame, part: str) -> DataFrame:
     return top_per_key(rows, [key], [F.desc(c[1:]) if c.startswith("-") else F.col(c) for c in order], most)
 
 
-def scaffold_context(t: Tables, method_ids: list[str]) -> dict[str, DataFrame]:
-    """All parts of the context of some methods: entry points, signals, tests, and of these tests assertions, fixtures and entry points."""
-    asked = lambda name, key="method_id": t[name].where(F.col(key).isin(method_ids))
-    targets = asked("test_targets", "target_id").where("target_kind = 'method'").select("target_id", F.col("test_case_id").alias("id"))
-    tests = bounded_context(targets.join(t["test_cases"], "id"), "tests")
-    cases = tests.select(F.col("id").alias("test_case_id")).distinct()
-    of_cases = {part: bounded_context(t[table].join(cases, "test_case_id", "left_semi"), part) for part, table in {"assertions": "test_assertions", "fixtures": "test_fixtures", "test_entry_points": "test_entry_points"}.items()}
-    return {"entry_points": bounded_context(asked("entry_points"), "entry_points"), "signals": bounded_context(asked("candidate_signals"), "signals"), "tests": tests, **of_cases}
-
-
-def rendered_context(parts: Mapping[str, DataFrame]) -> DataFrame:
-    """One text a method and part: its lines in order, parted by line feeds."""
-    line = {
-        "entry_points": F.concat_ws(" ", "kind", "framework", "route", "http_method"),
-        "signals": F.format_string("%s count=%d weight=%d", "name", "count", "weight"),
-        "tests": F.concat_ws(":", "file", "name"),
-    }
-    out = None
-    for part, text in line.items():
-        key, order, _ = CONTEXT[part]
-        place = F.struct(*((-F.col(c[1:]) if c.startswith("-") else F.col(c)).alias(f"o{i}") for i, c in enumerate(order)), text.alias("text"))
-        rows = parts[part].groupBy(F.col(key).alias("method_id")).agg(F.array_join(F.array_sort(F.collect_list(place))["text"], "\n").alias("text"))  # a bounded list
-        rows = rows.select("method_id", F.lit(part).alias("part"), "text")
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def java_files(t: Tables) -> DataFrame:
     """The distinct files of test cases and of the methods they target."""
     targeted = t["methods"].join(t["test_targets"].where("target_kind = 'method'").select(F.col("target_id").alias("id")), "id", "left_semi")

@@ -5,7 +5,7 @@ Nothing updates in place. A table and new rows give the next table, which the ca
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clipped_lines, content_id
@@ -144,13 +144,68 @@ def accepted_edges(proposals: DataFrame) -> DataFrame:
     return sides.where("source_id is not null and target_id is not null").select("method_id", "source_id", "target_id", e["kind"].alias("kind"), e["confidence"].alias("confidence"), e["evidence"].alias("evidence"))
 
 
+def proposed(proposals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Accepted nodes, accepted edges, and the evidence of both: node_id or source_id, target_id and kind of what it is of, method_id, source_lines, reason."""
+    found, linked = accepted_nodes(proposals), accepted_edges(proposals)
+    none = F.lit(None).cast("string")
+    of_nodes = found.select(F.col("id").alias("node_id"), none.alias("source_id"), none.alias("target_id"), none.alias("kind"), F.explode("evidence").alias("v"))
+    of_edges = linked.select(none.alias("node_id"), "source_id", "target_id", "kind", F.explode("evidence").alias("v"))
+    return found, linked, of_nodes.unionByName(of_edges).select("node_id", "source_id", "target_id", "kind", "v.method_id", "v.source_lines", "v.reason")
+
+
 def commit(proposals: DataFrame, nodes: DataFrame, edges: DataFrame, run_id: int) -> dict[str, DataFrame]:
-    """New rows for nodes, edges and evidence, as one batch over all methods: the first proposal of a key, in method order, is inserted."""
-    found = accepted_nodes(proposals)
+    """New rows for nodes, edges and evidence, as one batch over all methods: the first proposal of a key, in method order, is inserted.
+
+    Edges are told by their key, and evidence that is stored already is not known here; `commit_to` keeps ids and all three tables.
+    """
+    found, linked, evidence = proposed(proposals)
     new_nodes = insert_ignore(nodes.select("id"), found.select("id", "kind", "name", "statement", "confidence", "method_id"), ["id"], ["method_id", "name", "statement"]).withColumn("created_by_run_id", F.lit(run_id))
-    linked = accepted_edges(proposals)
     new_edges = insert_ignore(edges.select("source_id", "target_id", "kind"), linked.select("source_id", "target_id", "kind", "confidence", "method_id"), ["source_id", "target_id", "kind"], ["method_id", "confidence"]).withColumn("created_by_run_id", F.lit(run_id))
-    of_nodes = found.select(F.col("id").alias("node_id"), F.lit(None).cast("string").alias("edge_key"), F.explode("evidence").alias("v"))
-    of_edges = linked.select(F.lit(None).cast("string").alias("node_id"), F.concat_ws("|", "source_id", "target_id", "kind").alias("edge_key"), F.explode("evidence").alias("v"))
-    evidence = of_nodes.unionByName(of_edges).select("node_id", "edge_key", "v.method_id", "v.source_lines", "v.reason")
-    return {"nodes": new_nodes, "edges": new_edges, "evidence": first_per_key(evidence, ["node_id", "edge_key", "method_id", "source_lines"], ["reason"])}
+    key = F.when(F.col("node_id").isNull(), F.concat_ws("|", "source_id", "target_id", "kind"))
+    rows = evidence.withColumn("edge_key", key).select("node_id", "edge_key", "method_id", "source_lines", "reason")
+    return {"nodes": new_nodes, "edges": new_edges, "evidence": first_per_key(rows, ["node_id", "edge_key", "method_id", "source_lines"], ["reason"])}
+
+
+STORE = {
+    "nodes": "id string, kind string, name string, statement string, confidence double, created_by_run_id bigint",
+    "edges": "id bigint, source_id string, target_id string, kind string, confidence double, created_by_run_id bigint",
+    "evidence": "node_id string, edge_id bigint, method_id string, source_lines_json string, reason string, created_by_run_id bigint",
+}
+
+
+def numbered(rows: DataFrame, keys: list[str], above: int, buckets: int = 4096) -> DataFrame:
+    """`rows`, distinct by `keys`, with gapless ids above all stored ones.
+
+    An id follows from the keys alone, not from how rows lie in partitions, so every plan that holds these rows numbers them alike. Rows
+    are numbered within buckets of a hash, behind those of the buckets before; only the buckets' counts meet in one task.
+    """
+    dealt = rows.withColumn("bucket__", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    counts = dealt.groupBy("bucket__").agg(F.count(F.lit(1)).alias("n__"))
+    before = Window.partitionBy(F.lit(0)).orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("bucket__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("before__"))
+    place = F.row_number().over(Window.partitionBy("bucket__").orderBy(*keys))
+    return dealt.withColumn("place__", place).join(offsets, "bucket__").withColumn("id", F.col("before__") + F.col("place__") + F.lit(above)).drop("bucket__", "place__", "before__")
+
+
+def commit_to(store: dict[str, DataFrame], proposals: DataFrame, run_id: int) -> dict[str, DataFrame]:
+    """The rows that a batch adds to the three tables of a store (STORE); committing a batch again adds none.
+
+    Nodes are new by id, edges by (source_id, target_id, kind). Evidence is of a node or of an edge, never both, so its unique keys are
+    partial: (node_id, method_id, lines, reason) where it is of a node, (edge_id, ...) where of an edge. Evidence of an edge takes the id
+    that the edge has in the store, or is given now. Of equal keys within a batch the first in method order stays. No table is read whole
+    by one task; all meet by equi-joins.
+    """
+    found, linked, evidence = proposed(proposals)
+    key, run = ["source_id", "target_id", "kind"], F.lit(run_id).cast("bigint").alias("created_by_run_id")
+    nodes = insert_ignore(store["nodes"].select("id"), found.select("id", "kind", "name", "statement", "confidence", "method_id"), ["id"], ["method_id", "name", "statement"])
+    edges = insert_ignore(store["edges"].select(*key), linked.select(*key, "confidence", "method_id"), key, ["method_id", "confidence"])
+    last = store["edges"].agg(F.max("id")).first()[0] or 0
+    edges = numbered(edges, key, last)
+    ids = store["edges"].select("id", *key).unionByName(edges.select("id", *key)).withColumnRenamed("id", "edge_id")
+    rows = evidence.join(ids, key, "left").select("node_id", "edge_id", "method_id", F.to_json("source_lines").alias("source_lines_json"), "reason")
+    fresh = insert_ignore(store["evidence"], rows, ["node_id", "edge_id", "method_id", "source_lines_json", "reason"], [])
+    return {
+        "nodes": nodes.select("id", "kind", "name", "statement", "confidence", run),
+        "edges": edges.select("id", *key, "confidence", run),
+        "evidence": fresh.select("node_id", "edge_id", "method_id", "source_lines_json", "reason", run),
+    }

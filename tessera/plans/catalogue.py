@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import extraction, joins, records, sources, state, texts
+from tessera.plans import extraction, joins, records, sources, state, texts, trees
 
-QUERIES = {**extraction.query.queries, **texts.query.queries, **joins.query.queries, **state.query.queries, **records.query.queries, **sources.query.queries}
-ORACLE_SQL = {**extraction.query.sql, **texts.query.sql, **joins.query.sql, **state.query.sql, **records.query.sql, **sources.query.sql}
+QUERIES = {**extraction.query.queries, **texts.query.queries, **joins.query.queries, **state.query.queries, **records.query.queries, **sources.query.queries, **trees.query.queries}
+ORACLE_SQL = {**extraction.query.sql, **texts.query.sql, **joins.query.sql, **state.query.sql, **records.query.sql, **sources.query.sql, **trees.query.sql}

@@ -68,3 +68,30 @@ def test_edges_one_by_one(spark, empty):
     assert rows == {(ids["Limit"], ids["Other"]): 0.5, (ids["Other"], "business-node:known"): 0.75}
     made = [r for r in out["evidence"].collect() if r["edge_key"] and "known" in r["edge_key"]]
     assert [(r["source_lines"], r["reason"]) for r in made] == [([3], "calls")]
+
+
+def stored(spark, store, new):
+    """The store after a commit, as its next reader finds it."""
+    return {k: spark.createDataFrame([*store[k].collect(), *new[k].select(*store[k].columns).collect()], store[k].schema) for k in store}
+
+
+def test_a_batch_committed_twice_adds_nothing(spark):
+    store = {k: spark.createDataFrame([], s) for k, s in upsert.STORE.items()}
+    nodes = [node("m1", "a"), node("m1", "b", name="Other", evidence=evidence("m1", 3) + evidence("m1", 3, reason="also") + evidence("m1", 3))]
+    edges = [edge(source_client_id="a", target_client_id="b", evidence=evidence("m1", 4)), edge(source="b", target="business-node:known", reason="calls")]
+    first = proposals(spark, ("m1", nodes, edges))
+    store = stored(spark, store, upsert.commit_to(store, first, 1))
+    assert {k: v.count() for k, v in store.items()} == {"nodes": 2, "edges": 2, "evidence": 5}
+    assert {k: v.count() for k, v in upsert.commit_to(store, first, 2).items()} == {"nodes": 0, "edges": 0, "evidence": 0}
+    # another method says the same of the same edge: evidence of the stored edge's id, and no new edge
+    second = proposals(spark, ("m2", [node("m2", "x"), node("m2", "y", name="Other")], [edge(source_client_id="x", target_client_id="y", evidence=evidence("m2", 4))]))
+    new = upsert.commit_to(store, second, 3)
+    assert (new["nodes"].count(), new["edges"].count()) == (0, 0)
+    ids = {r["target_id"]: r["id"] for r in store["edges"].collect()}
+    rows = [(r["edge_id"], r["method_id"], r["source_lines_json"], r["created_by_run_id"]) for r in new["evidence"].collect()]
+    known = next(v for k, v in ids.items() if k != "business-node:known")
+    assert sorted(rows, key=repr) == sorted([(known, "m2", "[4]", 3), (None, "m2", "[3]", 3), (None, "m2", "[3]", 3)], key=repr)
+    again = stored(spark, store, new)
+    assert again["edges"].select("id").distinct().count() == again["edges"].count() == 2
+    third = upsert.commit_to(again, proposals(spark, ("m3", [node("m3", "p", name="P"), node("m3", "q", name="Q")], [edge(source_client_id="p", target_client_id="q", evidence=evidence("m3", 4))])), 4)
+    assert third["edges"].first()["id"] > max(ids.values())
