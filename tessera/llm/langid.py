@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,12 @@ from tessera.llm import common
 LOG2_BUCKETS = 15
 LONGEST = 4
 #: labelled documents that training reads: of each language at most, of all languages about (never under LEAST_PER_LANGUAGE of one)
-SAMPLE_PER_LANGUAGE, SAMPLE, LEAST_PER_LANGUAGE = 500, 8000, 10
-#: subwords that training keeps of a document, the most frequent ones; predictions read all
-KEPT_SUBWORDS = 2048
+SAMPLE_PER_LANGUAGE, SAMPLE, LEAST_PER_LANGUAGE = 500, 4000, 10
 #: lengths in subwords at which familiarity is calibrated, and the share of true texts that may fall below
 LENGTHS = (8, 32, 128, 512, 2048)
 REJECTED_SHARE = 0.0005
 #: how far below that the floor lies, as a part of the way to the familiarity of subwords drawn at random
 MARGIN = 0.3
-#: languages with a familiarity of their own; beyond, all share one, so that what is broadcast stays below 32 MB
-FAMILIAR = 500
 UNDETERMINED = "und"
 
 
@@ -114,6 +111,13 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, total[at]
 
 
+def log_probabilities(familiar: tuple[np.ndarray, np.ndarray, float], at: np.ndarray) -> np.ndarray:
+    """The log probabilities of some buckets under what a language is known by."""
+    buckets, logs, otherwise = familiar
+    k = np.minimum(np.searchsorted(buckets, at), len(buckets) - 1)
+    return np.where(buckets[k] == at, logs[k], otherwise)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -122,10 +126,13 @@ class Model:
     output: np.ndarray
     bias: np.ndarray
     temperature: float
-    #: by language (one row for all where there are over FAMILIAR languages): log probability of each bucket, least familiarity at each of LENGTHS
-    familiar: np.ndarray
+    #: by language: the buckets it has, in order, and their log probabilities, that of every other bucket, least familiarity at each of LENGTHS
+    familiar: list[tuple[np.ndarray, np.ndarray, float]]
     floors: np.ndarray
 
+    def familiarity(self, language: int, at: np.ndarray) -> np.ndarray:
+        return log_probabilities(self.familiar[language], at)
+
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         x = logits / self.temperature
         x = np.exp(x - x.max(axis=-1, keepdims=True))
@@ -139,9 +146,8 @@ class Model:
             return UNDETERMINED, 0.0, True
         p = self.probabilities(times @ self.table[at] / n @ self.output + self.bias)
         best = int(p.argmax())
-        row = best if len(self.familiar) == len(self.languages) else 0
-        seen = times @ self.familiar[row, at].astype(np.float64) / n
-        return self.languages[best], float(p[best]), bool(seen < np.interp(np.log(n), np.log(LENGTHS), self.floors[row]))
+        seen = times @ self.familiarity(best, at) / n
+        return self.languages[best], float(p[best]), bool(seen < np.interp(np.log(n), np.log(LENGTHS), self.floors[best]))
 
 
 def train_held_out(doc_id: Column) -> Column:
@@ -166,35 +172,39 @@ def sample(df: DataFrame, text_col: str, label_col: str, per_language: int) -> D
     return rows.join(F.broadcast(best) if few else best, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
 
 
-def familiarity(rows: list[tuple[str, int, np.ndarray, np.ndarray]], target: np.ndarray, languages: int, calibration: np.ndarray, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def familiarity(rows: list[tuple[str, int, np.ndarray, np.ndarray]], target: np.ndarray, languages: int, calibration: np.ndarray, random: np.random.Generator) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], np.ndarray]:
     """Log probability of each bucket by language, from the rows not kept for calibration, and by language the floor at each of LENGTHS.
 
     A text of n subwords is drawn from a kept row's own subwords; the floor is the REJECTED_SHARE quantile of many such texts' means,
-    as a normal law of their mean and spread gives it, for few rows cannot show so rare an event.
+    as a normal law of their mean and spread gives it, for few rows cannot show so rare an event, and MARGIN below it. A language of a
+    single row is calibrated on that row, so every language rejects.
     """
-    if languages > FAMILIAR:
-        target, languages = np.zeros_like(target), 1
-    counts = np.full((languages, 1 << LOG2_BUCKETS), 0.05)
-    learned = ~calibration if calibration.any() else np.ones(len(rows), bool)
-    for k in np.flatnonzero(learned):
-        counts[target[k], rows[k][2]] += rows[k][3] / rows[k][3].sum() * 1000
-    logs = np.log(counts / counts.sum(axis=1, keepdims=True))
-    floors = np.full((languages, len(LENGTHS)), -np.inf)
+    share = NormalDist().inv_cdf(1 - REJECTED_SHARE)
+    known, floors = [], np.empty((languages, len(LENGTHS)))
     for language in range(languages):
-        kept = np.flatnonzero((calibration if calibration.any() else learned) & (target == language))
+        own = np.flatnonzero(target == language)
+        counts = np.full(1 << LOG2_BUCKETS, 0.05)
+        learned = own[~calibration[own]]
+        for k in learned:
+            counts[rows[k][2]] += rows[k][3] / rows[k][3].sum() * 1000
+        logs = np.log(counts / counts.sum())
+        seen = np.flatnonzero(counts > 0.05)
+        known.append((seen.astype(np.uint16), logs[seen].astype(np.float32), float(logs[counts == 0.05][0]) if len(seen) < len(counts) else 0.0))
+        kept = own[calibration[own]] if calibration[own].any() else learned
         for j, n in enumerate(LENGTHS):
-            means = [float((random.multinomial(n, rows[k][3] / rows[k][3].sum()) @ logs[language, rows[k][2]]) / n) for k in kept for _ in range(max(1, 200 // len(kept)))]
-            if means:
-                true = min(min(means), np.mean(means) - 3.3 * np.std(means))  # 3.3: the normal law's 0.0005 quantile
-                floors[language, j] = true - MARGIN * (true - logs[language].mean())  # the mean: subwords drawn evenly, which no language does
-    return logs.astype(np.float16), floors
+            means = [float((random.multinomial(n, rows[k][3] / rows[k][3].sum()) @ logs[rows[k][2]]) / n) for k in kept for _ in range(max(1, 200 // len(kept)))]
+            true = min(min(means), np.mean(means) - share * np.std(means))
+            floors[language, j] = true - MARGIN * (true - logs.mean())  # the mean: subwords drawn evenly, which no language does
+    return known, floors
 
 
 def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, width: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 11) -> Model:
     """A model of the labels in `df`, from a bounded sample; executors count subwords and the driver gets the sparse counts alone.
 
-    A document's counts are at most KEPT_SUBWORDS of 6 bytes, so the driver gets 12 KB a sampled document at most. One fifth of the
-    sample calibrates the temperature and the floors of familiarity. Without labelled rows the model knows no language and rejects everything.
+    All subwords of a sampled text count. A document's counts are at most 2 ** 15 of 6 bytes, however long its text, and those of SAMPLE
+    documents, or of LEAST_PER_LANGUAGE a language where these are more, come to the driver. One fifth of each language's rows, one at
+    least where it has two, calibrates the temperature and the floors of familiarity. Without labelled rows the model knows no language
+    and rejects everything. Texts that repeat count once; nulls in either column are left out.
     """
 
     @common.tidy
@@ -202,17 +212,19 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", per_la
         for rows in batches:
             for lang, h, text in zip(*(rows.column(c).to_pylist() for c in ("lang", "h", "text")), strict=True):
                 at, n = features(text)
-                most = np.sort(np.argsort(-n, kind="stable")[:KEPT_SUBWORDS])
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([h], pa.int64()), pa.array([at[most].astype("<u2").tobytes()], pa.binary()), pa.array([n[most].astype("<f4").tobytes()], pa.binary())], ["lang", "h", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([h], pa.int64()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([n.astype("<f4").tobytes()], pa.binary())], ["lang", "h", "at", "n"])
 
     got = sample(df, text_col, label_col, per_language).select("lang", "h", "text").mapInArrow(count, "lang string, h long, at binary, n binary").toArrow().to_pylist()
     rows = sorted(((r["lang"], r["h"], np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<f4").astype(np.float64)) for r in got if len(r["at"])), key=lambda r: (r[1], r[0]))
     languages = sorted({r[0] for r in rows})
     if not languages:
         none = np.zeros((1 << LOG2_BUCKETS, 0), np.float32)
-        return Model([], none, np.zeros((0, 0)), np.zeros(0), 1.0, none.T, np.zeros((0, len(LENGTHS))))
+        return Model([], none, np.zeros((0, 0)), np.zeros(0), 1.0, [], np.zeros((0, len(LENGTHS))))
     target = np.array([languages.index(r[0]) for r in rows])
-    calibration = np.arange(len(rows)) % 5 == 4 if len(rows) >= 10 * len(languages) else np.zeros(len(rows), bool)
+    calibration = np.zeros(len(rows), bool)
+    for language in range(len(languages)):
+        own = np.flatnonzero(target == language)
+        calibration[own[4::5] if len(own) >= 5 else own[1:][-1:]] = True
     random = np.random.default_rng(seed)
     embedding = random.normal(0, 0.1, (1 << LOG2_BUCKETS, width))
     output, bias = np.zeros((width, len(languages))), np.zeros(len(languages))
@@ -252,7 +264,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     A null text, an empty one and one without letters give `und`, score 0, rejected. Repeated rows and null ids keep their rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # 2 ** 15 buckets of 128 bytes at most, and of 2 bytes a language up to FAMILIAR
+    shared = df.sparkSession.sparkContext.broadcast(model)  # 2 ** 15 buckets of 128 bytes at most, and of 6 bytes a language for those its sampled rows have
 
     @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,8 @@
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import langid
@@ -77,11 +82,76 @@ def test_rejection(spark):
     assert kept >= 0.995 * n
 
 
-def test_many_languages(spark, monkeypatch):
-    monkeypatch.setattr(langid, "FAMILIAR", 20)
+def test_many_languages(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     rows = [(f"l{a}{b}", " ".join(f"{x}{a}{y}{b}" for x in letters[k::5] for y in letters[k::7])) for a in letters[:15] for b in letters[:15] for k in range(4)]
     df = spark.createDataFrame(rows, "lang string, text string")
     model = langid.train(df, epochs=12)
-    assert len(model.languages) == 225 and len(model.familiar) == 1 and model.table.shape[1] == 16
+    assert len(model.languages) == len(model.familiar) == 225 and model.table.shape[1] == 16
+    assert np.isfinite(model.floors).all()  # every language rejects, though most have a single calibration row
     assert sum(model.predict(t)[0] == lang for lang, t in rows) > 0.8 * len(rows)
+
+
+def plain_prediction(model, text):
+    """A prediction done again, subword by subword, from the model's arrays."""
+    words, word = [], ""
+    for c in (text or "") + " ":
+        if c.isalpha():
+            word += c.lower() if len(c.lower()) == 1 else c
+        elif word:
+            words.append(word)
+            word = ""
+    pieces = Counter()
+    for w in words:
+        edged = " " + w + " "
+        for n in range(1, 5):
+            for i in range(len(edged) - n + 1):
+                piece = edged[i : i + n]
+                if piece != " " and " " not in piece[1:-1] and piece != "  ":
+                    h = 0
+                    for k, c in enumerate(piece, 1):
+                        h = (h * 0x100000001B3 + ord(c) + k) % 2**64
+                    pieces[((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64) >> 49] += 1
+    n = sum(pieces.values())
+    if not n:
+        return "und", 0.0, True
+    mean = [sum(c * float(model.table[b, j]) for b, c in pieces.items()) / n for j in range(model.table.shape[1])]
+    logits = [(sum(m * float(model.output[j, k]) for j, m in enumerate(mean)) + float(model.bias[k])) / model.temperature for k in range(len(model.languages))]
+    top = max(logits)
+    shares = [math.exp(x - top) for x in logits]
+    best = max(range(len(shares)), key=shares.__getitem__)
+    buckets, logs, otherwise = model.familiar[best]
+    known = dict(zip(buckets.tolist(), logs.tolist(), strict=True))
+    seen = sum(c * known.get(b, otherwise) for b, c in pieces.items()) / n
+    at = min(max(math.log(n), math.log(langid.LENGTHS[0])), math.log(langid.LENGTHS[-1]))
+    k = max(i for i, x in enumerate(langid.LENGTHS[:-1]) if math.log(x) <= at)
+    lo, hi = math.log(langid.LENGTHS[k]), math.log(langid.LENGTHS[k + 1])
+    floor = model.floors[best][k] + (model.floors[best][k + 1] - model.floors[best][k]) * (at - lo) / (hi - lo)
+    return model.languages[best], shares[best] / sum(shares), seen < floor
+
+
+def test_predictions_against_brute_force(docs, odd, odd_rows, doc_rows):
+    model = langid.train(docs.where(~langid.train_held_out(F.col("doc_id"))))
+    for df, rows in ((odd, odd_rows), (docs, [r for r in doc_rows if len(r[1] or "") < 3000])):
+        got = Counter((r["doc_id"], r["lang_pred"], round(r["score"], 6), r["rejected"]) for r in langid.predict(df, model).collect())
+        for d, t in rows:
+            lang, score, rejected = plain_prediction(model, t)
+            assert got[d, lang, round(score, 6), rejected] > 0, (d, lang, score)
+
+
+def test_all_subwords_of_a_sampled_text_count(spark):
+    """What stands at the end of a long text is learned too."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    start = " ".join(a + b + c for a in letters for b in letters for c in letters[:8])
+    rows = [("x", f"{start} {'ωψχ φυτ ' * 3}{i * 'ω'}") for i in range(6)] + [("y", f"{start} {'жщш эюя ' * 3}{i * 'ж'}") for i in range(6)]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"), epochs=1)
+    for language, word in enumerate(("ωψχ", "жщш")):
+        assert set(langid.features(word)[0].tolist()) <= set(model.familiar[language][0].tolist())
+
+
+def test_repeated_rows_and_ties(docs, spark):
+    once = docs.select("lang", "text").where("lang is not null")
+    one, two = langid.train(once), langid.train(once.union(once).repartition(7))
+    assert one.languages == two.languages and one.bias == pytest.approx(two.bias) and (one.table == two.table).all()
+    same = langid.train(spark.createDataFrame([("b", "same words"), ("a", "same words")], "lang string, text string"))
+    assert same.predict("same words")[0] == same.predict("same words")[0] and same.languages == ["a", "b"]
