@@ -5,7 +5,8 @@ candidate keys (each suffix of its host with each prefix of its path that ends i
 the complete universe of candidate keys in the corpus: level 1 is a Bloom filter of the listed keys, level 2 one of the corpus keys
 that pass level 1 unlisted, level 3 one of the listed keys that pass level 2, and so on until nothing passes wrongly. The first level
 that a key fails tells whether it is listed, so judging a url needs no join. Level sizes follow the list, not the corpus: with r
-listed among u keys the first level takes a false positive rate of about r / u, the others 1/2.
+listed among u keys the first level takes a false positive rate of about r / u, the others 1/2. So the filters take 1.44 log2(u / r)
+bits a rule and a few more, less than the rules' own texts, which the caller holds, and go with the plan for any number of rules.
 """
 
 from __future__ import annotations
@@ -14,15 +15,11 @@ import json
 import math
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-#: up to so many rules are held by filters inside the plan (some 20 bits a rule); more are met by a join
-FILTER_RULES = 100_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -44,7 +41,7 @@ class Level:
     seed: int
 
     def might_hold(self, key: Column) -> Column:
-        words = F.lit(np.array(self.words, np.int64))
+        words = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")  # folded into a literal when the plan is made
         out = F.lit(True)
         for spot in spots(key, len(self.words), self.hashes, self.seed):
             word = F.element_at(words, (F.shiftright(spot, 6) + 1).cast("int"))
@@ -95,14 +92,14 @@ def cascade(listed: DataFrame, universe: DataFrame, n_listed: int, n_universe: i
     if not n_listed:
         return []
     levels: list[Level] = []
-    inside, outside = listed, universe.join(F.broadcast(listed), "key", "left_anti")  # listed: at most FILTER_RULES keys
+    inside, outside = listed, universe.join(listed, "key", "left_anti")
     rate = min(0.5, n_listed / max(1, n_universe))
     n = n_listed
     while n:
         level = bloom(inside, n, rate, len(levels) + 1)
         levels.append(level)
         wrong = outside.where(level.might_hold(F.col("key")))
-        wrong = common.stored(wrong.distinct()) if len(levels) < 3 else wrong.distinct()
+        wrong = common.stored(wrong.distinct())
         n, rate = wrong.count(), 0.5
         inside, outside = wrong, inside
     return levels
@@ -121,22 +118,12 @@ def key_rows(spark: SparkSession, keys: list[str]) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<string>")).alias("key"))
 
 
-def judged_by_join(pages: DataFrame, blocked: list[str], allowed: list[str], default: str) -> DataFrame:
-    """The same rows for any number of rules: each distinct host and path meets the rules by its keys, and the pages meet the outcome."""
-    spark = pages.sparkSession
-    listed = key_rows(spark, blocked).withColumn("verdict", F.lit("block")).unionByName(key_rows(spark, allowed).withColumn("verdict", F.lit("allow")))
-    each = pages.select("host", "path", F.posexplode("keys").alias("pos", "key")).distinct().join(listed, "key")
-    best = each.groupBy("host", "path").agg(F.min_by(F.struct(F.col("key").alias("rule"), "verdict"), "pos").alias("best"))
-    return pages.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
-
-
 def judge(df: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule (host and path of the longest rule that fits, else null), verdict (its own, else `default`).
 
     A rule's path must end in "/". Of rules equal in length the one with the longer host wins; a rule that is listed as both blocks.
-    Over FILTER_RULES rules, whose filters a plan should not carry, are met by an equi-join, with the same outcome. A null url, or one
-    without "://", has an empty host and path, fits no rule and takes the default. Repeated rows stay; an empty table gives no rows;
-    other columns are left out, whatever their names.
+    A null url, or one without "://", has an empty host and path, fits no rule and takes the default. Repeated rows stay; an empty table
+    gives no rows; other columns are left out, whatever their names.
     """
     if any(not r.path.startswith("/") or not r.path.endswith("/") or r.verdict not in ("allow", "block") for r in rules):
         raise ValueError("a rule allows or blocks and has a path from / to /")
@@ -147,8 +134,6 @@ def judge(df: DataFrame, rules: list[Rule], default: str = "allow", id_col: str
     pages = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("keys", candidate_keys(F.col("host"), F.col("path"), labels, depth))
     blocked = sorted({r.key for r in rules if r.verdict == "block"})
     allowed = sorted({r.key for r in rules if r.verdict == "allow"} - set(blocked))
-    if len(blocked) + len(allowed) > FILTER_RULES:
-        return judged_by_join(pages, blocked, allowed, default)
     universe = common.stored(pages.select(F.explode("keys").alias("key")).distinct())
     size = universe.count()
     block, allow = (cascade(key_rows(spark, x), universe, len(x), size) for x in (blocked, allowed))
