@@ -35,34 +35,40 @@ def at_least(threshold: str) -> list[str]:
     return TIERS[TIERS.index(threshold) :]
 
 
-def method_signals(methods: DataFrame) -> DataFrame:
-    """One row per method and signal that occurs: method_id, name, count, weight. Columns read: id, body_text, annotations.
+SIGNALS = "array<struct<name:string,count:bigint,weight:bigint>>"
 
-    Terms are counted as substrings. A null body counts nothing. One narrow pass; the wide-to-long step explodes a fixed array.
-    """
-    marks, weight = ANNOTATION_TERMS
-    marked = F.size(F.filter(F.coalesce("annotations", F.array().cast("array<string>")), lambda a: F.regexp_like(ascii_lower(a), F.lit("|".join(marks))))).cast("long")
 
-    def row(name: str, count: Column, weight: int) -> Column:
-        return F.struct(F.lit(name).alias("name"), count.alias("count"), F.lit(weight).cast("long").alias("weight"))
+def signal(name: str, count: Column, weight: int) -> Column:
+    return F.struct(F.lit(name).alias("name"), count.cast("long").alias("count"), F.lit(weight).cast("long").alias("weight"))
+
+
+def term_signals(text: Column, terms: dict[str, tuple[list[str], int]]) -> list[Column]:
+    """A signal for each name: how often its terms stand in the text as substrings, and its weight."""
+    return [signal(name, term_count(text, own), weight) for name, (own, weight) in terms.items()]
+
 
-    def rows(x: Column) -> Column:
-        return F.array(
-            *(row(n, term_count(x["body"], t), w) for n, (t, w) in BODY_TERMS.items()),
-            *(row(n, term_count(x["low"], t), w) for n, (t, w) in LOWER_TERMS.items()),
-            row("framework_annotations", marked, weight),
-        )
+def weighted(signals: Column) -> Column:
+    """The sum of count times weight over a row's signals."""
+    return F.aggregate(signals, F.lit(0).cast("long"), lambda total, s: total + s["count"] * s["weight"])
 
+
+def signals_of() -> Column:
+    """All signals of a method's row, those that do not occur included. A null body counts nothing."""
+    marks, weight = ANNOTATION_TERMS
+    marked = F.size(F.filter(F.coalesce("annotations", F.array().cast("array<string>")), lambda a: F.regexp_like(ascii_lower(a), F.lit("|".join(marks))))).cast("long")
     body = F.coalesce("body_text", F.lit(""))
     both = F.array(F.struct(body.alias("body"), ascii_lower(body).alias("low")))  # bound in the lambda, so that a body is lowered once
-    return methods.select(F.col("id").alias("method_id"), F.explode(F.flatten(F.transform(both, rows))).alias("s")).select("method_id", "s.*").where(F.col("count") > 0)
+    return F.flatten(F.transform(both, lambda x: F.array(*term_signals(x["body"], BODY_TERMS), *term_signals(x["low"], LOWER_TERMS), signal("framework_annotations", marked, weight))))
+
+
+def method_signals(methods: DataFrame) -> DataFrame:
+    """One row per method and signal that occurs: method_id, name, count, weight. Columns read: id, body_text, annotations. One narrow pass."""
+    return methods.select(F.col("id").alias("method_id"), F.explode(signals_of()).alias("s")).select("method_id", "s.*").where(F.col("count") > 0)
 
 
 def candidate_scores(methods: DataFrame) -> DataFrame:
-    """method_id, score, priority of every method, one without signals included."""
-    total = method_signals(methods).groupBy("method_id").agg(F.sum(F.col("count") * F.col("weight")).alias("score"))
-    out = methods.select(F.col("id").alias("method_id")).join(total, "method_id", "left").withColumn("score", F.coalesce("score", F.lit(0).cast("long")))
-    return out.withColumn("priority", tier(F.col("score")))
+    """method_id, score, priority of every method, one without signals included. Each row holds all that its score needs, so nothing is shuffled."""
+    return methods.select(F.col("id").alias("method_id"), weighted(signals_of()).alias("score")).withColumn("priority", tier(F.col("score")))
 
 
 def priority_counts(scores: DataFrame) -> DataFrame:

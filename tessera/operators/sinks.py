@@ -1,7 +1,8 @@
 """Writing tables, reports, logs and phase outputs so that a reader never sees half of one.
 
-A publication is a new folder of Parquet tables and, last, a marker row that names it; readers follow the newest marker. All writes go
-through Spark's committers to the store that the path names, so a lost executor costs its tasks alone.
+A publication is a new folder of Parquet tables and, last, a marker row that names a folder for each table; readers follow the newest
+marker, and a table that a publication does not replace keeps its folder. All writes go through Spark's committers to the store that the
+path names, so a lost executor costs its tasks alone. A report is written beside its place and moved there when it is whole.
 """
 
 from __future__ import annotations
@@ -16,29 +17,39 @@ from pyspark.sql.utils import AnalysisException
 VERSION = 1
 
 
-def publish(tables: Mapping[str, DataFrame], base: str) -> str:
-    """Write all tables to a new folder under `base`, then its marker: either all are seen or none. Returns the folder."""
+PLACE = "struct<name:string,folder:string>"
+
+
+def publish(tables: Mapping[str, DataFrame], base: str, kept: Mapping[str, str] | None = None) -> str:
+    """Write all tables to a new folder under `base`, then the marker that names them and the folders of `kept` ones: all are seen or none. Returns the folder."""
     folder = f"{base}/{uuid.uuid4().hex}"
     spark = next(iter(tables.values())).sparkSession
     for name, t in tables.items():
         t.write.parquet(f"{folder}/{name}")
-    marker = spark.range(1).select(F.lit(folder).alias("folder"), F.array(*(F.lit(n) for n in tables)).alias("tables"), F.current_timestamp().alias("at"), F.lit(VERSION).alias("version"))
+    places = {**(kept or {}), **{n: f"{folder}/{n}" for n in tables}}
+    listed = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("folder")) for n, p in places.items()))
+    marker = spark.range(1).select(listed.alias("tables"), F.current_timestamp().alias("at"), F.lit(VERSION).alias("version"), F.lit(folder).alias("folder"))
     marker.coalesce(1).write.mode("append").json(f"{base}/_published")
     return folder
 
 
-def published(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    """The tables of the newest publication; none where nothing was published."""
+def places(spark: SparkSession, base: str) -> dict[str, str]:
+    """The folder of each table of the newest publication; none where nothing was published."""
     try:
-        newest = spark.read.schema("folder string, tables array<string>, at timestamp, version int").json(f"{base}/_published").orderBy(F.desc("at"), F.desc("folder")).first()
+        newest = spark.read.schema(f"folder string, tables array<{PLACE}>, at timestamp, version int").json(f"{base}/_published").orderBy(F.desc("at"), F.desc("folder")).first()
     except AnalysisException:
         return {}
-    return {} if newest is None else {n: spark.read.parquet(f"{newest['folder']}/{n}") for n in newest["tables"]}
+    return {} if newest is None else {t["name"]: t["folder"] for t in newest["tables"]}
+
+
+def published(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """The tables of the newest publication; none where nothing was published."""
+    return {name: spark.read.parquet(folder) for name, folder in places(spark, base).items()}
 
 
 def replace_tables(spark: SparkSession, base: str, tables: Mapping[str, DataFrame]) -> str:
-    """A publication in which these tables replace their namesakes and all others stay."""
-    return publish({**published(spark, base), **tables}, base)
+    """A publication in which these tables replace their namesakes and all others stay where they are, unread."""
+    return publish(tables, base, {n: p for n, p in places(spark, base).items() if n not in tables})
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -51,12 +62,25 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def write_report(rows: DataFrame, output: str, project: str, name: str) -> str:
-    """Rows as JSON lines in the project's own folder, which they replace."""
+    """Rows as JSON lines in the project's own folder. They are written whole before they take the place of what was there."""
     path = f"{output}/{project.rstrip('/').rpartition('/')[2] or 'project'}/{name}"
-    rows.write.mode("overwrite").json(path)
+    moved_into(rows.sparkSession, path, lambda new: rows.write.json(new))
     return path
 
 
+def moved_into(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Have `write` fill a new folder beside `path`, then rename it to `path`; until then, and if the write fails, the old one stays."""
+    new, old = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    write(new)
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(of(path)):
+        store.rename(of(path), of(old))
+    if not store.rename(of(new), of(path)):
+        raise OSError(f"cannot move {new} to {path}")
+    store.delete(of(old), True)
+
+
 def writable(new: DataFrame, existing: DataFrame, marker: str) -> DataFrame:
     """`new` files (path, text) with `refused`: true where a file of that path exists without the marker of generated files."""
     foreign = existing.where(~F.coalesce(F.col("text").contains(marker), F.lit(False))).select("path").distinct().withColumn("refused", F.lit(True))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import ascii_lower, term_count
-from tessera.operators.score import tier
+from tessera.functions.text import ascii_lower
+from tessera.operators import score
 from tessera.plans.registry import read
 
 #: signal, terms, weight; stand-ins on prose for the signals of code
@@ -15,16 +15,17 @@ HIGH, MEDIUM = 400, 100
 
 
 def signals(docs: DataFrame) -> DataFrame:
+    """doc_id and its signals, in the order of SIGNALS, by the operators that score methods."""
     low = ascii_lower(F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", *(term_count(low, terms).alias(name) for name, terms, _ in SIGNALS))
+    return docs.select("doc_id", F.array(*score.term_signals(low, {name: (terms, weight) for name, terms, weight in SIGNALS})).alias("signals"))
 
 
-def score() -> Column:
-    return sum((F.col(name) * weight for name, _, weight in SIGNALS), F.lit(0)).cast("long")
+def wide(docs: DataFrame) -> DataFrame:
+    return signals(docs).select("doc_id", *(F.get("signals", F.lit(i))["count"].alias(name) for i, (name, _, _) in enumerate(SIGNALS)))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals(read(spark, sf_dir, "documents")).withColumn("score", score()).withColumn("priority", tier(F.col("score"), HIGH, MEDIUM))
+    return signals(read(spark, sf_dir, "documents")).withColumn("score", score.weighted(F.col("signals"))).withColumn("priority", score.tier(F.col("score"), HIGH, MEDIUM))
 
 
 def _count_sql(terms: list[str]) -> str:

@@ -21,7 +21,7 @@ NODE_SQL = f"'business-node:' || sha256(lower(coalesce(lang, '')) || chr(0) || {
 
 @query(scoring.SIGNALS_SQL)
 def term_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.signals(read(spark, sf_dir, "documents"))
+    return scoring.wide(read(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT doc_id, score, priority FROM ({scoring.SCORED_SQL})")
@@ -41,9 +41,8 @@ def priority_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each signal that occurs."""
-    wide = scoring.signals(read(spark, sf_dir, "documents"))
-    rows = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("n"), F.lit(w).alias("weight")) for n, _, w in scoring.SIGNALS))
-    return wide.select("doc_id", F.explode(rows).alias("s")).select("doc_id", "s.*").where("n > 0")
+    each = scoring.signals(read(spark, sf_dir, "documents")).select("doc_id", F.explode("signals").alias("s"))
+    return each.select("doc_id", "s.name", F.col("s.count").alias("n"), "s.weight").where("n > 0")
 
 
 def identified(docs: DataFrame) -> DataFrame:

@@ -105,6 +105,18 @@ def pom_java_versions(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(F.array(*own)).alias("v")).select("path", "v.*").where("version is not null").distinct()
 
 
+def pom_tools(files: DataFrame) -> DataFrame:
+    """tool, version, file, source of each POM with a model version, references put in."""
+    found = files.select("path", substituted(tag(F.col("text"), "modelVersion"), pom_properties(F.col("text"))).alias("version")).where("version is not null")
+    return found.select(F.lit("maven-model").alias("tool"), "version", F.col("path").alias("file"), F.lit("pom.xml").alias("source"))
+
+
+def wrapper_tools(files: DataFrame) -> DataFrame:
+    """tool, version, file, source of each Gradle wrapper file that names a distribution."""
+    found = files.select("path", gradle_wrapper_version(F.col("text")).alias("version")).where("version is not null")
+    return found.select(F.lit("gradle").alias("tool"), "version", F.col("path").alias("file"), F.lit("gradle-wrapper.properties").alias("source"))
+
+
 def pom_modules(files: DataFrame) -> DataFrame:
     """path (the POM's folder, "." at the root) and module path of each module listed."""
     folder = F.regexp_replace("path", r"/?[^/]+$", "")

@@ -84,13 +84,18 @@ def nodes(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
+            waiting: list[dict] = []
             for path, text in zip(part.column("path").to_pylist(), part.column("text").to_pylist(), strict=True):
                 rows = java_syntax.parse(text) if text else []
                 package = next((r["name"] for r in rows if r["kind"] == "package"), None)
                 for r in rows:
                     r |= {"path": path, "package": package, "inside": sorted(r["inside"]), "annotations": sorted(set(r.get("annotations", [])))}
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                waiting += rows
+                if len(waiting) > 2000:
+                    yield pa.RecordBatch.from_pylist(waiting, schema)
+                    waiting = []
+            if waiting:
+                yield pa.RecordBatch.from_pylist(waiting, schema)
 
     return files.select("path", "text").mapInArrow(run, NODES)
 
