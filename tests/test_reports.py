@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tessera.operators import classify, contexts, reports
+from tessera.operators import builds, classify, contexts, reports
 
 
 @pytest.fixture(scope="module")
@@ -135,3 +135,9 @@ def test_rendered(spark, store):
     suite, name, file, start, end, made, *_ = tests[0]
     assert lines[0] == f" * - {suite or 'unknown suite'}#{name} at {file}:{f'{start}-{end}' if start is not None else 'unknown'}"
     assert all("*/" not in x for x in lines) and sum(x.startswith(" *   assertion: eq: a* /") for x in lines) == sum(len(t[5]) for t in tests)
+
+
+def test_required_tables():
+    builds.require_tables({"a": None, "b": None}, ["b"], "store")
+    with pytest.raises(ValueError, match="store lacks the tables c, d"):
+        builds.require_tables({"a": None}, ["c", "a", "d"], "store")
