@@ -172,6 +172,18 @@ def java_files(t: Tables) -> DataFrame:
     return t["test_cases"].select("file").unionByName(targeted.select("file")).where("file is not null").distinct()
 
 
+def ranked_by(rows: DataFrame, column: str, ranks: list[str], then: list[str], limit: int) -> DataFrame:
+    """The first rows in the order of a listed ranking of a column's values, values that are not listed last, then of further columns."""
+    place = F.coalesce(F.nullif(F.array_position(F.lit(ranks), F.col(column)), F.lit(0)), F.lit(len(ranks) + 1))
+    return rows.orderBy(place, *then).limit(limit)
+
+
+def with_names(rows: DataFrame, known: DataFrame, key: str, name: str, otherwise: str | None = None) -> DataFrame:
+    """`rows` with the name that `known` (key, name; one row a key) gives their key, `otherwise` where it gives none."""
+    found = rows.join(known.select(key, name), key, "left")
+    return found if otherwise is None else found.withColumn(name, F.coalesce(name, F.lit(otherwise)))
+
+
 def related_ids(rows: DataFrame, t: Tables) -> DataFrame:
     """`rows` (method_id) with what is known of the method and of its class, each looked up by one join; unknown ids stay with nulls."""
     m = t["methods"].select(F.col("id").alias("method_id"), "class_id", F.col("name").alias("method_name"), "file")

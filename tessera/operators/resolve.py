@@ -60,6 +60,21 @@ def innermost_target(points: DataFrame, methods: DataFrame, classes: DataFrame)
     return both.withColumns({"target_kind": kind, "target_id": F.coalesce("method_id", "class_id")}).drop("method_id", "class_id")
 
 
+def test_targets(definitions: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:
+    """What test cases exercise or mention: test_case_id, target_kind, target_id, relationship, confidence, source.
+
+    A definition (test_case_id, name, file, line: where what a case calls is defined) leads to the innermost method around its place,
+    which the case exercises, else to the innermost class, which it mentions; one outside both leads nowhere. Of definitions with one
+    case, kind, target and relationship the first by file, line and name stays. Distinct places are resolved once.
+    """
+    places = definitions.select("file", "line").distinct().withColumn("point_id", F.xxhash64("file", "line"))
+    found = innermost_target(places, methods, classes).where("target_id is not null").select("file", "line", "target_kind", "target_id")
+    source = F.concat(F.lit("jdtls_definition:"), "name", F.lit("@"), "file", F.lit(":"), "line")
+    rows = definitions.join(found, ["file", "line"]).withColumns({"relationship": F.when(F.col("target_kind") == "method", "exercises").otherwise("mentions"), "source": source})
+    first = rows.groupBy("test_case_id", "target_kind", "target_id", "relationship").agg(F.min_by("source", F.struct("file", "line", "name")).alias("source"))
+    return first.select("test_case_id", "target_kind", "target_id", "relationship", F.lit(0.95).alias("confidence"), "source")
+
+
 def path_prefixes(path: Column, separator: str = "/", proper: bool = False) -> Column:
     """All prefixes of a path at its separators, the shortest first, and "." for the root."""
     parts = F.split(path, separator)

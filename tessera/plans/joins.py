@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, resolve, rules
+from tessera.operators import graph, lookups, resolve, rules
 from tessera.plans.registry import Registry, read
 
 query = Registry()
@@ -166,20 +166,21 @@ def hint_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, coalesce(c_name, 'unresolved') AS owner FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON c_custkey = o_custkey")
 def lookup_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = read(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(known, "o_custkey", "left").select("o_orderkey", F.coalesce("c_name", F.lit("unresolved")).alias("owner"))
+    found = lookups.with_names(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), known, "o_custkey", "c_name", "unresolved")
+    return found.select("o_orderkey", F.col("c_name").alias("owner"))
 
 
 @query("SELECT l_orderkey, l_linenumber, p_name FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 10) ON p_partkey = l_partkey")
 def left_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges keep a null name where their other end is not known."""
     parts = read(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(parts, "l_partkey", "left").drop("l_partkey")
+    return lookups.with_names(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), parts, "l_partkey", "p_name").drop("l_partkey")
 
 
 @query("SELECT c_custkey, max(c.c_name) AS name, max(n_name) AS nation FROM customer c JOIN nation ON n_nationkey = c_nationkey GROUP BY c_custkey")
 def owner_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
-    return read(spark, sf_dir, "customer").join(nation, "c_nationkey").select("c_custkey", F.col("c_name").alias("name"), "nation")
+    return lookups.with_names(read(spark, sf_dir, "customer"), nation, "c_nationkey", "nation").where("nation is not null").select("c_custkey", F.col("c_name").alias("name"), "nation")
 
 
 @query(
@@ -190,3 +191,21 @@ def composite_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("l_linenumber"), "s_name")
     return o.join(lines, "l_orderkey", "left").join(s, ["l_suppkey", "l_linenumber"], "left").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "s_name")
+
+
+@query(
+    """WITH d AS (SELECT 't' || c_custkey % 40 AS t, 'call' || c_custkey % 3 AS name, 'f' || c_custkey % 6 AS file, CAST(c_custkey % 120 AS bigint) AS line FROM customer),
+m AS (SELECT 'm' || s_suppkey AS id, 'f' || s_suppkey % 4 AS file, s_suppkey % 50 AS s, s_suppkey % 50 + s_suppkey % 9 AS e FROM supplier),
+k AS (SELECT 'c' || n_nationkey AS id, 'f' || n_nationkey % 5 AS file, n_nationkey AS s, n_nationkey + 60 AS e FROM nation),
+p AS (SELECT DISTINCT file, line FROM d),
+r AS (SELECT p.file, p.line, (SELECT arg_min(m.id, row(e - s, m.id)) FROM m WHERE m.file = p.file AND s <= p.line AND p.line <= e) AS mid, (SELECT arg_min(k.id, row(e - s, k.id)) FROM k WHERE k.file = p.file AND s <= p.line AND p.line <= e) AS kid FROM p)
+SELECT t AS test_case_id, CASE WHEN mid IS NOT NULL THEN 'method' ELSE 'class' END AS target_kind, coalesce(mid, kid) AS target_id, CASE WHEN mid IS NOT NULL THEN 'exercises' ELSE 'mentions' END AS relationship, 0.95::double AS confidence,
+       arg_min('jdtls_definition:' || name || '@' || d.file || ':' || d.line, row(d.file, d.line, name)) AS source
+FROM d JOIN r ON r.file = d.file AND r.line = d.line WHERE coalesce(mid, kid) IS NOT NULL GROUP BY 1, 2, 3, 4"""
+)
+def linked_test_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions of what test cases call, to the methods and classes around them, each link once."""
+    definitions = read(spark, sf_dir, "customer").selectExpr("concat('t', c_custkey % 40) AS test_case_id", "concat('call', c_custkey % 3) AS name", "concat('f', c_custkey % 6) AS file", "c_custkey % 120 AS line")
+    methods = read(spark, sf_dir, "supplier").selectExpr("concat('m', s_suppkey) AS id", "concat('f', s_suppkey % 4) AS file", "s_suppkey % 50 AS start_line", "s_suppkey % 50 + s_suppkey % 9 AS end_line")
+    classes = read(spark, sf_dir, "nation").selectExpr("concat('c', n_nationkey) AS id", "concat('f', n_nationkey % 5) AS file", "n_nationkey AS start_line", "n_nationkey + 60 AS end_line")
+    return resolve.test_targets(definitions, methods, classes)

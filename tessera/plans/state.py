@@ -117,7 +117,7 @@ _RANK = "CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END"
 
 @query(f"SELECT event_id, event_type FROM events ORDER BY {_RANK}, event_id LIMIT 50")
 def case_ranked_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").orderBy(F.expr(_RANK), "event_id").select("event_id", "event_type").limit(50)
+    return lookups.ranked_by(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", ["purchase", "click"], ["event_id"], 50)
 
 
 @query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 5 OFFSET 10")
