@@ -165,9 +165,9 @@ def with_dependencies(classes: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Classes with `deps`, the first dependency of each group: that of their own module, else the root's."""
     own = first_dependencies(dependencies)
     none = F.create_map().cast(f"map<string,{DEPENDENCY}>")
-    root = own.where(F.col("module_id") == ROOT).select(F.col("deps").alias("root_deps"), F.lit(ROOT).alias("root_id"))
-    out = classes.withColumn("root_id", F.lit(ROOT)).join(own, "module_id", "left").join(root, "root_id", "left")
-    both = F.map_zip_with(F.coalesce("deps", none), F.coalesce("root_deps", none), lambda k, a, b: F.coalesce(a, b))
+    root = own.where(F.col("module_id") == ROOT).select("deps").scalar()  # one row at most, which a scalar subquery gives to all
+    out = classes.join(own, "module_id", "left").withColumn("root__", root)
+    both = F.map_zip_with(F.coalesce("deps", none), F.coalesce("root__", none), lambda k, a, b: F.coalesce(a, b))
     return out.withColumn("deps", both).select(*classes.columns, "deps")
 
 
@@ -326,8 +326,8 @@ def models(found: DataFrame, registry: Registry) -> DataFrame:
 
 
 def classified(classes: DataFrame, dependencies: DataFrame, registry: Registry) -> dict[str, DataFrame]:
-    """All tables of a classification by name."""
-    found = signed(classes, dependencies, registry)
+    """All tables of a classification by name; the marks of classes, which all tables start from, are worked out once and kept."""
+    found = signed(classes, dependencies, registry).persist()
     body = body_rows(found, registry)
     return {
         "models": models(found, registry),
