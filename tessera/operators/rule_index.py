@@ -8,6 +8,7 @@ planning takes the same time for ten rules and for a hundred thousand. Spark bro
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from typing import TYPE_CHECKING
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
-    from tessera.operators.rules import ApiRule, Rule
+    from tessera.operators.rules import ApiRule, ConfigRule, Rule
 
 #: characters of a pattern's longest literal that it is filed under
 GRAM = 6
@@ -136,10 +137,8 @@ def symbol_terms(symbols: DataFrame, rules: list[ApiRule]) -> DataFrame:
     def lengths(kind: str) -> list[int]:
         return sorted({len(k) for _, of, k, _ in terms if of == kind})
 
-    parts = F.split(s, r"\.")
-    below = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
     grams = [substrings(s, n) if n else F.array(F.lit("")) for n in lengths("pattern")]
-    keys = {"below": below, "prefix": text_keys(s, "prefix", lengths("prefix")), "pattern": F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")}
+    keys = {"below": below(s), "prefix": text_keys(s, "prefix", lengths("prefix")), "pattern": F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")}
     every = F.concat(*(labelled(k, "key", kind=kind) for kind, k in keys.items()))
     found = symbols.where("symbol is not null").select("symbol", F.explode(every).alias("k")).select("symbol", "k.*").join(index, ["kind", "key"])
     gap = F.concat(F.lit(r"\Q"), F.regexp_replace(F.replace("term", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), r"\*", r"\\E.*\\Q"), F.lit(r"\E"))
@@ -170,3 +169,74 @@ def mutual_prefixes(values: DataFrame, texts: Sequence[str]) -> DataFrame:
     over = values.select("value", F.explode(text_keys(F.col("value"), "prefix", sorted({len(t) for t in texts}))).alias("prefix")).join(listed, "prefix")
     longer = listed.where("length(prefix) > 0").select("prefix", F.explode(F.transform(F.sequence(F.lit(0), F.length("prefix") - 1), lambda n: F.substr(F.col("prefix"), F.lit(1), n))).alias("value"))
     return over.select("value", "prefix").unionByName(values.join(longer, "value").select("value", "prefix"))
+
+
+def pattern_hits(values: DataFrame, patterns: list[tuple[int, str]]) -> DataFrame:
+    """(value, ordinal) for each distinct value and regular expression that is found in it. Expressions can't be filed; they are data that each distinct value is tested against."""
+    listed = F.from_json(F.lit(json.dumps([{"ordinal": n, "pattern": p} for n, p in patterns])), "array<struct<ordinal:int,pattern:string>>")
+    hits = F.filter(listed, lambda p: F.regexp_like(F.col("value"), p["pattern"]))
+    return values.where("value is not null").distinct().select("value", F.explode(hits).alias("p")).select("value", "p.ordinal").distinct()
+
+
+def below(value: Column) -> Column:
+    """A dotted name's beginnings at its dots, itself included."""
+    parts = F.split(value, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+
+
+def config_signs(files: DataFrame, rules: list[ConfigRule], readable: list[bool]) -> DataFrame:
+    """key__, ordinal, sign: by which signs a configuration file is of the kind of which rules. `readable` tells of each regular expression, in the order of the rules, whether it can be read."""
+    spark = files.sparkSession
+
+    def table(texts: list[tuple[int, str]], name: str) -> DataFrame:
+        return spark.createDataFrame(texts, f"ordinal int, {name} string").distinct()
+
+    def of(field: str) -> list[tuple[int, str]]:
+        return [(n, t) for n, r in enumerate(rules) for t in getattr(r, field)]
+
+    can_read = iter(readable)
+    patterns = {sign: [(n, p) for n, r in enumerate(rules) for p in getattr(r, field) if next(can_read)] for sign, field in (("filename_pattern", "file_patterns"), ("path_pattern", "path_patterns"))}
+    found = files.select("key__", "file_name").join(table(of("names"), "file_name"), "file_name").select("key__", "ordinal", F.lit("filename").alias("sign"))
+    roots = files.select("key__", "xml_root").join(table(of("xml_roots"), "xml_root"), "xml_root").select("key__", "ordinal", F.lit("xml_root").alias("sign"))
+    found = found.unionByName(roots)
+    for sign, column in (("filename_pattern", "file_name"), ("path_pattern", "path")):
+        if patterns[sign]:
+            hits = pattern_hits(files.select(F.col(column).alias("value")), patterns[sign]).withColumnRenamed("value", column)
+            found = found.unionByName(files.select("key__", column).join(hits, column).select("key__", "ordinal", F.lit(sign).alias("sign")))
+    prefixes = of("prefixes")
+    if prefixes:
+        each = files.select("key__", F.explode("keys").alias("key")).where("key is not null").distinct()
+        # a key's beginnings at its dots meet whole prefixes, the same with their dot those that end in one; an odd prefix such as "." is a beginning of a length
+        odd = sorted({len(t) for _, t in prefixes if t.endswith(".")})
+        starts = F.concat(labelled(below(F.col("key")), "prefix", dotted=False), labelled(text_keys(F.col("key"), "prefix", odd), "prefix", dotted=True))
+        looked = each.select("key").distinct().select("key", F.explode(starts).alias("s")).select("key", "s.*")
+        listed = spark.createDataFrame([(n, t, t.endswith(".")) for n, t in prefixes], "ordinal int, prefix string, dotted boolean").distinct()
+        hits = looked.join(listed, ["prefix", "dotted"]).select("key", "ordinal").distinct()
+        found = found.unionByName(each.join(hits, "key").select("key__", "ordinal", F.lit("property_prefix").alias("sign")))
+    spaces = of("namespaces")
+    if spaces:
+        sizes = sorted({min(len(t), GRAM) for _, t in spaces})
+        grams = F.array_distinct(F.concat(*(substrings(F.col("contents"), n) if n else F.array(F.lit("")) for n in sizes)))
+        listed = spark.createDataFrame([(n, t[:GRAM], t) for n, t in spaces], "ordinal int, gram string, namespace string").distinct()
+        texts = files.where("contents is not null").select("key__", F.explode(grams).alias("gram")).join(listed, "gram").join(files.select("key__", "contents"), "key__")
+        found = found.unionByName(texts.where(F.contains("contents", F.col("namespace"))).select("key__", "ordinal", F.lit("xml_namespace").alias("sign")))
+    return found.distinct()
+
+
+def config_files(files: DataFrame, rules: list[ConfigRule], readable: list[bool]) -> DataFrame:
+    """Files of any rule's kind, as `rules.config_files` has them. Files that are equal in all that rules read are looked up once."""
+    read = ["path", "file_name", "contents", "xml_root", "keys"]
+    keyed = files.withColumn("key__", F.concat_ws("|", "path", F.xxhash64(*read).cast("string")))
+    once = keyed.select("key__", *read).dropDuplicates(["key__"])
+    known = files.sparkSession.createDataFrame([(n, r.id, r.type, r.framework, list(r.categories)) for n, r in enumerate(rules)], "ordinal int, id string, type string, framework string, categories array<string>")
+    hits = config_signs(once, rules, readable).groupBy("key__", "ordinal").agg(F.collect_set("sign").alias("signs")).join(known, "ordinal")
+    of = hits.groupBy("key__").agg(F.array_sort(F.collect_list(F.struct("ordinal", "id", "type", "framework", "categories", "signs"))).alias("hits__"))
+    frameworks = F.filter(F.col("hits__")["framework"], lambda x: x.isNotNull())
+    return keyed.join(of, "key__").select(
+        *files.columns,
+        F.element_at("hits__", 1)["type"].alias("type"),
+        F.get(frameworks, F.lit(0)).alias("framework"),
+        F.array_sort(F.array_distinct(F.flatten(F.col("hits__")["categories"]))).alias("categories"),
+        F.col("hits__")["id"].alias("rule_ids"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("hits__", lambda h: F.concat(F.array(h["id"]), h["signs"]))))).alias("evidence"),
+    )

@@ -1,8 +1,8 @@
 """Matching rows against rule catalogues: wildcards, version gates, first rule, all rules, terms, hints, replacements.
 
 A short catalogue is compiled into one expression of the row, so rows neither shuffle nor multiply. A longer one is an index
-(`rule_index`) that distinct values are looked up in, with the same rows. Configuration rules and hints, whose patterns are regular
-expressions, are always expressions of the row.
+(`rule_index`) that distinct values are looked up in, with the same rows; regular expressions, which no index can hold, are data that
+each distinct value is tested against.
 """
 
 from __future__ import annotations
@@ -235,6 +235,9 @@ def config_evidence(rule: ConfigRule) -> Column:
 
 def config_files(files: DataFrame, rules: list[ConfigRule]) -> DataFrame:
     """Files of any rule's kind: type of the first rule, its or the next known framework, all categories, rule ids and evidence."""
+    if sum(len(r.names) + len(r.file_patterns) + len(r.path_patterns) + len(r.xml_roots) + len(r.namespaces) + len(r.prefixes) for r in rules) > CODED_RULES:
+        patterns = [p for field in ("file_patterns", "path_patterns") for r in rules for p in getattr(r, field)]
+        return rule_index.config_files(files, rules, [valid_pattern(p) for p in patterns])
     fields = lambda r: F.struct(F.lit(r.id).alias("id"), F.lit(r.type).alias("type"), F.lit(r.framework).cast("string").alias("framework"), F.array(*(F.lit(c) for c in r.categories)).cast("array<string>").alias("categories"), config_evidence(r).alias("evidence"))
     rows = F.array(*(F.when(config_match(r), fields(r)) for r in rules))
     hit = files.withColumn("hits", F.filter(rows, lambda x: x.isNotNull())).where(F.size("hits") > 0)
@@ -260,12 +263,22 @@ def config_summary(modules: DataFrame, files: DataFrame, properties: DataFrame,
 
 def hint_links(rows: DataFrame, hints: dict[str, str], columns: list[str]) -> DataFrame:
     """A row for each hint (a regular expression) that any of the columns matches: columns and `hint`."""
+    listed = {name: p for name, p in hints.items() if valid_pattern(p)}
+    if len(listed) > CODED_RULES:
+        number = dict(enumerate(listed))
+        values = rows.select(F.explode(F.array_compact(F.array(*columns))).alias("value"))
+        hits = rule_index.pattern_hits(values, [(n, listed[name]) for n, name in number.items()])
+        names = rows.sparkSession.createDataFrame(list(number.items()), "ordinal int, hint string")
+        keyed = rows.withColumn("key__", F.to_json(F.array(*(F.col(c).cast("string") for c in columns))))
+        each = keyed.select("key__", F.explode(F.array_compact(F.array(*columns))).alias("value")).distinct()
+        found = each.join(hits, "value").join(names, "ordinal").select("key__", "hint").distinct()
+        return keyed.join(found, "key__").select(*rows.columns, "hint")
     texts = F.array_compact(F.array(*columns))
 
     def found(pattern: str) -> Column:
         return F.exists(texts, lambda v: F.regexp_like(v, F.lit(pattern)))
 
-    tests = F.array(*(F.when(found(p), name) for name, p in hints.items())).cast("array<string>")
+    tests = F.array(*(F.when(found(p), name) for name, p in listed.items())).cast("array<string>")
     return rows.withColumn("hint", F.explode(F.filter(tests, lambda x: x.isNotNull())))
 
 

@@ -71,3 +71,21 @@ def test_hundred_thousand_rules(spark):
     found = {(r["line"], r["rule_id"]): r["terms"] for r in rules.api_findings(rows, apis, 21).collect()}
     assert len(found) == 3000 and found[7, "s7"] == ["com.k7", "net.p7."] and found[200, "s200"] == ["Pat200x", "com.k200", "net.p200."]
     assert time.time() - began < 90
+
+
+def test_configuration_rules_and_hints(spark, monkeypatch):
+    rng = random.Random(8)
+    some = lambda xs, n=2: tuple(rng.sample(xs, rng.randrange(n + 1)))
+    names, keys = ["a.yml", "b.xml", "c.properties"], ["spring.x.y", "spring", "springy.z", "server.port", ".", "a..b", ""]
+    listed = [
+        rules.ConfigRule(f"r{i}", rng.choice("AB"), rng.choice([None, "f1", "f2"]), some(["k1", "k2", "k3"]), some(names), some(["^a", "xml$", "(bad"]), some(["conf/", "[.]yml$", "["]), some(["beans", "root"]), some(["http://orm", "urn:", "x", "urn:long-name"]),
+                         some(["spring", "spring.", "server.", "a.", "a", ".", "spring.x"]))
+        for i in range(30)
+    ]
+    rows = [(f"conf/{i % 7}/{n}" if i % 3 else n, n, rng.choice([None, "<b xmlns='http://orm'/>", "urn:long-names x", ""]), rng.choice([None, "beans", "other"]), rng.choice([None, list(some(keys, 4))])) for i in range(80) for n in [rng.choice(names)]]
+    files = spark.createDataFrame(rows + rows[:5], "path string, file_name string, contents string, xml_root string, keys array<string>").repartition(3)
+    hints = {"one": "^conf", "two": "xml$|yml$", "bad": "(", "dots": "[.].*[.]"}
+    want = rows_of(rules.config_files(files, listed)), rows_of(rules.hint_links(files.select("path", "file_name"), hints, ["path", "file_name"]))
+    assert want[0] and want[1]
+    monkeypatch.setattr(rules, "CODED_RULES", 0)
+    assert (rows_of(rules.config_files(files, listed)), rows_of(rules.hint_links(files.select("path", "file_name"), hints, ["path", "file_name"]))) == want
