@@ -209,3 +209,23 @@ def linked_test_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = read(spark, sf_dir, "supplier").selectExpr("concat('m', s_suppkey) AS id", "concat('f', s_suppkey % 4) AS file", "s_suppkey % 50 AS start_line", "s_suppkey % 50 + s_suppkey % 9 AS end_line")
     classes = read(spark, sf_dir, "nation").selectExpr("concat('c', n_nationkey) AS id", "concat('f', n_nationkey % 5) AS file", "n_nationkey AS start_line", "n_nationkey + 60 AS end_line")
     return resolve.test_targets(definitions, methods, classes)
+
+
+@query(
+    """WITH f AS (SELECT c_custkey AS k, 'conf/c' || c_custkey || '.yml' AS path FROM customer), hits AS (
+  SELECT path, CAST(k % 300 AS bigint) AS i, 'filename' AS sign FROM f WHERE k % 300 % 4 = 0
+  UNION ALL SELECT path, k % 500, 'property_prefix' FROM f WHERE k % 500 % 4 = 1
+  UNION ALL SELECT path, k % 70, 'xml_namespace' FROM f WHERE k % 70 % 4 = 2
+  UNION ALL SELECT path, k % 90, 'xml_root' FROM f WHERE k % 90 % 4 = 3)
+SELECT path, string_agg(DISTINCT 'r' || i, ',' ORDER BY 'r' || i) AS rules, (SELECT string_agg(e, ',' ORDER BY e) FROM (SELECT DISTINCT unnest([sign, 'r' || i]) AS e FROM hits h WHERE h.path = hits.path)) AS evidence FROM hits GROUP BY path"""
+)
+def config_files_of_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """4,000 rules, each by one sign: a file name, a key's beginning, a namespace or a root element."""
+    files = read(spark, sf_dir, "customer").selectExpr(
+        "concat('conf/c', c_custkey, '.yml') AS path", "concat('c', c_custkey % 300, '.yml') AS file_name", """concat("<b xmlns='urn:n", c_custkey % 70, "'/>") AS contents""",
+        "concat('root', c_custkey % 90) AS xml_root", "array(concat('p', c_custkey % 500, '.x.y'), 'other') AS keys",
+    )
+    signs = [{"names": ("c{}.yml",)}, {"prefixes": ("p{}",)}, {"namespaces": ("urn:n{}'",)}, {"xml_roots": ("root{}",)}]
+    listed = [rules.ConfigRule(f"r{i}", **{k: tuple(t.format(i) for t in v) for k, v in signs[i % 4].items()}) for i in range(4000)]
+    found = rules.config_files(files, listed)
+    return found.select("path", F.array_join(F.array_sort("rule_ids"), ",").alias("rules"), F.array_join("evidence", ",").alias("evidence"))
