@@ -159,6 +159,24 @@ def path_segment(text: Column) -> Column:
     return F.regexp_replace(text, "[^A-Za-z0-9._-]", "-")
 
 
+# What a path writes as percent codes in a file's address.
+PERCENT_CODES = [("%", "%25"), (" ", "%20"), ("#", "%23"), ("?", "%3F")]
+
+
+def percent_coded(path: Column) -> Column:
+    """A path as part of a file's address."""
+    for sign, code in PERCENT_CODES:
+        path = F.replace(path, F.lit(sign), F.lit(code))
+    return path
+
+
+def percent_decoded(address: Column) -> Column:
+    """The path in a file's address, the codes of percent signs last."""
+    for sign, code in reversed(PERCENT_CODES):
+        address = F.replace(address, F.lit(code), F.lit(sign))
+    return address
+
+
 def string_literal(text: Column) -> Column:
     """Escaped for a double-quoted literal."""
     for old, new in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):

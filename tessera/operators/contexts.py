@@ -110,6 +110,7 @@ def method_contexts(t: Tables, methods: DataFrame) -> DataFrame:
 
 
 # --- the same as text ---
+# The wording of the lines, here and below.
 
 
 def said(value: Column, otherwise: str = "unknown") -> Column:

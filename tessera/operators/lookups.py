@@ -172,6 +172,15 @@ def java_files(t: Tables) -> DataFrame:
     return t["test_cases"].select("file").unionByName(targeted.select("file")).where("file is not null").distinct()
 
 
+#: lookups that may be made for a method
+CALLS = 5
+
+
+def allowed_calls(calls: DataFrame, most: int = CALLS) -> DataFrame:
+    """The first `most` lookups of each method in the order they were asked (method_id, seq); later ones are refused."""
+    return top_per_key(calls, ["method_id"], [F.col("seq")], most)
+
+
 def ranked_by(rows: DataFrame, column: str, ranks: list[str], then: list[str], limit: int) -> DataFrame:
     """The first rows in the order of a listed ranking of a column's values, values that are not listed last, then of further columns."""
     place = F.coalesce(F.nullif(F.array_position(F.lit(ranks), F.col(column)), F.lit(0)), F.lit(len(ranks) + 1))

@@ -69,6 +69,7 @@ def test_targets(definitions: DataFrame, methods: DataFrame, classes: DataFrame)
     """
     places = definitions.select("file", "line").distinct().withColumn("point_id", F.xxhash64("file", "line"))
     found = innermost_target(places, methods, classes).where("target_id is not null").select("file", "line", "target_kind", "target_id")
+    # fixed values: the words for kinds and relationships, the confidence, and what a source is told by
     source = F.concat(F.lit("jdtls_definition:"), "name", F.lit("@"), "file", F.lit(":"), "line")
     rows = definitions.join(found, ["file", "line"]).withColumns({"relationship": F.when(F.col("target_kind") == "method", "exercises").otherwise("mentions"), "source": source})
     first = rows.groupBy("test_case_id", "target_kind", "target_id", "relationship").agg(F.min_by("source", F.struct("file", "line", "name")).alias("source"))

@@ -209,7 +209,7 @@ c AS (SELECT *, unnest(range(k % 3)) AS j FROM s)"""
 _CASE_ID = "'test-case:' || q || '#c' || j || '@' || file || ':' || (4 + m + 2 * j)"
 
 
-@query(f"WITH {_SUITE} SELECT 'test-suite:' || q || '@' || file || ':2' AS id, 'S' || k AS class_name, q AS qualified_name, kind AS test_kind, file, 2 AS start_line, 6 + m + 2 * (k % 3) AS end_line FROM s")
+@query(f"WITH {_SUITE} SELECT 'test-suite:' || q || '@' || file || ':2' AS id, 'S' || k AS class_name, q AS qualified_name, kind AS test_kind, file, CAST(2 AS bigint) AS start_line, 6 + m + 2 * (k % 3) AS end_line FROM s")
 def test_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tests(spark, sf_dir)["suites"].select("id", "class_name", "qualified_name", "test_kind", "file", "start_line", "end_line")
 

@@ -31,7 +31,7 @@ f AS (SELECT *, unnest(range(k % 3)) AS i FROM c), m AS (SELECT *, unnest(range(
 
 @query(
     f"""WITH {WHOLE}, a AS (SELECT k, '@Entity' AS a FROM c UNION ALL SELECT k, '@Column(name = "f' || i || '")' FROM f UNION ALL SELECT k, '@GetMapping("/' || k || '/' || j || '")' FROM m)
-SELECT 'class:' || q || '@' || file || ':3' AS id, 'C' || k AS name, q AS qualified_name, 'class' AS kind, file, 3 AS start_line, 5 + k % 3 + k % 4 AS end_line, 'Base' AS superclass, string_agg(a, '|' ORDER BY a) AS annotations
+SELECT 'class:' || q || '@' || file || ':3' AS id, 'C' || k AS name, q AS qualified_name, 'class' AS kind, file, CAST(3 AS bigint) AS start_line, 5 + k % 3 + k % 4 AS end_line, 'Base' AS superclass, string_agg(a, '|' ORDER BY a) AS annotations
 FROM c JOIN a USING (k) GROUP BY k, q, file"""
 )
 def java_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

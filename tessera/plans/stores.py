@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import builds, rules, sinks, upsert
+from tessera.operators import builds, lookups, rules, sinks, upsert
 from tessera.plans import sources
 from tessera.plans.registry import Registry, read
 from tessera.functions import text as T
@@ -159,3 +159,29 @@ def target_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "part").select("p_partkey", values.alias("values"))
     builds.require_tables({"parts": rows}, ["parts"], "the catalogue")
     return rows.select("p_partkey", builds.target_value(F.col("values"), 21).alias("value"))
+
+
+@query("SELECT c_custkey, 'a%20b%23' || c_custkey || '%25%3F.java' AS coded, TRUE AS same FROM customer")
+def percent_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").selectExpr("c_custkey", "concat('a b#', c_custkey, '%?.java') AS path").withColumn("coded", T.percent_coded(F.col("path")))
+    return rows.select("c_custkey", "coded", (T.percent_decoded(F.col("coded")) == F.col("path")).alias("same"))
+
+
+@query("SELECT method_id, seq FROM (SELECT 'm' || user_id AS method_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r <= 5")
+def allowed_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.allowed_calls(read(spark, sf_dir, "events").selectExpr("concat('m', user_id) AS method_id", "event_id AS seq"))
+
+
+@query(
+    f"""WITH {sources.WHOLE} SELECT file AS path, 2 AS line, 'import' AS kind, 'jpa' AS rule_id, 'jakarta.persistence' AS terms FROM c
+UNION ALL SELECT file, first + j, 'call', 'calls', 'call*(a)' FROM m WHERE j = 1"""
+)
+def java_api_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over what sources name; one is not yet in force, and what a rule excludes is left out."""
+    listed = [
+        rules.ApiRule("jpa", "error", symbols=("jakarta.persistence",)),
+        rules.ApiRule("calls", "info", patterns=("call*(a)",), excluded_prefixes=("call0", "call2")),
+        rules.ApiRule("later", prefixes=("jakarta",), applies_from=25),
+    ]
+    found = java.api_scan(sources.files(spark, sf_dir), listed, 21)
+    return found.select("path", "line", "kind", "rule_id", F.array_join("terms", ",").alias("terms"))

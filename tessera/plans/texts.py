@@ -42,7 +42,7 @@ def priority_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each signal that occurs."""
     each = scoring.signals(read(spark, sf_dir, "documents")).select("doc_id", F.explode("signals").alias("s"))
-    return each.select("doc_id", "s.name", F.col("s.count").alias("n"), "s.weight").where("n > 0")
+    return each.select("doc_id", "s.name", F.col("s.count").alias("n"), F.col("s.weight").cast("int").alias("weight")).where("n > 0")
 
 
 def identified(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import resolve
+from tessera.operators import resolve, rules
 from tessera.sources import files as source_files
 from tessera.sources import java_syntax
 
@@ -317,6 +317,12 @@ def syntax_candidates(files: DataFrame) -> DataFrame:
     return rows.select("path", "line", "kind", F.col("values")[0].alias("name"), "values").distinct()
 
 
+def api_scan(files: DataFrame, listed: list[rules.ApiRule], target: int) -> DataFrame:
+    """path, line, kind, name, rule_id, severity, terms: what sources name that a rule in force at `target` tells of."""
+    candidates = syntax_candidates(files).withColumnRenamed("values", "symbols")
+    return rules.api_findings(candidates, listed, target).drop("symbols")
+
+
 def imports(files: DataFrame) -> DataFrame:
     """path, symbol, static and line of each import."""
     return imports_of(nodes(files))

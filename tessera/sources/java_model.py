@@ -70,6 +70,7 @@ def relationships(found: DataFrame, called: DataFrame) -> DataFrame:
     def edge(rows: DataFrame, source: str, target: Column, kind: str, confidence: float) -> DataFrame:
         return rows.select(F.col(source).alias("source_id"), target.alias("target_id"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), F.lit("tree_sitter").alias("source"))
 
+    # fixed values: kinds, prefixes of unresolved targets, confidences
     implemented = found.select("id", F.explode("interfaces").alias("type"))
     extended = found.where("superclass is not null")
     return (
