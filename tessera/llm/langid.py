@@ -11,7 +11,7 @@ several lengths, tell how low it gets for true text of that length, and a text b
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from statistics import NormalDist
 
@@ -172,28 +172,29 @@ def sample(df: DataFrame, text_col: str, label_col: str, per_language: int) -> D
     return rows.join(F.broadcast(best) if few else best, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
 
 
-def familiarity(rows: list[tuple[str, int, np.ndarray, np.ndarray]], target: np.ndarray, languages: int, calibration: np.ndarray, random: np.random.Generator) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], np.ndarray]:
+def familiarity(shares: Callable[[int], tuple[np.ndarray, np.ndarray]], target: np.ndarray, languages: int, calibration: np.ndarray, random: np.random.Generator) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], np.ndarray]:
     """Log probability of each bucket by language, from the rows not kept for calibration, and by language the floor at each of LENGTHS.
 
     A text of n subwords is drawn from a kept row's own subwords; the floor is the REJECTED_SHARE quantile of many such texts' means,
     as a normal law of their mean and spread gives it, for few rows cannot show so rare an event, and MARGIN below it. A language of a
     single row is calibrated on that row, so every language rejects.
     """
-    share = NormalDist().inv_cdf(1 - REJECTED_SHARE)
+    deep = NormalDist().inv_cdf(1 - REJECTED_SHARE)
     known, floors = [], np.empty((languages, len(LENGTHS)))
     for language in range(languages):
         own = np.flatnonzero(target == language)
         counts = np.full(1 << LOG2_BUCKETS, 0.05)
         learned = own[~calibration[own]]
         for k in learned:
-            counts[rows[k][2]] += rows[k][3] / rows[k][3].sum() * 1000
+            at, share = shares(k)
+            counts[at] += share * 1000
         logs = np.log(counts / counts.sum())
         seen = np.flatnonzero(counts > 0.05)
         known.append((seen.astype(np.uint16), logs[seen].astype(np.float32), float(logs[counts == 0.05][0]) if len(seen) < len(counts) else 0.0))
         kept = own[calibration[own]] if calibration[own].any() else learned
         for j, n in enumerate(LENGTHS):
-            means = [float((random.multinomial(n, rows[k][3] / rows[k][3].sum()) @ logs[rows[k][2]]) / n) for k in kept for _ in range(max(1, 200 // len(kept)))]
-            true = min(min(means), np.mean(means) - share * np.std(means))
+            means = [float((random.multinomial(n, share) @ logs[at]) / n) for at, share in map(shares, kept) for _ in range(max(1, 200 // len(kept)))]
+            true = min(min(means), np.mean(means) - deep * np.std(means))
             floors[language, j] = true - MARGIN * (true - logs.mean())  # the mean: subwords drawn evenly, which no language does
     return known, floors
 
@@ -215,7 +216,8 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", per_la
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([h], pa.int64()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([n.astype("<f4").tobytes()], pa.binary())], ["lang", "h", "at", "n"])
 
     got = sample(df, text_col, label_col, per_language).select("lang", "h", "text").mapInArrow(count, "lang string, h long, at binary, n binary").toArrow().to_pylist()
-    rows = sorted(((r["lang"], r["h"], np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<f4").astype(np.float64)) for r in got if len(r["at"])), key=lambda r: (r[1], r[0]))
+    rows = sorted(((r["lang"], r["h"], np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<f4")) for r in got if len(r["at"])), key=lambda r: (r[1], r[0]))
+    del got
     languages = sorted({r[0] for r in rows})
     if not languages:
         none = np.zeros((1 << LOG2_BUCKETS, 0), np.float32)
@@ -229,11 +231,16 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", per_la
     embedding = random.normal(0, 0.1, (1 << LOG2_BUCKETS, width))
     output, bias = np.zeros((width, len(languages))), np.zeros(len(languages))
     order = np.flatnonzero(~calibration)
-    weights = [n / n.sum() for *_, n in rows]
+
+    def shares(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """A row's buckets and their shares; rows themselves stay in the 6 bytes a bucket that they came in."""
+        n = rows[k][3].astype(np.float64)
+        return rows[k][2].astype(np.intp), n / n.sum()
+
     steps, step = epochs * len(order), 0
     for _ in range(epochs):
         for k in random.permutation(order):
-            at, w = rows[k][2], weights[k]
+            at, w = shares(k)
             lr = rate * (1 - step / steps) + 0.01
             step += 1
             mean = w @ embedding[at]
@@ -246,9 +253,11 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", per_la
             bias -= lr * 0.1 * p
             embedding[at] -= lr * np.outer(w, back) * 20
     kept = calibration if calibration.any() else np.ones(len(rows), bool)
-    logits = np.array([weights[k] @ embedding[rows[k][2]] @ output + bias for k in np.flatnonzero(kept)])
+    logits = np.array([w @ embedding[at] @ output + bias for at, w in map(shares, np.flatnonzero(kept))])
     table, last = (embedding @ output, np.eye(len(languages))) if len(languages) <= width else (embedding, output)
-    familiar, floors = familiarity(rows, target, len(languages), calibration, random)
+    familiar, floors = familiarity(shares, target, len(languages), calibration, random)
+    del rows
+    common.give_back()
     model = Model(languages, table, last, bias, 1.0, familiar, floors)
 
     def loss(temperature: float) -> float:
