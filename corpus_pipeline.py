@@ -49,6 +49,8 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (Jaccard 0.8 of five-word shingles), that of the smallest id.
 
+    SimHash fingerprints propose pairs, their sets are compared, and an exact join finds the pairs whose fingerprints lie further apart.
+
     Rows that repeat stay once; of equal ids the text of the smallest hash stays; null ids order last.
     """
     in_small_batches(spark)

@@ -1,17 +1,19 @@
-"""Near-duplicate documents by an exact join of their shingle sets: Jaccard 0.8 of five-word shingles, components.
+"""Near-duplicate documents by SimHash, checked and made whole by an exact join of their shingle sets: Jaccard 0.8 of five-word shingles.
 
-A fingerprint of 64 bits cannot tell this likeness: at Jaccard 0.8 about 10 of its bits differ, often 15, and no blocks that so many bits
-leave equal are selective. So documents meet under the shingles of their prefixes, as lines do in `line_dedup`: a shared table of counts
-orders shingles by rarity, two sets of Jaccard 0.8 share a shingle within both prefixes, and pairs pass a length, a positional and a bitmap
-filter before their whole sets are compared.
+Fingerprints of five-word shingles that differ in at most 4 bits meet by `simhash.links`, and each link's sets are compared: what has
+Jaccard 0.8 is one component. Fingerprints alone cannot tell this likeness: at Jaccard 0.8 about 10 of their bits differ, often 15, and no
+blocks that so many bits leave equal are selective. So documents of different components then meet under the shingles of their prefixes,
+as lines do in `line_dedup`: a shared table of counts orders shingles by rarity, two sets of Jaccard 0.8 share a shingle within both
+prefixes, and pairs pass a length, a positional and a bitmap filter before their whole sets are compared.
 
-At first each document proposes one candidate a group. Documents that this links are one component, and only pairs of different
+There each document proposes one candidate a group at first. Documents that this links are one component too, and only pairs of different
 components are proposed after that, all of them: nothing is lost, and a thousand copies of one text do not make a million pairs.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import common, line_dedup
+from tessera.llm import common, line_dedup, simhash
 
 WIDTH = 5
 _COUNT_MASK = np.uint64((1 << line_dedup.LOG2_COUNTS) - 1)
@@ -92,6 +94,15 @@ def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return common.batch(a=a, b=b)
 
 
+def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets (key, fp) that connect all whose fingerprints are equal or linked: one a set and one a link, never all pairs."""
+    first = common.stored(distinct.groupBy("fp").agg(F.min("key").alias("least")), "snappy")
+    same = distinct.join(first, "fp").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    of_a, of_b = (first.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_key")) for c in "ab")
+    near = simhash.links(first.select("fp")).join(of_a, "a").join(of_b, "b").select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
+    return common.stored(same.unionByName(near).where("a < b").distinct(), "snappy")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k_id, k_hash, root of each row; rows of one root are connected by pairs of Jaccard 0.8 or more. Texts without words are one component.
 
@@ -109,28 +120,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             order = common.order_in_groups(x.line, len(x.size), x.token, rank)
             lengths = np.where(x.size > 0, line_dedup.prefix_length(x.size), 0)
             ends = np.cumsum(lengths)
+            data = memoryview(buf)
+            fp = np.fromiter((simhash.fingerprint(bytes(data[a:b]), WIDTH) for a, b in itertools.pairwise(offsets.tolist())), np.uint64, len(x.size))
             at = order[np.repeat(x.first[:-1] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
             yield common.batch(
-                key=common.signed(x.key), k_id=rows.column("k_id"), k_hash=rows.column("k_hash"), size=x.size.astype(np.int32), sketch=common.signed(x.sketch),
+                key=common.signed(x.key), k_id=rows.column("k_id"), k_hash=rows.column("k_hash"), size=x.size.astype(np.int32), sketch=common.signed(x.sketch), fp=common.signed(fp),
                 **line_dedup.packed_prefixes(lengths, x.token[at], rank[at] > 0, rank[at] > line_dedup.COMMON),
             )
 
-    sets = common.stored(docs.mapInArrow(read, f"key long, k_id long, k_hash long, size int, sketch long, {line_dedup.PREFIX}"), "snappy")
+    sets = common.stored(docs.mapInArrow(read, f"key long, k_id long, k_hash long, size int, sketch long, fp long, {line_dedup.PREFIX}"), "snappy")
     ranks.destroy()
-    distinct = sets.groupBy("key").agg(F.min(F.struct("k_id", "k_hash")).alias("at"), F.any_value(F.struct("size", "sketch", "prefix", "plain", "common")).alias("line"))
-    distinct = common.stored(distinct.select("key", "at", "line.*"), "snappy")
+    distinct = sets.groupBy("key").agg(F.min(F.struct("k_id", "k_hash")).alias("at"), F.min("fp").alias("fp"), F.any_value(F.struct("size", "sketch", "prefix", "plain", "common")).alias("line"))
+    distinct = common.stored(distinct.select("key", "at", "fp", "line.*"), "snappy")
+
+    def rooted(roots: DataFrame) -> DataFrame:
+        return common.stored(distinct.drop("fp").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "snappy")
 
-    def alike(rooted: DataFrame, everything: bool) -> DataFrame:
-        prefixes = line_dedup.Prefixes(rooted, ROW, FIELDS)
+    def alike(roots: DataFrame, everything: bool) -> DataFrame:
+        prefixes = line_dedup.Prefixes(rooted(roots), ROW, FIELDS)
         found = prefixes.candidates(functools.partial(proposals, everything=everything), "a long, b long")
         return line_dedup.similar(docs, distinct, common.stored(found.distinct(), "snappy"), Sets)
 
-    links = alike(distinct.withColumn("root", F.col("key")), False)
+    links = line_dedup.similar(docs, distinct, fingerprint_pairs(distinct.select("key", "fp")), Sets)
     roots = common.stored(common.components(links))
-    rooted = common.stored(distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "snappy")
-    more = alike(rooted, True)
-    if more.take(1):
-        roots = common.stored(common.components(links.unionByName(more)))
+    for everything in (False, True):
+        more = alike(roots, everything)
+        if more.take(1):
+            links = links.unionByName(more)
+            roots = common.stored(common.components(links))
     return sets.select("key", "k_id", "k_hash").join(roots.withColumnRenamed("node", "key"), "key", "left").select("k_id", "k_hash", F.coalesce("root", "key").alias("root"))
 
 

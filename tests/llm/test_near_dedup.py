@@ -46,3 +46,20 @@ def test_documents(docs, doc_rows, odd, none):
     got = [(r["doc_id"], r["text"]) for r in near_dedup.drop_near_duplicates(odd).collect()]
     assert len(got) == len(set(got)) and (None, "a text without an id") in got and sum(d == 7 for d, _ in got) == 1 and all(d not in (3, 4, 11) for d, _ in got)
     assert near_dedup.drop_near_duplicates(none).count() == 0
+
+
+def test_fingerprints_do_their_part(spark, monkeypatch):
+    """Near copies meet by their fingerprints before any prefix is joined; what fingerprints link without likeness stays apart."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(4000)}" for _ in range(500)]
+    rows = [(n, " ".join([*base[:at], f"x{n}", *base[at:]])) for n, at in enumerate(range(0, 500, 50))]
+    rows += [(100 + n, " ".join(f"y{n}z{k}" for k in range(30))) for n in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    linked = []
+    whole = near_dedup.line_dedup.similar
+    monkeypatch.setattr(near_dedup.line_dedup, "similar", lambda *args: linked.append(whole(*args)) or linked[-1])
+    got = {r["doc_id"] for r in corpus_pipeline.distinct_documents(spark, df, "").collect()}
+    assert got == kept(rows) == {0, *range(100, 120)}
+    assert linked[0].count() >= 5  # the links of fingerprints, checked
+    monkeypatch.setattr(near_dedup.simhash, "fingerprint", lambda text, width: 0)
+    assert {r["doc_id"] for r in near_dedup.drop_near_duplicates(df).collect()} == kept(rows)
