@@ -9,6 +9,7 @@ planning takes the same time for ten rules and for a hundred thousand. Spark bro
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Sequence
 from typing import TYPE_CHECKING
 
@@ -184,6 +185,14 @@ def below(value: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
 
 
+def telling_grams(texts: Sequence[str]) -> dict[str, str]:
+    """For each text the substring of GRAM characters (a shorter text: itself) that the fewest of the texts hold; of equals the last, as names differ in their ends."""
+    distinct = set(texts)
+    grams = {t: [t[i : i + GRAM] for i in range(max(1, len(t) - GRAM + 1))] for t in distinct}
+    held = Counter(g for own in grams.values() for g in set(own))
+    return {t: min(reversed(own), key=held.__getitem__) for t, own in grams.items()}
+
+
 def config_signs(files: DataFrame, rules: list[ConfigRule], readable: list[bool]) -> DataFrame:
     """key__, ordinal, sign: by which signs a configuration file is of the kind of which rules. `readable` tells of each regular expression, in the order of the rules, whether it can be read."""
     spark = files.sparkSession
@@ -217,9 +226,12 @@ def config_signs(files: DataFrame, rules: list[ConfigRule], readable: list[bool]
     if spaces:
         sizes = sorted({min(len(t), GRAM) for _, t in spaces})
         grams = F.array_distinct(F.concat(*(substrings(F.col("contents"), n) if n else F.array(F.lit("")) for n in sizes)))
-        listed = spark.createDataFrame([(n, t[:GRAM], t) for n, t in spaces], "ordinal int, gram string, namespace string").distinct()
-        texts = files.where("contents is not null").select("key__", F.explode(grams).alias("gram")).join(listed, "gram").join(files.select("key__", "contents"), "key__")
-        found = found.unionByName(texts.where(F.contains("contents", F.col("namespace"))).select("key__", "ordinal", F.lit("xml_namespace").alias("sign")))
+        filed_under = telling_grams([t for _, t in spaces])
+        listed = spark.createDataFrame([(n, filed_under[t], t) for n, t in spaces], "ordinal int, gram string, namespace string").distinct()
+        # equal contents are looked up once; a text travels with its grams, so that it meets each rule's namespace in the same join
+        texts = files.where("contents is not null").select("contents").distinct()
+        hits = texts.select("contents", F.explode(grams).alias("gram")).join(listed, "gram").where(F.contains("contents", F.col("namespace"))).select("contents", "ordinal").distinct()
+        found = found.unionByName(files.select("key__", "contents").join(hits, "contents").select("key__", "ordinal", F.lit("xml_namespace").alias("sign")))
     return found.distinct()
 
 

@@ -2,6 +2,7 @@
 
 import random
 import time
+from collections import Counter
 
 import pytest
 
@@ -89,3 +90,15 @@ def test_configuration_rules_and_hints(spark, monkeypatch):
     assert want[0] and want[1]
     monkeypatch.setattr(rules, "CODED_RULES", 0)
     assert (rows_of(rules.config_files(files, listed)), rows_of(rules.hint_links(files.select("path", "file_name"), hints, ["path", "file_name"]))) == want
+
+
+def test_namespaces_of_one_beginning(spark):
+    """A thousand namespaces that begin alike: a text meets those it holds, not all that share its beginning."""
+    spaces = [f"http://schema.org/n{i}'" for i in range(1000)] + ["urn:", "x"]
+    grams = rule_index.telling_grams(spaces)
+    assert all(grams[t] in t for t in spaces) and max(Counter(grams.values()).values()) <= 3
+    listed = [rules.ConfigRule(f"r{i}", namespaces=(t,)) for i, t in enumerate(spaces)]
+    rows = [(f"f{i}", "a", f"<b a='http://schema.org/n{i % 40}'/>" if i % 4 else "urn:q", None, None) for i in range(400)]
+    files = spark.createDataFrame(rows, "path string, file_name string, contents string, xml_root string, keys array<string>")
+    got = {r["path"]: sorted(r["rule_ids"]) for r in rules.config_files(files, listed).collect()}
+    assert got == {p: sorted(f"r{n}" for n, t in enumerate(spaces) if t in c) for p, _, c, _, _ in rows if any(t in c for t in spaces)}
