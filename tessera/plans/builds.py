@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.dealing import dealt
 from tessera.plans.registry import Registry, read
 from tessera.sources import catalogues, formats, java
 
@@ -13,7 +14,7 @@ query = Registry()
 
 def poms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A POM for each part: properties, key % 3 modules, key % 4 dependencies of which every other names an unknown property, a plugin."""
-    return read(spark, sf_dir, "part").selectExpr(
+    return dealt(read(spark, sf_dir, "part"), "p_partkey").selectExpr(
         "concat('n', p_partkey, '/pom.xml') AS path",
         """concat('<?xml version="1.0"?><!-- <modelVersion>x</modelVersion> is above --><project><properties><v>', p_partkey % 10, '.0</v><java.version>', 8 + p_partkey % 4, '</java.version><own>4.0.', p_partkey % 2, '</own></properties>',
             '<modules>', array_join(transform(filter(sequence(0, 2), i -> i < p_partkey % 3), i -> concat('<module> m', i, ' </module>')), ''), '</modules><dependencies>',
@@ -139,13 +140,13 @@ _KEYS = "WITH d AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 6 <> 5
 @query(_KEYS)
 def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dotted keys of JSON documents; one in six is cut off and gives none."""
-    files = read(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) AS path", """concat('{"a": {"b": ', c_custkey, ', "list": [1, ', c_custkey, ']}, "on": ', c_custkey % 2 = 0, ', "none": null', if(c_custkey % 6 = 5, '', '}')) AS text""")
+    files = dealt(read(spark, sf_dir, "customer"), "c_custkey").selectExpr("concat('c', c_custkey) AS path", """concat('{"a": {"b": ', c_custkey, ', "list": [1, ', c_custkey, ']}, "on": ', c_custkey % 2 = 0, ', "none": null', if(c_custkey % 6 = 5, '', '}')) AS text""")
     return formats.flattened(files, "json")
 
 
 @query(_KEYS)
 def yaml_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = read(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) AS path", r"concat('a:\n  b: ', c_custkey, '\n  list:\n  - 1\n  - ', c_custkey, '\n', if(c_custkey % 6 = 5, ']', ''), '\"on\": ', c_custkey % 2 = 0, '\n---\nnone:\n') AS text")
+    files = dealt(read(spark, sf_dir, "customer"), "c_custkey").selectExpr("concat('c', c_custkey) AS path", r"concat('a:\n  b: ', c_custkey, '\n  list:\n  - 1\n  - ', c_custkey, '\n', if(c_custkey % 6 = 5, ']', ''), '\"on\": ', c_custkey % 2 = 0, '\n---\nnone:\n') AS text")
     return formats.flattened(files, "yaml")
 
 
@@ -194,7 +195,7 @@ def build_report_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tests(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The model of test sources: a suite for each customer with key % 3 cases, in folders that tell their kind or not."""
-    files = read(spark, sf_dir, "customer").selectExpr(
+    files = dealt(read(spark, sf_dir, "customer"), "c_custkey").selectExpr(
         "concat(CASE c_custkey % 4 WHEN 0 THEN 'e2e/' WHEN 1 THEN 'acceptance/' ELSE 'it/' END, 'S', c_custkey, '.java') AS path",
         r"""concat('package t.n', c_nationkey, ';\n', if(c_custkey % 4 = 3, '@SpringBootTest\n', ''), 'class S', c_custkey, ' {\n  @BeforeEach void up() {}\n',
             array_join(transform(filter(sequence(0, 2), j -> j < c_custkey % 3), j -> concat('  @Test @DisplayName("d', j, '")\n  void c', j, '() { mock(A.class); assertEquals(', j, ', api.getForObject("/r/', c_custkey, '", B.class)); queue.send("q', j, '", 1); }\n')), ''),

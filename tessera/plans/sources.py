@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.dealing import dealt
 from tessera.operators import classify
 from tessera.plans.registry import Registry, read
 from tessera.sources import java, java_model
@@ -16,7 +17,7 @@ REGISTRY = {"jakarta_persistence": classify.Group(symbols=("jakarta.persistence.
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file a customer: an entity with key % 3 columns and key % 4 methods, each with an anonymous class; every tenth lacks its end."""
-    return read(spark, sf_dir, "customer").selectExpr(
+    return dealt(read(spark, sf_dir, "customer"), "c_custkey").selectExpr(
         "concat('n', c_nationkey, '/C', c_custkey, '.java') AS path",
         r"""concat('package shop.n', c_nationkey, ';\nimport jakarta.persistence.*;\n@Entity\nclass C', c_custkey, ' extends Base<C', c_custkey, '> {\n',
             array_join(transform(filter(sequence(0, 2), i -> i < c_custkey % 3), i -> concat('  @Column(name = "f', i, '") Map<String, List<T', i, '>> f', i, ';\n')), ''),

@@ -41,7 +41,7 @@ def flat(value: object, key: str = "") -> Iterator[tuple[str, str]]:
 
 
 def flattened(files: DataFrame, kind: str) -> DataFrame:
-    """path, key, value of JSON or YAML files; a file that cannot be read gives no rows."""
+    """path, key, value of JSON or YAML files; a file that cannot be read gives no rows. A task reads all files of its partition, as in `java.nodes`."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if kind == "yaml":

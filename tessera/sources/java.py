@@ -76,6 +76,7 @@ def looked_up(name: Column, kinds: dict[str, list[str]]) -> Column:
 def nodes(files: DataFrame) -> DataFrame:
     """A row for each package, import, type, field, method, call and local annotation of the files (path, text), numbered within its file.
 
+    A task reads all files of its partition, so a table of many files in few partitions is to be dealt first (`functions.dealing`).
     parent and class_line tell the class around it, callers the methods around it from the outermost, top the outermost class; loose is
     what lies inside a member; inside holds all annotations from there to its end. One row of kind "error" stands for a broken file.
     """
