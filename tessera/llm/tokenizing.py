@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: runs encoded at once
-SLICE = 4096
+#: runs encoded at once, and runs of one text
+SLICE, JOINED = 4096, 64
 #: words by which an encoder tells what its tokenizer does
 PROBES = ("a", "Word", "MIXEDcase", "naïve", "x1", "the", "Überraschung", "ÉTÉ", "internationalisation", "ﬁ", "Ñandú", "don't")
 
@@ -42,8 +42,36 @@ class ChunkEncoder:
         self.lowers = all(self.ids_of(x) == self.ids_of(x.lower()) for x in PROBES)
         self.cuts = all(self.ids_of(x + sign) == self.ids_of(x) + self.ids_of(sign) for x in PROBES for sign in ".,;:!?")
         self.parts = all(self.ids_of(f"{x} {y}\n\t{x} ") == self.ids_of(x) + self.ids_of(y) + self.ids_of(x) for x in PROBES for y in PROBES)
+        self.sign, self.sign_id = self.separator()
         self.clear()
 
+    def separator(self) -> tuple[str, int]:
+        """An added token that parts texts wherever it stands, and its id; an empty text if the tokenizer has none.
+
+        No added token may begin within another, so that none is found across the end of a run.
+        """
+        added = self.tokenizer.get_added_tokens_decoder()
+        for number, token in added.items():
+            plain = token.special and not (token.normalized or token.lstrip or token.rstrip or token.single_word)
+            apart = all(token.content[0] not in x.content[1:] for x in added.values())
+            if plain and apart and all(self.ids_of(x + token.content + y) == [*self.ids_of(x), number, *self.ids_of(y)] for x in PROBES for y in PROBES):
+                return token.content, number
+        return "", -1
+
+    def coded(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the runs behind each other, and how many each has. Runs joined by the separator share the cost of an encoding."""
+        lone = not self.sign or any(self.sign in x for x in runs)
+        texts = runs if lone else [self.sign.join(runs[k : k + JOINED]) for k in range(0, len(runs), JOINED)]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        if lone:
+            return ids, lengths
+        ends = np.sort(np.concatenate([np.flatnonzero(ids == self.sign_id), np.cumsum(lengths)[:-1], [len(ids)]]))
+        inner = ids != self.sign_id
+        before = np.concatenate([[0], np.cumsum(inner)])
+        return ids[inner], np.diff(before[ends], prepend=0)
+
     def ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -57,17 +85,16 @@ class ChunkEncoder:
         new = [x for x in runs if x not in self.row]
         if not new:
             return
-        coded: list[list[int]] = []
-        for k in range(0, len(new), SLICE):  # an encoding takes far more memory than its ids
-            coded += [x.ids for x in self.tokenizer.encode_batch_fast(new[k : k + SLICE], add_special_tokens=False)]
+        # an encoding takes far more memory than its ids
+        found = [self.coded(new[k : k + SLICE]) for k in range(0, len(new), SLICE)]
+        ids, lengths = (np.concatenate(x) for x in zip(*found, strict=True))
         n, used = len(self.row), self.offsets[len(self.row)]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        stop = used + lengths.sum()
+        stop = used + len(ids)
         while len(self.ids) < stop:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.offsets) < n + len(new) + 1:
             self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-        self.ids[used:stop] = np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(stop - used))
+        self.ids[used:stop] = ids
         self.offsets[n + 1 : n + len(new) + 1] = used + np.cumsum(lengths)
         self.row.update(zip(new, range(n, n + len(new)), strict=True))
 

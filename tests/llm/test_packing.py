@@ -107,3 +107,29 @@ def test_tokenizers_of_other_kinds(tmp_path):
         ids, first = code.encode(pa.array(texts))
         assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [own.encode(t or "", add_special_tokens=False).ids for t in texts], k
         assert code.lengths(pa.array(texts)).tolist() == np.diff(first).tolist()
+
+
+def test_runs_joined_for_an_encoding_keep_their_ids():
+    """Distinct runs are encoded many to a text; each gets the ids it has alone, odd ones and parts of added tokens included."""
+    from tessera.llm.tokenizing import JOINED, SLICE, ChunkEncoder
+
+    code = ChunkEncoder("word_bpe_49k.json")
+    odd = ["", "<|", "<|startoftext|", "x<", "<|endoftext|>", "a<|endoftext|>b", "|>", "text|>", "́x", "é", "ﬁ", "\x00", "a‍", "%%%", "it's", "ÜBER9", "", ""]
+    runs = [f"{w}{k * 7919}" if k % 3 else w for k, w in enumerate(odd * 20)]
+    seen: list[int] = []
+    inner, code.tokenizer = code.tokenizer, None
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            seen.append(len(texts))
+            return inner.encode_batch_fast(texts, **options)
+
+    code.tokenizer = Counted()
+    for some in (runs, runs[:1], runs[: JOINED - 1], runs[:JOINED], runs[: JOINED + 1], [*runs, "q<|startoftext|>r"], ["", ""]):
+        ids, lengths = code.coded(some)
+        alone = [inner.encode(x, add_special_tokens=False).ids for x in some]
+        assert lengths.tolist() == [len(x) for x in alone]
+        assert ids.tolist() == [i for x in alone for i in x]
+    assert seen[0] == -(-len(runs) // JOINED) and SLICE > JOINED
+    code.tokenizer, code.sign = inner, ""  # a tokenizer without added tokens
+    assert code.coded(runs)[0].tolist() == [i for x in runs for i in inner.encode(x, add_special_tokens=False).ids]
