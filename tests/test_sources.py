@@ -68,3 +68,25 @@ def test_reports(spark):
 @pytest.mark.parametrize("text, want", [('x ```json\n{"a": 1}\n``` y', '{"a": 1}'), ('{"b": 2}', '{"b": 2}'), ('so: {"c": 3} ok', '{"c": 3}'), ("none", None), (None, None)])
 def test_recovered_json(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(P.recovered_json(F.col("t"))).first()[0] == want
+
+
+def test_plain_yaml_is_read_by_libyaml_alike(monkeypatch):
+    """Plain texts go to libyaml, odd ones and those it refuses to PyYAML's own parser; rows and refusals are those of the latter for all."""
+    import random
+
+    import yaml
+
+    def answer(load, text):
+        try:
+            return repr(load(text))
+        except Exception as e:  # dates out of range are no YAMLError
+            return type(e)
+
+    own = lambda text: list(yaml.safe_load_all(text))
+    parts = ["a", "b", "- ", ": ", ":", "\n", "\n  ", " ", '"', "'", "[", "]", "{", "}", ", ", " #", "&x ", "*x", "!", "!!str ", "1", "0x1F", "true", "---", "\n---\n", "? ", "%", "|", ">", "\\n", "\t", "é", "<<: ", "2020-01-01", "2020-99-99", "12:30"]
+    draw = random.Random(5)
+    texts = ["", "{null':}", "[2020-01-01.5:]", "|#", "!", "%1on\n---\n\n  ?", "a:\n  b: 1\n  list:\n  - 1\n\"on\": true\n---\nnone:\n", *("".join(draw.choices(parts, k=draw.randint(1, 14))) for _ in range(3000))]
+    assert [t for t in texts if answer(P.yaml_documents, t) != answer(own, t)] == []
+    if yaml.__with_libyaml__:
+        monkeypatch.setattr(yaml, "safe_load_all", None)
+        assert P.yaml_documents("a: {b: [1, x]}") == [{"a": {"b": [1, "x"]}}]
