@@ -127,7 +127,9 @@ def pom_java_versions(files: DataFrame) -> DataFrame:
 
 def pom_tools(files: DataFrame) -> DataFrame:
     """tool, version, file, source of each POM with a model version, references put in."""
-    found = files.select("path", substituted(tag(F.col("text"), "modelVersion"), pom_properties(F.col("text"))).alias("version")).where("version is not null")
+    version = substituted(tag(F.col("text"), "modelVersion"), pom_properties(F.col("text")))
+    # a filter on an exploded value is not put in place of it, with all that it is made of, a second time
+    found = files.where(F.contains("text", F.lit("<modelVersion>"))).select("path", F.explode(F.array(version)).alias("version")).where("version is not null")
     return found.select(F.lit("maven-model").alias("tool"), "version", F.col("path").alias("file"), F.lit("pom.xml").alias("source"))
 
 

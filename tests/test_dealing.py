@@ -39,3 +39,12 @@ def test_filters_on_texts_stay_behind_the_deal(spark, folder):
     filters = [n for n, line in enumerate(lines) if "modelVersion" in line and "Filter" in line]
     assert filters and max(filters) < next(n for n, line in enumerate(lines) if "Repartition" in line)
     assert tools.count() == 24_000
+
+
+def test_versions_of_poms_are_worked_out_once(spark, folder):
+    """A filter on the version does not make the text, and read its properties, a second time; POMs without one give no row."""
+    texts = builds.poms(spark, folder).withColumn("text", F.replace("text", F.lit("<own>"), F.lit("<modelVersion>${own}</modelVersion><own>")))
+    plan = builds.formats.pom_tools(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<?xml") <= 2  # the text of a row, and the look for the tag in it
+    odd = spark.createDataFrame([("a", None), ("b", ""), ("c", "<modelVersion></modelVersion>"), ("d", "<modelVersion>4"), ("e", "<modelVersion> ${x}.${y} </modelVersion><properties><x>1</x></properties>")], "path string, text string")
+    assert [(r["file"], r["version"]) for r in builds.formats.pom_tools(odd).collect()] == [("e", "1.${y}")]
