@@ -7,11 +7,15 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.dealing import dealt
 from tessera.operators import coverage, graph, lookups, resolve, score, upsert
 from tessera.plans.registry import Registry, read
 
 query = Registry()
 
+#: rows that a task sorts for their first ones
+SORTED = 200_000
+
 #: each stand-in: its table, its columns for both engines (expressions that Spark and DuckDB read alike)
 STAND_INS = {
     "methods": (
@@ -50,8 +54,11 @@ STAND_INS = {
 }
 
 
-def stand_ins(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    return {n: read(spark, sf_dir, STAND_INS[n][0]).selectExpr(*(f"{e} AS {c}" for c, e in STAND_INS[n][1].items())) for n in names}
+def stand_ins(spark: SparkSession, sf_dir: str, *names: str, keys: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The stand-ins; those of the tables in `keys` (table: its key) dealt by it over tasks of SORTED rows, before columns are made of them."""
+    tables = {t: read(spark, sf_dir, t) for t in {STAND_INS[n][0] for n in names}}
+    tables |= {t: dealt(tables[t], k, per_task=SORTED) for t, k in (keys or {}).items()}
+    return {n: tables[STAND_INS[n][0]].selectExpr(*(f"{e} AS {c}" for c, e in STAND_INS[n][1].items())) for n in names}
 
 
 def w(*names: str) -> str:

@@ -80,7 +80,7 @@ _TEST = "concat_ws('#', coalesce(suite, '-'), r.name, r.file, r.start_line, coal
     + " SELECT DISTINCT m.id AS method_id, coalesce(e.t, '-') AS entry_points, coalesce(g.t, '-') AS signals, coalesce(x.t, '-') AS tests FROM methods m LEFT JOIN e ON e.k = m.id LEFT JOIN g ON g.k = m.id LEFT JOIN x ON x.k = m.id"
 )
 def method_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = stand_ins(spark, sf_dir, "methods", "entry_points", "candidate_signals", "test_targets", "test_cases", "test_suites", "test_assertions", "test_fixtures", "test_entry_points")
+    t = stand_ins(spark, sf_dir, "methods", "entry_points", "candidate_signals", "test_targets", "test_cases", "test_suites", "test_assertions", "test_fixtures", "test_entry_points", keys={"orders": "o_orderkey", "events": "event_id"})
     t["test_suites"] = t["test_suites"].withColumn("class_name", F.col("qualified_name"))
     t["test_cases"] = t["test_cases"].withColumn("end_line", F.col("start_line"))
     t["test_assertions"] = t["test_assertions"].withColumns({"assertion_kind": F.lit("eq"), "expression": F.substring("expression", 1, 9)})

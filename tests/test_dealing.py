@@ -48,3 +48,15 @@ def test_versions_of_poms_are_worked_out_once(spark, folder):
     assert plan.count("<?xml") <= 2  # the text of a row, and the look for the tag in it
     odd = spark.createDataFrame([("a", None), ("b", ""), ("c", "<modelVersion></modelVersion>"), ("d", "<modelVersion>4"), ("e", "<modelVersion> ${x}.${y} </modelVersion><properties><x>1</x></properties>")], "path string, text string")
     assert [(r["file"], r["version"]) for r in builds.formats.pom_tools(odd).collect()] == [("e", "1.${y}")]
+
+
+def test_rows_sorted_for_their_first_ones_are_dealt(spark, tmp_path):
+    """What a task sorts for the first rows of each method or case does not grow with the table's files."""
+    spark.range(0, 24_000, 1, 1).selectExpr("id AS event_id", "id % 90 AS user_id", "'k' AS event_type", "'p' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    from tessera.plans import extraction, trees
+
+    rows = extraction.stand_ins(spark, str(tmp_path), "entry_points", keys={"events": "event_id"})["entry_points"]
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 24_000 and max(sizes) < 4_800
+    plan = trees.method_contexts(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [o_orderkey" in plan and "RepartitionByExpression [event_id" in plan
