@@ -14,15 +14,25 @@ from pyspark.sql import functions as F
 from tessera.llm import common, decontam, langid, line_dedup, near_dedup, packing
 
 
-#: rows of a batch between Spark and its Python workers; documents are long, and an executor and each worker hold a batch at least
+#: rows, and bytes, of a batch between Spark and its Python workers; documents are long, and an executor and each worker hold a batch at least
 BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
+#: rows that Spark's Parquet reader unpacks at once; it holds their texts in one array, which doubles as it grows
+READ_ROWS = 512
+
+#: settings, their defaults, and what the stages set in their place
+SMALL = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(BATCH_ROWS)),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", f"{BATCH_BYTES}b"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", str(READ_ROWS)),
+}
 
 
 def in_small_batches(spark: SparkSession) -> None:
-    """Have the session send batches of BATCH_ROWS rows, unless it has a setting of its own."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(setting) == "10000":  # the default
-        spark.conf.set(setting, str(BATCH_ROWS))
+    """Have the session read and send small batches, unless it has settings of its own."""
+    for setting, (default, small) in SMALL.items():
+        if spark.conf.get(setting, default) == default:
+            spark.conf.set(setting, small)
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
