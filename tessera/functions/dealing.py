@@ -12,6 +12,12 @@ PER_TASK = 10_000
 LEAST = 500
 
 
+def tasks_for(rows: DataFrame, per_task: int = PER_TASK) -> int:
+    """A task for each `per_task` rows, or as many as there are cores if there are fewer rows; the rows are counted."""
+    n = rows.count()
+    return max(math.ceil(n / per_task), min(rows.sparkSession.sparkContext.defaultParallelism, n // LEAST))
+
+
 def dealt(rows: DataFrame, *by: str, per_task: int = PER_TASK) -> DataFrame:
     """`rows`, dealt by their keys over a task for each `per_task` of them, or over all cores if there are fewer; a small table stays as it is.
 
@@ -19,8 +25,7 @@ def dealt(rows: DataFrame, *by: str, per_task: int = PER_TASK) -> DataFrame:
     are dealt before they become texts, as keys are small. Rows of equal keys stay together, so `by` should be unique. The number of rows
     is counted, which a file format tells without reading them.
     """
-    n = rows.count()
-    tasks = max(math.ceil(n / per_task), min(rows.sparkSession.sparkContext.defaultParallelism, n // LEAST))
+    tasks = tasks_for(rows, per_task)
     if tasks <= 1:
         return rows
     # Spark moves filters below a repartition, and the texts they read with them, but not below what a partition's number is part of

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.dealing import tasks_for
 from tessera.operators import classify, resolve
 from tessera.sources import files as source_files
 from tessera.sources import java
@@ -177,6 +178,10 @@ def classification(files: DataFrame, modules: DataFrame, dependencies: DataFrame
     found = source_classes(nodes, symbols)
     if resolved is not None:
         found = classify.with_resolved_symbols(found, resolved)
+    # the classes are kept below, so that their number, not a setting, tells how many parts they are
+    tasks = tasks_for(nodes.where(F.col("top").isNull() & F.col("kind").isin(CLASS_KINDS)))
+    if tasks > 1:
+        found = found.repartition(tasks, "file")
     owners = modules.select(F.col("path").alias("prefix"), F.col("id").alias("module_id"))
     owned = resolve.longest_prefix_owner(found, owners, "file", "prefix", "module_id").withColumn("module_id", F.coalesce("module_id", F.lit(classify.ROOT)))
     return {**classify.classified(owned.persist(), dependencies, registry), "diagnostics": java.broken(nodes)}
