@@ -127,14 +127,15 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) ->
     if not len(buf):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
-    inside = ~gap[buf]
-    before, after = np.empty_like(inside), np.empty_like(inside)
-    before[0], before[1:] = False, inside[:-1]
-    after[-1], after[:-1] = False, inside[1:]
+    inside = np.frombuffer(buf.tobytes().translate((~gap).astype(np.uint8).tobytes()), np.uint8)
+    edges = [np.flatnonzero(inside[1:] != inside[:-1]) + 1]  # where a word starts or ends, in turn
     cuts = offsets[(offsets > 0) & (offsets < len(buf))]
-    before[cuts], after[cuts - 1] = False, False
-    starts = np.flatnonzero(inside & ~before)
-    return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, offsets)
+    cuts = np.unique(cuts[(inside[cuts - 1] & inside[cuts]) > 0])
+    if len(cuts):
+        edges = [np.sort(np.concatenate([*edges, cuts, cuts]))]
+    edge = np.concatenate([np.zeros(int(inside[0]), np.int64), *edges, np.full(int(inside[-1]), len(buf))])
+    starts = edge[0::2].copy()
+    return starts, edge[1::2].copy(), np.searchsorted(starts, offsets)
 
 
 def powers(n: int, multiplier: int = _MULTIPLIER) -> tuple[np.ndarray, np.ndarray]:
@@ -167,11 +168,13 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: n
     j = 0
     with np.errstate(over="ignore"):
         while j < len(starts):
-            k = max(j + 1, int(np.searchsorted(ends, starts[j] + BLOCK // 2, "right")))
+            k = max(j + 1, int(np.searchsorted(ends, starts[j] + BLOCK // 16, "right")))  # what a processor's cache holds
             base, stop = starts[j], ends[k - 1]
             up, down = powers(int(stop - base))
             total = np.zeros(stop - base + 1, U64)
-            np.cumsum(values[buf[base:stop]] * up, out=total[1:])
+            own = values.take(buf[base:stop].astype(np.intp))
+            own *= up
+            np.cumsum(own, out=total[1:])
             out[j:k] = (total[ends[j:k] - base] - total[starts[j:k] - base]) * down[starts[j:k] - base] + (ends[j:k] - starts[j:k]).astype(U64)
             j = k
     return mixed(out)
@@ -316,18 +319,24 @@ def packed_rows(bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     return batch(bucket=bucket[at], data=data)
 
 
-def whole_buckets(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """From packed rows sorted by bucket: the buckets and rows of whole buckets, about BUCKET_ROWS or one bucket at a time."""
+def bucket_tables(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
+    """From packed rows of `width` bytes sorted by bucket: tables of whole buckets, about BUCKET_ROWS or one bucket at a time."""
     for table in whole_groups(batches, ["bucket"]):
-        data, offsets = byte_buffer(table["data"].chunk(0))
-        bucket, before = table["bucket"].to_numpy(), offsets // kind.itemsize
+        _, offsets = byte_buffer(table["data"].chunk(0))
+        bucket, before = table["bucket"].to_numpy(), offsets // width
         ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
         lo = 0
         while lo < len(bucket):
             k = max(int(np.searchsorted(before[ends], before[lo] + BUCKET_ROWS, "right")) - 1, int(np.searchsorted(ends, lo, "right")))
-            hi = int(ends[k])
-            yield np.repeat(bucket[lo:hi], np.diff(before[lo : hi + 1])), data[offsets[lo] : offsets[hi]].view(kind)
-            lo = hi
+            yield table.slice(lo, int(ends[k]) - lo)
+            lo = int(ends[k])
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The buckets and rows of `bucket_tables`."""
+    for table in bucket_tables(batches, kind.itemsize):
+        data, offsets = byte_buffer(table["data"].chunk(0))
+        yield np.repeat(table["bucket"].to_numpy(), np.diff(offsets // kind.itemsize)), data.view(kind)
 
 
 def by_bucket(packed: DataFrame) -> DataFrame:

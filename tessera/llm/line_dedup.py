@@ -47,23 +47,24 @@ class Lines:
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> None:
         starts, ends, _ = common.word_spans(buf, offsets)
         breaks = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(buf == 0x0A) + 1]))
-        line = np.searchsorted(breaks, starts, "right") - 1
-        many = np.bincount(line, minlength=len(breaks)) >= least
-        use = many[line]
-        name = np.cumsum(many) - 1
-        token, line = common.span_hashes(buf, starts[use], ends[use], LOWER_VALUES), name[line[use]]
-        order = common.order_in_groups(line, int(many.sum()), token)
-        token, line = token[order], line[order]
+        words = np.diff(np.append(np.searchsorted(starts, breaks), len(starts)))
+        many = words >= least
+        if least > 1:
+            use = np.repeat(many, words)
+            starts, ends = starts[use], ends[use]
+        at, line = breaks[many], np.repeat(np.arange(np.count_nonzero(many)), words[many])
+        token = common.span_hashes(buf, starts, ends, LOWER_VALUES)
+        token = token[common.order_in_groups(line, len(at), token)]  # lines stay in their order
         keep = np.ones(len(token), bool)
         keep[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
-        token, line = token[keep], line[keep]
-        size = np.bincount(line, minlength=int(many.sum()))
-        enough = size >= least
-        use = enough[line]
-        self.token, self.line = token[use], (np.cumsum(enough) - 1)[line[use]]
-        self.size = size[enough]
+        self.token, self.line = token[keep], line[keep]
+        self.size = np.bincount(self.line, minlength=len(at))
+        enough = self.size >= least
+        if not enough.all():
+            use = enough[self.line]
+            self.token, self.line = self.token[use], (np.cumsum(enough) - 1)[self.line[use]]
+            self.size, at = self.size[enough], at[enough]
         self.first = np.concatenate([[0], np.cumsum(self.size)])
-        at = breaks[np.flatnonzero(many)[enough]]
         self.row = np.searchsorted(offsets, at, "right") - 1
         self.number = np.searchsorted(breaks, at) - np.searchsorted(breaks, offsets[self.row])
         if len(self.size):
@@ -98,34 +99,47 @@ def rarity(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(n, 1)) * 4, 127).astype(np.uint8)
 
 
-def token_ranks(spark: SparkSession, docs: DataFrame, tokens: Callable[[np.ndarray, np.ndarray], np.ndarray] = word_tokens) -> np.ndarray:
-    """The rarity of each slot of a table of fixed size, hit by the tokens of all documents; slots come to the driver, tokens do not."""
-    part = 1 << 12
+def token_ranks(spark: SparkSession, docs: DataFrame, tokens: Callable[[np.ndarray, np.ndarray], np.ndarray] = word_tokens) -> tuple[np.ndarray, int]:
+    """The rarity of each slot of a table of fixed size, hit by the tokens of all documents, and the number of all lines.
+
+    Slots come to the driver, tokens do not; parts of the table travel compressed, as a task hits few of their slots.
+    """
+    part, lines = 1 << 12, -1
 
     @common.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << LOG2_COUNTS, np.uint32)
+        total, since, n_lines = np.zeros(1 << LOG2_COUNTS, np.uint32), 0, 0
         for _, buf, offsets in blocks(batches):
-            slot, n = np.unique((tokens(buf, offsets) & _COUNT_MASK).astype(np.uint32), return_counts=True)
-            total[slot] = np.minimum(total[slot] + n, 0xFFFFFFFF)
-        for k in np.flatnonzero(total.reshape(-1, part).any(axis=1)):
-            yield common.batch(part=np.array([k], np.int32), n=pa.array([total[k * part : (k + 1) * part].astype("<u4").tobytes()], pa.binary()))
+            slot = (tokens(buf, offsets) & _COUNT_MASK).astype(np.int64)
+            np.add.at(total, slot, np.uint32(1))
+            n_lines, since = n_lines + np.count_nonzero(buf == 0x0A) + len(offsets) - 1, since + len(slot)
+            if since > 1 << 30:  # counts stay far below 2 ** 32
+                np.minimum(total, np.uint32(1 << 31), out=total)
+                since = 0
+        press = zstandard.ZstdCompressor(level=1)
+        used = np.flatnonzero(total.reshape(-1, part).any(axis=1))
+        data = [np.array([n_lines], "<i8").tobytes(), *(press.compress(total[k * part : (k + 1) * part].astype("<u4").tobytes()) for k in used)]
+        yield common.batch(part=np.append(lines, used).astype(np.int32), n=pa.array(data, pa.binary()))
 
     @common.tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        unpress = zstandard.ZstdDecompressor()
         for rows in batches:
             for k, n in zip(rows.column("part").to_pylist(), rows.column("n"), strict=True):
-                own = np.frombuffer(n.as_buffer(), "<u4").astype(np.int64)
+                own = np.frombuffer(n.as_buffer(), "<i8") if k == lines else np.frombuffer(unpress.decompress(n.as_buffer()), "<u4").astype(np.int64)
                 total[k] = total[k] + own if k in total else own
         for k, n in total.items():
-            yield common.batch(part=np.array([k], np.int32), n=pa.array([rarity(n).tobytes()], pa.binary()))
+            yield common.batch(part=np.array([k], np.int32), n=pa.array([n.tobytes() if k == lines else rarity(n).tobytes()], pa.binary()))
 
-    rows = docs.mapInArrow(count, "part int, n binary").repartition("part").mapInArrow(add, "part int, n binary").toArrow()
-    out = np.zeros(1 << LOG2_COUNTS, np.uint8)
+    rows = docs.select("text").mapInArrow(count, "part int, n binary").repartition("part").mapInArrow(add, "part int, n binary").toArrow()
+    out, n_lines = np.zeros(1 << LOG2_COUNTS, np.uint8), 0
     for k, n in zip(rows["part"].to_pylist(), rows["n"].to_pylist(), strict=True):
-        out[k * part : (k + 1) * part] = np.frombuffer(n, np.uint8)
-    return out
+        if k == lines:
+            n_lines = int(np.frombuffer(n, "<i8")[0])
+        else:
+            out[k * part : (k + 1) * part] = np.frombuffer(n, np.uint8)
+    return out, n_lines
 
 
 def packed_prefixes(lengths: np.ndarray, token: np.ndarray, shared: np.ndarray, often: np.ndarray) -> dict[str, object]:
@@ -196,7 +210,8 @@ class Prefixes:
         @common.tidy
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for bucket, rows in common.whole_buckets(batches, kind):
-                yield from propose(labels_of(bucket, rows["token"]), labels_of(bucket, rows["token"]), rows)
+                label = labels_of(bucket, rows["token"])
+                yield from propose(label, label, rows)
 
         plain = common.by_bucket(self.rows.mapInArrow(spread, "bucket int, data binary")).mapInArrow(meet, schema)
 
@@ -244,13 +259,15 @@ def meeting(group: np.ndarray, rows: np.ndarray, apart: str) -> Iterator[tuple[n
 
 def in_groups(group: np.ndarray, label: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Number, label, row and size of group of each row that is not alone in its group, by group and set size."""
-    order = np.lexsort((rows["size"], group))
+    order = np.argsort(group)
     group = group[order]
-    number = np.cumsum(np.concatenate([np.zeros(min(1, len(group)), np.int64), group[1:] != group[:-1]]))
-    many = np.bincount(number)[number]
-    use = many > 1
-    order = order[use]
-    return number[use], label[order], rows[order], many[use]
+    new = np.ones(len(group) + 1, bool)
+    new[1:-1] = group[1:] != group[:-1]
+    use = ~(new[1:] & new[:-1])
+    order, number = order[use], np.cumsum(new[:-1])[use] - 1
+    by_size = np.argsort(number << 32 | rows["size"][order])  # as by lexsort, in one sort
+    order, number = order[by_size], number[by_size]
+    return number, label[order], rows[order], np.bincount(number)[number]
 
 
 ROW = np.dtype([("token", "<u4"), ("size", "<u4"), ("pos", "<u2"), ("number", "<u4"), ("key", "<i8"), ("doc", "<i8"), ("sketch", "<u8"), ("sketch2", "<u8")])
@@ -338,36 +355,112 @@ def similar(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, parse: Calla
     return out
 
 
+#: a line on its way to the lines of equal sets; its prefix goes beside it. Size 0: an earlier line has the same set
+LINE = np.dtype([("key", "<i8"), ("k_id", "<i8"), ("k_hash", "<i8"), ("number", "<u4"), ("size", "<u4"), ("sketch", "<u8"), ("sketch2", "<u8")])
+
+
+def line_prefix(size: np.ndarray) -> np.ndarray:
+    """The prefix length of lines: none where only equals are similar."""
+    return np.where(size >= MIXED, prefix_length(size.astype(np.int64)), 0)
+
+
+def firsts_and_copies(rows: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first line of each set, then all at later places, their size 0, and the prefixes of these lines; `tokens` has those of `rows`.
+
+    Of lines at one place (rows that repeat id and text) one is left.
+    """
+    lengths = line_prefix(rows["size"])
+    old = np.flatnonzero(rows["size"])
+    order = old[np.argsort(rows["key"][old])]
+    key = rows["key"][order]
+    again = np.zeros(len(key), bool)
+    again[1:] = key[1:] == key[:-1]
+    alike = again.copy()
+    alike[:-1] |= again[1:]
+    some = order[alike]
+    some = some[np.lexsort((rows["k_hash"][some], rows["number"][some], rows["k_id"][some], rows["key"][some]))]
+    new = np.ones(len(some), bool)
+    new[1:] = rows["key"][some[1:]] != rows["key"][some[:-1]]
+    head = some[new][np.cumsum(new) - 1] if len(some) else some
+    later = np.zeros(len(some), bool)
+    for name in ("k_id", "number", "k_hash"):
+        later |= rows[name][some] != rows[name][head]
+    firsts = np.concatenate([order[~alike], some[new]])
+    out = rows[np.concatenate([firsts, some[later], np.flatnonzero(rows["size"] == 0)])]
+    out["size"][len(firsts) :] = 0
+    return out, ragged(tokens, lengths, firsts)
+
+
+def ragged(tokens: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The tokens of the rows `at`, `lengths` of each row standing behind each other in `tokens`."""
+    n, before = lengths[at], np.cumsum(lengths) - lengths
+    ends = np.cumsum(n)
+    return tokens[np.repeat(before[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def dealt_lines(rows: np.ndarray, tokens: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Lines packed by a bucket of their set, after those at later places than another one here are known as copies, which go to any bucket."""
+    rows, tokens = firsts_and_copies(rows, tokens)
+    place = common.mixed(rows["k_hash"].view(np.uint64) ^ rows["number"])
+    bucket = buckets_of(np.where(rows["size"] > 0, rows["key"].view(np.uint64), place), buckets)
+    order, lengths = np.argsort(bucket, kind="stable"), line_prefix(rows["size"])
+    tokens = ragged(tokens, lengths, order)
+    out = common.packed_rows(bucket, rows)
+    ends = np.cumsum(lengths[order])[np.append(np.flatnonzero(np.diff(bucket[order])), len(order) - 1)] if len(order) else np.zeros(0, np.int64)
+    bounds = np.append(0, 8 * ends).astype(np.int32)
+    return out.append_column("prefix", pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(tokens)]))
+
+
 def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """k_id, k_hash, number of each line (from 0, lines parted by line feeds) to which an earlier line is similar.
 
     Null ids order last. Rows that repeat both id and text count as one document, which its own lines repeat in all of them alike. Lines
     under `least` distinct words, blank lines, null and empty texts give nothing.
+
+    Lines move once, packed, to those of equal sets: what is not the first of its set is known to go from then on, and a task sends the
+    first line alone of each set among its last BUCKET_ROWS lines, so a very common line fills no bucket.
     """
     spark = df.sparkSession
     docs = inputs(df, id_col, text_col)
     parse = functools.partial(Lines, least=least)
-    ranks = spark.sparkContext.broadcast(token_ranks(spark, docs))  # 4 MB whatever the corpus
+    table, n_lines = token_ranks(spark, docs)
+    ranks = spark.sparkContext.broadcast(table)  # 4 MB whatever the corpus
+    buckets = max(1, 4 * n_lines // common.BUCKET_ROWS)  # some a task, so that tasks are even
 
     @common.tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for rows, buf, offsets in blocks(batches):
             x = Lines(buf, offsets, least)
             rank = ranks.value[(x.token & _COUNT_MASK).astype(np.int64)]
             order = common.order_in_groups(x.line, len(x.size), x.token, rank)
-            lengths = prefix_length(x.size)
-            ends = np.cumsum(lengths)
-            at = order[np.repeat(x.first[:-1] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-            yield common.batch(
-                key=common.signed(x.key), k_id=rows.column("k_id").to_numpy()[x.row], k_hash=rows.column("k_hash").to_numpy()[x.row], number=x.number.astype(np.int32), size=x.size.astype(np.int32), sketch=common.signed(x.sketches[0]), sketch2=common.signed(x.sketches[1]),
-                **packed_prefixes(lengths, x.token[at], (rank[at] > 0) & (x.size[x.line[at]] >= MIXED), rank[at] > COMMON),
-            )
+            lengths = line_prefix(x.size)
+            at = order[np.repeat(x.first[:-1] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+            often = rank[at] > COMMON
+            token = np.where(rank[at] > 0, x.token[at] & ~np.uint64(1) | often, np.uint64(0))
+            own = np.empty(len(x.size), LINE)
+            own["key"], own["size"], own["number"], own["sketch"], own["sketch2"] = x.key.view(np.int64), x.size, x.number, *x.sketches
+            own["k_id"], own["k_hash"] = (rows.column(c).to_numpy()[x.row] for c in ("k_id", "k_hash"))
+            held.append((own, token))
+            if sum(len(x) for x, _ in held) >= common.BUCKET_ROWS:
+                yield dealt_lines(*map(np.concatenate, zip(*held, strict=True)), buckets)
+                held = []
+        if held:
+            yield dealt_lines(*map(np.concatenate, zip(*held, strict=True)), buckets)
 
-    lines = common.stored(docs.mapInArrow(read, f"key long, k_id long, k_hash long, number int, size int, sketch long, sketch2 long, {PREFIX}"), "snappy")
+    @common.tidy
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.bucket_tables(batches, LINE.itemsize):
+            rows, tokens = (common.byte_buffer(part[c].chunk(0))[0] for c in ("data", "prefix"))
+            rows, tokens = firsts_and_copies(rows.view(LINE), tokens.view(np.uint64))
+            columns = {c: rows[c].astype(kind) for c, kind in (("key", "i8"), ("k_id", "i8"), ("k_hash", "i8"), ("number", "i4"), ("size", "i4"), ("sketch", "i8"), ("sketch2", "i8"))}
+            yield common.batch(**columns, **packed_prefixes(line_prefix(rows["size"]), tokens, tokens > 0, tokens & np.uint64(1) > 0))
+
+    packed = common.by_bucket(docs.mapInArrow(read, "bucket int, data binary, prefix binary"))
+    lines = common.stored(packed.mapInArrow(settle, f"key long, k_id long, k_hash long, number int, size int, sketch long, sketch2 long, {PREFIX}"), "snappy")
     ranks.destroy()
-    where = F.struct("k_id", "number", "k_hash")
-    firsts = lines.groupBy("key").agg(F.min(where).alias("at"), F.count(F.lit(1)).alias("n"), F.any_value(F.struct("size", "sketch", "sketch2", "prefix", "plain", "common")).alias("line"))
-    distinct = common.stored(firsts.select("key", "at", "at.k_id", "at.number", "n", "line.*"), "snappy")
+    places = ["k_id", "k_hash", "number"]
+    distinct, copies = lines.where("size > 0").withColumn("at", F.struct(*places)), lines.where("size = 0").select(*places)
     prefixes = Prefixes(distinct, ROW, FIELDS)
     proposed = common.stored(prefixes.candidates(functools.partial(proposals, small=SMALL), PAIRS))
     gone = similar(docs, distinct, proposed.select("a", "b").distinct(), parse).select(F.col("b").alias("key")).distinct()
@@ -379,16 +472,8 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         lasting.drop()
         fresh = common.stored(more.select("a", "b").distinct().join(gone.withColumnRenamed("key", "b"), "b", "left_anti"), "snappy")
         gone = gone.unionByName(similar(docs, distinct, fresh, parse).select(F.col("b").alias("key")))
-    near = gone.distinct().withColumn("near", F.lit(True))
-    marked = common.stored(distinct.where("n > 1").select("key", "at", "n").join(near, "key", "full").select("key", "at", "n", F.coalesce("near", F.lit(False)).alias("near")), "snappy")
-    places = lines.select("key", "k_id", "k_hash", "number")
-    hot = marked.where(F.col("n") > TILE)
-    if hot.take(1) and common.few(hot):  # the copies of a very common line stay where they are
-        rest = places.join(F.broadcast(hot), "key", "left_anti").join(marked, "key")
-        found = rest.unionByName(places.join(F.broadcast(hot), "key"))
-    else:
-        found = places.join(marked, "key")
-    return found.where(F.col("near") | (where != F.col("at"))).select("k_id", "k_hash", "number")
+    near = common.stored(gone.distinct(), "snappy")
+    return copies.unionByName(distinct.join(F.broadcast(near) if common.few(near) else near, "key", "left_semi").select(*places))
 
 
 def remove_lines(text: str, numbers: set[int]) -> str:

@@ -110,7 +110,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = df.sparkSession
     docs = line_dedup.inputs(df, id_col, text_col)
-    ranks = spark.sparkContext.broadcast(line_dedup.token_ranks(spark, docs, lambda buf, offsets: shingles(buf, offsets)[0]))  # 4 MB whatever the corpus
+    ranks = spark.sparkContext.broadcast(line_dedup.token_ranks(spark, docs, lambda buf, offsets: shingles(buf, offsets)[0])[0])  # 4 MB whatever the corpus
 
     @common.tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
