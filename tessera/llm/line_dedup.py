@@ -42,9 +42,9 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
 
 
 class Lines:
-    """Distinct tokens of each line of at least `least` of them, by row and line number."""
+    """Distinct tokens of each line of at least `least` of them, by row and line number; with `ranks`, the rarest first and their ranks."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> None:
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, least: int = LEAST, ranks: np.ndarray | None = None) -> None:
         starts, ends, _ = common.word_spans(buf, offsets)
         breaks = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(buf == 0x0A) + 1]))
         words = np.diff(np.append(np.searchsorted(starts, breaks), len(starts)))
@@ -54,16 +54,18 @@ class Lines:
             starts, ends = starts[use], ends[use]
         at, line = breaks[many], np.repeat(np.arange(np.count_nonzero(many)), words[many])
         token = common.span_hashes(buf, starts, ends, LOWER_VALUES)
-        token = token[common.order_in_groups(line, len(at), token)]  # lines stay in their order
+        rank = None if ranks is None else ranks[(token & _COUNT_MASK).astype(np.int64)]
+        order = common.order_in_groups(line, len(at), token, rank)  # lines stay in their order
+        token = token[order]
         keep = np.ones(len(token), bool)
         keep[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
-        self.token, self.line = token[keep], line[keep]
+        self.token, self.line, self.rank = token[keep], line[keep], None if rank is None else rank[order[keep]]
         self.size = np.bincount(self.line, minlength=len(at))
         enough = self.size >= least
         if not enough.all():
             use = enough[self.line]
             self.token, self.line = self.token[use], (np.cumsum(enough) - 1)[self.line[use]]
-            self.size, at = self.size[enough], at[enough]
+            self.size, at, self.rank = self.size[enough], at[enough], None if rank is None else self.rank[use]
         self.first = np.concatenate([[0], np.cumsum(self.size)])
         self.row = np.searchsorted(offsets, at, "right") - 1
         self.number = np.searchsorted(breaks, at) - np.searchsorted(breaks, offsets[self.row])
@@ -431,13 +433,10 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for rows, buf, offsets in blocks(batches):
-            x = Lines(buf, offsets, least)
-            rank = ranks.value[(x.token & _COUNT_MASK).astype(np.int64)]
-            order = common.order_in_groups(x.line, len(x.size), x.token, rank)
+            x = Lines(buf, offsets, least, ranks.value)
             lengths = line_prefix(x.size)
-            at = order[np.repeat(x.first[:-1] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
-            often = rank[at] > COMMON
-            token = np.where(rank[at] > 0, x.token[at] & ~np.uint64(1) | often, np.uint64(0))
+            at = np.repeat(x.first[:-1] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            token = np.where(x.rank[at] > 0, x.token[at] & ~np.uint64(1) | (x.rank[at] > COMMON), np.uint64(0))
             own = np.empty(len(x.size), LINE)
             own["key"], own["size"], own["number"], own["sketch"], own["sketch2"] = x.key.view(np.int64), x.size, x.number, *x.sketches
             own["k_id"], own["k_hash"] = (rows.column(c).to_numpy()[x.row] for c in ("k_id", "k_hash"))
