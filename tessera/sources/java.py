@@ -54,14 +54,16 @@ CALL_FIXTURES = {"mock": ["mock", "spy", "when", "given"], "container": ["withIn
 HTTP_CALLS = {"GET": ["get", "getForEntity", "getForObject"], "POST": ["post", "postForEntity", "postForObject"], "PUT": ["put"], "PATCH": ["patch", "patchForObject"], "DELETE": ["delete"]}
 MESSAGE_CALLS = ["send", "sendMessage", "receive", "receiveAndConvert"]
 INTEGRATION_MARKS = ["SpringBootTest", "Testcontainers"]
+CALLERS = "array<struct<owner:string,name:string,line:bigint,parameters:array<struct<type:string,bare:string,spread:boolean>>,annotations:array<string>>>"
 NODES = (
-    "path string, node int, package string, kind string, parent int, class_line bigint, top int, loose boolean, callers array<int>, owner string, name string, type string, bare string, extends string, "
+    f"path string, node int, package string, kind string, parent int, class_line bigint, class_annotations array<string>, top int, loose boolean, callers {CALLERS}, owner string, name string, type string, bare string, extends string, "
     "interfaces array<string>, supers array<string>, annotations array<string>, inside array<string>, "
     "parameters array<struct<name:string,type:string,bare:string,spread:boolean,line:bigint,annotations:array<string>>>, "
     "line bigint, column bigint, end_line bigint, name_line bigint, name_column bigint, body string, receiver string, expression string, literal string"
 )
 _PARAMETER = pa.struct([("name", pa.string()), ("type", pa.string()), ("bare", pa.string()), ("spread", pa.bool_()), ("line", pa.int64()), ("annotations", pa.list_(pa.string()))])
-_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
+_CALLER = pa.struct([("owner", pa.string()), ("name", pa.string()), ("line", pa.int64()), ("parameters", pa.list_(pa.struct([("type", pa.string()), ("bare", pa.string()), ("spread", pa.bool_())]))), ("annotations", pa.list_(pa.string()))])
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), CALLERS: pa.list_(_CALLER)}
 CLASS_KINDS = ["class", "interface", "enum", "record"]
 METHOD_KINDS = ["method", "constructor"]
 
@@ -77,8 +79,9 @@ def nodes(files: DataFrame) -> DataFrame:
     """A row for each package, import, type, field, method, call and local annotation of the files (path, text), numbered within its file.
 
     A task reads all files of its partition, so a table of many files in few partitions is to be dealt first (`functions.dealing`).
-    parent and class_line tell the class around it, callers the methods around it from the outermost, top the outermost class; loose is
-    what lies inside a member; inside holds all annotations from there to its end. One row of kind "error" stands for a broken file.
+    parent and class_line tell the class around it, top the outermost class; loose is what lies inside a member; inside holds all
+    annotations from there to its end. A call's row has the methods around it, from the outermost, as callers, and a method's row the own
+    annotations of its class, so that neither is joined with other rows. One row of kind "error" stands for a broken file.
     """
     fields = [f.rsplit(" ", 1) for f in NODES.split(", ") if " " in f]
     schema = pa.schema([(name, _ARROW.get(kind, pa.list_(_PARAMETER))) for name, kind in fields])
@@ -91,6 +94,9 @@ def nodes(files: DataFrame) -> DataFrame:
                 package = next((r["name"] for r in rows if r["kind"] == "package"), None)
                 for r in rows:
                     r |= {"path": path, "package": package, "inside": sorted(r["inside"]), "annotations": sorted(set(r.get("annotations", [])))}
+                for r in rows:
+                    r["callers"] = [rows[c] for c in r["callers"]] if r["kind"] == "call" else None
+                    r["class_annotations"] = rows[r["parent"]]["annotations"] if r["kind"] in METHOD_KINDS else None
                 waiting += rows
                 if len(waiting) > 2000:
                     yield pa.RecordBatch.from_pylist(waiting, schema)
@@ -110,7 +116,7 @@ def broken(found: DataFrame) -> DataFrame:
     return found.where("kind = 'error'").select("path", "line", F.concat(F.lit("failed to parse Java source "), "path").alias("message"))
 
 
-def dotted(*parts: str) -> Column:
+def dotted(*parts: str | Column) -> Column:
     return F.concat_ws(".", *parts)
 
 
@@ -138,17 +144,19 @@ def methods(files: DataFrame) -> DataFrame:
     return methods_of(nodes(files))
 
 
-def method_id() -> Column:
-    types = F.array_join(F.transform("parameters", lambda p: F.concat(p["bare"], F.when(p["spread"], "...").otherwise(""))), ",")
-    return F.concat(F.lit("method:"), "path", F.lit(":"), "owner", F.lit("."), "name", F.lit("("), types, F.lit("):"), "line")
+def method_id(caller: Column | None = None) -> Column:
+    """The id of a row's method, or of a method around it."""
+    of = F.col if caller is None else caller.getField
+    types = F.array_join(F.transform(of("parameters"), lambda p: F.concat(p["bare"], F.when(p["spread"], "...").otherwise(""))), ",")
+    return F.concat(F.lit("method:"), "path", F.lit(":"), of("owner"), F.lit("."), of("name"), F.lit("("), types, F.lit("):"), of("line"))
 
 
-def methods_of(found: DataFrame) -> DataFrame:
+def methods_of(found: DataFrame, *more: Column) -> DataFrame:
     parameters = F.transform("parameters", lambda p: F.struct(F.concat(p["bare"], F.when(p["spread"], "...").otherwise("")).alias("type"), p["name"].alias("name")))
     rows = found.where(F.col("kind").isin(METHOD_KINDS)).withColumns({"given": parameters, "id": method_id()})
     return rows.select(
         "id", class_id(dotted("package", "owner")).alias("class_id"), "path", "name", F.concat("name", F.lit("("), F.array_join("given.type", ","), F.lit(")")).alias("signature"), F.col("bare").alias("return_type"),
-        F.col("given").alias("parameters"), "annotations", F.col("line").alias("start_line"), "end_line", "name_line", "name_column", F.col("path").alias("file"), F.when(F.col("body") != "", F.col("body")).alias("body_text"),
+        F.col("given").alias("parameters"), "annotations", F.col("line").alias("start_line"), "end_line", "name_line", "name_column", F.col("path").alias("file"), F.when(F.col("body") != "", F.col("body")).alias("body_text"), *more,
     )
 
 
@@ -159,9 +167,12 @@ def calls(files: DataFrame) -> DataFrame:
 
 
 def calls_of(found: DataFrame) -> DataFrame:
-    around = found.where(F.col("kind").isin(METHOD_KINDS)).select("path", F.col("node").alias("caller"), method_id().alias("method_id"))
-    rows = found.where("kind = 'call'").withColumn("caller", F.try_element_at("callers", F.lit(-1)))
-    return rows.join(around, ["path", "caller"], "left").select("path", "line", "column", "receiver", "name", "method_id", "expression", "literal")
+    return found.where("kind = 'call'").select("path", "line", "column", "receiver", "name", method_id(innermost()).alias("method_id"), "expression", "literal")
+
+
+def innermost() -> Column:
+    """The innermost method around a call, null in an initializer."""
+    return F.try_element_at("callers", F.lit(-1))
 
 
 def call_edges(found: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """The model of a Java source tree with whole types: classes, methods, invocations, edges and entry points, and classes with their members.
 
-All tables come from `java.nodes`, which reads each file once. Every row carries the chain of classes around it, so ids need no join; an
-invocation meets the methods around it by (path, node). An invocation counts for every method around it, a local or anonymous class's own
-method included. Annotations of a class or method are all that stand from its beginning to its end. Variadic parameters have the name "_"
+All tables come from `java.nodes`, which reads each file once. Every row carries the chain of classes around it, and a call the methods
+around it, so ids and invocations need no join. An invocation counts for every method around it, a local or anonymous class's own method
+included. Annotations of a class or method are all that stand from its beginning to its end. Variadic parameters have the name "_"
 and no type, as in signatures. Files with null or empty text and broken files give no rows, broken ones a diagnostic; paths that repeat
 are read as one file each time.
 """
@@ -41,12 +41,15 @@ def parameter_type(p: Column) -> Column:
     return F.when(~p["spread"], p["type"])
 
 
-def signature() -> Column:
-    return F.concat("name", F.lit("("), F.array_join(F.transform("parameters", lambda p: F.coalesce(parameter_type(p), F.lit("_"))), ","), F.lit(")"))
+def signature(caller: Column | None = None) -> Column:
+    of = F.col if caller is None else caller.getField
+    return F.concat(of("name"), F.lit("("), F.array_join(F.transform(of("parameters"), lambda p: F.coalesce(parameter_type(p), F.lit("_"))), ","), F.lit(")"))
 
 
-def method_id() -> Column:
-    return F.concat(F.lit("method:"), dotted("package", "owner"), F.lit("#"), signature(), F.lit("@"), "path", F.lit(":"), "line")
+def method_id(caller: Column | None = None) -> Column:
+    """The id of a row's method, or of a method around it."""
+    of = F.col if caller is None else caller.getField
+    return F.concat(F.lit("method:"), dotted("package", of("owner")), F.lit("#"), signature(caller), F.lit("@"), "path", F.lit(":"), of("line"))
 
 
 def methods(nodes: DataFrame) -> DataFrame:
@@ -60,9 +63,8 @@ def methods(nodes: DataFrame) -> DataFrame:
 
 def invocations(nodes: DataFrame) -> DataFrame:
     """caller_method_id, file, name, line, column, expression, literal: one row for each call and each method around it."""
-    around = nodes.where(F.col("kind").isin(METHOD_KINDS)).select("path", F.col("node").alias("caller"), method_id().alias("caller_method_id"))
-    each = nodes.where("kind = 'call'").select("path", "name", "line", "column", "expression", "literal", F.explode("callers").alias("caller"))
-    return each.join(around, ["path", "caller"]).select("caller_method_id", F.col("path").alias("file"), "name", "line", "column", "expression", "literal")
+    each = nodes.where("kind = 'call' AND path IS NOT NULL").select("path", "package", "name", "line", "column", "expression", "literal", F.explode("callers").alias("caller"))
+    return each.select(method_id(F.col("caller")).alias("caller_method_id"), F.col("path").alias("file"), "name", "line", "column", "expression", "literal")
 
 
 def relationships(found: DataFrame, called: DataFrame) -> DataFrame:
