@@ -207,7 +207,7 @@ def entry_points(found: DataFrame) -> DataFrame:
     return mains.unionByName(marked)
 
 
-def has_annotation(annotations: str, names: list[str]) -> Column:
+def has_annotation(annotations: str | Column, names: list[str]) -> Column:
     return F.exists(annotations, lambda x: T.annotation_name(x).isin(names))
 
 
@@ -223,19 +223,29 @@ def test_kind(file: Column, annotations: Column, default: str = "unknown_test")
     )
 
 
+def suite_name(package: str, name: Column) -> Column:
+    """The package and a class's own name, without the classes around it."""
+    return F.concat_ws(".", package, F.element_at(F.split(name, r"\."), -1))
+
+
+def suite_id(name: Column, line: str) -> Column:
+    return F.concat(F.lit("test-suite:"), name, F.lit("@"), "path", F.lit(":"), line)
+
+
 def test_suites(declared: DataFrame) -> DataFrame:
     """A suite for each class: id, class_name, package_name, qualified_name, test_kind, file, lines, annotations."""
-    short = F.element_at(F.split("name", r"\."), -1)
-    qualified = F.concat_ws(".", "package_name", short)
-    kind = test_kind(F.col("path"), F.col("annotations"), "unknown_test")
-    of_file = test_kind(F.col("path"), F.array().cast("array<string>"), "unknown_test")
+    qualified = suite_name("package_name", F.col("name"))
     return declared.select(
-        F.concat(F.lit("test-suite:"), qualified, F.lit("@"), "path", F.lit(":"), "start_line").alias("id"), F.col("id").alias("class_id"), short.alias("class_name"), "package_name", qualified.alias("qualified_name"),
-        F.when(kind == "unknown_test", of_file).otherwise(kind).alias("test_kind"), F.col("path").alias("file"), "start_line", "end_line", "annotations",
+        suite_id(qualified, "start_line").alias("id"), F.col("id").alias("class_id"), F.element_at(F.split("name", r"\."), -1).alias("class_name"), "package_name", qualified.alias("qualified_name"),
+        test_kind(F.col("path"), F.col("annotations")).alias("test_kind"), F.col("path").alias("file"), "start_line", "end_line", "annotations",
     )
 
 
-def is_test_case(annotations: str = "annotations", name: str = "name") -> Column:
+def test_case_id(suite: Column, name: Column, line: Column) -> Column:
+    return F.concat(F.lit("test-case:"), suite, F.lit("#"), name, F.lit("@"), "path", F.lit(":"), line)
+
+
+def is_test_case(annotations: str | Column = "annotations", name: str | Column = "name") -> Column:
     return has_annotation(annotations, TESTS) | F.regexp_like(name, F.lit(f"^(?:{'|'.join(TEST_NAMES)})"))
 
 
@@ -283,17 +293,23 @@ def call_entry_point(name: Column, expression: Column, literal: Column) -> Colum
 
 
 def test_model(files: DataFrame) -> dict[str, DataFrame]:
-    """All tables of test sources: suites, cases, fixtures, invocations, assertions, entry_points, diagnostics."""
+    """All tables of test sources: suites, cases, fixtures, invocations, assertions, entry_points, diagnostics.
+
+    A method's row tells its suite and a call's row its test case, so no table is joined with another. Null paths give suites alone.
+    """
     read = nodes(files).persist()
-    declared, found, called = classes_of(read), methods_of(read), calls_of(read)
-    suites = test_suites(declared)
-    own = suites.select(F.col("id").alias("suite_id"), "class_id", F.col("qualified_name").alias("suite_name"), "test_kind")
-    inside = found.join(own, "class_id")
+    suites = test_suites(classes_of(read))
+    suite = suite_name("package", F.col("owner"))
+    whole = read.where("path is not null")
+    inside = methods_of(whole, suite_id(suite, "class_line").alias("suite_id"), suite.alias("suite_name"), test_kind(F.col("path"), F.col("class_annotations")).alias("test_kind"))
     cases = inside.where(is_test_case()).select(
-        F.concat(F.lit("test-case:"), "suite_name", F.lit("#"), "name", F.lit("@"), "file", F.lit(":"), "start_line").alias("id"), "suite_id", F.col("id").alias("method_id"), "name",
+        test_case_id(F.col("suite_name"), F.col("name"), F.col("start_line")).alias("id"), "suite_id", F.col("id").alias("method_id"), "name",
         display_name(F.col("annotations")).alias("display_name"), "test_kind", "file", "start_line", "end_line", "annotations", F.coalesce("body_text", F.lit("")).alias("body_text"),
     )
-    of_case = called.join(cases.select("method_id", F.col("id").alias("test_case_id"), "file"), "method_id")
+    calls_inside = whole.where("kind = 'call'").withColumn("caller", innermost()).where(is_test_case(F.col("caller.annotations"), F.col("caller.name")))
+    of_case = calls_inside.select(
+        test_case_id(suite_name("package", F.col("caller.owner")), F.col("caller.name"), F.col("caller.line")).alias("test_case_id"), F.col("path").alias("file"), "name", "line", "column", "expression", "literal"
+    )
     none = F.lit(None).cast("string")
     marks = suites.select(F.col("id").alias("suite_id"), "file", F.col("start_line").alias("line"), F.explode("annotations").alias("annotation"))
     kind = looked_up(T.annotation_name(F.col("annotation")), FIXTURES)
