@@ -30,6 +30,10 @@ def test_fixtures_join_nothing(spark, folder):
     assert joins(builds.test_fixtures(spark, folder)) == []
 
 
+def test_assertions_join_nothing(spark, folder):
+    assert joins(builds.test_assertions(spark, folder)) == []
+
+
 def test_calls_of_paths_that_repeat_count_once_a_file(spark):
     nodes = java.nodes(spark.createDataFrame([("A.java", TWINS), ("A.java", TWINS), (None, TWINS)], "path string, text string"))
     called = [(r["file"], r["caller_method_id"].split("#")[1].split("@")[0], r["name"]) for r in java_model.invocations(nodes).collect()]
