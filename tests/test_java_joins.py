@@ -38,6 +38,10 @@ def test_entry_points_join_nothing(spark, folder):
     assert joins(builds.test_entry_points(spark, folder)) == []
 
 
+def test_invocations_join_nothing(spark, folder):
+    assert joins(builds.test_invocations(spark, folder)) == []
+
+
 def test_calls_of_paths_that_repeat_count_once_a_file(spark):
     nodes = java.nodes(spark.createDataFrame([("A.java", TWINS), ("A.java", TWINS), (None, TWINS)], "path string, text string"))
     called = [(r["file"], r["caller_method_id"].split("#")[1].split("@")[0], r["name"]) for r in java_model.invocations(nodes).collect()]
