@@ -69,7 +69,7 @@ _TEST = "concat_ws('#', coalesce(suite, '-'), r.name, r.file, r.start_line, coal
         [
             _first("e", "entry_points", "method_id", "kind, route, http_method, id", _ENTRY, 5),
             _first("g", "candidate_signals", "method_id", "weight DESC, count DESC, name", "name || count", 8),
-            _first("a", "test_assertions", "test_case_id", "line, id", "'eq: ' || left(expression, 9)", 6),
+            _first("a", "test_assertions", "test_case_id", "line, id", "'eq: ' || expression", 6),
             _first("f", "test_fixtures", "test_case_id", "line, id", "fixture_kind || ': ' || name", 6),
             _first("te", "test_entry_points", "test_case_id", "kind, route, http_method, id", _ENTRY, 4),
             _RELATED,
@@ -83,7 +83,7 @@ def method_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stand_ins(spark, sf_dir, "methods", "entry_points", "candidate_signals", "test_targets", "test_cases", "test_suites", "test_assertions", "test_fixtures", "test_entry_points", keys={"orders": "o_orderkey", "events": "event_id"})
     t["test_suites"] = t["test_suites"].withColumn("class_name", F.col("qualified_name"))
     t["test_cases"] = t["test_cases"].withColumn("end_line", F.col("start_line"))
-    t["test_assertions"] = t["test_assertions"].withColumns({"assertion_kind": F.lit("eq"), "expression": F.substring("expression", 1, 9)})
+    t["test_assertions"] = t["test_assertions"].withColumn("assertion_kind", F.lit("eq"))
 
     def entries(e):
         return F.transform(e, lambda x: F.concat_ws("|", x["kind"], x["http_method"], x["route"]))
